@@ -5,8 +5,7 @@ its (digest, identifier) entries and flushes them as a run of level 0, a Parquet
 filters on the digest. Compaction merges all runs by digest; of each digest it keeps the
 identifier at one end of the order (``keep``) and the number of entries. Digests with two
 entries or more are hits; a bitmap filter over them picks their texts out of a second scan, and
-the bytes are compared with the text that stays. Where bytes differ under one digest, the texts
-themselves decide.
+the bytes of all texts under a digest are compared. Where they differ, the texts themselves decide.
 
 Defined results: null text counts as empty; a null identifier sorts below all others; of repeated
 rows (equal identifier and text) one stays; an empty table gives an empty table.
@@ -24,9 +23,6 @@ from plumbline.llm.common import fresh, lower_ascii, materialize, shared_dir
 
 #: Bits of the bitmap filter over hit digests at most (8 MB). Beyond it the filter lets more rows through; results do not change.
 FILTER_BITS = 1 << 26
-#: Rows of one text that one salt of the byte verification takes.
-SALT_ROWS = 512
-
 BUCKET_BITS = 32768
 
 
@@ -68,13 +64,24 @@ def flagged(df: DataFrame, digest: str, table: DataFrame, bits: int, flag: str)
     )
 
 
-def flush_runs(docs: DataFrame, digest=digest_of) -> DataFrame:
-    """Level 0: (doc_id, row, digest) of every row, each partition's run sorted by digest.
+def _normal(text: Column) -> Column:
+    return lower_ascii(F.coalesce(text, F.lit("")))
+
+
+def _best(keep: str) -> Column:
+    if keep == "largest":
+        return F.max(F.struct(F.col("doc_id").isNotNull().alias("has_id"), "doc_id", "row"))
+    return F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
+
+
+def flush_runs(docs: DataFrame, normalise=_normal, digest=digest_of) -> DataFrame:
+    """Level 0: (doc_id, row, n_bytes, digest) of every row, each partition's run sorted by digest.
 
-    ``row`` numbers the rows, to tell repeated ones apart.
+    ``row`` numbers the rows, to tell repeated ones apart; ``n_bytes`` is the text's size.
     """
+    norm = normalise(F.col("text"))
     entries = docs.select(
-        "doc_id", F.monotonically_increasing_id().alias("row"), digest(lower_ascii(F.coalesce("text", F.lit("")))).alias("digest")
+        "doc_id", F.monotonically_increasing_id().alias("row"), F.octet_length(norm).cast("long").alias("n_bytes"), digest(norm).alias("digest")
     ).sortWithinPartitions("digest")
     path = f"{shared_dir(docs.sparkSession)}/plumbline/level0-{uuid.uuid4().hex}"
     (
@@ -86,67 +93,88 @@ def flush_runs(docs: DataFrame, digest=digest_of) -> DataFrame:
     return docs.sparkSession.read.schema(entries.schema).parquet(path)
 
 
-def _best(keep: str) -> Column:
-    key = F.struct(F.col("doc_id").isNotNull().alias("has_id"), "doc_id", "row")
-    return F.max(key) if keep == "largest" else F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
-
-
 def compact(runs: DataFrame, keep: str = "smallest") -> DataFrame:
     """Merges all runs: (digest, keep_id, keep_row, group_size), an entry per digest."""
     merged = runs.groupBy("digest").agg(_best(keep).alias("best"), F.count(F.lit(1)).alias("group_size"))
     return merged.select("digest", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"), "group_size")
 
 
-def verify(docs: DataFrame, hits: DataFrame, hit_count: int, digest=digest_of) -> DataFrame:
-    """Digests under which the bytes of some text differ from those of the text that stays.
-
-    ``hits``: compacted entries with two rows or more. Only their texts are shuffled, by digest and
-    salt: a text that stays is sent once for each SALT_ROWS rows of its group.
-    """
-    table, bits = hit_filter(hits, hit_count)
-    texts = docs.select("doc_id", lower_ascii(F.coalesce("text", F.lit(""))).alias("norm"))
-    texts = flagged(texts.withColumn("digest", digest(F.col("norm"))), "digest", table, bits, "hit").filter("hit")
-    salts = F.ceil(F.col("group_size") / SALT_ROWS).cast("int")
-    keys = hits.select(F.col("digest").alias("k"), "keep_id", salts.alias("salts"))
-    # The rows that hold the kept identifier give the text that stays.
-    kept = (
-        texts.join(keys, (F.col("digest") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("keep_id")))
-        .groupBy("k", "salts")
-        .agg(F.min("norm").alias("kept_norm"))
-        .select("k", "kept_norm", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    )
-    sized = texts.join(keys.select("k", "salts"), F.col("digest") == F.col("k")).select(
-        "digest", "norm", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int").alias("salt")
-    )
-    return (
-        sized.join(kept, (F.col("digest") == F.col("k")) & (sized["salt"] == kept["salt"]))
-        .filter(F.col("norm") != F.col("kept_norm"))
-        .select("digest")
-        .distinct()
-    )
+class Index:
+    """The runs, the compacted level and the filter over hits of one table's texts."""
+
+    def __init__(self, runs: DataFrame, level: DataFrame, normalise, digest, keep: str):
+        self.runs, self.level, self.normalise, self.digest, self.keep = runs, level, normalise, digest, keep
+        self.hits = level.filter("group_size > 1")
+        self.hit_count = self.hits.count()
+        self.filter = hit_filter(self.hits, self.hit_count) if self.hit_count else None
+
+    @classmethod
+    def build(cls, docs: DataFrame, keep: str = "smallest", normalise=_normal, digest=digest_of) -> Index:
+        """``keep``: which identifier of equal texts stays, "smallest" or "largest"."""
+        runs = flush_runs(docs, normalise, digest)
+        return cls(runs, materialize(compact(runs, keep), "level1"), normalise, digest, keep)
+
+    def rows(self) -> DataFrame:
+        """Every row with the entry of its digest."""
+        return self.runs.join(self.level, "digest")
+
+    def texts_of_hits(self, docs: DataFrame) -> DataFrame:
+        """(doc_id, norm, digest) of the rows that pass the hit filter: a second scan of the texts."""
+        texts = docs.select("doc_id", self.normalise(F.col("text")).alias("norm")).withColumn("digest", self.digest(F.col("norm")))
+        return flagged(texts, "digest", *self.filter, "hit").filter("hit").drop("hit")
+
+    def differing(self, docs: DataFrame) -> DataFrame:
+        """Digests under which the bytes of the texts differ.
+
+        The smallest and the largest text of a digest, in byte order, are the same text only if all
+        are. Each task reduces its own hits to these two before they are shuffled, so a text with
+        very many copies is sent once per task.
+        """
+        ends = self.texts_of_hits(docs).groupBy("digest").agg(F.min("norm").alias("low"), F.max("norm").alias("high"))
+        return ends.filter(F.col("low") != F.col("high")).select("digest")
+
+    def collisions(self, docs: DataFrame) -> DataFrame | None:
+        """The written table of ``differing``, or None where every hit is a true copy."""
+        if not self.hit_count:
+            return None
+        found = materialize(self.differing(docs), "differing")
+        return found if found.limit(1).count() else None
+
+    def drop_copies(self, docs: DataFrame) -> DataFrame:
+        """``docs`` without the copies of any text, all columns kept.
+
+        Rows of texts that occur once pass the filter without a shuffle; of the others, only the
+        row with the kept identifier meets the index entry.
+        """
+        if not self.hit_count:
+            return docs
+        if self.collisions(docs) is not None:
+            raise ValueError("two texts share one digest; exact_groups settles such a table")
+        digest, flag, key, kept_id = fresh(docs, "digest_", "hit_", "key_", "kept_id_")
+        named = docs.withColumn(digest, self.digest(self.normalise(F.col("text"))))
+        named = flagged(named, digest, *self.filter, flag)
+        entries = flagged(self.level, "digest", *self.filter, "hit").filter("hit")
+        entries = entries.select(F.col("digest").alias(key), F.col("keep_id").alias(kept_id))
+        stays = (
+            named.filter(F.col(flag))
+            .join(entries, (F.col(digest) == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(kept_id)))
+            .dropDuplicates([key])
+        )
+        return named.filter(~F.col(flag)).select(docs.columns).unionByName(stays.select(docs.columns))
 
 
 def exact_groups(docs: DataFrame, keep: str = "smallest", digest=digest_of) -> DataFrame:
-    """A row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
-
-    ``keep``: which identifier of equal texts stays, "smallest" or "largest".
-    """
+    """A row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
     docs = docs.select("doc_id", "text")
-    runs = flush_runs(docs, digest)
-    index = materialize(compact(runs, keep), "level1")
-    hits = index.filter("group_size > 1")
-    hit_count = hits.count()
-    found = runs.join(index, "digest")
-    kept = F.col("row") == F.col("keep_row")
-    out = found.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
-    if not hit_count:
-        return out
-    differing = materialize(verify(docs, hits, hit_count, digest), "differing")
-    if not differing.limit(1).count():
-        return out
+    index = Index.build(docs, keep, digest=digest)
+    kept = (F.col("row") == F.col("keep_row")).alias("kept")
+    found = index.rows()
+    collided = index.collisions(docs)
+    if collided is None:
+        return found.select("doc_id", "keep_id", "group_size", kept, F.lower(F.hex("digest")).alias("text_sha256"))
     # Some digest holds several texts: there the texts themselves are the key.
-    split = docs.withColumn("row", F.monotonically_increasing_id()).withColumn("norm", lower_ascii(F.coalesce("text", F.lit(""))))
-    split = materialize(split.withColumn("digest", digest(F.col("norm"))).join(differing, "digest", "left_semi"), "collided")
+    split = docs.withColumn("row", F.monotonically_increasing_id()).withColumn("norm", _normal(F.col("text")))
+    split = materialize(split.withColumn("digest", digest(F.col("norm"))).join(collided, "digest", "left_semi"), "collided")
     own = split.groupBy("digest", "norm").agg(_best(keep).alias("best"), F.count(F.lit(1)).alias("group_size"))
     redone = split.join(own, ["digest", "norm"]).select(
         "doc_id",
@@ -155,33 +183,10 @@ def exact_groups(docs: DataFrame, keep: str = "smallest", digest=digest_of) -> D
         (F.col("row") == F.col("best.row")).alias("kept"),
         F.sha2("norm", 256).alias("text_sha256"),
     )
-    rest = found.join(differing, "digest", "left_anti")
-    return rest.select(out.columns[0], "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")).unionByName(redone)
+    rest = found.join(collided, "digest", "left_anti")
+    return rest.select("doc_id", "keep_id", "group_size", kept, F.lower(F.hex("digest")).alias("text_sha256")).unionByName(redone)
 
 
 def drop_copies(docs: DataFrame, keep: str = "smallest") -> DataFrame:
-    """``docs`` without the copies of any text, all columns kept.
-
-    Rows of texts that occur once pass a bitmap filter without a shuffle; of the others, only the
-    row with the kept identifier meets the index entry.
-    """
-    runs = flush_runs(docs.select("doc_id", "text"))
-    index = materialize(compact(runs, keep), "level1")
-    hits = index.filter("group_size > 1")
-    hit_count = hits.count()
-    if not hit_count:
-        return docs
-    differing = verify(docs.select("doc_id", "text"), hits, hit_count)
-    if differing.limit(1).count():
-        raise ValueError("two texts share one SHA-256 digest; use exact_groups")
-    table, bits = hit_filter(hits, hit_count)
-    digest, flag, key, kept_id = fresh(docs, "digest_", "hit_", "key_", "kept_id_")
-    named = docs.withColumn(digest, digest_of(lower_ascii(F.coalesce("text", F.lit("")))))
-    named = flagged(named, digest, table, bits, flag)
-    entries = flagged(index, "digest", table, bits, "hit").filter("hit").select(F.col("digest").alias(key), F.col("keep_id").alias(kept_id))
-    stays = (
-        named.filter(F.col(flag))
-        .join(entries, (F.col(digest) == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(kept_id)))
-        .dropDuplicates([key])
-    )
-    return named.filter(~F.col(flag)).select(docs.columns).unionByName(stays.select(docs.columns))
+    """``docs`` without the copies of any text (equal after lower-casing A-Z), all columns kept."""
+    return Index.build(docs, keep).drop_copies(docs)
