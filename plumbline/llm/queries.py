@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe_replay, chat_format, exact_dedup, hash_ring, packing, quality_rules, suffix_dedup, toxicity
+from plumbline.llm import bpe_replay, chat_format, exact_dedup, hash_ring, lattice_lm, ngram_join, packing, quality_rules, suffix_dedup, toxicity
 
 SHARDS = 24
 CAPACITY = 2048
@@ -54,6 +54,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(documents(spark, sf_dir)).select("doc_id", "class_id", "n_links")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir), keep="largest")
 
@@ -62,6 +66,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), vocabulary("byte_bpe_50k.tiktoken"), pattern(), CAPACITY)
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.score_documents(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_replay.digest_documents(documents(spark, sf_dir), vocabulary("byte_bpe_50k.tiktoken"), pattern())
 
@@ -81,8 +89,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
     "op3_sharding": op3_sharding,
+    "op4_ngram_join": op4_ngram_join,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_packing": op6_packing,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_bpe": op8_bpe,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_chat_formatting": op10_chat_formatting,
