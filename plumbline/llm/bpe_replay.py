@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Words that each of the cache's two generations holds.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 250_000
 #: Words longer than this are never kept in the cache.
 CACHE_WORD_BYTES = 64
 #: UTF-8 bytes of text that one replay takes at most, unless a single text is longer.
@@ -43,43 +43,42 @@ class MergeReplay:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
-        self.byte_ids = [ranks[bytes([b])] for b in range(256)]
-        self.pairs: dict[tuple[int, int], int | None] = {}
-
-    def rank_of(self, left: int, right: int) -> int | None:
-        """Rank of the merged pair, None where the vocabulary has no such merge."""
-        key = (left, right)
-        if key not in self.pairs:
-            self.pairs[key] = self.ranks.get(self.bytes_of[left] + self.bytes_of[right])
-        return self.pairs[key]
+        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
+        #: Rank of each pair of bytes, -1 where the vocabulary has no such merge.
+        self.byte_pairs = np.array([[ranks.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)], dtype=np.int64)
+        self.shift = max(self.bytes_of).bit_length()
+        self.pairs: dict[int, int] = {}
+
+    def rank_of(self, left: int, right: int) -> int:
+        """Rank of the merged pair, -1 where the vocabulary has no such merge."""
+        key = left << self.shift | right
+        rank = self.pairs.get(key)
+        if rank is None:
+            rank = self.pairs[key] = self.ranks.get(self.bytes_of[left] + self.bytes_of[right], -1)
+        return rank
+
+    def index(self, words: list[bytes]) -> tuple[list[int], list[int], list[int], dict[int, list[int]]]:
+        """The words' byte tokens end to end, the places after and before each, and places by rank."""
+        data = np.frombuffer(b"".join(words), dtype=np.uint8)
+        sizes = np.array([len(w) for w in words], dtype=np.int64)
+        ends = np.cumsum(sizes)
+        n = len(data)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[ends[sizes > 0] - 1] = -1
+        before[(ends - sizes)[sizes > 0]] = -1
+        rank = self.byte_pairs[data[:-1], data[1:]] if n > 1 else np.zeros(0, dtype=np.int64)
+        places = np.flatnonzero((rank >= 0) & (after[:-1] >= 0)) if n > 1 else np.zeros(0, dtype=np.int64)
+        places = places[np.argsort(rank[places], kind="stable")]
+        found, first = np.unique(rank[places], return_index=True)
+        where = {r: p.tolist() for r, p in zip(found.tolist(), np.split(places, first[1:]))} if len(found) else {}
+        return self.byte_ids[data].tolist(), after.tolist(), before.tolist(), where
 
     def encode(self, words: list[bytes]) -> list[list[int]]:
-        tokens: list[int] = []
-        after: list[int] = []
-        before: list[int] = []
-        starts = []
-        for word in words:
-            first = len(tokens)
-            starts.append(first)
-            if word in self.ranks:
-                tokens.append(self.ranks[word])
-            else:
-                tokens.extend(map(self.byte_ids.__getitem__, word))
-            last = len(tokens)
-            before.append(-1)
-            before.extend(range(first, last - 1))
-            after.extend(range(first + 1, last))
-            after.append(-1)
-        where: dict[int, list[int]] = {}
-        rank_of, pairs = self.rank_of, self.pairs
-        for i, j in enumerate(after):
-            if j >= 0:
-                key = (tokens[i], tokens[j])
-                rank = pairs[key] if key in pairs else rank_of(*key)
-                if rank is not None:
-                    where.setdefault(rank, []).append(i)
+        split = [w for w in words if w not in self.ranks]
+        tokens, after, before, where = self.index(split)
         heap = list(where)
         heapify(heap)
+        pairs, shift, rank_of = self.pairs, self.shift, self.rank_of
         while heap:
             rank = heappop(heap)
             spots = where.pop(rank, None)
@@ -88,68 +87,88 @@ class MergeReplay:
             spots.sort()
             for k, i in enumerate(spots):
                 j = after[i]
-                if j < 0 or tokens[i] < 0 or rank_of(tokens[i], tokens[j]) != rank:
+                a = tokens[i]
+                if j < 0 or a < 0:
+                    continue
+                b = tokens[j]
+                now = pairs.get(a << shift | b)
+                if (rank_of(a, b) if now is None else now) != rank:
                     continue
                 tokens[i], tokens[j] = rank, -1
                 right = after[i] = after[j]
                 left, lower = before[i], False
                 if right >= 0:
                     before[right] = i
-                    new = rank_of(rank, tokens[right])
-                    if new is not None:
-                        if new not in where:
-                            where[new] = []
+                    b = tokens[right]
+                    new = pairs.get(rank << shift | b)
+                    if new is None:
+                        new = rank_of(rank, b)
+                    if new >= 0:
+                        if new in where:
+                            where[new].append(i)
+                        else:
+                            where[new] = [i]
                             heappush(heap, new)
-                        where[new].append(i)
                         lower = new <= rank
                 if left >= 0:
-                    new = rank_of(tokens[left], rank)
-                    if new is not None:
-                        if new not in where:
-                            where[new] = []
+                    a = tokens[left]
+                    new = pairs.get(a << shift | rank)
+                    if new is None:
+                        new = rank_of(a, rank)
+                    if new >= 0:
+                        if new in where:
+                            where[new].append(left)
+                        else:
+                            where[new] = [left]
                             heappush(heap, new)
-                        where[new].append(left)
-                        lower |= new <= rank
+                        lower = lower or new <= rank
                 if lower:
                     if rank not in where:
                         where[rank] = []
                         heappush(heap, rank)
                     where[rank].extend(spots[k + 1 :])
                     break
-        ends = [*starts[1:], len(tokens)]
-        return [[t for t in tokens[a:b] if t >= 0] for a, b in zip(starts, ends)]
+        out, at = [], 0
+        for w in words:
+            if w in self.ranks:
+                out.append([self.ranks[w]])
+            else:
+                out.append([t for t in tokens[at : at + len(w)] if t >= 0])
+                at += len(w)
+        return out
 
 
 class BatchEncoder:
-    """Encodes texts word by word; words not in the cache go through one replay per batch."""
+    """Encodes texts word by word; words not in the cache go through one replay per batch.
 
-    def __init__(self, ranks_path: str, pattern: str):
+    ``made`` turns the ids of a word into what is kept of it.
+    """
+
+    def __init__(self, ranks_path: str, pattern: str, made=list):
         self.replay = MergeReplay(load_ranks(ranks_path))
         self.split = regex.compile(pattern)
-        self.young: dict[str, list[int]] = {}
-        self.old: dict[str, list[int]] = {}
+        self.made = made
+        self.young: dict[str, object] = {}
+        self.old: dict[str, object] = {}
 
-    def encode(self, texts: list[str]) -> tuple[list[list[str]], dict[str, list[int]]]:
-        """The words of each text, and the ids of every word in them."""
+    def encode(self, texts: list[str]) -> tuple[list[list[str]], dict[str, object]]:
+        """The words of each text, and what is kept of every word in them."""
         words = [self.split.findall(t) for t in texts]
-        ids: dict[str, list[int]] = {}
-        missing = []
-        for w in set().union(*words):
-            got = self.young.get(w)
-            if got is None and (got := self.old.get(w)) is not None:
-                self.young[w] = got
-            if got is None:
-                missing.append(w)
-            else:
-                ids[w] = got
+        distinct = set().union(*words)
+        young, old = self.young, self.old
+        kept = {w: young[w] for w in distinct & young.keys()}
+        moved = {w: old[w] for w in (distinct - kept.keys()) & old.keys()}
+        young.update(moved)
+        kept.update(moved)
+        missing = list(distinct - kept.keys())
         raw = [w.encode() for w in missing]
-        for w, b, got in zip(missing, raw, self.replay.encode(raw)):
-            ids[w] = got
+        for w, b, ids in zip(missing, raw, self.replay.encode(raw)):
+            kept[w] = got = self.made(ids)
             if len(b) <= CACHE_WORD_BYTES:
-                self.young[w] = got
-        if len(self.young) > CACHE_WORDS:
-            self.young, self.old = {}, self.young
-        return words, ids
+                young[w] = got
+        if len(young) > CACHE_WORDS:
+            self.young, self.old = {}, young
+        return words, kept
 
 
 def chunks(texts: list[str | None], most: int = REPLAY_BYTES):
@@ -202,18 +221,17 @@ def digest_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFram
 
     def run(batches):
         encoder = BatchEncoder(ranks_path, pattern)
-        bytes_of = encoder.replay.bytes_of
+        token = encoder.replay.bytes_of.__getitem__
+        encoder.made = lambda ids: (len(ids), " ".join(map(str, ids)), b"".join(map(token, ids)))
         for b in batches:
             n_tokens, ids_sha, data_sha = [], [], []
             for texts in chunks(b.column("text").to_pylist()):
-                words, ids = encoder.encode(texts)
-                shown = {w: " ".join(map(str, i)) for w, i in ids.items()}
-                decoded = {w: b"".join(map(bytes_of.__getitem__, i)) for w, i in ids.items()}
-                sizes = {w: len(i) for w, i in ids.items()}
+                words, kept = encoder.encode(texts)
                 for ws in words:
-                    n_tokens.append(sum(map(sizes.__getitem__, ws)))
-                    ids_sha.append(hashlib.sha256(" ".join(map(shown.__getitem__, ws)).encode()).hexdigest())
-                    data_sha.append(hashlib.sha256(b"".join(map(decoded.__getitem__, ws))).hexdigest())
+                    sizes, shown, decoded = zip(*map(kept.__getitem__, ws)) if ws else ((), (), ())
+                    n_tokens.append(sum(sizes))
+                    ids_sha.append(hashlib.sha256(" ".join(shown).encode()).hexdigest())
+                    data_sha.append(hashlib.sha256(b"".join(decoded)).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(np.array(n_tokens, dtype=np.int64)), pa.array(ids_sha, pa.string()), pa.array(data_sha, pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
