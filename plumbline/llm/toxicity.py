@@ -3,9 +3,10 @@
 Terms of a text: its distinct lower-cased words and their stems, the first letters of longer words,
 each hashed to one of ``DIM`` features. The machine adds to the linear weights of the terms
 the inner products of their factors, so that two terms can mean together what neither means
-alone. It is fitted in one task on a bounded sample of labelled rows (SAMPLE_PER_CLASS of either
-label at most, those with the smallest hash) by minibatches with Adagrad; every text is then scored
-in whole. Terms in fewer than MIN_DOCUMENTS sampled texts have no weight.
+alone. It is fitted in one task on a bounded sample of labelled rows (SAMPLE_PER_CLASS of
+either label at most, those with the smallest hash) by minibatches with Adagrad; every text is then scored
+in whole. Terms in fewer than MIN_DOCUMENTS sampled texts, or without association with the label, have
+no weight.
 
 Defined results: null and empty texts get the score of the intercept alone; repeated rows get equal
 scores; a document labelled twice counts as toxic if one label says so; without labels of both
@@ -27,13 +28,18 @@ from plumbline.llm.common import fold, fresh
 TERM = re.compile(r"[^\W\d_]+")
 DIM = 1 << 20
 STEM_LETTERS = (4, 5)
-SAMPLE_PER_CLASS = 8000
+#: Clean and toxic rows of the sample.
+SAMPLE_PER_CLASS = (16_000, 8000)
 MIN_DOCUMENTS = 4
+#: Least chi-squared of a term with the label in the sample; the words of a text that say nothing stay out.
+MIN_ASSOCIATION = 16.0
 FACTORS = 4
-EPOCHS = 6
-BATCH = 128
-RATE = 0.15
-L2_LINEAR, L2_FACTOR = 2e-4, 2e-3
+#: Share of a text's terms that each step hides, so that a term learns to count without its usual company.
+HIDDEN = 0.3
+EPOCHS = 20
+BATCH = 64
+RATE = 0.2
+L2_LINEAR, L2_FACTOR = 1e-4, 1e-3
 HELD_OUT_FOLD = 0
 CACHE_TERMS = 300_000
 
@@ -73,8 +79,15 @@ class Machine:
         return float(self.bias + w[:, 0].sum() + 0.5 * (total @ total - (v * v).sum()))
 
 
+def association(toxic: np.ndarray, seen: np.ndarray, all_toxic: float, n: int) -> np.ndarray:
+    """Chi-squared of each term with the label, from its toxic texts and all its texts."""
+    expected = seen * all_toxic / n
+    spread = expected * (1 - all_toxic / n) * (1 - seen / n)
+    return (toxic - expected) ** 2 / np.maximum(spread, 1e-12)
+
+
 def fit(labels: np.ndarray, terms: list[np.ndarray], prior: float, seed: int = 7) -> Machine:
-    """``prior``: share of toxic labels among all; the sample's own share is taken out of the bias."""
+    """Fits the sample; ``prior``, the share of toxic labels among all, is the score where it can't be fitted."""
     n = len(labels)
     none = np.zeros((0, 1 + FACTORS))
     share = labels.mean() if n else 0.0
@@ -83,7 +96,8 @@ def fit(labels: np.ndarray, terms: list[np.ndarray], prior: float, seed: int = 7
         return Machine(float(np.log(odds / (1 - odds))), np.zeros(0, dtype=np.int64), none)
     flat = np.concatenate(terms)
     ids, inverse, seen = np.unique(flat, return_inverse=True, return_counts=True)
-    keep = seen >= MIN_DOCUMENTS
+    toxic = np.bincount(inverse, np.repeat(labels, [len(t) for t in terms]), len(ids))
+    keep = (seen >= MIN_DOCUMENTS) & (association(toxic, seen, labels.sum(), n) >= MIN_ASSOCIATION)
     renumber = np.cumsum(keep) - 1
     owner = np.repeat(np.arange(n), [len(t) for t in terms])[keep[inverse]]
     cols = renumber[inverse[keep[inverse]]]
@@ -100,6 +114,8 @@ def fit(labels: np.ndarray, terms: list[np.ndarray], prior: float, seed: int = 7
             sizes = ends[batch + 1] - ends[batch]
             c = np.concatenate([cols[ends[d] : ends[d + 1]] for d in batch])
             row = np.repeat(np.arange(len(batch)), sizes)
+            shown = rng.random(len(c)) >= HIDDEN
+            c, row = c[shown], row[shown]
             wc = w[c]
             sums = np.zeros((len(batch), width))
             squares = np.zeros(len(batch))
@@ -120,14 +136,13 @@ def fit(labels: np.ndarray, terms: list[np.ndarray], prior: float, seed: int = 7
             step = error.sum()
             bias2 += step**2
             bias -= RATE * step / np.sqrt(bias2)
-    bias += float(np.log(prior / (1 - prior)) - np.log(share / (1 - share)))
     return Machine(bias, ids[keep].astype(np.int64), w)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Machine:
     """Fits the machine on labelled rows outside the held-out fold.
 
-    Only the sample's identifiers, 2 x SAMPLE_PER_CLASS at most, are broadcast; only hashed terms
+    Only the sample's identifiers, whose number SAMPLE_PER_CLASS bounds, are broadcast; only hashed terms
     of the sample reach the fitting task, and the driver gets the kept weights.
     """
     known = (
@@ -144,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine:
     place = F.xxhash64("doc_id", F.lit(11))
     sample = None
     for kind in (0, 1):
-        part = known.filter(F.col("toxic") == kind).orderBy(place, "doc_id").limit(SAMPLE_PER_CLASS)
+        part = known.filter(F.col("toxic") == kind).orderBy(place, "doc_id").limit(SAMPLE_PER_CLASS[kind])
         sample = part if sample is None else sample.unionByName(part)
 
     def hashed(batches):
