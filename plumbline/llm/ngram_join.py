@@ -1,18 +1,18 @@
 """N-gram Jaccard self-join by chosen paths.
 
 Texts become sets of hashed SHINGLE-word n-grams; equal sets are one class from the start. Of each set
-a signature of BINS sampled tokens is kept (one-permutation minima). A run of the join splits all
-sets recursively: a node of the recursion chooses BRANCHES positions, and each set goes on with
+a signature of SAMPLES sampled tokens is kept (minima under as many hashes). A run of the join splits
+all sets recursively: a node of the recursion chooses BRANCHES positions, and each set goes on with
 its own tokens at them, so similar sets share paths. Buckets up to SMALL sets are compared by
-brute force; larger ones give off what is close to a leader and split on. Runs repeat until a pair
+brute force; larger ones give off what is near their leader and split on. Runs repeat until a pair
 at the threshold meets with probability TARGET_RECALL.
 
-Pairs whose signatures agree by LOOSE or more are verified on the exact sets. In a dense bucket
-members link to leaders, not to each other: a set within CLOSE of a leader leaves its bucket, as by
-the triangle inequality all its own partners are within LOOSE of that leader. Classes are the
-connected components of verified links. Where candidates fell into several classes, all members
-outside the largest are compared across classes until no candidate is left, so the classes are those of
-all pairs, with links in number near the sets.
+Sets whose signatures agree by LOOSE or more are candidates; a bucket passes on only a forest of
+them, not its pairs. In a large bucket a set within CLOSE of the leader is done, as by the triangle
+inequality all its own partners are within LOOSE of that leader, and so is a bucket without sets
+beyond LOOSE. The components of the candidates hold every link. Each component's exact sets then
+meet in pairs of blocks of BLOCK sets, which count the links of each set and pass on forests again; classes
+are the components of those. Pairs are never emitted; links are counted exactly.
 
 Defined results: texts without words link to nothing; texts of fewer words than SHINGLE have one
 n-gram; equal sets are one class whatever their identifiers; repeated rows are rows of their own; a
@@ -40,13 +40,13 @@ SHINGLE = 5
 THRESHOLD = 0.8
 TARGET_RECALL = 0.999
 BRANCHES = 2
-BINS = 128
-SMALL = 512
+SAMPLES = 64
+SMALL = 4096
+BLOCK = 4096
 LOOSE = 0.5
 CLOSE = 0.88
-#: Candidates that each member takes per class of others in the first round of the repair; four times as many in the next.
-REPAIR_TOP = 8
-REPAIR_BLOCK = 512
+#: N-grams hashed at a time.
+STEP = 1 << 13
 CACHE_WORDS = 200_000
 
 
@@ -92,21 +92,15 @@ def shingles_of(text: str | None, cache: dict[str, int]) -> np.ndarray:
     return np.unique(_mixed(total))
 
 
-_PROBES = np.stack([np.random.default_rng(b).permutation(BINS) for b in range(BINS)])
+_HASHES = np.random.default_rng(5).integers(1, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def signature_of(shingles: np.ndarray) -> np.ndarray:
-    """BINS 16-bit minima; an empty bin takes that of another one, in an order of its own."""
-    sig = np.full(BINS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    bins = (shingles & np.uint64(BINS - 1)).astype(np.int64)
-    np.minimum.at(sig, bins, shingles >> np.uint64(7))
-    filled = np.zeros(BINS, dtype=bool)
-    filled[bins] = True
-    if not filled.all():
-        empty = np.flatnonzero(~filled)
-        probes = _PROBES[empty]
-        sig[empty] = sig[probes[np.arange(len(empty)), filled[probes].argmax(axis=1)]]
-    return (_mixed(sig) & np.uint64(0xFFFF)).astype(np.uint16)
+    """SAMPLES 16-bit marks of the smallest n-gram under each hash."""
+    least = np.full(SAMPLES, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(shingles), STEP):
+        least = np.minimum(least, (shingles[at : at + STEP, None] * _HASHES).min(axis=0))
+    return (_mixed(least) & np.uint64(0xFFFF)).astype(np.uint16)
 
 
 def sketch(docs: DataFrame) -> DataFrame:
@@ -139,7 +133,7 @@ def representatives(sketches: DataFrame) -> DataFrame:
 
 def _positions(keys: np.ndarray, branch: int) -> np.ndarray:
     """The position that each node of the recursion chooses for a branch."""
-    return (_mixed(keys + np.uint64(branch * 0x9E37 + 1)) % np.uint64(BINS)).astype(np.int64)
+    return (_mixed(keys + np.uint64(branch * 0x9E37 + 1)) % np.uint64(SAMPLES)).astype(np.int64)
 
 
 def _paths(keys: np.ndarray, sigs: np.ndarray, branch: int) -> np.ndarray:
@@ -149,7 +143,7 @@ def _paths(keys: np.ndarray, sigs: np.ndarray, branch: int) -> np.ndarray:
 
 
 def _signatures(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(-1, BINS)
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(-1, SAMPLES)
 
 
 def descend(frontier: DataFrame) -> DataFrame:
@@ -209,7 +203,7 @@ def compare_small(members: DataFrame) -> DataFrame:
 
         def links():
             if len(held) > 1:
-                sigs = np.frombuffer(b"".join(s for _, _, s in held), dtype=np.uint16).reshape(-1, BINS)
+                sigs = np.frombuffer(b"".join(s for _, _, s in held), dtype=np.uint16).reshape(-1, SAMPLES)
                 for i, j in brute_force(sigs):
                     yield min(held[i][1], held[j][1]), max(held[i][1], held[j][1])
 
@@ -261,7 +255,8 @@ def candidates(sets: DataFrame, threshold: float = THRESHOLD, target: float = TA
             led = compare_leaders(large, sets)
             near = led.filter(F.col("near") >= LOOSE)
             links = links.unionByName(near.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")))
-            frontier = led.filter(F.col("near") < CLOSE)
+            mixed = led.filter(F.col("near") < LOOSE).select("path").distinct()
+            frontier = led.filter(F.col("near") < CLOSE).join(mixed, "path", "left_semi")
         else:
             frontier = None
         found = links if found is None else found.unionByName(links)
@@ -291,24 +286,6 @@ def exact_sets(docs: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(found, "shingles")
 
 
-def verify(links: DataFrame, shingles: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b, jaccard) of the links whose exact sets reach the threshold; a written table."""
-
-    def run(batches):
-        for b in batches:
-            values = []
-            for x, y in zip(b.column("x"), b.column("y")):
-                x, y = np.frombuffer(x.as_py(), dtype=np.uint64), np.frombuffer(y.as_py(), dtype=np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                values.append(both / (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(values, pa.float64())], names=["a", "b", "jaccard"])
-
-    x = shingles.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    y = shingles.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    tested = links.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, jaccard double")
-    return materialize(tested.filter(F.col("jaccard") >= threshold), "verified")
-
-
 def components(links: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each node's connected component; a written table.
 
@@ -333,75 +310,101 @@ def components(links: DataFrame) -> DataFrame:
     return materialize(edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots), "roots")
 
 
-def missing_links(loose: DataFrame, tight: DataFrame, tried: DataFrame, sets: DataFrame, top: int) -> DataFrame:
-    """Candidates between verified classes of one loose component, not tried yet: (a, b).
+def count_links(sets: list[np.ndarray], other: int, threshold: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Links of every set in two blocks, and a forest of them.
 
-    Members outside a component's largest class meet all its members in blocks; each takes, per
-    other class, the ``top`` nearest by signature.
+    The second block starts at ``other``; pairs count across the blocks, or within the one block if
+    ``other`` is 0. Intersections come from an inverted index of the sets' n-grams.
     """
-    named = loose.join(tight.withColumnRenamed("root", "own"), "node", "left").withColumn("own", F.coalesce("own", "node"))
-    sizes = named.groupBy("root", "own").count()
-    main = sizes.groupBy("root").agg(F.max_by("own", F.struct("count", "own")).alias("main"), F.count(F.lit(1)).alias("classes")).filter("classes > 1")
-    split = named.join(main, "root").join(sets.select("node", "sig"), "node").select("root", "own", "main", "node", "sig")
-    split = materialize(split, "split")
-    blocks = F.ceil(F.col("size") / REPAIR_BLOCK).cast("int")
-    counted = split.groupBy("root").agg(F.count(F.lit(1)).alias("size")).select("root", blocks.alias("blocks"))
-    rows = split.join(counted, "root")
-    others = rows.select("root", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), "own", "node", "sig", F.lit(False).alias("minor"))
-    minors = rows.filter("own <> main").select(
-        "root", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "own", "node", "sig", F.lit(True).alias("minor")
-    )
+    n = len(sets)
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    token = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    owner = np.repeat(np.arange(n), sizes)
+    by = np.argsort(token, kind="stable")
+    holders, begin = owner[by], np.searchsorted(token[by], np.arange(int(token.max()) + 2))
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    degree, parent, forest = np.zeros(n, dtype=np.int64), list(range(n)), []
 
-    def nearest(table: pa.Table) -> pa.Table:
-        minor = table.column("minor").to_numpy(zero_copy_only=False).astype(bool)
-        node, own, sigs = table.column("node").to_numpy(), table.column("own").to_numpy(), _signatures(table.column("sig"))
-        held = np.flatnonzero(~minor)
-        out: set[tuple[int, int]] = set()
-        for i in np.flatnonzero(minor).tolist():
-            near = agreement(sigs[held], sigs[i])
-            ok = (near >= LOOSE) & (own[held] != own[i])
-            at = held[ok][np.argsort(-near[ok], kind="stable")]
-            taken: dict[int, int] = {}
-            for j in at.tolist():
-                if taken.get(own[j], 0) < top:
-                    taken[own[j]] = taken.get(own[j], 0) + 1
-                    out.add((min(int(node[i]), int(node[j])), max(int(node[i]), int(node[j]))))
-        return pa.Table.from_batches([pair_batch(sorted(out))])
-
-    found = others.unionByName(minors).groupBy("root", "block").applyInArrow(nearest, "a long, b long").distinct()
-    return materialize(found.join(tried, ["a", "b"], "left_anti"), "missing")
-
-
-def link_sets(docs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """Verified links (a, b, jaccard) and the components (node, root) over the sets' nodes."""
-    tried = candidates(sets, threshold)
-    loose = components(tried)
-    shingles = exact_sets(docs, sets, tried)
-    links = verify(tried, shingles, threshold)
-    tight = components(links)
-    top = REPAIR_TOP
-    while True:
-        more = missing_links(loose, tight, tried, sets, top)
-        if not more.limit(1).count():
-            return links, tight
-        fresh_links = verify(more, shingles, threshold)
-        tried = materialize(tried.unionByName(more), "tried")
-        if fresh_links.limit(1).count():
-            links = materialize(links.unionByName(fresh_links), "links")
-            tight = components(links)
-        top *= 4
+    def root(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for i in range(other or n):
+        own = token[starts[i] : starts[i + 1]]
+        low, high = begin[own], begin[own + 1]
+        met = holders[np.repeat(low - np.concatenate([[0], np.cumsum(high - low)[:-1]]), high - low) + np.arange(int((high - low).sum()))]
+        both = np.bincount(met, minlength=n)
+        linked = both >= threshold * (sizes + sizes[i] - both) - 1e-9
+        linked[: other or i + 1] = False
+        for j in np.flatnonzero(linked).tolist():
+            degree[i] += 1
+            degree[j] += 1
+            a, b = root(i), root(j)
+            if a != b:
+                parent[b] = a
+                forest.append((i, j))
+    return degree, forest
+
+
+def exact_links(loose: DataFrame, shingles: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b, n): verified links a < b of each component's forests, and with b null the links n of a.
+
+    Every set goes to the pairs of blocks that its block is in: one for components up to BLOCK sets.
+    """
+    sizes = loose.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    placed = loose.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, "block").alias("x"), F.greatest(k, "block").alias("y")))
+    rows = placed.join(shingles, "node").select("root", "block", "node", "shingles", F.inline(pairs))
+
+    def run(batches):
+        held: list[tuple] = []
+
+        def compared():
+            if len(held) < 2:
+                return
+            other = 0
+            if held[0][1] != held[0][2]:
+                other = sum(r[3] == r[1] for r in held)
+                if other in (0, len(held)):
+                    return
+            degree, forest = count_links([np.frombuffer(r[5], dtype=np.uint64) for r in held], other, threshold)
+            for i, j in forest:
+                yield min(held[i][4], held[j][4]), max(held[i][4], held[j][4]), 0
+            for i in np.flatnonzero(degree).tolist():
+                yield held[i][4], None, int(degree[i])
+
+        def batch(found):
+            a, b, n = zip(*found) if found else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (a, b, n)], names=["a", "b", "n"])
+
+        for b in batches:
+            found: list[tuple] = []
+            for row in zip(*(b.column(c).to_pylist() for c in ("root", "x", "y", "block", "node", "shingles"))):
+                if held and held[0][:3] != row[:3]:
+                    found.extend(compared())
+                    held = []
+                held.append(row)
+            yield batch(found)
+        yield batch(list(compared()))
+
+    ordered = rows.repartition("root", "x", "y").sortWithinPartitions("root", "x", "y", "block", "node")
+    return materialize(ordered.select("root", "x", "y", "block", "node", "shingles").mapInArrow(run, "a long, b long, n long"), "links")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """A row per row of ``docs``: doc_id, text_key, class_id, n_links, class_size.
 
-    ``class_id`` is the smallest identifier of the class; ``n_links`` counts the verified links of
-    the row's set: every set of a class with several sets has one or more.
+    ``class_id`` is the smallest identifier of the class; ``n_links`` counts the other sets
+    that the row's own set is linked to.
     """
     sketches = sketch(docs)
     sets = representatives(sketches)
-    links, tight = link_sets(docs, sets, threshold)
-    degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    tried = candidates(sets, threshold)
+    links = exact_links(components(tried), exact_sets(docs, sets, tried), threshold)
+    tight = components(links.filter("b is not null"))
+    degree = links.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
     grouped = sets.select("node", "set_key", "rep_doc").join(tight, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = F.min(F.struct(F.col("rep_doc").isNull(), "rep_doc"))["rep_doc"]
     heads = grouped.groupBy("root").agg(first.alias("class_id"))
