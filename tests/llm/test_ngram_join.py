@@ -7,13 +7,15 @@ import pytest
 from plumbline.llm import ngram_join
 
 
+def grams(text):
+    words = (text or "").lower().split()
+    k = min(5, len(words))
+    return frozenset(tuple(words[i : i + k]) for i in range(len(words) - k + 1)) if words else frozenset()
+
+
 def brute(rows):
     """Class of each row: the smallest identifier in its component of pairs at the threshold."""
-    sets = []
-    for _, t in rows:
-        words = (t or "").lower().split()
-        k = min(5, len(words))
-        sets.append(frozenset(tuple(words[i : i + k]) for i in range(len(words) - k + 1)) if words else frozenset())
+    sets = [grams(t) for _, t in rows]
     parent = list(range(len(rows)))
 
     def root(i):
@@ -58,23 +60,19 @@ def family_rows():
     return rows
 
 
-@pytest.mark.parametrize("small,block", [(512, 512), (20, 16)])
+@pytest.mark.parametrize("small,block", [(4096, 4096), (20, 16)])
 def test_classes(spark, monkeypatch, small, block):
     monkeypatch.setattr(ngram_join, "SMALL", small)
-    monkeypatch.setattr(ngram_join, "REPAIR_BLOCK", block)
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
     rows = family_rows()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = ngram_join.classes(docs).collect()
     assert sorted((r["doc_id"], r["class_id"]) for r in got) == brute(rows)
-    sizes = {}
-    for r in got:
-        sizes[r["class_id"]] = sizes.get(r["class_id"], 0) + 1
-    assert all(r["n_links"] == 0 for r in got if sizes[r["class_id"]] == 1)
-    texts = dict(rows)
-    distinct = {}
+    sets = {d: grams(t) for d, t in rows}
+    distinct = set(sets.values())
     for r in got:
-        distinct.setdefault(r["class_id"], set()).add(" ".join((texts[r["doc_id"]] or "").lower().split()))
-    assert all(r["n_links"] > 0 for r in got if len(distinct[r["class_id"]]) > 1)
+        own = sets[r["doc_id"]]
+        assert r["n_links"] == sum(o != own and 5 * len(own & o) >= 4 * len(own | o) for o in distinct if own and o)
 
 
 def test_keep_one(spark):
