@@ -128,7 +128,7 @@ def fit(labels: np.ndarray, terms: list[np.ndarray], prior: float, seed: int = 7
             g[:, 0] = error[row]
             g[:, 1:] = error[row, None] * (sums[row, 1:] - wc[:, 1:])
             touched, where = np.unique(c, return_inverse=True)
-            total = np.stack([np.bincount(where, g[:, k], len(touched)) for k in range(width)], axis=1)
+            total = np.stack([np.bincount(where, g[:, k], len(touched)) for k in range(width)], axis=1).astype(float)
             total[:, 0] += L2_LINEAR * w[touched, 0]
             total[:, 1:] += L2_FACTOR * w[touched, 1:]
             grad2[touched] += total**2
