@@ -1,36 +1,14 @@
-"""Shared helpers: durable intermediates, hold-out folds and a global row order."""
+"""Shared helpers: hold-out folds, fresh names and a global row order."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_OWN_DIR: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; an own one only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not _OWN_DIR:
-        _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="plumbline-shared-"))
-    return _OWN_DIR[0]
-
+from plumbline.functions.durable import cut as materialize
+from plumbline.functions.durable import shared_dir
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` as a Parquet table in the shared folder and reads it back.
-
-    This cuts lineage durably: a lost executor costs no upstream stage, and every later reader
-    sees the same rows.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/plumbline/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["fold", "fresh", "global_index", "lower_ascii", "materialize", "shared_dir"]
 
 
 def fold(doc_id: Column) -> Column:

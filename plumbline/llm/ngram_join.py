@@ -47,7 +47,7 @@ LOOSE = 0.5
 CLOSE = 0.88
 #: N-grams hashed at a time.
 STEP = 1 << 13
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 
 
 def runs_needed(threshold: float, branches: int, target: float) -> int:

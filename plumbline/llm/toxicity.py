@@ -41,7 +41,7 @@ BATCH = 64
 RATE = 0.2
 L2_LINEAR, L2_FACTOR = 1e-4, 1e-3
 HELD_OUT_FOLD = 0
-CACHE_TERMS = 300_000
+CACHE_TERMS = 100_000
 
 
 def terms_of(text: str | None, cache: dict[str, tuple[int, ...]]) -> np.ndarray:
@@ -94,26 +94,30 @@ def fit(labels: np.ndarray, terms: list[np.ndarray], prior: float, seed: int = 7
     if not 0 < share < 1 or not 0 < prior < 1:
         odds = np.clip(prior, 1e-6, 1 - 1e-6)
         return Machine(float(np.log(odds / (1 - odds))), np.zeros(0, dtype=np.int64), none)
-    flat = np.concatenate(terms)
-    ids, inverse, seen = np.unique(flat, return_inverse=True, return_counts=True)
-    toxic = np.bincount(inverse, np.repeat(labels, [len(t) for t in terms]), len(ids))
+    # Counts per feature first: only the terms that stay are laid out for the steps below.
+    seen = np.zeros(DIM)
+    toxic = np.zeros(DIM)
+    for t, label in zip(terms, labels):
+        seen[t] += 1
+        toxic[t] += label
     keep = (seen >= MIN_DOCUMENTS) & (association(toxic, seen, labels.sum(), n) >= MIN_ASSOCIATION)
+    ids = np.flatnonzero(keep)
     renumber = np.cumsum(keep) - 1
-    owner = np.repeat(np.arange(n), [len(t) for t in terms])[keep[inverse]]
-    cols = renumber[inverse[keep[inverse]]]
-    ends = np.searchsorted(owner, np.arange(n + 1))
+    kept = [renumber[t[keep[t]]] for t in terms]
+    sizes = np.array([len(t) for t in kept])
+    cols, ends = np.concatenate(kept), np.concatenate([[0], np.cumsum(sizes)])
     rng = np.random.default_rng(seed)
     width = 1 + FACTORS
-    w = np.zeros((int(keep.sum()), width))
+    w = np.zeros((len(ids), width))
     w[:, 1:] = rng.normal(0, 0.01, (len(w), FACTORS))
     bias, grad2, bias2 = 0.0, np.full_like(w, 1e-2), 1e-2
     for epoch in range(EPOCHS):
         order = rng.permutation(n)
         for at in range(0, n, BATCH):
             batch = order[at : at + BATCH]
-            sizes = ends[batch + 1] - ends[batch]
+            counts = ends[batch + 1] - ends[batch]
             c = np.concatenate([cols[ends[d] : ends[d + 1]] for d in batch])
-            row = np.repeat(np.arange(len(batch)), sizes)
+            row = np.repeat(np.arange(len(batch)), counts)
             shown = rng.random(len(c)) >= HIDDEN
             c, row = c[shown], row[shown]
             wc = w[c]
@@ -136,7 +140,7 @@ def fit(labels: np.ndarray, terms: list[np.ndarray], prior: float, seed: int = 7
             step = error.sum()
             bias2 += step**2
             bias -= RATE * step / np.sqrt(bias2)
-    return Machine(bias, ids[keep].astype(np.int64), w)
+    return Machine(bias, ids, w)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Machine:
@@ -172,9 +176,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine:
     rows = rows.mapInArrow(hashed, "doc_id long, toxic int, terms binary")
 
     def fitted(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc_id", "ascending"), ("terms", "ascending")])
-        terms = [np.frombuffer(t, dtype=np.int32) for t in table.column("terms").to_pylist()]
-        model = fit(table.column("toxic").to_numpy().astype(float), terms, prior)
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("doc_id", "terms", "toxic"))))
+        del table
+        model = fit(np.array([r[2] for r in rows], dtype=float), [np.frombuffer(r[1], dtype=np.int32) for r in rows], prior)
+        del rows
+        pa.default_memory_pool().release_unused()
         weights = model.weights.astype(np.float32)
         return pa.table({"bias": [model.bias], "ids": [model.ids.astype(np.int32).tobytes()], "weights": [weights.tobytes()]})
 
