@@ -21,8 +21,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:
-    """Cuts the lineage of ``df``: writes it to the shared folder and reads it back."""
+    """Cuts the lineage of ``df``: writes it as Parquet to the shared folder and reads it back.
+
+    A lost executor then costs no stage above, and every later reader sees the same rows. The table
+    stays until the folder is cleared, as the result may be read at any time.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/plumbline/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -65,6 +65,12 @@ def listed(ruled: DataFrame) -> DataFrame:
     return ruled.withColumn("place", F.row_number().over(Window.partitionBy("model_urn").orderBy(*listing_order())))
 
 
+def first_findings(ruled: DataFrame, most: int = 3) -> DataFrame:
+    """The findings of each model that come first in its differs' order, for a closer look."""
+    order = Window.partitionBy("model_urn").orderBy("family_ord", "subject_urn", "kind_ord", "ord", F.coalesce("subject_column", F.lit("")))
+    return ruled.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= most)
+
+
 def verdicts(models: DataFrame, ruled: DataFrame, fail_on_warn: bool = False) -> DataFrame:
     """A row per model: severity, blocking, warning, findings, warning_kinds, exit_code.
 

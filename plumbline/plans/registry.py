@@ -19,13 +19,12 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
-    """Registers the function under its name, with its SQL."""
+def query(sql: str, name: str | None = None):
+    """Registers the function under its own or another name, with its SQL."""
 
     def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
+        QUERIES[name or f.__name__] = f
+        ORACLES[name or f.__name__] = sql
         return f
 
     return register
@@ -434,19 +433,14 @@ def attribution(spark, sf_dir):
     return ruled.select("model_urn", "kind", "subject_urn", "subject_column", "unattributed", "root_urn", "path_depth", path.alias("path"), F.array_join("path_owners", ",").alias("owners"))
 
 
-@query(_STATS + f"SELECT '{slices.MODEL}' AS model_urn, 'Proceed with caution: ' || (SELECT replace(lower(kind), '_', ' ') || ' on ' || coalesce(subject_column, subject_urn) FROM found ORDER BY kind, subject_urn, coalesce(subject_column, '') LIMIT 1) || ' and ' || CAST((SELECT count(*) - 1 FROM found) AS VARCHAR) || ' other warning(s).' AS explanation")
-def verdict(spark, sf_dir):  # noqa: F811
+@query(_STATS + f"SELECT '{slices.MODEL}' AS model_urn, 'Proceed with caution: ' || (SELECT replace(lower(kind), '_', ' ') || ' on ' || coalesce(subject_column, subject_urn) FROM found ORDER BY kind, subject_urn, coalesce(subject_column, '') LIMIT 1) || ' and ' || CAST((SELECT count(*) - 1 FROM found) AS VARCHAR) || ' other warning(s).' AS explanation", name="verdict")
+def price_verdict(spark, sf_dir):
     """The flagship: profile, diff, rule and verdict on the nations' order prices, in a sentence."""
-    from plumbline.operators import verdict as ruling
-
     baseline, current = slices.order_snapshots(spark, sf_dir)
-    ruled = ruling.rule(diff.diff_statistics(baseline, current), Policy(), slices.NOW)
+    ruled = verdict.rule(diff.diff_statistics(baseline, current), Policy(), slices.NOW)
     models = spark.createDataFrame([(slices.MODEL,)], "model_urn string")
-    return ruling.explain(ruling.verdicts(models, ruled), ruled)
-
+    return verdict.explain(verdict.verdicts(models, ruled), ruled)
 
-verdict_query = QUERIES["verdict"]
-from plumbline.operators import verdict  # noqa: E402  the module again, under its own name
 
 # -- lineage ------------------------------------------------------------------
 
@@ -672,3 +666,40 @@ def stream_drift(spark, sf_dir):
     )
     found = watch.drift(watch.windowed_profile(events, "ts", "event_type", "value"), base, Thresholds(row_count_change_pct=20.0))
     return found.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "asset", "kind", F.round("magnitude", 2).alias("magnitude"))
+
+
+# -- the whole gate -----------------------------------------------------------------
+
+_F, _C = "urn:li:mlModel:(urn:li:dataPlatform:sagemaker,fraud_detector_v3,PROD)", "urn:li:mlModel:(urn:li:dataPlatform:sagemaker,churn_predictor_v1,PROD)"
+
+
+@query(
+    f"""SELECT * FROM (VALUES
+      ('none', '{_F}', 'CLEAR', 0, 0, 6, 3, 14, 3, 0), ('none', '{_C}', 'CLEAR', 0, 0, 4, 2, 9, 2, 0),
+      ('drop', '{_F}', 'BLOCK', 1, 0, 6, 2, 13, 3, 1), ('drop', '{_C}', 'BLOCK', 1, 0, 4, 1, 8, 2, 1),
+      ('drift', '{_F}', 'WARN', 0, 3, 6, 3, 14, 3, 0), ('drift', '{_C}', 'WARN', 0, 3, 4, 2, 9, 2, 0),
+      ('governance', '{_F}', 'BLOCK', 1, 1, 6, 3, 14, 3, 1), ('governance', '{_C}', 'BLOCK', 1, 1, 4, 2, 9, 2, 1)
+    ) t(mutation, model_urn, status, blocking, warning, assets_checked, columns_compared, columns_total, assets_profiled, exit_code)"""
+)
+def demo_gate(spark, sf_dir):
+    """A recorded graph through the whole gate, under four changes."""
+    from plumbline.plans import demo
+
+    return demo.verdict_table(spark)
+
+
+@query(_STATS + f"SELECT urn, '{slices.MODEL}' AS model_urn, path, round(CAST(mean AS DOUBLE), 2) AS mean, n AS row_count FROM kept WHERE side = 'old'")
+def baseline_round_trip(spark, sf_dir):
+    """An approved baseline written, written again for one model, and read back."""
+    import uuid
+
+    from plumbline.functions.durable import shared_dir
+    from plumbline.sources import sinks
+
+    path = f"{shared_dir(spark)}/plumbline/baseline-{uuid.uuid4().hex}"
+    old, new = slices.order_snapshots(spark, sf_dir)
+    sinks.write_baseline(new, path)
+    sinks.write_baseline(old, path)
+    read = sinks.read_baseline(spark, path)
+    rows = read.profiles.join(read.assets.select("model_urn", "urn", "row_count"), ["model_urn", "urn"])
+    return rows.select("urn", "model_urn", "path", F.round(X.finite(F.col("mean")), 2).alias("mean"), "row_count")

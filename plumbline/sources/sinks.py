@@ -120,3 +120,11 @@ def write_back(verdicts: DataFrame, ruled: DataFrame, path: str, now: datetime,
     if failures:
         raise WriteError(written, failures)
     return written
+
+
+def patched(old: DataFrame, changes: DataFrame) -> DataFrame:
+    """Property maps (model_urn, properties) with changes laid over them; names that no change has stay."""
+    new = changes.select("model_urn", F.col("properties").alias("changed"))
+    none = F.create_map().cast("map<string,string>")
+    kept = F.map_filter(F.coalesce("properties", none), lambda k, _: ~F.map_contains_key(F.coalesce("changed", none), k))
+    return old.join(new, "model_urn", "full").select("model_urn", F.map_concat(kept, F.coalesce("changed", none)).alias("properties"))
