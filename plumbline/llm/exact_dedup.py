@@ -36,9 +36,9 @@ def _slot(digest: Column, bits: int) -> Column:
     return F.pmod(F.xxhash64(digest), F.lit(bits))
 
 
-def hit_filter(digests: DataFrame, count: int) -> tuple[DataFrame, int]:
-    """Bitmap filter, a row per 32768 bits, over a table with the column ``digest``."""
-    bits = min(FILTER_BITS, max(BUCKET_BITS, 1 << math.ceil(math.log2(16 * count + 1))))
+def hit_filter(digests: DataFrame, count: int, bits_each: int = 16) -> tuple[DataFrame, int]:
+    """Bitmap filter, a row per 32768 bits, over a table with the column ``digest``; about 1 in ``bits_each`` others pass."""
+    bits = min(FILTER_BITS, max(BUCKET_BITS, 1 << math.ceil(math.log2(bits_each * count + 1))))
     slot = _slot(F.col("digest"), bits)
     table = (
         digests.select(slot.alias("slot"))

@@ -264,26 +264,27 @@ def candidates(sets: DataFrame, threshold: float = THRESHOLD, target: float = TA
             return materialize(found.distinct(), "candidates")
 
 
-def exact_sets(docs: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, shingles) of the sets in ``links``, from a second scan of their texts; a written table.
+def exact_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (set_key, rep_doc and more) with the column shingles, from a second scan of the texts.
 
-    Other texts are turned away by a filter on the identifier before any shuffle.
+    Other texts are turned away by a filter on the identifier before any shuffle. A set whose
+    representative is there twice comes twice.
     """
-    nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
-    needed = materialize(sets.select("node", "set_key", "rep_doc").join(nodes, "node"), "needed")
-    table, bits = hit_filter(needed.select(F.coalesce("rep_doc", F.lit(-1)).alias("digest")), needed.count())
+    table, bits = hit_filter(wanted.select(F.coalesce("rep_doc", F.lit(-1)).alias("digest")), wanted.count(), 64)
 
     def run(batches):
         cache: dict = {}
         for b in batches:
             sets = [shingles_of(x.as_py(), cache) for x in b.column("text")]
             keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "shingles"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column("digest"), pa.array(keys, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "key", "shingles"]
+            )
 
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("digest"), "text")
-    texts = flagged(texts, "digest", table, bits, "hit").filter("hit").select("text").mapInArrow(run, "key binary, shingles binary")
-    found = texts.join(needed.select("node", "set_key"), F.col("key") == F.col("set_key")).groupBy("node").agg(F.min("shingles").alias("shingles"))
-    return materialize(found, "shingles")
+    texts = flagged(texts, "digest", table, bits, "hit").filter("hit").select("digest", "text").mapInArrow(run, "id long, key binary, shingles binary")
+    same = (F.col("key") == F.col("set_key")) & (F.col("id") == F.coalesce("rep_doc", F.lit(-1)))
+    return texts.join(wanted, same).drop("id", "key")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -348,15 +349,17 @@ def count_links(sets: list[np.ndarray], other: int, threshold: float) -> tuple[n
     return degree, forest
 
 
-def exact_links(loose: DataFrame, shingles: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def exact_links(docs: DataFrame, sets: DataFrame, loose: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b, n): verified links a < b of each component's forests, and with b null the links n of a.
 
-    Every set goes to the pairs of blocks that its block is in: one for components up to BLOCK sets.
+    ``loose``: (node, root) of the candidates' components. Every set goes to the pairs of blocks that
+    its block is in: one for components up to BLOCK sets.
     """
     sizes = loose.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     placed = loose.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    wanted = materialize(placed.join(sets.select("node", "set_key", "rep_doc"), "node"), "wanted")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, "block").alias("x"), F.greatest(k, "block").alias("y")))
-    rows = placed.join(shingles, "node").select("root", "block", "node", "shingles", F.inline(pairs))
+    rows = exact_sets(docs, wanted).select("root", "block", "node", "shingles", F.inline(pairs))
 
     def run(batches):
         held: list[tuple] = []
@@ -385,7 +388,8 @@ def exact_links(loose: DataFrame, shingles: DataFrame, threshold: float = THRESH
                 if held and held[0][:3] != row[:3]:
                     found.extend(compared())
                     held = []
-                held.append(row)
+                if not held or held[-1][4] != row[4]:
+                    held.append(row)
             yield batch(found)
         yield batch(list(compared()))
 
@@ -402,7 +406,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     sketches = sketch(docs)
     sets = representatives(sketches)
     tried = candidates(sets, threshold)
-    links = exact_links(components(tried), exact_sets(docs, sets, tried), threshold)
+    links = exact_links(docs, sets, components(tried), threshold)
     tight = components(links.filter("b is not null"))
     degree = links.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
     grouped = sets.select("node", "set_key", "rep_doc").join(tight, "node", "left").withColumn("root", F.coalesce("root", "node"))
