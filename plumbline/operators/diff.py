@@ -29,53 +29,68 @@ def _prefixed(df: DataFrame, prefix: str, keys: list[str]) -> DataFrame:
     return df.select(*keys, *(F.col(c).alias(prefix + c) for c in df.columns if c not in keys))
 
 
-def _with_features(df: DataFrame, current: Snapshot, column: str | None) -> DataFrame:
-    """Adds the features that the subject feeds, by the current snapshot, as the sorted list ``feeds``.
-
-    Where an asset has column features, a column without an entry feeds none; where it has none
-    at all, the asset's own features count. Asset-level findings use the asset's own.
-    """
-    own = current.assets.select(*_KEYS, F.array_sort("feeds_features").alias("asset_feeds"))
-    df = df.join(own, _KEYS, "left")
-    if column is None:
-        return df.withColumn("feeds", F.coalesce("asset_feeds", F.array().cast("array<string>"))).withColumn("column_level", F.lit(False)).drop("asset_feeds")
-    mapped = current.col_features.select(*_KEYS).distinct().withColumn("column_level", F.lit(True))
-    features = current.col_features.select(*_KEYS, F.col("path").alias(column), F.array_sort("features").alias("column_feeds"))
-    df = df.join(mapped, _KEYS, "left").join(features, [*_KEYS, column], "left")
-    level = F.coalesce("column_level", F.lit(False))
-    feeds = F.when(F.col(column).isNotNull() & level, F.col("column_feeds")).otherwise(F.col("asset_feeds"))
-    return df.withColumn("feeds", F.coalesce(feeds, F.array().cast("array<string>"))).withColumn("column_level", level).drop("asset_feeds", "column_feeds")
-
-
-def feeds_clause() -> Column:
-    """Which features the subject feeds, for a summary."""
-    count = F.size("feeds")
-    return (
-        F.when(count == 0, "")
-        .when(count == 1, F.concat(F.lit(", which feeds "), X.finding_name(F.element_at("feeds", 1))))
-        .otherwise(F.concat(F.lit(", which feeds "), count.cast("string"), F.lit(" live features")))
-    )
+#: Where a summary names the features that its subject feeds; the last step fills it in.
+FEEDS = "\x00"
 
 
 def _finding(df: DataFrame, kind: str, summary: Column, evidence: dict[str, Column], family: int, kind_ord: int, column: str | None = "path", order: Column | None = None) -> DataFrame:
+    """Rows of one kind, without what the subjects feed."""
     entries = [x for name, value in evidence.items() for x in (F.lit(name), value.cast("string"))]
-    common = [F.lit("on_feature_path"), (F.size("feeds") > 0).cast("string"), F.lit("features"), F.nullif(F.array_join("feeds", ", "), F.lit(""))]
     return df.select(
         "model_urn",
         F.lit(kind).alias("kind"),
         F.col("urn").alias("subject_urn"),
         (F.col(column) if column else F.lit(None).cast("string")).alias("subject_column"),
-        F.array_min("feeds").alias("affected_feature_urn"),
-        (F.size("feeds") > 0).alias("on_feature_path"),
-        F.nullif(F.array_join("feeds", ","), F.lit("")).alias("features"),
         summary.alias("summary"),
-        F.create_map(*common, *entries).alias("evidence"),
+        F.create_map(*entries).alias("evidence"),
         F.lit(family).alias("family_ord"),
         (order if order is not None else F.lit(0)).cast("int").alias("ord"),
         F.lit(kind_ord).alias("kind_ord"),
     )
 
 
+def finished(found: DataFrame, current: Snapshot) -> DataFrame:
+    """Findings with the features that their subjects feed, by the current snapshot: FINDINGS.
+
+    Where an asset has column features, a column without an entry feeds none; where it has none at
+    all, the asset's own features count. Findings on assets use the asset's own. One set of joins
+    serves all kinds.
+    """
+    keys = ["model_urn", "subject_urn"]
+    named = lambda df, *more: df.select("model_urn", F.col("urn").alias("subject_urn"), *more)
+    own = named(current.assets, F.array_sort("feeds_features").alias("asset_feeds"))
+    mapped = named(current.col_features).distinct().withColumn("column_level", F.lit(True))
+    of_column = named(current.col_features, F.col("path").alias("subject_column"), F.array_sort("features").alias("column_feeds"))
+    df = found.join(own, keys, "left").join(mapped, keys, "left").join(of_column, [*keys, "subject_column"], "left")
+    level = F.coalesce("column_level", F.lit(False))
+    feeds = F.when(F.col("subject_column").isNotNull() & level, F.col("column_feeds")).otherwise(F.col("asset_feeds"))
+    df = df.withColumn("feeds", F.coalesce(feeds, F.array().cast("array<string>")))
+    count = F.size("feeds")
+    clause = (
+        F.when(count == 0, "")
+        .when(count == 1, F.concat(F.lit(", which feeds "), X.finding_name(F.element_at("feeds", 1))))
+        .otherwise(F.concat(F.lit(", which feeds "), count.cast("string"), F.lit(" live features")))
+    )
+    shared = F.create_map(F.lit("on_feature_path"), (count > 0).cast("string"), F.lit("features"), F.nullif(F.array_join("feeds", ", "), F.lit("")))
+    lineage = F.create_map(F.lit("column_level_lineage"), level.cast("string"))
+    evidence = F.when(F.col("family_ord") == 0, F.map_concat(shared, lineage, "evidence")).otherwise(F.map_concat(shared, "evidence"))
+    out = df.select(
+        "model_urn",
+        "kind",
+        "subject_urn",
+        "subject_column",
+        F.array_min("feeds").alias("affected_feature_urn"),
+        (count > 0).alias("on_feature_path"),
+        F.nullif(F.array_join("feeds", ","), F.lit("")).alias("features"),
+        F.replace("summary", F.lit(FEEDS), clause).alias("summary"),
+        evidence.alias("evidence"),
+        "family_ord",
+        "ord",
+        "kind_ord",
+    )
+    return out.select(*FINDINGS)
+
+
 def union(findings: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, findings)
 
@@ -93,71 +108,71 @@ def column_pairs(baseline: Snapshot, current: Snapshot) -> DataFrame:
     return _prefixed(baseline.columns, "old_", _COLUMN).join(_prefixed(current.columns, "new_", _COLUMN), _COLUMN)
 
 
-def dropped_columns(baseline: Snapshot, current: Snapshot) -> DataFrame:
+def _dropped_columns(baseline: Snapshot, current: Snapshot) -> DataFrame:
     gone = baseline.columns.join(current.assets.select(*_KEYS), _KEYS, "left_semi").join(current.columns.select(*_COLUMN), _COLUMN, "left_anti")
-    gone = _with_features(gone, current, "path")
-    text = F.concat(F.lit("Column `"), "path", F.lit("` was dropped from "), X.finding_name(F.col("urn")), feeds_clause())
-    evidence = {"column": F.col("path"), "column_level_lineage": F.col("column_level"), "data_type": F.col("data_type"), "native_type": F.col("native_type")}
+    gone = gone
+    text = F.concat(F.lit("Column `"), "path", F.lit("` was dropped from "), X.finding_name(F.col("urn")), F.lit(FEEDS))
+    evidence = {"column": F.col("path"), "data_type": F.col("data_type"), "native_type": F.col("native_type")}
     return _finding(gone, "COLUMN_DROPPED", text, evidence, 0, 0, order=F.col("ord"))
 
 
-def added_columns(baseline: Snapshot, current: Snapshot) -> DataFrame:
+def _added_columns(baseline: Snapshot, current: Snapshot) -> DataFrame:
     new = current.columns.join(baseline.assets.select(*_KEYS), _KEYS, "left_semi").join(baseline.columns.select(*_COLUMN), _COLUMN, "left_anti")
-    new = _with_features(new, current, "path")
+    new = new
     text = F.concat(F.lit("Column `"), "path", F.lit("` was added to "), X.finding_name(F.col("urn")))
-    evidence = {"column": F.col("path"), "column_level_lineage": F.col("column_level"), "data_type": F.col("data_type"), "native_type": F.col("native_type")}
+    evidence = {"column": F.col("path"), "data_type": F.col("data_type"), "native_type": F.col("native_type")}
     return _finding(new, "COLUMN_ADDED", text, evidence, 0, 1, order=F.col("ord"))
 
 
-def changed_types(baseline: Snapshot, current: Snapshot) -> DataFrame:
+def _changed_types(baseline: Snapshot, current: Snapshot) -> DataFrame:
     pairs = column_pairs(baseline, current)
     fits = X.lossless_change(*(F.col(c) for c in ("old_data_type", "old_native_type", "new_data_type", "new_native_type")))
     respelled = ~F.col("old_data_type").eqNullSafe(F.col("new_data_type")) | ~F.col("old_native_type").eqNullSafe(F.col("new_native_type"))
-    changed = _with_features(pairs.filter(respelled & ~fits), current, "path")
+    changed = pairs.filter(respelled & ~fits)
     shown = lambda side: F.coalesce(F.nullif(F.col(f"{side}_native_type"), F.lit("")), F.col(f"{side}_data_type"))
     text = F.concat(
         F.lit("Column `"), "path", F.lit("` on "), X.finding_name(F.col("urn")), F.lit(" changed type "), shown("old"), F.lit(" → "), shown("new"),
-        F.lit(", which is not a lossless widening"), feeds_clause(),
+        F.lit(", which is not a lossless widening"), F.lit(FEEDS),
     )
-    evidence = {"column": F.col("path"), "column_level_lineage": F.col("column_level")}
+    evidence = {"column": F.col("path")}
     evidence |= {c: F.col(c) for c in ("old_data_type", "new_data_type", "old_native_type", "new_native_type")} | {"compatible": F.lit(False)}
     return _finding(changed, "COLUMN_TYPE_CHANGED", text, evidence, 0, 2, order=F.col("new_ord"))
 
 
-def relaxed_nullability(baseline: Snapshot, current: Snapshot) -> DataFrame:
+def _relaxed_nullability(baseline: Snapshot, current: Snapshot) -> DataFrame:
     pairs = column_pairs(baseline, current).filter(F.col("new_nullable") & ~F.col("old_nullable"))
-    relaxed = _with_features(pairs, current, "path")
+    relaxed = pairs
     text = F.concat(
         F.lit("Column `"), "path", F.lit("` on "), X.finding_name(F.col("urn")),
-        F.lit(" is now nullable; nulls will reach anything computing an average over it"), feeds_clause(),
+        F.lit(" is now nullable; nulls will reach anything computing an average over it"), F.lit(FEEDS),
     )
-    evidence = {"column": F.col("path"), "column_level_lineage": F.col("column_level"), "old_nullable": F.lit(False), "new_nullable": F.lit(True)}
+    evidence = {"column": F.col("path"), "old_nullable": F.lit(False), "new_nullable": F.lit(True)}
     return _finding(relaxed, "COLUMN_NULLABILITY_RELAXED", text, evidence, 0, 2, order=F.col("new_ord"))
 
 
-def diff_schema(baseline: Snapshot, current: Snapshot) -> DataFrame:
-    return union([f(baseline, current) for f in (dropped_columns, added_columns, changed_types, relaxed_nullability)])
+def _diff_schema(baseline: Snapshot, current: Snapshot) -> list[DataFrame]:
+    return [f(baseline, current) for f in (_dropped_columns, _added_columns, _changed_types, _relaxed_nullability)]
 
 
 # -- governance ---------------------------------------------------------------
 
 
-def newly_deprecated(baseline: Snapshot, current: Snapshot) -> DataFrame:
-    rows = _with_features(shared_assets(baseline, current).filter(F.col("new_deprecated") & ~F.col("old_deprecated")), current, None)
+def _newly_deprecated(baseline: Snapshot, current: Snapshot) -> DataFrame:
+    rows = shared_assets(baseline, current).filter(F.col("new_deprecated") & ~F.col("old_deprecated"))
     note = F.nullif(F.col("new_deprecation_note"), F.lit(""))
     text = F.concat(
-        X.entity_label(F.col("new_entity_type")), F.lit(" "), X.finding_name(F.col("urn")), F.lit(" is now marked deprecated"), feeds_clause(),
+        X.entity_label(F.col("new_entity_type")), F.lit(" "), X.finding_name(F.col("urn")), F.lit(" is now marked deprecated"), F.lit(FEEDS),
         F.coalesce(F.concat(F.lit(" — "), note), F.lit("")),
     )
     evidence = {"entity_type": F.col("new_entity_type"), "was_deprecated": F.lit(False), "is_deprecated": F.lit(True), "note": F.col("new_deprecation_note")}
     return _finding(rows, "ASSET_DEPRECATED", text, evidence, 1, 0, None)
 
 
-def lost_owners(baseline: Snapshot, current: Snapshot) -> DataFrame:
+def _lost_owners(baseline: Snapshot, current: Snapshot) -> DataFrame:
     lost = shared_assets(baseline, current).filter((F.size("old_owners") > 0) & (F.size("new_owners") == 0))
-    rows = _with_features(lost, current, None)
+    rows = lost
     text = F.concat(
-        X.entity_label(F.col("new_entity_type")), F.lit(" "), X.finding_name(F.col("urn")), F.lit(" lost its last owner"), feeds_clause(),
+        X.entity_label(F.col("new_entity_type")), F.lit(" "), X.finding_name(F.col("urn")), F.lit(" lost its last owner"), F.lit(FEEDS),
         F.lit("; nobody is on the hook when it breaks"),
     )
     evidence = {
@@ -169,16 +184,16 @@ def lost_owners(baseline: Snapshot, current: Snapshot) -> DataFrame:
     return _finding(rows, "OWNERSHIP_LOST", text, evidence, 1, 1, None)
 
 
-def _sensitive(df: DataFrame, current: Snapshot, column: str | None, sensitive: tuple[str, ...], kind_ord: int) -> DataFrame:
+def _sensitive(df: DataFrame, column: str | None, sensitive: tuple[str, ...], kind_ord: int) -> DataFrame:
     """Tags of ``new_tags`` whose normalised name is new and sensitive."""
     names = [t.strip().lower() for t in sensitive]
     known = F.transform("old_tags", lambda t: X.tag_name(t))
     new = df.select("*", F.posexplode("new_tags").alias("tag_ord", "tag")).withColumn("own_name", X.tag_name(F.col("tag")))
     new = new.filter(~F.array_contains(known, F.col("own_name")) & F.col("own_name").isin(*names))
-    new = _with_features(new, current, column)
+    new = new
     place = X.finding_name(F.col("urn"))
     where = F.concat(F.lit("`"), F.col(column), F.lit("` on "), place) if column else place
-    text = F.concat(X.finding_name(F.col("tag")), F.lit(" was applied to "), where, feeds_clause(), F.lit("; sensitive data now reaches this model"))
+    text = F.concat(X.finding_name(F.col("tag")), F.lit(" was applied to "), where, F.lit(FEEDS), F.lit("; sensitive data now reaches this model"))
     evidence = {"entity_type": F.col("new_entity_type"), "tag": X.finding_name(F.col("tag")), "tag_urn": F.col("tag")}
     if column:
         evidence["column"] = F.col(column)
@@ -186,16 +201,16 @@ def _sensitive(df: DataFrame, current: Snapshot, column: str | None, sensitive:
     return _finding(new, "NEW_SENSITIVE_TAG", text, evidence, 1, kind_ord, column, order)
 
 
-def new_sensitive_tags(baseline: Snapshot, current: Snapshot, sensitive: tuple[str, ...] = SENSITIVE_TAGS) -> DataFrame:
+def _new_sensitive_tags(baseline: Snapshot, current: Snapshot, sensitive: tuple[str, ...]) -> DataFrame:
     """Sensitive tags that appeared on shared assets and on their common columns."""
     assets = shared_assets(baseline, current)
     types = current.assets.select(*_KEYS, F.col("entity_type").alias("new_entity_type"))
     columns = column_pairs(baseline, current).join(types, _KEYS)
-    return _sensitive(assets, current, None, sensitive, 2).unionByName(_sensitive(columns, current, "path", sensitive, 3))
+    return _sensitive(assets, None, sensitive, 2).unionByName(_sensitive(columns, "path", sensitive, 3))
 
 
-def diff_governance(baseline: Snapshot, current: Snapshot, sensitive: tuple[str, ...] = SENSITIVE_TAGS) -> DataFrame:
-    return union([newly_deprecated(baseline, current), lost_owners(baseline, current), new_sensitive_tags(baseline, current, sensitive)])
+def _diff_governance(baseline: Snapshot, current: Snapshot, sensitive: tuple[str, ...]) -> list[DataFrame]:
+    return [_newly_deprecated(baseline, current), _lost_owners(baseline, current), _new_sensitive_tags(baseline, current, sensitive)]
 
 
 # -- statistics ---------------------------------------------------------------
@@ -223,9 +238,9 @@ def _grouped(count: Column) -> Column:
     return F.format_number(count, 0)
 
 
-def null_rate_jumps(pairs: DataFrame, current: Snapshot, limits: Thresholds) -> DataFrame:
+def _null_rate_jumps(pairs: DataFrame, limits: Thresholds) -> DataFrame:
     jump = (F.col("new_rate") - F.col("old_rate")) * 100.0
-    rows = _with_features(pairs.withColumn("jump", jump).filter(F.col("jump") > limits.null_rate_jump_pp), current, "path")
+    rows = pairs.withColumn("jump", jump).filter(F.col("jump") > limits.null_rate_jump_pp)
     share = lambda c: F.format_string("%.1f%%", F.col(c) * 100.0)
     text = F.concat(
         F.lit("Null rate on `"), "path", F.lit("` rose "), share("old_rate"), F.lit(" → "), share("new_rate"),
@@ -243,9 +258,9 @@ def null_rate_jumps(pairs: DataFrame, current: Snapshot, limits: Thresholds) ->
     return _finding(rows, "NULL_RATE_JUMP", text, evidence, 2, 1, order=F.col("first_ord"))
 
 
-def cardinality_changes(pairs: DataFrame, current: Snapshot, limits: Thresholds) -> DataFrame:
+def _cardinality_changes(pairs: DataFrame, limits: Thresholds) -> DataFrame:
     change = X.relative_change(F.col("old_unique_count").cast("double"), F.col("new_unique_count").cast("double")) * 100.0
-    rows = _with_features(pairs.withColumn("change", change).filter(F.abs("change") > limits.cardinality_change_pct), current, "path")
+    rows = pairs.withColumn("change", change).filter(F.abs("change") > limits.cardinality_change_pct)
     way = F.when(F.col("change") < 0, "collapsed").otherwise("exploded")
     text = F.concat(
         F.lit("Cardinality of `"), "path", F.lit("` "), way, F.lit(" "), _grouped(F.col("old_unique_count")), F.lit(" → "), _grouped(F.col("new_unique_count")),
@@ -262,13 +277,13 @@ def cardinality_changes(pairs: DataFrame, current: Snapshot, limits: Thresholds)
     return _finding(rows, "CARDINALITY_CHANGE", text, evidence, 2, 2, order=F.col("first_ord"))
 
 
-def mean_shifts(pairs: DataFrame, current: Snapshot, limits: Thresholds) -> DataFrame:
+def _mean_shifts(pairs: DataFrame, limits: Thresholds) -> DataFrame:
     """Shifts of the mean in standard deviations of the baseline; a constant baseline has none, and any shift counts."""
     delta = F.col("new_mean") - F.col("old_mean")
     constant = F.col("old_stdev") <= 0
     sigma = F.when(~constant, F.try_divide(delta, F.col("old_stdev")))
     moved = F.when(constant, delta != 0).otherwise(F.abs(sigma) > limits.mean_shift_sigma)
-    rows = _with_features(pairs.withColumn("sigma", sigma).filter(moved), current, "path")
+    rows = pairs.withColumn("sigma", sigma).filter(moved)
     size = F.coalesce(F.format_string("%+.1fσ", F.col("sigma")), F.lit(""))
     size = F.when(F.col("sigma").isNull(), "from a previously constant value").otherwise(size)
     text = F.concat(
@@ -280,13 +295,13 @@ def mean_shifts(pairs: DataFrame, current: Snapshot, limits: Thresholds) -> Data
     return _finding(rows, "MEAN_SHIFT", text, evidence, 2, 3, order=F.col("first_ord"))
 
 
-def range_violations(pairs: DataFrame, current: Snapshot) -> DataFrame:
+def _range_violations(pairs: DataFrame) -> DataFrame:
     """New bounds outside the baseline's; needs both old bounds, and each new one by itself."""
     known = F.col("old_min").isNotNull() & F.col("old_max").isNotNull()
     low = F.when(F.col("new_min") < F.col("old_min"), F.col("old_min") - F.col("new_min"))
     high = F.when(F.col("new_max") > F.col("old_max"), F.col("new_max") - F.col("old_max"))
     rows = pairs.withColumn("low", low).withColumn("high", high)
-    rows = _with_features(rows.filter(known & (F.col("low").isNotNull() | F.col("high").isNotNull())), current, "path")
+    rows = rows.filter(known & (F.col("low").isNotNull() | F.col("high").isNotNull()))
     moved = lambda s: F.concat(F.lit(f"{s} "), X.plain(F.col(f"old_{s}")), F.lit(" → "), X.plain(F.col(f"new_{s}")))
     breaches = F.concat_ws(", ", F.when(F.col("low").isNotNull(), moved("min")), F.when(F.col("high").isNotNull(), moved("max")))
     text = F.concat(F.lit("`"), "path", F.lit("` left its baseline range in "), X.finding_name(F.col("urn")), F.lit(": "), breaches)
@@ -302,10 +317,10 @@ def range_violations(pairs: DataFrame, current: Snapshot) -> DataFrame:
     return _finding(rows, "RANGE_VIOLATION", text, evidence, 2, 4, order=F.col("first_ord"))
 
 
-def row_count_changes(baseline: Snapshot, current: Snapshot, limits: Thresholds) -> DataFrame:
+def _row_count_changes(baseline: Snapshot, current: Snapshot, limits: Thresholds) -> DataFrame:
     change = X.relative_change(F.col("old_row_count").cast("double"), F.col("new_row_count").cast("double")) * 100.0
     rows = shared_assets(baseline, current).filter("old_profiled and new_profiled").withColumn("change", change)
-    rows = _with_features(rows.filter(F.abs("change") > limits.row_count_change_pct), current, None)
+    rows = rows.filter(F.abs("change") > limits.row_count_change_pct)
     way = F.when(F.col("change") < 0, "dropped").otherwise("grew")
     text = F.concat(
         F.lit("Row count of "), X.finding_name(F.col("urn")), F.lit(" "), way, F.lit(" "), _grouped(F.col("old_row_count")), F.lit(" → "),
@@ -321,28 +336,87 @@ def row_count_changes(baseline: Snapshot, current: Snapshot, limits: Thresholds)
     return _finding(rows, "ROW_COUNT_CHANGE", text, evidence, 2, 0, None)
 
 
-def diff_statistics(baseline: Snapshot, current: Snapshot, limits: Thresholds | None = None) -> DataFrame:
-    limits = limits or Thresholds()
+def _diff_statistics(baseline: Snapshot, current: Snapshot, limits: Thresholds) -> list[DataFrame]:
     pairs = profile_pairs(baseline, current)
-    return union(
-        [
-            row_count_changes(baseline, current, limits),
-            null_rate_jumps(pairs, current, limits),
-            cardinality_changes(pairs, current, limits),
-            mean_shifts(pairs, current, limits),
-            range_violations(pairs, current),
-        ]
-    )
+    by_column = [f(pairs, limits) for f in (_null_rate_jumps, _cardinality_changes, _mean_shifts)]
+    return [_row_count_changes(baseline, current, limits), *by_column, _range_violations(pairs)]
+
+
+# -- the differs as they are called -------------------------------------------
+
+
+def dropped_columns(baseline: Snapshot, current: Snapshot) -> DataFrame:
+    return finished(_dropped_columns(baseline, current), current)
+
+
+def added_columns(baseline: Snapshot, current: Snapshot) -> DataFrame:
+    return finished(_added_columns(baseline, current), current)
+
+
+def changed_types(baseline: Snapshot, current: Snapshot) -> DataFrame:
+    return finished(_changed_types(baseline, current), current)
+
+
+def relaxed_nullability(baseline: Snapshot, current: Snapshot) -> DataFrame:
+    return finished(_relaxed_nullability(baseline, current), current)
+
+
+def newly_deprecated(baseline: Snapshot, current: Snapshot) -> DataFrame:
+    return finished(_newly_deprecated(baseline, current), current)
+
+
+def lost_owners(baseline: Snapshot, current: Snapshot) -> DataFrame:
+    return finished(_lost_owners(baseline, current), current)
+
+
+def new_sensitive_tags(baseline: Snapshot, current: Snapshot, sensitive: tuple[str, ...] = SENSITIVE_TAGS) -> DataFrame:
+    return finished(_new_sensitive_tags(baseline, current, sensitive), current)
+
+
+def null_rate_jumps(pairs: DataFrame, current: Snapshot, limits: Thresholds) -> DataFrame:
+    return finished(_null_rate_jumps(pairs, limits), current)
+
+
+def cardinality_changes(pairs: DataFrame, current: Snapshot, limits: Thresholds) -> DataFrame:
+    return finished(_cardinality_changes(pairs, limits), current)
+
+
+def mean_shifts(pairs: DataFrame, current: Snapshot, limits: Thresholds) -> DataFrame:
+    return finished(_mean_shifts(pairs, limits), current)
+
+
+def range_violations(pairs: DataFrame, current: Snapshot) -> DataFrame:
+    return finished(_range_violations(pairs), current)
+
+
+def row_count_changes(baseline: Snapshot, current: Snapshot, limits: Thresholds) -> DataFrame:
+    return finished(_row_count_changes(baseline, current, limits), current)
+
+
+def diff_schema(baseline: Snapshot, current: Snapshot) -> DataFrame:
+    """Dropped, added, retyped and newly nullable columns."""
+    return finished(union(_diff_schema(baseline, current)), current)
+
+
+def diff_governance(baseline: Snapshot, current: Snapshot, sensitive: tuple[str, ...] = SENSITIVE_TAGS) -> DataFrame:
+    """New deprecations, lost owners and new sensitive tags."""
+    return finished(union(_diff_governance(baseline, current, sensitive)), current)
+
+
+def diff_statistics(baseline: Snapshot, current: Snapshot, limits: Thresholds | None = None) -> DataFrame:
+    """Changes of volume, null rate, cardinality, mean and range."""
+    return finished(union(_diff_statistics(baseline, current, limits or Thresholds())), current)
 
 
-def missing_baselines(models: DataFrame, baseline: Snapshot) -> DataFrame:
+def missing_baselines(models: DataFrame, baseline: Snapshot, current: Snapshot) -> DataFrame:
     """One finding for each model (model_urn) of which the baseline has no asset."""
     bare = models.select("model_urn").distinct().join(baseline.assets.select("model_urn"), "model_urn", "left_anti")
-    bare = bare.withColumn("urn", F.col("model_urn")).withColumn("feeds", F.array().cast("array<string>"))
     text = F.concat(F.lit("No approved baseline exists for "), X.finding_name(F.col("urn")))
-    return _finding(bare, "OWNERSHIP_LOST", text, {"missing_baseline": F.lit(True)}, 1, 0, None)
+    found = _finding(bare.withColumn("urn", F.col("model_urn")), "OWNERSHIP_LOST", text, {"missing_baseline": F.lit(True)}, 1, 0, None)
+    return finished(found, current)
 
 
 def diff_all(baseline: Snapshot, current: Snapshot, limits: Thresholds | None = None, sensitive: tuple[str, ...] = SENSITIVE_TAGS) -> DataFrame:
     """All differs, schema first, then governance, then statistics."""
-    return union([diff_schema(baseline, current), diff_governance(baseline, current, sensitive), diff_statistics(baseline, current, limits)])
+    found = _diff_schema(baseline, current) + _diff_governance(baseline, current, sensitive) + _diff_statistics(baseline, current, limits or Thresholds())
+    return finished(union(found), current)

@@ -12,6 +12,7 @@ first stays, so the differs below can rely on the shape.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -95,5 +96,7 @@ class Snapshot:
         return cls(table(assets, ASSETS), columns, table(profiles, PROFILES), table(col_features, COL_FEATURES))
 
     def durable(self) -> Snapshot:
-        """The same with its tables written out, so that the differs don't recompute them."""
-        return Snapshot(*(cut(getattr(self, t), t) for t in ("assets", "columns", "profiles", "col_features")))
+        """The same with its tables written out, all at a time, so that the differs don't recompute them."""
+        names = ("assets", "columns", "profiles", "col_features")
+        with ThreadPoolExecutor(len(names)) as pool:
+            return Snapshot(*pool.map(lambda t: cut(getattr(self, t), t), names))

@@ -49,7 +49,7 @@ def check(catalog: Catalog, models: DataFrame, baseline: Snapshot, policy: Polic
     found, current = resolve(catalog, models, policy.max_hops)
     known = baseline.assets.select("model_urn").distinct()
     differences = diff.diff_all(baseline, current, policy.thresholds, policy.sensitive_tags)
-    bare = diff.missing_baselines(models, baseline)
+    bare = diff.missing_baselines(models, baseline, current)
     owners = current.assets.select("model_urn", "urn", "owners")
     attributed = graph.attribute(differences.unionByName(bare), found, owners, queries)
     listed = cut(verdict.listed(verdict.rule(attributed, policy, now)), "findings")
