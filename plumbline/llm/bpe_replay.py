@@ -16,6 +16,7 @@ n log n; an empty table gives no rows.
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 from heapq import heapify, heappop, heappush
 
@@ -28,6 +29,8 @@ from pyspark.sql import DataFrame
 CACHE_WORDS = 250_000
 #: Words longer than this are never kept in the cache.
 CACHE_WORD_BYTES = 64
+#: Pairs of tokens whose ranks are remembered.
+CACHE_PAIRS = 400_000
 #: UTF-8 bytes of text that one replay takes at most, unless a single text is longer.
 REPLAY_BYTES = 4 << 20
 
@@ -74,6 +77,8 @@ class MergeReplay:
         return self.byte_ids[data].tolist(), after.tolist(), before.tolist(), where
 
     def encode(self, words: list[bytes]) -> list[list[int]]:
+        if len(self.pairs) > CACHE_PAIRS:
+            self.pairs.clear()
         split = [w for w in words if w not in self.ranks]
         tokens, after, before, where = self.index(split)
         heap = list(where)
@@ -171,6 +176,15 @@ class BatchEncoder:
         return words, kept
 
 
+@functools.lru_cache(maxsize=1)
+def digest_encoder(ranks_path: str, pattern: str) -> BatchEncoder:
+    """A worker's encoder, which stays for its next task; of a word it keeps the number of ids, the ids written out, and their bytes."""
+    encoder = BatchEncoder(ranks_path, pattern)
+    token = encoder.replay.bytes_of.__getitem__
+    encoder.made = lambda ids: (len(ids), " ".join(map(str, ids)), b"".join(map(token, ids)))
+    return encoder
+
+
 def chunks(texts: list[str | None], most: int = REPLAY_BYTES):
     """Runs of texts of ``most`` bytes together, or one longer text; null is empty."""
     run, held = [], 0
@@ -220,9 +234,7 @@ def digest_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFram
     """
 
     def run(batches):
-        encoder = BatchEncoder(ranks_path, pattern)
-        token = encoder.replay.bytes_of.__getitem__
-        encoder.made = lambda ids: (len(ids), " ".join(map(str, ids)), b"".join(map(token, ids)))
+        encoder = digest_encoder(ranks_path, pattern)
         for b in batches:
             n_tokens, ids_sha, data_sha = [], [], []
             for texts in chunks(b.column("text").to_pylist()):
