@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.durable import shared_dir
 from plumbline.operators.policy import Policy
+from plumbline.operators.snapshot import Snapshot
 from plumbline.plans import gate
 from plumbline.plans.slices import NOW
 from plumbline.sources import recorded
@@ -112,19 +113,30 @@ def write_recording(spark: SparkSession, mutation: str, path: str) -> str:
     return path
 
 
-def gate_of(spark: SparkSession, mutation: str, policy: Policy | None = None) -> gate.Gate:
+def _written(spark: SparkSession, mutation: str) -> str:
+    return write_recording(spark, mutation, f"{shared_dir(spark)}/plumbline/recording-{uuid.uuid4().hex}")
+
+
+def _models(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(FRAUD,), (CHURN,)], "model_urn string")
+
+
+def approved(spark: SparkSession) -> Snapshot:
+    """Both models' baseline: the state before any change."""
+    return gate.resolve(recorded.load(spark, _written(spark, "none"), "before"), _models(spark))[1]
+
+
+def gate_of(spark: SparkSession, mutation: str, policy: Policy | None = None, baseline: Snapshot | None = None) -> gate.Gate:
     """Both models' gate after a mutation, against the state before it."""
-    path = write_recording(spark, mutation, f"{shared_dir(spark)}/plumbline/recording-{uuid.uuid4().hex}")
-    models = spark.createDataFrame([(FRAUD,), (CHURN,)], "model_urn string")
-    _, baseline = gate.resolve(recorded.load(spark, path, "before"), models)
-    return gate.check(recorded.load(spark, path, "after"), models, baseline, policy, NOW)
+    source = recorded.load(spark, _written(spark, mutation), "after")
+    return gate.check(source, _models(spark), baseline or approved(spark), policy, NOW)
 
 
 def verdict_table(spark: SparkSession) -> DataFrame:
     """Verdict and coverage of both models under every mutation."""
-    out = None
+    baseline, out = approved(spark), None
     for mutation in MUTATIONS:
-        result = gate_of(spark, mutation)
+        result = gate_of(spark, mutation, baseline=baseline)
         rows = result.verdicts.join(result.coverage, "model_urn", "left").select(
             F.lit(mutation).alias("mutation"), "model_urn", "status", "blocking", "warning", "assets_checked", "columns_compared", "columns_total", "assets_profiled", "exit_code"
         )
