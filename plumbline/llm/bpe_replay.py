@@ -83,31 +83,36 @@ class MergeReplay:
         tokens, after, before, where = self.index(split)
         heap = list(where)
         heapify(heap)
-        pairs, shift, rank_of = self.pairs, self.shift, self.rank_of
+        rank_of = self.rank_of
         while heap:
             rank = heappop(heap)
             spots = where.pop(rank, None)
             if spots is None:
                 continue
             spots.sort()
+            # Ranks met while this one is replayed: of its pair, and of the pairs to its right and left.
+            own: tuple[int, int] | None = None
+            rights: dict[int, int] = {}
+            lefts: dict[int, int] = {}
             for k, i in enumerate(spots):
                 j = after[i]
                 a = tokens[i]
                 if j < 0 or a < 0:
                     continue
                 b = tokens[j]
-                now = pairs.get(a << shift | b)
-                if (rank_of(a, b) if now is None else now) != rank:
-                    continue
+                if (a, b) != own:
+                    if rank_of(a, b) != rank:
+                        continue
+                    own = (a, b)
                 tokens[i], tokens[j] = rank, -1
                 right = after[i] = after[j]
                 left, lower = before[i], False
                 if right >= 0:
                     before[right] = i
                     b = tokens[right]
-                    new = pairs.get(rank << shift | b)
+                    new = rights.get(b)
                     if new is None:
-                        new = rank_of(rank, b)
+                        new = rights[b] = rank_of(rank, b)
                     if new >= 0:
                         if new in where:
                             where[new].append(i)
@@ -117,9 +122,9 @@ class MergeReplay:
                         lower = new <= rank
                 if left >= 0:
                     a = tokens[left]
-                    new = pairs.get(a << shift | rank)
+                    new = lefts.get(a)
                     if new is None:
-                        new = rank_of(a, rank)
+                        new = lefts[a] = rank_of(a, rank)
                     if new >= 0:
                         if new in where:
                             where[new].append(left)
