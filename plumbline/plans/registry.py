@@ -460,12 +460,29 @@ def _walk_sql(cap: int) -> str:
       UNION SELECT w.m, e.dst, w.d + 1 FROM walk w JOIN edges e ON e.src = w.x WHERE w.d < {cap}), reach AS (SELECT m, x, min(d) AS d FROM walk GROUP BY m, x)"""
 
 
+#: Filters of the SQL of four queries; beside each is a query with the suffix _whole over all rows.
+_SUBSETS = (" WHERE l_partkey % 4 = 0", " WHERE l_partkey % 97 = 5", " WHERE event_id % 2 = 0")
+PARTS_STEP = 4
+
+
+def _whole(sql: str) -> str:
+    """The SQL of a query without the filters that take a subset of its rows."""
+    for x in _SUBSETS:
+        sql = sql.replace(x, "")
+    return sql
+
+
 _URN = "(SELECT a || substr({0}, 2) || b FROM named WHERE c = left({0}, 1))"
 
 
 @query(_EDGES + _walk_sql(5) + f"SELECT {_URN.format('m')} AS model_urn, {_URN.format('x')} AS urn, d AS depth FROM reach")
-def upstream_footprint(spark, sf_dir):
-    return graph.footprint(slices.region_models(spark, sf_dir), slices.edges(spark, sf_dir), 5).select("model_urn", "urn", "depth")
+def upstream_footprint(spark, sf_dir, every=PARTS_STEP):
+    return graph.footprint(slices.region_models(spark, sf_dir), slices.edges(spark, sf_dir, every), 5).select("model_urn", "urn", "depth")
+
+
+@query(_whole(ORACLES["upstream_footprint"]))
+def upstream_footprint_whole(spark, sf_dir):
+    return upstream_footprint(spark, sf_dir, every=1)
 
 
 @query(
@@ -507,14 +524,19 @@ def feature_sources(spark, sf_dir):
     """ + f", full_names AS (SELECT DISTINCT {_URN.format('m')} AS model_urn, {_URN.format('x')} AS urn, c AS path, {_URN.format('f')} AS f FROM col)"
     " SELECT model_urn, urn, path, string_agg(f, ' ' ORDER BY f) AS features FROM full_names GROUP BY model_urn, urn, path"
 )
-def column_features(spark, sf_dir):
-    edges = slices.edges(spark, sf_dir)
+def column_features(spark, sf_dir, every=PARTS_STEP):
+    edges = slices.edges(spark, sf_dir, every)
     found = graph.footprint(slices.region_models(spark, sf_dir), edges, 5)
     sources = graph.feature_sources(found, edges, 5)
-    reached = graph.column_features(found, sources, slices.supplier_columns(found), slices.column_edges(spark, sf_dir))
+    reached = graph.column_features(found, sources, slices.supplier_columns(found), slices.column_edges(spark, sf_dir, every))
     return reached.select("model_urn", "urn", "path", F.array_join("features", " ").alias("features"))
 
 
+@query(_whole(ORACLES["column_features"]))
+def column_features_whole(spark, sf_dir):
+    return column_features(spark, sf_dir, every=1)
+
+
 _DOWN = (
     _EDGES
     + """, seeds AS (SELECT DISTINCT 'P' || l_partkey AS s FROM lineitem WHERE l_partkey % 97 = 5), walk AS (SELECT s, s AS x, 0 AS d FROM seeds
@@ -523,14 +545,20 @@ _DOWN = (
 )
 
 
-def _part_seeds(spark, sf_dir) -> DataFrame:
-    lines = slices.table(spark, sf_dir, "lineitem").filter("l_partkey % 97 = 5").select("l_partkey").distinct()
+def _part_seeds(spark, sf_dir, whole=False) -> DataFrame:
+    lines = slices.table(spark, sf_dir, "lineitem")
+    lines = (lines if whole else lines.filter("l_partkey % 97 = 5")).select("l_partkey").distinct()
     return lines.select(slices.dataset(F.concat(F.lit("part."), F.col("l_partkey").cast("string"))).alias("seed"))
 
 
 @query(_DOWN + f"SELECT {_URN.format('s')} AS seed, {_URN.format('x')} AS model_urn, min(d) AS depth FROM walk WHERE left(x, 1) = 'M' GROUP BY s, x")
 def downstream_models(spark, sf_dir):
-    return graph.downstream_models(_part_seeds(spark, sf_dir), slices.edges(spark, sf_dir), 6).select("seed", "model_urn", "depth")
+    return graph.downstream_models(_part_seeds(spark, sf_dir), slices.edges(spark, sf_dir, PARTS_STEP), 6).select("seed", "model_urn", "depth")
+
+
+@query(_whole(ORACLES["downstream_models"]))
+def downstream_models_whole(spark, sf_dir):
+    return graph.downstream_models(_part_seeds(spark, sf_dir, whole=True), slices.edges(spark, sf_dir), 6).select("seed", "model_urn", "depth")
 
 
 @query(_EDGES + f"""SELECT {_URN.format("'S1'")} AS seed, 'price' AS column_name, {_URN.format("'M' || n_regionkey")} AS model_urn, n_nationkey || ' → region_' || n_regionkey AS route FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey = 1""")
@@ -573,13 +601,19 @@ def history_summary(spark, sf_dir):
     t AS (SELECT u, count(*) AS total_runs FROM runs GROUP BY u), w AS (SELECT u, kind, count(*) AS warn_count FROM (SELECT u, unnest(kinds) AS kind FROM runs) GROUP BY ALL)
     SELECT 'm' || u AS model_urn, kind, warn_count, total_runs, round(warn_count / total_runs, 6) AS rate FROM w JOIN t USING (u) WHERE total_runs >= 4 AND warn_count / total_runs >= 0.5"""
 )
-def calibration(spark, sf_dir):
-    events = slices.table(spark, sf_dir, "events").filter("event_id % 2 = 0")
+def calibration(spark, sf_dir, whole=False):
+    events = slices.table(spark, sf_dir, "events")
+    events = events if whole else events.filter("event_id % 2 = 0")
     name = F.concat(F.lit("m"), (F.col("user_id") % 20).cast("string")).alias("model_urn")
     runs = events.groupBy(name, F.to_date("ts").alias("day")).agg(F.collect_set("event_type").alias("warning_kinds"))
     return verdict.calibrate(runs).withColumn("rate", F.round("rate", 6))
 
 
+@query(_whole(ORACLES["calibration"]))
+def calibration_whole(spark, sf_dir):
+    return calibration(spark, sf_dir, whole=True)
+
+
 # -- expressions and impact ----------------------------------------------------
 
 
