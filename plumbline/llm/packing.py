@@ -1,7 +1,8 @@
 """Best-fit packing of token sequences with large-item matching.
 
 Documents longer than the capacity are cut into pieces of full length; only the first may be
-shorter. Lengths are then packed by their histogram: pieces above one third of the capacity,
+shorter. Added tokens of the vocabulary (``added``) that stand in a text are one identifier each, as the
+tokenizers library has them. Lengths are then packed by their histogram: pieces above one third of the capacity,
 of which at most two fit a bin, are matched greedily, the largest first with the largest that
 fits beside it; smaller ones go, the largest first, into the fullest bin that has room. The
 histogram has one number per length, so packing costs the driver the same at any input size;
@@ -14,6 +15,7 @@ their own; ties among equal lengths go by identifier and piece; an empty table g
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections import defaultdict
 
@@ -35,16 +37,29 @@ def cut(ids: np.ndarray, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, n, capacity))]
 
 
-def tokenize(docs: DataFrame, ranks_path: str, pattern: str, capacity: int, separator: int = 0) -> DataFrame:
+def added_tokens(json_path: str) -> dict[str, int]:
+    """Added tokens of a tokenizer's JSON file by content; only those that match as plain strings."""
+    with open(json_path, encoding="utf-8") as f:
+        tokens = json.load(f)["added_tokens"]
+    out = {t["content"]: t["id"] for t in tokens}
+    if any(t[k] for t in tokens for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError(f"added tokens of {json_path} that are no plain strings")
+    if any(a != b and a in b for a in out for b in out):
+        raise ValueError(f"added tokens of {json_path} that hold each other")
+    return out
+
+
+def tokenize(docs: DataFrame, ranks_path: str, pattern: str, capacity: int, separator: int = 0, added: dict[str, int] | None = None) -> DataFrame:
     """The pieces of every document as a written table: doc_id, piece, start, length, ids_crc32."""
 
     def run(batches):
         import tiktoken
 
-        coder = tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=load_ranks(ranks_path), special_tokens={})
+        coder = tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=load_ranks(ranks_path), special_tokens=added or {})
+        encode = lambda t: coder.encode(t, allowed_special="all") if any(a in t for a in added or ()) else coder.encode_ordinary(t)
         for b in batches:
             rows = []
-            ids_of = (coder.encode_ordinary(t) for run in chunks(b.column("text").to_pylist()) for t in run)
+            ids_of = (encode(t) for run in chunks(b.column("text").to_pylist()) for t in run)
             for doc_id, ids in zip(b.column("doc_id").to_pylist(), ids_of):
                 ids = np.array([*ids, separator], dtype="<u4")
                 for k, (start, length) in enumerate(cut(ids, capacity)):
@@ -143,8 +158,8 @@ def pack_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
     return ranked.mapInArrow(placed, f"{PIECES}, idx long, sequence_id long, offset long").drop("idx")
 
 
-def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 2048) -> DataFrame:
+def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 2048, added: dict[str, int] | None = None) -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return pack_pieces(tokenize(docs, ranks_path, pattern, capacity), capacity).select(
+    return pack_pieces(tokenize(docs, ranks_path, pattern, capacity, added=added), capacity).select(
         "doc_id", "piece", "start", "length", "ids_crc32", F.col("sequence_id"), F.col("offset")
     )

@@ -62,8 +62,13 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir), keep="largest")
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    added = packing.added_tokens(vocabulary("byte_bpe_50k.json"))
+    return packing.pack_documents(docs, vocabulary("byte_bpe_50k.tiktoken"), pattern(), CAPACITY, added)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(documents(spark, sf_dir), vocabulary("byte_bpe_50k.tiktoken"), pattern(), CAPACITY)
+    return packed(documents(spark, sf_dir))
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -152,6 +152,23 @@ def test_packing(spark, rows):
     assert packing.pack_documents(table(spark, []), vocabulary("byte_bpe_50k.tiktoken"), pattern()).count() == 0
 
 
+def test_packing_added_tokens(spark):
+    """Against tokenizers with its default setting, which matches added tokens within texts."""
+    import numpy as np
+    from plumbline.llm.queries import packed
+    from tokenizers import Tokenizer
+
+    coder = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = ["plain it's", f"a {end} b", f"a{end}  \n{end}{end}b", end, f"x  {end}", f"<|{end}|> <|endoftext|", f"{end}é\t\t z" * 400, None]
+    want = []
+    for i, t in enumerate(texts):
+        ids = np.array([*coder.encode(t or "", add_special_tokens=False).ids, 0], dtype="<u4")
+        want += [(i, k, s, n, zlib.crc32(ids[s : s + n].tobytes())) for k, (s, n) in enumerate(packing.cut(ids, 2048))]
+    got = packed(table(spark, list(enumerate(texts)))).collect()
+    assert sorted(tuple(r[:5]) for r in got) == want
+
+
 def test_pack_histogram():
     rng = random.Random(1)
     for _ in range(20):
