@@ -5,7 +5,8 @@ each hashed to one of ``DIM`` features. The machine adds to the linear weights o
 the inner products of their factors, so that two terms can mean together what neither means
 alone. It is fitted in one task on a bounded sample of labelled rows (SAMPLE_PER_CLASS of
 either label at most, those with the smallest hash) by minibatches with Adagrad; every text is then scored
-in whole. Terms in fewer than MIN_DOCUMENTS sampled texts, or without association with the label, have
+in whole. The sample has not the true share of toxic rows, so the intercept is moved to the share among all
+labels, and terms are screened with clean texts weighted to that share. Terms in fewer than MIN_DOCUMENTS sampled texts, or without association with the label, have
 no weight.
 
 Defined results: null and empty texts get the score of the intercept alone; repeated rows get equal
@@ -79,7 +80,7 @@ class Machine:
         return float(self.bias + w[:, 0].sum() + 0.5 * (total @ total - (v * v).sum()))
 
 
-def association(toxic: np.ndarray, seen: np.ndarray, all_toxic: float, n: int) -> np.ndarray:
+def association(toxic: np.ndarray, seen: np.ndarray, all_toxic: float, n: float) -> np.ndarray:
     """Chi-squared of each term with the label, from its toxic texts and all its texts."""
     expected = seen * all_toxic / n
     spread = expected * (1 - all_toxic / n) * (1 - seen / n)
@@ -87,7 +88,11 @@ def association(toxic: np.ndarray, seen: np.ndarray, all_toxic: float, n: int) -
 
 
 def fit(labels: np.ndarray, terms: list[np.ndarray], prior: float, seed: int = 7) -> Machine:
-    """Fits the sample; ``prior``, the share of toxic labels among all, is the score where it can't be fitted."""
+    """Fits the sample, whose toxic texts may be more or fewer than ``prior``, their share among all labels.
+
+    A logistic score fitted to a sample by class differs by the intercept alone: the difference of the log odds
+    of the two shares is added to it. Where nothing can be fitted, ``prior`` is the score.
+    """
     n = len(labels)
     none = np.zeros((0, 1 + FACTORS))
     share = labels.mean() if n else 0.0
@@ -100,7 +105,11 @@ def fit(labels: np.ndarray, terms: list[np.ndarray], prior: float, seed: int = 7
     for t, label in zip(terms, labels):
         seen[t] += 1
         toxic[t] += label
-    keep = (seen >= MIN_DOCUMENTS) & (association(toxic, seen, labels.sum(), n) >= MIN_ASSOCIATION)
+    # As if the sample's toxic texts came with as many clean ones as the labels have for them.
+    weight = share / (1 - share) * (1 - prior) / prior
+    n_toxic = labels.sum()
+    strength = association(toxic, toxic + weight * (seen - toxic), n_toxic, n_toxic + weight * (n - n_toxic))
+    keep = (seen >= MIN_DOCUMENTS) & (strength >= MIN_ASSOCIATION)
     ids = np.flatnonzero(keep)
     renumber = np.cumsum(keep) - 1
     kept = [renumber[t[keep[t]]] for t in terms]
@@ -140,7 +149,7 @@ def fit(labels: np.ndarray, terms: list[np.ndarray], prior: float, seed: int = 7
             step = error.sum()
             bias2 += step**2
             bias -= RATE * step / np.sqrt(bias2)
-    return Machine(bias, ids, w)
+    return Machine(float(bias - np.log(weight)), ids, w)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Machine:

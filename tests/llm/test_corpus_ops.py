@@ -254,6 +254,28 @@ def test_toxicity_interaction():
     assert model.logit(np.array([1, 2], dtype=np.int32)) > 0 > alone
 
 
+def test_toxicity_share_of_the_sample():
+    """A sample by class has the scores and the terms of one with the true share of toxic texts."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    labels = (np.arange(8000) % 10 == 0).astype(float)
+    terms = []
+    for i, toxic in enumerate(labels):
+        words = {1} if rng.random() < (0.5 if toxic else 0.2) else set()
+        words |= {2} if rng.random() < (0.3 if toxic else 0.02) else set()
+        words |= {3} if toxic and i % 200 == 0 and i < 1000 else set()
+        terms.append(np.array(sorted(words), dtype=np.int32))
+    some = np.flatnonzero((labels == 1) | (np.arange(8000) % 9 == 1))[:2000]
+    whole = toxicity.fit(labels, terms, labels.mean())
+    part = toxicity.fit(labels[some], [terms[i] for i in some], labels.mean())
+    assert 0.4 < labels[some].mean() < 0.6
+    assert 3 in whole.ids and 3 in part.ids
+    for t in ([], [1], [2], [1, 2]):
+        t = np.array(t, dtype=np.int32)
+        assert abs(whole.logit(t) - part.logit(t)) < 0.6
+
+
 def test_toxicity_edges(spark):
     docs = table(spark, [(1, None), (2, ""), (2, "x")])
     none = spark.createDataFrame([], "doc_id long, toxic int")
