@@ -97,6 +97,28 @@ def test_suffix_dedup_on_documents(spark):
     assert suffix_dedup.cut_repeats(table(spark, [])).count() == 0
 
 
+def test_suffix_dedup_splits_common_phrases(spark, monkeypatch):
+    """A phrase of less than 50 bytes in every document doesn't bring all its windows to one bucket."""
+    rng = random.Random(11)
+    letters = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    rows = [(i, letters(60) + " a phrase of forty bytes in each document " + letters(60)) for i in range(200)]
+    rows += [(300 + i, letters(30) + rows[i][1][30:140]) for i in range(40)]
+    monkeypatch.setattr(suffix_dedup, "PART_BYTES", 2000)
+    monkeypatch.setattr(suffix_dedup, "OWNER_WINDOWS", 100, raising=False)
+    spans, keep = [], suffix_dedup.materialize
+    monkeypatch.setattr(suffix_dedup, "materialize", lambda df, name: spans.append(keep(df, name)) or spans[-1])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8000")
+    try:
+        got = suffix_dedup.cut_repeats(table(spark, rows)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(tuple(r) for r in got) == brute_cut(rows)
+    held = {}
+    for r in spans[-1].filter("bucket >= 0").select("bucket", "size").collect():
+        held[r["bucket"]] = held.get(r["bucket"], 0) + sum(int.from_bytes(r["size"][k : k + 8], "little") for k in range(0, len(r["size"]), 8))
+    assert max(held.values()) < 0.2 * sum(held.values())
+
+
 def test_shorten_keeps_columns(spark, rows):
     out = suffix_dedup.shorten(table(spark, rows)).collect()
     assert len(out) == len(rows)
