@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm import exact_dedup, ngram_join, suffix_dedup, toxicity
 from plumbline.llm.common import materialize
-from plumbline.llm.queries import labels, packed
+from plumbline.llm.queries import CAPACITY, labels, packed
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' token pieces with their places in sequences."""
-    return packed(docs)
+    return packed(docs, CAPACITY)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -62,9 +62,9 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir), keep="largest")
 
 
-def packed(docs: DataFrame) -> DataFrame:
+def packed(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     added = packing.added_tokens(vocabulary("byte_bpe_50k.json"))
-    return packing.pack_documents(docs, vocabulary("byte_bpe_50k.tiktoken"), pattern(), CAPACITY, added)
+    return packing.pack_documents(docs, vocabulary("byte_bpe_50k.tiktoken"), pattern(), capacity, added)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
