@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.durable import cut as materialize
-from plumbline.functions.durable import shared_dir
+from plumbline.functions.durable import made, shared_dir
 
-__all__ = ["fold", "fresh", "global_index", "lower_ascii", "materialize", "shared_dir"]
+__all__ = ["fold", "fresh", "global_index", "lower_ascii", "made", "materialize", "shared_dir"]
 
 
 def fold(doc_id: Column) -> Column:

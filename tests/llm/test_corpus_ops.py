@@ -77,10 +77,17 @@ def brute_cut(rows):
     return sorted(out)
 
 
-@pytest.mark.parametrize("part_bytes", [2000, 8 << 20])
-def test_suffix_dedup(spark, rows, monkeypatch, part_bytes):
+@pytest.mark.parametrize("part_bytes,fan", [(2000, 4096), (2000, 3), (1, 4096), (8 << 20, 4096)])
+def test_suffix_dedup(spark, rows, monkeypatch, part_bytes, fan):
+    """In a few parts, in a tree of parts, in more parts by size than a table may have buckets, and in one."""
+    assert suffix_dedup.MAX_BUCKETS <= 100_000
     monkeypatch.setattr(suffix_dedup, "PART_BYTES", part_bytes)
     monkeypatch.setattr(suffix_dedup, "BLOCK", 700)
+    monkeypatch.setattr(suffix_dedup, "FAN", fan)
+    monkeypatch.setattr(suffix_dedup, "MAX_BUCKETS", 8)
+    if part_bytes == 1:
+        rows = [*rows, (400, "long " * 20_000)]
+        assert sum(len((t or "").encode()) for _, t in {t: (i, t) for i, t in rows}.values()) > 100_000
     if part_bytes < 8 << 20:
         spark.conf.set("spark.sql.files.maxPartitionBytes", "8000")
     try:
@@ -90,6 +97,35 @@ def test_suffix_dedup(spark, rows, monkeypatch, part_bytes):
     assert sorted((float("inf") if r[0] is None else r[0], *r[1:]) for r in got) == brute_cut(rows)
 
 
+def test_previous_factors(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for letters, n in ((2, 300), (3, 400), (1, 120)):
+        x = rng.integers(97, 97 + letters, n).astype(np.uint8)
+        if letters == 3:
+            x[200:290] = x[20:110]
+        doc = np.sort(rng.integers(0, 6, n))
+        rng.shuffle(doc)
+        places = np.sort(rng.choice(n - 49, n - 60, replace=False))
+        got = suffix_dedup.previous_factors(x, places, doc[places])
+        same = lambda a, b: next((k for k in range(50) if x[a + k] != x[b + k]), 50)
+        for p, length in zip(places, got):
+            assert length == max((same(p, q) for q in places if doc[q] < doc[p]), default=0)
+    for _ in range(30):
+        values = rng.integers(0, 8, 40)
+        want = [max((j for j in range(i) if values[j] < values[i]), default=-1) for i in range(40)]
+        assert suffix_dedup.nearest_smaller(values).tolist() == want
+    assert suffix_dedup.nearest_smaller(np.zeros(0)).tolist() == []
+
+
+def test_levels():
+    for parts in (1, 4096, 4097, 12_500_000, 10**11):
+        levels = suffix_dedup.levels_of(parts)
+        assert parts <= suffix_dedup.FAN ** len(levels) and levels[-1] >= parts
+        assert all(b % a == 0 and b // a <= suffix_dedup.FAN for a, b in zip([1, *levels], levels))
+
+
 def test_suffix_dedup_on_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = suffix_dedup.cut_repeats(docs).collect()
