@@ -1,38 +1,46 @@
-"""Byte-level BPE encoding and decoding by merge replay over a batch's distinct words.
+"""Byte-level BPE encoding and decoding by merge replay over the corpus' distinct words.
 
-The texts of an Arrow batch form a small corpus. Its distinct words (matches of the pattern) are
-laid out in one array of byte tokens, and an inverted index leads from each mergeable pair, named
-by its rank, to its positions in all words. A heap replays the merges in rank order; each updates
-the pairs to its left and right only. Words seen lately are kept in a bounded cache, so that frequent
-words are replayed once per worker. Decoding goes through the ids' bytes.
+Texts are split once into words (matches of the pattern). A chunk of texts is written as its distinct words and, for
+every text, the places of its words among them. The distinct words of all chunks, each once for the
+corpus, are dealt by hash to blocks, and a block's words are laid out in one array of byte tokens. An
+inverted index leads from each mergeable pair, named by its rank, to its positions in all words. A heap replays
+the merges in rank order; each updates the pairs to its left and right only. Within a word the lowest rank goes first,
+the leftmost first among equals, and a merge that makes a pair of a lower rank yields to it, which is
+the order of the rank file's own library.
 
-Within a word the lowest rank goes first, the leftmost first among equals, and a merge that makes a
-pair of a lower rank yields to it, which is the order of the rank file's own library.
+Ids come back to the chunks in three ways: words of one chunk keep its number and their place through the
+replay; the HEAD_WORDS words of most chunks are broadcast; all others are joined. Texts themselves
+are never shuffled. Decoding goes through the ids' bytes.
 
 Defined results: null text counts as empty and has no ids; words may be as long as a text, in time
-n log n; an empty table gives no rows.
+n log n, and a very long text is a chunk of its own; repeated rows are encoded each, a null identifier stays null; only
+doc_id and text are read, so no other column clashes; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import base64
-import functools
 import hashlib
+from collections.abc import Callable
 from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from plumbline.llm.common import materialize
 
-#: Words that each of the cache's two generations holds.
-CACHE_WORDS = 250_000
-#: Words longer than this are never kept in the cache.
-CACHE_WORD_BYTES = 64
 #: Pairs of tokens whose ranks are remembered.
 CACHE_PAIRS = 400_000
-#: UTF-8 bytes of text that one replay takes at most, unless a single text is longer.
-REPLAY_BYTES = 4 << 20
+#: Characters of text in a chunk, and bytes of words in a block of the replay, unless a single one is longer.
+CHUNK_CHARS = 4 << 20
+REPLAY_BYTES = 1 << 20
+#: Words whose ids are broadcast at most, and the bytes of all of them.
+HEAD_WORDS = 1 << 17
+HEAD_BYTES = 8 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -148,50 +156,8 @@ class MergeReplay:
         return out
 
 
-class BatchEncoder:
-    """Encodes texts word by word; words not in the cache go through one replay per batch.
-
-    ``made`` turns the ids of a word into what is kept of it.
-    """
-
-    def __init__(self, ranks_path: str, pattern: str, made=list):
-        self.replay = MergeReplay(load_ranks(ranks_path))
-        self.split = regex.compile(pattern)
-        self.made = made
-        self.young: dict[str, object] = {}
-        self.old: dict[str, object] = {}
-
-    def encode(self, texts: list[str]) -> tuple[list[list[str]], dict[str, object]]:
-        """The words of each text, and what is kept of every word in them."""
-        words = [self.split.findall(t) for t in texts]
-        distinct = set().union(*words)
-        young, old = self.young, self.old
-        kept = {w: young[w] for w in distinct & young.keys()}
-        moved = {w: old[w] for w in (distinct - kept.keys()) & old.keys()}
-        young.update(moved)
-        kept.update(moved)
-        missing = list(distinct - kept.keys())
-        raw = [w.encode() for w in missing]
-        for w, b, ids in zip(missing, raw, self.replay.encode(raw)):
-            kept[w] = got = self.made(ids)
-            if len(b) <= CACHE_WORD_BYTES:
-                young[w] = got
-        if len(young) > CACHE_WORDS:
-            self.young, self.old = {}, young
-        return words, kept
-
-
-@functools.lru_cache(maxsize=1)
-def digest_encoder(ranks_path: str, pattern: str) -> BatchEncoder:
-    """A worker's encoder, which stays for its next task; of a word it keeps the number of ids, the ids written out, and their bytes."""
-    encoder = BatchEncoder(ranks_path, pattern)
-    token = encoder.replay.bytes_of.__getitem__
-    encoder.made = lambda ids: (len(ids), " ".join(map(str, ids)), b"".join(map(token, ids)))
-    return encoder
-
-
-def chunks(texts: list[str | None], most: int = REPLAY_BYTES):
-    """Runs of texts of ``most`` bytes together, or one longer text; null is empty."""
+def chunks(texts: list[str | None], most: int = CHUNK_CHARS):
+    """Runs of texts of ``most`` characters together, or one longer text; null is empty."""
     run, held = [], 0
     for t in texts:
         t = t or ""
@@ -204,19 +170,120 @@ def chunks(texts: list[str | None], most: int = REPLAY_BYTES):
         yield run
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """A row per row of ``docs``: doc_id, ids (array)."""
+def split_chunks(docs: DataFrame, pattern: str) -> DataFrame:
+    """A written table, a row per chunk: chunk, doc_ids, sizes (words of each text), places, words.
+
+    ``words``: the distinct words; ``places``: of every word of the texts, its place there, in 2 bytes where they are
+    few and in 4 otherwise.
+    """
+
+    def run(batches):
+        split, number = regex.compile(pattern).findall, TaskContext.get().partitionId() << 33
+        for b in batches:
+            at = 0
+            for texts in chunks(b.column("text").to_pylist(), CHUNK_CHARS):
+                index: dict[str, int] = {}
+                sizes, places = [], []
+                for t in texts:
+                    words = split(t)
+                    sizes.append(len(words))
+                    places.extend([index.setdefault(w, len(index)) for w in words])
+                kind = np.uint16 if len(index) <= 1 << 16 else np.uint32
+                row = [[number], [b.column("doc_id")[at : at + len(texts)].to_pylist()], [np.array(sizes, dtype=np.int32).tobytes()], [np.array(places, dtype=kind).tobytes()], [list(index)]]
+                types = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.list_(pa.string())]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types)], names=["chunk", "doc_ids", "sizes", "places", "words"])
+                at += len(texts)
+                number += 1
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return materialize(rows.mapInArrow(run, "chunk long, doc_ids array<long>, sizes binary, places binary, words array<string>"), "chunks")
+
+
+def replay_words(split: DataFrame, ranks_path: str) -> DataFrame:
+    """The ids of every distinct word of all chunks: word, n (chunks that have it), chunk and place of one, ids; a written table."""
 
     def run(batches):
-        encoder = BatchEncoder(ranks_path, pattern)
+        replay, held, size = MergeReplay(load_ranks(ranks_path)), [], 0
+
+        def replayed():
+            table = pa.Table.from_batches(held)
+            ids = replay.encode([w.encode() for w in table.column("word").to_pylist()])
+            packed = pa.array([np.array(i, dtype=np.int32).tobytes() for i in ids], pa.binary())
+            return table.append_column("ids", packed).to_batches()
+
+        for b in batches:
+            held.append(b)
+            size += b.column("word").nbytes
+            if size >= REPLAY_BYTES:
+                yield from replayed()
+                held, size = [], 0
+        if held:
+            yield from replayed()
+
+    words = split.select("chunk", F.posexplode("words").alias("place", "word"))
+    distinct = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min("chunk").alias("chunk"), F.min("place").alias("place"))
+    return materialize(distinct.mapInArrow(run, "word string, n long, chunk long, place int, ids binary"), "words")
+
+
+def most_common(words: DataFrame) -> dict[str, bytes]:
+    """Ids of the words of most chunks, HEAD_WORDS words and HEAD_BYTES bytes at most."""
+    size = F.octet_length("word") + F.octet_length("ids")
+    several = words.filter((F.col("n") > 1) & (size <= HEAD_BYTES // 64)).orderBy(F.desc("n"), "word").limit(HEAD_WORDS)
+    out, held = {}, 0
+    for row in several.select("word", "ids").toLocalIterator():
+        held += len(row["word"].encode()) + len(row["ids"])
+        if held > HEAD_BYTES:
+            break
+        out[row["word"]] = bytes(row["ids"])
+    return out
+
+
+def by_chunk(docs: DataFrame, ranks_path: str, pattern: str, finish: Callable[[list[bytes], list[np.ndarray]], list[pa.Array]], names: str) -> DataFrame:
+    """A row per row of ``docs``: doc_id and the columns ``names`` that ``finish`` makes of a chunk.
+
+    ``finish`` gets the ids of each distinct word of the chunk, packed, and for each text the places of its words.
+    """
+    split = split_chunks(docs, pattern)
+    words = replay_words(split, ranks_path)
+    head = docs.sparkSession.sparkContext.broadcast(most_common(words))
+
+    def others(batches):
+        known = head.value
         for b in batches:
-            out = []
-            for texts in chunks(b.column("text").to_pylist()):
-                words, ids = encoder.encode(texts)
-                out.extend([i for w in ws for i in ids[w]] for ws in words)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            for chunk, own in zip(b.column("chunk").to_pylist(), b.column("words").to_pylist()):
+                left = [i for i, w in enumerate(own) if w not in known]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([chunk] * len(left), pa.int64()), pa.array(left, pa.int32()), pa.array([own[i] for i in left], pa.string())], names=["chunk", "place", "word"]
+                )
+
+    several = words.filter("n > 1").select("word", "ids")
+    met = split.select("chunk", "words").mapInArrow(others, "chunk long, place int, word string").join(several, "word")
+    tail = words.filter("n = 1").select("chunk", "place", "ids").unionByName(met.select("chunk", "place", "ids"))
+    schema = pa.schema([("doc_id", pa.int64()), *((n.split()[0], {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}[n.split()[1]]) for n in names.split(", "))])
+
+    def assemble(chunk: pa.Table, ids: pa.Table) -> pa.Table:
+        if not chunk.num_rows:
+            return pa.Table.from_pylist([], schema=schema)
+        known = head.value
+        (doc_ids,), (sizes,), (places,), (own,) = (chunk.column(c).to_pylist() for c in ("doc_ids", "sizes", "places", "words"))
+        found = [known.get(w) for w in own]
+        for place, packed in zip(ids.column("place").to_pylist(), ids.column("ids").to_pylist()):
+            found[place] = packed
+        places = np.frombuffer(places, dtype=np.uint16 if len(own) <= 1 << 16 else np.uint32)
+        texts = np.split(places, np.cumsum(np.frombuffer(sizes, dtype=np.int32))[:-1])
+        return pa.table([pa.array(doc_ids, pa.int64()), *finish(found, texts)], schema=schema)
+
+    return split.groupBy("chunk").cogroup(tail.groupBy("chunk")).applyInArrow(assemble, f"doc_id long, {names}")
+
+
+def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """A row per row of ``docs``: doc_id, ids (array)."""
+
+    def finish(found, texts):
+        ids = [np.frombuffer(i, dtype=np.int32) for i in found]
+        return [pa.array([np.concatenate([ids[p] for p in places.tolist()]) if len(places) else np.zeros(0, np.int32) for places in texts], pa.list_(pa.int32()))]
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return by_chunk(docs, ranks_path, pattern, finish, "ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, ranks_path: str) -> DataFrame:
@@ -234,24 +301,23 @@ def decode_documents(encoded: DataFrame, ranks_path: str) -> DataFrame:
 def digest_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """A row per row of ``docs``: doc_id, n_tokens, ids_sha256, decoded_sha256.
 
-    Encodes and decodes in one pass over the texts, so that ids never leave the worker; the ids of
-    a word are written out and decoded once per batch.
+    The ids of a word are written out and decoded once per chunk.
     """
-
-    def run(batches):
-        encoder = digest_encoder(ranks_path, pattern)
-        for b in batches:
-            n_tokens, ids_sha, data_sha = [], [], []
-            for texts in chunks(b.column("text").to_pylist()):
-                words, kept = encoder.encode(texts)
-                for ws in words:
-                    sizes, shown, decoded = zip(*map(kept.__getitem__, ws)) if ws else ((), (), ())
-                    n_tokens.append(sum(sizes))
-                    ids_sha.append(hashlib.sha256(" ".join(shown).encode()).hexdigest())
-                    data_sha.append(hashlib.sha256(b"".join(decoded)).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(np.array(n_tokens, dtype=np.int64)), pa.array(ids_sha, pa.string()), pa.array(data_sha, pa.string())],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    tokens: dict[int, bytes] = {}
+
+    def finish(found, texts):
+        if not tokens:
+            tokens.update((rank, token) for token, rank in load_ranks(ranks_path).items())
+        ids = [np.frombuffer(i, dtype=np.int32).tolist() for i in found]
+        size = np.array(list(map(len, ids)), dtype=np.int64)
+        shown = [" ".join(map(str, i)) for i in ids]
+        decoded = [b"".join([tokens[t] for t in i]) for i in ids]
+        n_tokens, ids_sha, data_sha = [], [], []
+        for places in texts:
+            n_tokens.append(int(size[places].sum()))
+            own = places.tolist()
+            ids_sha.append(hashlib.sha256(" ".join([shown[p] for p in own]).encode()).hexdigest())
+            data_sha.append(hashlib.sha256(b"".join([decoded[p] for p in own])).hexdigest())
+        return [pa.array(n_tokens, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(data_sha, pa.string())]
+
+    return by_chunk(docs, ranks_path, pattern, finish, "n_tokens long, ids_sha256 string, decoded_sha256 string")

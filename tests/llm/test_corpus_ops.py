@@ -162,9 +162,15 @@ def test_shorten_keeps_columns(spark, rows):
     assert {r["digest"] for r in out} == {"clash"} and {r["part"] for r in out} == {7}
 
 
-def test_bpe_equals_tiktoken(spark, rows):
+@pytest.mark.parametrize("chunk,head", [(4 << 20, 1 << 17), (3000, 20)])
+def test_bpe_equals_tiktoken(spark, rows, monkeypatch, chunk, head):
+    """In few chunks with a broadcast head, and in many whose words are mostly joined."""
     import tiktoken
 
+    monkeypatch.setattr(bpe_replay, "CHUNK_CHARS", chunk)
+    monkeypatch.setattr(bpe_replay, "HEAD_WORDS", head)
+    monkeypatch.setattr(bpe_replay, "REPLAY_BYTES", chunk)
+
     ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in open(vocabulary("byte_bpe_50k.tiktoken"), "rb"))}
     coder = tiktoken.Encoding("own", pat_str=pattern(), mergeable_ranks=ranks, special_tokens={})
     texts = [t for _, t in rows] + ["<|endoftext|> aaaaaaaaaaaaaaab \n\n\t  😀é it's 12345", "ab" * 3000, "​́zzzzzz"]
@@ -181,12 +187,22 @@ def test_bpe_equals_tiktoken(spark, rows):
         assert bytes(r["data"]) == (texts[r["doc_id"]] or "").encode()
 
 
+def test_bpe_edges(spark):
+    """Repeated rows and null identifiers stay rows; each distinct word is replayed once; no rows of no rows."""
+    docs = spark.createDataFrame([(1, "ab ab", 7), (1, "ab ab", 7), (None, "ab", 8), (2, None, 9)], "doc_id long, text string, chunk int")
+    ranks = vocabulary("byte_bpe_50k.tiktoken")
+    got = bpe_replay.digest_documents(docs, ranks, pattern()).collect()
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_tokens"]) for r in got) == [(-1, 1), (1, 2), (1, 2), (2, 0)]
+    words = bpe_replay.replay_words(bpe_replay.split_chunks(docs.repartition(3), pattern()), ranks)
+    assert sorted(r["word"] for r in words.collect()) == [" ab", "ab"]
+    assert bpe_replay.digest_documents(docs.filter("doc_id > 9"), ranks, pattern()).count() == 0
+
+
 def test_packing(spark, rows):
     import numpy as np
     from tokenizers import Tokenizer
 
     coder = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
-    coder.encode_special_tokens = True
     want, total = [], 0
     for i, t in rows:
         ids = [*coder.encode(t or "", add_special_tokens=False).ids, 0]
