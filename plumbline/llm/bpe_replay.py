@@ -31,12 +31,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import materialize
+from plumbline.llm.common import bucketed, materialize
 
 #: Pairs of tokens whose ranks are remembered.
 CACHE_PAIRS = 400_000
 #: Characters of text in a chunk, and bytes of words in a block of the replay, unless a single one is longer.
-CHUNK_CHARS = 4 << 20
+CHUNK_CHARS = 16 << 20
 REPLAY_BYTES = 1 << 20
 #: Words whose ids are broadcast at most, and the bytes of all of them.
 HEAD_WORDS = 1 << 17
@@ -156,22 +156,8 @@ class MergeReplay:
         return out
 
 
-def chunks(texts: list[str | None], most: int = CHUNK_CHARS):
-    """Runs of texts of ``most`` characters together, or one longer text; null is empty."""
-    run, held = [], 0
-    for t in texts:
-        t = t or ""
-        if run and held + len(t) > most:
-            yield run
-            run, held = [], 0
-        run.append(t)
-        held += len(t)
-    if run:
-        yield run
-
-
 def split_chunks(docs: DataFrame, pattern: str) -> DataFrame:
-    """A written table, a row per chunk: chunk, doc_ids, sizes (words of each text), places, words.
+    """A table bucketed by chunk, a row per chunk: chunk, doc_ids, sizes (words of each text), places, words.
 
     ``words``: the distinct words; ``places``: of every word of the texts, its place there, in 2 bytes where they are
     few and in 4 otherwise.
@@ -179,24 +165,35 @@ def split_chunks(docs: DataFrame, pattern: str) -> DataFrame:
 
     def run(batches):
         split, number = regex.compile(pattern).findall, TaskContext.get().partitionId() << 33
+        index: dict[str, int] = {}
+        ids, sizes, places, held = [], [], [], 0
+
+        def row():
+            kind = np.uint16 if len(index) <= 1 << 16 else np.uint32
+            packed = np.concatenate(places).astype(kind) if places else np.zeros(0, kind)
+            made = [[number], [ids], [np.array(sizes, dtype=np.int32).tobytes()], [packed.tobytes()], [list(index)]]
+            types = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.list_(pa.string())]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(made, types)], names=["chunk", "doc_ids", "sizes", "places", "words"])
+
         for b in batches:
-            at = 0
-            for texts in chunks(b.column("text").to_pylist(), CHUNK_CHARS):
-                index: dict[str, int] = {}
-                sizes, places = [], []
-                for t in texts:
-                    words = split(t)
-                    sizes.append(len(words))
-                    places.extend([index.setdefault(w, len(index)) for w in words])
-                kind = np.uint16 if len(index) <= 1 << 16 else np.uint32
-                row = [[number], [b.column("doc_id")[at : at + len(texts)].to_pylist()], [np.array(sizes, dtype=np.int32).tobytes()], [np.array(places, dtype=kind).tobytes()], [list(index)]]
-                types = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.list_(pa.string())]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types)], names=["chunk", "doc_ids", "sizes", "places", "words"])
-                at += len(texts)
-                number += 1
+            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
+                text = text.as_py() or ""
+                if ids and held + len(text) > CHUNK_CHARS:
+                    yield row()
+                    index, ids, sizes, places, held = {}, [], [], [], 0
+                    number += 1
+                words = split(text)
+                ids.append(doc_id)
+                sizes.append(len(words))
+                places.append(np.array([index.setdefault(w, len(index)) for w in words], dtype=np.uint32))
+                held += len(text)
+        if ids:
+            yield row()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return materialize(rows.mapInArrow(run, "chunk long, doc_ids array<long>, sizes binary, places binary, words array<string>"), "chunks")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    split = rows.mapInArrow(run, "chunk long, doc_ids array<long>, sizes binary, places binary, words array<string>")
+    return bucketed(split, "chunk", -(-size // CHUNK_CHARS), "chunks")
 
 
 def replay_words(split: DataFrame, ranks_path: str) -> DataFrame:

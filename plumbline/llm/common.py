@@ -2,13 +2,32 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.durable import cut as materialize
 from plumbline.functions.durable import made, shared_dir
 
-__all__ = ["fold", "fresh", "global_index", "lower_ascii", "made", "materialize", "shared_dir"]
+__all__ = ["bucketed", "fold", "fresh", "global_index", "lower_ascii", "made", "materialize", "shared_dir"]
+
+
+#: Buckets of a written table at most; Spark takes 100,000.
+MAX_BUCKETS = 1 << 16
+
+
+def bucketed(df: DataFrame, key: str, buckets: int, label: str) -> DataFrame:
+    """``df`` as a written table bucketed by ``key``, so that grouping by it needs no shuffle.
+
+    A bucket holds several keys where there are more of them than MAX_BUCKETS.
+    """
+    spark = df.sparkSession
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"plumbline_{label}_{uuid.uuid4().hex}"
+    writer = df.write.format("parquet").option("compression", "zstd").option("path", made(spark, label, table=name))
+    writer.bucketBy(min(max(least, buckets), MAX_BUCKETS), key).saveAsTable(name)
+    return spark.table(name)
 
 
 def fold(doc_id: Column) -> Column:

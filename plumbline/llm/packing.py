@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.bpe_replay import chunks, load_ranks
+from plumbline.llm.bpe_replay import load_ranks
 from plumbline.llm.common import global_index, materialize
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -59,7 +59,7 @@ def tokenize(docs: DataFrame, ranks_path: str, pattern: str, capacity: int, sepa
         encode = lambda t: coder.encode(t, allowed_special="all") if any(a in t for a in added or ()) else coder.encode_ordinary(t)
         for b in batches:
             rows = []
-            ids_of = (encode(t) for run in chunks(b.column("text").to_pylist()) for t in run)
+            ids_of = (encode(t.as_py() or "") for t in b.column("text"))
             for doc_id, ids in zip(b.column("doc_id").to_pylist(), ids_of):
                 ids = np.array([*ids, separator], dtype="<u4")
                 for k, (start, length) in enumerate(cut(ids, capacity)):

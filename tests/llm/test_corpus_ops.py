@@ -7,7 +7,7 @@ import zlib
 
 import pytest
 
-from plumbline.llm import bpe_replay, chat_format, exact_dedup, hash_ring, packing, quality_rules, suffix_dedup, toxicity
+from plumbline.llm import bpe_replay, chat_format, common, exact_dedup, hash_ring, packing, quality_rules, suffix_dedup, toxicity
 from plumbline.llm.queries import pattern, vocabulary
 from pyspark.sql import functions as F
 
@@ -80,11 +80,11 @@ def brute_cut(rows):
 @pytest.mark.parametrize("part_bytes,fan", [(2000, 4096), (2000, 3), (1, 4096), (8 << 20, 4096)])
 def test_suffix_dedup(spark, rows, monkeypatch, part_bytes, fan):
     """In a few parts, in a tree of parts, in more parts by size than a table may have buckets, and in one."""
-    assert suffix_dedup.MAX_BUCKETS <= 100_000
+    assert common.MAX_BUCKETS <= 100_000
     monkeypatch.setattr(suffix_dedup, "PART_BYTES", part_bytes)
     monkeypatch.setattr(suffix_dedup, "BLOCK", 700)
     monkeypatch.setattr(suffix_dedup, "FAN", fan)
-    monkeypatch.setattr(suffix_dedup, "MAX_BUCKETS", 8)
+    monkeypatch.setattr(common, "MAX_BUCKETS", 8)
     if part_bytes == 1:
         rows = [*rows, (400, "long " * 20_000)]
         assert sum(len((t or "").encode()) for _, t in {t: (i, t) for i, t in rows}.values()) > 100_000
