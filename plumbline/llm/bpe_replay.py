@@ -1,16 +1,15 @@
 """Byte-level BPE encoding and decoding by merge replay over the corpus' distinct words.
 
 Texts are split once into words (matches of the pattern). A chunk of texts is written as its distinct words and, for
-every text, the places of its words among them. The distinct words of all chunks, each once for the
-corpus, are dealt by hash to blocks, and a block's words are laid out in one array of byte tokens. An
-inverted index leads from each mergeable pair, named by its rank, to its positions in all words. A heap replays
-the merges in rank order; each updates the pairs to its left and right only. Within a word the lowest rank goes first,
-the leftmost first among equals, and a merge that makes a pair of a lower rank yields to it, which is
-the order of the rank file's own library.
+every text, the places of its words among them. Chunks send their distinct words, packed, to ranges of a
+hash, FAN chunks at a time in a tree; at its top each distinct word of the corpus is there once, and a range's words are laid out in one
+array of byte tokens. An inverted index leads from each mergeable pair, named by its rank, to its positions in
+all words. A heap replays the merges in rank order; each updates the pairs to its left and right only. Within a word the
+lowest rank goes first, the leftmost first among equals, and a merge that makes a pair of a lower rank yields to it,
+which is the order of the rank file's own library.
 
-Ids come back to the chunks in three ways: words of one chunk keep its number and their place through the
-replay; the HEAD_WORDS words of most chunks are broadcast; all others are joined. Texts themselves
-are never shuffled. Decoding goes through the ids' bytes.
+The ids go back to the chunks the way the words came, in the words' order. Texts themselves are never shuffled.
+Decoding goes through the ids' bytes.
 
 Defined results: null text counts as empty and has no ids; words may be as long as a text, in time
 n log n, and a very long text is a chunk of its own; repeated rows are encoded each, a null identifier stays null; only
@@ -20,7 +19,9 @@ doc_id and text are read, so no other column clashes; an empty table gives no ro
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
+import zlib
 from collections.abc import Callable
 from heapq import heapify, heappop, heappush
 
@@ -31,16 +32,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import bucketed, materialize
+from plumbline.llm.common import bucketed, levels_of, materialize
 
 #: Pairs of tokens whose ranks are remembered.
 CACHE_PAIRS = 400_000
-#: Characters of text in a chunk, and bytes of words in a block of the replay, unless a single one is longer.
+#: Characters of text in a chunk, unless a single text is longer.
 CHUNK_CHARS = 16 << 20
-REPLAY_BYTES = 1 << 20
-#: Words whose ids are broadcast at most, and the bytes of all of them.
-HEAD_WORDS = 1 << 17
-HEAD_BYTES = 8 << 20
+#: Chunks, or groups of them, that meet at one place of the tree.
+FAN = 4096
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -156,15 +155,16 @@ class MergeReplay:
         return out
 
 
-def split_chunks(docs: DataFrame, pattern: str) -> DataFrame:
-    """A table bucketed by chunk, a row per chunk: chunk, doc_ids, sizes (words of each text), places, words.
+def split_chunks(docs: DataFrame, pattern: str) -> tuple[DataFrame, int]:
+    """A table bucketed by chunk, a row per chunk: chunk, doc_ids, sizes (words of each text), places, words; and a bound on chunks.
 
     ``words``: the distinct words; ``places``: of every word of the texts, its place there, in 2 bytes where they are
     few and in 4 otherwise.
     """
 
     def run(batches):
-        split, number = regex.compile(pattern).findall, TaskContext.get().partitionId() << 33
+        # Two neighbouring chunks of a task have more than CHUNK_CHARS together, so it has fewer than ``stride``.
+        split, number = regex.compile(pattern).findall, TaskContext.get().partitionId() * stride
         index: dict[str, int] = {}
         ids, sizes, places, held = [], [], [], 0
 
@@ -172,7 +172,7 @@ def split_chunks(docs: DataFrame, pattern: str) -> DataFrame:
             kind = np.uint16 if len(index) <= 1 << 16 else np.uint32
             packed = np.concatenate(places).astype(kind) if places else np.zeros(0, kind)
             made = [[number], [ids], [np.array(sizes, dtype=np.int32).tobytes()], [packed.tobytes()], [list(index)]]
-            types = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.list_(pa.string())]
+            types = [pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.list_(pa.string())]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(made, types)], names=["chunk", "doc_ids", "sizes", "places", "words"])
 
         for b in batches:
@@ -191,94 +191,127 @@ def split_chunks(docs: DataFrame, pattern: str) -> DataFrame:
             yield row()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    split = rows.mapInArrow(run, "chunk long, doc_ids array<long>, sizes binary, places binary, words array<string>")
-    return bucketed(split, "chunk", -(-size // CHUNK_CHARS), "chunks")
+    by_task = rows.groupBy(F.spark_partition_id()).agg(F.sum(F.octet_length("text")).alias("size"))
+    size, most = by_task.agg(F.sum("size"), F.max("size")).first()
+    size, stride = size or 0, 2 * (most or 0) // CHUNK_CHARS + 2
+    split = rows.mapInArrow(run, "chunk int, doc_ids array<long>, sizes binary, places binary, words array<string>")
+    split = bucketed(split, "chunk", -(-size // CHUNK_CHARS), "chunks")
+    return split, (split.agg(F.max("chunk")).first()[0] or 0) + 1
 
 
-def replay_words(split: DataFrame, ranks_path: str) -> DataFrame:
-    """The ids of every distinct word of all chunks: word, n (chunks that have it), chunk and place of one, ids; a written table."""
+SENT = "node int, bucket long, sizes binary, data binary"
 
-    def run(batches):
-        replay, held, size = MergeReplay(load_ranks(ranks_path)), [], 0
 
-        def replayed():
-            table = pa.Table.from_batches(held)
-            ids = replay.encode([w.encode() for w in table.column("word").to_pylist()])
-            packed = pa.array([np.array(i, dtype=np.int32).tobytes() for i in ids], pa.binary())
-            return table.append_column("ids", packed).to_batches()
+def packed_words(words: list[bytes]) -> tuple[bytes, bytes]:
+    """Sizes and bytes of words, end to end."""
+    return np.array(list(map(len, words)), dtype=np.uint32).tobytes(), b"".join(words)
 
-        for b in batches:
-            held.append(b)
-            size += b.column("word").nbytes
-            if size >= REPLAY_BYTES:
-                yield from replayed()
-                held, size = [], 0
-        if held:
-            yield from replayed()
-
-    words = split.select("chunk", F.posexplode("words").alias("place", "word"))
-    distinct = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min("chunk").alias("chunk"), F.min("place").alias("place"))
-    return materialize(distinct.mapInArrow(run, "word string, n long, chunk long, place int, ids binary"), "words")
-
-
-def most_common(words: DataFrame) -> dict[str, bytes]:
-    """Ids of the words of most chunks, HEAD_WORDS words and HEAD_BYTES bytes at most."""
-    size = F.octet_length("word") + F.octet_length("ids")
-    several = words.filter((F.col("n") > 1) & (size <= HEAD_BYTES // 64)).orderBy(F.desc("n"), "word").limit(HEAD_WORDS)
-    out, held = {}, 0
-    for row in several.select("word", "ids").toLocalIterator():
-        held += len(row["word"].encode()) + len(row["ids"])
-        if held > HEAD_BYTES:
-            break
-        out[row["word"]] = bytes(row["ids"])
-    return out
-
-
-def by_chunk(docs: DataFrame, ranks_path: str, pattern: str, finish: Callable[[list[bytes], list[np.ndarray]], list[pa.Array]], names: str) -> DataFrame:
+
+def unpacked_words(sizes: bytes, data: bytes) -> list[bytes]:
+    ends = np.cumsum(np.frombuffer(sizes, dtype=np.uint32), dtype=np.int64).tolist()
+    return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def ranges_of(words: list[bytes], ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words by the range of their hash: their order, the ranges in use, and where each begins; one rule for sending and for reading answers."""
+    bucket = np.fromiter(map(zlib.crc32, words), dtype=np.int64, count=len(words)) % ranges
+    order = np.argsort(bucket, kind="stable")
+    found, begin = np.unique(bucket[order], return_index=True)
+    return order, found, begin
+
+
+def sent_words(node: int, words: list[bytes], ranges: int) -> pa.Table:
+    """Rows SENT of a node's distinct words, one per range."""
+    order, found, begin = ranges_of(words, ranges)
+    packed = [packed_words([words[i] for i in order[a:b].tolist()]) for a, b in zip(begin, [*begin[1:], len(words)])]
+    columns = [[node] * len(found), found.tolist(), [x[0] for x in packed], [x[1] for x in packed]]
+    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["node", "bucket", "sizes", "data"])
+
+
+def answers(table: pa.Table, ids: dict[bytes, bytes]) -> pa.Table:
+    """For each row SENT the ids of its words, in its order; ``data`` has 4 bytes for each id."""
+    packed = [packed_words([ids[w] for w in unpacked_words(s, d)]) for s, d in zip(table.column("sizes").to_pylist(), table.column("data").to_pylist())]
+    return pa.table([table.column("node"), table.column("bucket"), pa.array([x[0] for x in packed], pa.binary()), pa.array([x[1] for x in packed], pa.binary())], names=["node", "bucket", "sizes", "data"])
+
+
+def distinct_words(table: pa.Table) -> list[bytes]:
+    return list(dict.fromkeys(w for s, d in zip(table.column("sizes").to_pylist(), table.column("data").to_pylist()) for w in unpacked_words(s, d)))
+
+
+def replayed(sent: DataFrame, levels: list[int], ranks_path: str) -> DataFrame:
+    """The rows SENT with ids in place of words: every distinct word of the corpus goes through one replay.
+
+    Up the tree, the nodes of a group send their distinct words on; the top replays them, range by range, and
+    the ids go down the same way.
+    """
+    if len(levels) == 1:
+
+        def top(table: pa.Table) -> pa.Table:
+            words = distinct_words(table)
+            ids = replay_of(ranks_path).encode(words)
+            return answers(table, {w: np.array(i, dtype=np.int32).tobytes() for w, i in zip(words, ids)})
+
+        return sent.groupBy("bucket").applyInArrow(top, SENT)
+
+    def up(table: pa.Table) -> pa.Table:
+        return sent_words(table.column("node")[0].as_py() // FAN, distinct_words(table), levels[1])
+
+    def told(table: pa.Table, above: pa.Table) -> pa.Table:
+        words = distinct_words(table)
+        order = ranges_of(words, levels[1])[0].tolist()
+        by_range = above.sort_by("range_")
+        got = [i for s, d in zip(by_range.column("sizes").to_pylist(), by_range.column("data").to_pylist()) for i in unpacked_words(s, d)]
+        return answers(table, dict(zip((words[i] for i in order), got)))
+
+    sent = materialize(sent.withColumn("above", (F.col("node") / FAN).cast("int")), "sent")
+    above = replayed(sent.groupBy("bucket", "above").applyInArrow(up, SENT), levels[1:], ranks_path)
+    above = above.withColumn("range_", F.col("bucket")).withColumn("bucket", F.col("bucket") % levels[0])
+    return sent.groupBy("bucket", "above").cogroup(above.groupBy("bucket", "node")).applyInArrow(told, SENT)
+
+
+@functools.lru_cache(maxsize=1)
+def replay_of(ranks_path: str) -> MergeReplay:
+    """A worker's replay, which stays for its next range."""
+    return MergeReplay(load_ranks(ranks_path))
+
+
+def by_chunk(docs: DataFrame, ranks_path: str, pattern: str, finish: Callable[[list[np.ndarray], list[np.ndarray]], list[pa.Array]], names: str) -> DataFrame:
     """A row per row of ``docs``: doc_id and the columns ``names`` that ``finish`` makes of a chunk.
 
-    ``finish`` gets the ids of each distinct word of the chunk, packed, and for each text the places of its words.
+    ``finish`` gets the ids of each distinct word of the chunk, and for each text the places of its words.
     """
-    split = split_chunks(docs, pattern)
-    words = replay_words(split, ranks_path)
-    head = docs.sparkSession.sparkContext.broadcast(most_common(words))
+    split, count = split_chunks(docs, pattern)
+    levels = levels_of(max(1, count), FAN)
 
-    def others(batches):
-        known = head.value
-        for b in batches:
-            for chunk, own in zip(b.column("chunk").to_pylist(), b.column("words").to_pylist()):
-                left = [i for i, w in enumerate(own) if w not in known]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([chunk] * len(left), pa.int64()), pa.array(left, pa.int32()), pa.array([own[i] for i in left], pa.string())], names=["chunk", "place", "word"]
-                )
-
-    several = words.filter("n > 1").select("word", "ids")
-    met = split.select("chunk", "words").mapInArrow(others, "chunk long, place int, word string").join(several, "word")
-    tail = words.filter("n = 1").select("chunk", "place", "ids").unionByName(met.select("chunk", "place", "ids"))
+    def send(table: pa.Table) -> pa.Table:
+        rows = zip(table.column("chunk").to_pylist(), table.column("words").to_pylist())
+        return pa.concat_tables([sent_words(chunk, [w.encode() for w in words], levels[0]) for chunk, words in rows])
+
+    ids = replayed(split.select("chunk", "words").groupBy("chunk").applyInArrow(send, SENT), levels, ranks_path).withColumnRenamed("node", "chunk")
     schema = pa.schema([("doc_id", pa.int64()), *((n.split()[0], {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}[n.split()[1]]) for n in names.split(", "))])
 
     def assemble(chunk: pa.Table, ids: pa.Table) -> pa.Table:
-        if not chunk.num_rows:
-            return pa.Table.from_pylist([], schema=schema)
-        known = head.value
-        (doc_ids,), (sizes,), (places,), (own,) = (chunk.column(c).to_pylist() for c in ("doc_ids", "sizes", "places", "words"))
-        found = [known.get(w) for w in own]
-        for place, packed in zip(ids.column("place").to_pylist(), ids.column("ids").to_pylist()):
-            found[place] = packed
-        places = np.frombuffer(places, dtype=np.uint16 if len(own) <= 1 << 16 else np.uint32)
+        (doc_ids,), (sizes,), (places,), (words,) = (chunk.column(c).to_pylist() for c in ("doc_ids", "sizes", "places", "words"))
+        order = ranges_of([w.encode() for w in words], levels[0])[0]
+        n = len(words)
+        del words
+        by_range = ids.sort_by("bucket")
+        found: list = [None] * n
+        got = (i for s, d in zip(by_range.column("sizes").to_pylist(), by_range.column("data").to_pylist()) for i in unpacked_words(s, d))
+        for place, packed in zip(order.tolist(), got):
+            found[place] = np.frombuffer(packed, dtype=np.int32)
+        places = np.frombuffer(places, dtype=np.uint16 if n <= 1 << 16 else np.uint32)
         texts = np.split(places, np.cumsum(np.frombuffer(sizes, dtype=np.int32))[:-1])
         return pa.table([pa.array(doc_ids, pa.int64()), *finish(found, texts)], schema=schema)
 
-    return split.groupBy("chunk").cogroup(tail.groupBy("chunk")).applyInArrow(assemble, f"doc_id long, {names}")
+    return split.groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInArrow(assemble, f"doc_id long, {names}")
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """A row per row of ``docs``: doc_id, ids (array)."""
 
     def finish(found, texts):
-        ids = [np.frombuffer(i, dtype=np.int32) for i in found]
-        return [pa.array([np.concatenate([ids[p] for p in places.tolist()]) if len(places) else np.zeros(0, np.int32) for places in texts], pa.list_(pa.int32()))]
+        return [pa.array([np.concatenate([found[p] for p in places.tolist()]) if len(places) else np.zeros(0, np.int32) for places in texts], pa.list_(pa.int32()))]
 
     return by_chunk(docs, ranks_path, pattern, finish, "ids array<int>")
 
@@ -305,7 +338,7 @@ def digest_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFram
     def finish(found, texts):
         if not tokens:
             tokens.update((rank, token) for token, rank in load_ranks(ranks_path).items())
-        ids = [np.frombuffer(i, dtype=np.int32).tolist() for i in found]
+        ids = [i.tolist() for i in found]
         size = np.array(list(map(len, ids)), dtype=np.int64)
         shown = [" ".join(map(str, i)) for i in ids]
         decoded = [b"".join([tokens[t] for t in i]) for i in ids]

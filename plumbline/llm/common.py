@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.durable import cut as materialize
 from plumbline.functions.durable import made, shared_dir
 
-__all__ = ["bucketed", "fold", "fresh", "global_index", "lower_ascii", "made", "materialize", "shared_dir"]
+__all__ = ["bucketed", "fold", "fresh", "global_index", "levels_of", "lower_ascii", "made", "materialize", "shared_dir"]
 
 
 #: Buckets of a written table at most; Spark takes 100,000.
@@ -30,6 +30,18 @@ def bucketed(df: DataFrame, key: str, buckets: int, label: str) -> DataFrame:
     return spark.table(name)
 
 
+def levels_of(nodes: int, fan: int) -> list[int]:
+    """Ranges of keys at each level of the tree that brings ``fan`` nodes, then ``fan`` groups of them, together.
+
+    A sender has rows for ``fan`` ranges or so, whatever the nodes; each level's ranges divide the next one's.
+    """
+    out, left = [], nodes
+    while left > fan:
+        out.append((out[-1] if out else 1) * fan)
+        left = -(-left // fan)
+    return [*out, (out[-1] if out else 1) * left]
+
+
 def fold(doc_id: Column) -> Column:
     """crc32 of the identifier as text, modulo 5; a null identifier is in no fold."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(5)), F.lit(-1))

@@ -121,7 +121,7 @@ def test_previous_factors(monkeypatch):
 
 def test_levels():
     for parts in (1, 4096, 4097, 12_500_000, 10**11):
-        levels = suffix_dedup.levels_of(parts)
+        levels = common.levels_of(parts, suffix_dedup.FAN)
         assert parts <= suffix_dedup.FAN ** len(levels) and levels[-1] >= parts
         assert all(b % a == 0 and b // a <= suffix_dedup.FAN for a, b in zip([1, *levels], levels))
 
@@ -162,14 +162,13 @@ def test_shorten_keeps_columns(spark, rows):
     assert {r["digest"] for r in out} == {"clash"} and {r["part"] for r in out} == {7}
 
 
-@pytest.mark.parametrize("chunk,head", [(4 << 20, 1 << 17), (3000, 20)])
-def test_bpe_equals_tiktoken(spark, rows, monkeypatch, chunk, head):
-    """In few chunks with a broadcast head, and in many whose words are mostly joined."""
+@pytest.mark.parametrize("chunk,fan", [(4 << 20, 4096), (3000, 5)])
+def test_bpe_equals_tiktoken(spark, rows, monkeypatch, chunk, fan):
+    """In few chunks, and in many that meet in a tree."""
     import tiktoken
 
     monkeypatch.setattr(bpe_replay, "CHUNK_CHARS", chunk)
-    monkeypatch.setattr(bpe_replay, "HEAD_WORDS", head)
-    monkeypatch.setattr(bpe_replay, "REPLAY_BYTES", chunk)
+    monkeypatch.setattr(bpe_replay, "FAN", fan)
 
     ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in open(vocabulary("byte_bpe_50k.tiktoken"), "rb"))}
     coder = tiktoken.Encoding("own", pat_str=pattern(), mergeable_ranks=ranks, special_tokens={})
@@ -193,8 +192,8 @@ def test_bpe_edges(spark):
     ranks = vocabulary("byte_bpe_50k.tiktoken")
     got = bpe_replay.digest_documents(docs, ranks, pattern()).collect()
     assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_tokens"]) for r in got) == [(-1, 1), (1, 2), (1, 2), (2, 0)]
-    words = bpe_replay.replay_words(bpe_replay.split_chunks(docs.repartition(3), pattern()), ranks)
-    assert sorted(r["word"] for r in words.collect()) == [" ab", "ab"]
+    split, count = bpe_replay.split_chunks(docs.repartition(3), pattern())
+    assert sorted({w for r in split.collect() for w in r["words"]}) == [" ab", "ab"] and split.agg({"chunk": "max"}).first()[0] < count
     assert bpe_replay.digest_documents(docs.filter("doc_id > 9"), ranks, pattern()).count() == 0
 
 
