@@ -327,6 +327,41 @@ def test_toxicity_interaction():
     assert model.logit(np.array([1, 2], dtype=np.int32)) > 0 > alone
 
 
+def test_toxicity_terms_that_only_pairs_make_toxic():
+    """Neither term goes with the label by itself: one alone is toxic, both or none are clean."""
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    labels, terms = [], []
+    for i in range(4000):
+        one, other = i % 2, (i // 2) % 2
+        noise = rng.choice(np.arange(100, 140), 5, replace=False)
+        terms.append(np.sort(np.array([*([1] * one), *([2] * other), *noise], dtype=np.int32)))
+        labels.append(float(one != other))
+    model = toxicity.fit(np.array(labels), terms, 0.5)
+    z = [model.logit(np.array(t, dtype=np.int32)) for t in ([], [1], [2], [1, 2])]
+    assert model.ids.tolist() == [1, 2]
+    assert z[0] < 0 < z[1] and z[3] < 0 < z[2]
+
+
+def test_toxicity_group_mention():
+    """A term as common in toxic as in clean texts gets factors, because beside an insult it makes texts toxic."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    labels, terms = [], []
+    for _ in range(6000):
+        insult, group = rng.random() < 0.2, rng.random() < 0.2
+        toxic = (insult and group) if rng.random() < 0.95 else rng.random() < 0.1
+        toxic |= not group and rng.random() < 0.12
+        noise = rng.choice(np.arange(100, 140), 5, replace=False)
+        terms.append(np.sort(np.array([*([1] * insult), *([2] * group), *noise], dtype=np.int32)))
+        labels.append(float(toxic))
+    model = toxicity.fit(np.array(labels), terms, float(np.mean(labels)))
+    z = [model.logit(np.array(t, dtype=np.int32)) for t in ([1], [2], [1, 2])]
+    assert model.ids.tolist() == [1, 2] and z[2] > 0 > max(z[:2])
+
+
 def test_toxicity_share_of_the_sample():
     """A sample by class has the scores and the terms of one with the true share of toxic texts."""
     import numpy as np
@@ -355,6 +390,14 @@ def test_toxicity_edges(spark):
     assert {r["predicted"] for r in toxicity.toxicity(docs, none).collect()} == {0}
     assert toxicity.toxicity(table(spark, []), none).count() == 0
     assert toxicity.drop_toxic(docs, none).count() == 3
+    # Repeated rows score alike, very long texts are scored, and columns of any name are carried.
+    rows = [(i, "vile scum" if i % 2 else "fine day") for i in range(40)]
+    known = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(1, 0), (None, 1), (2, None)], "doc_id long, toxic int")
+    more = spark.createDataFrame([(*r, 0.5, "x") for r in [*rows, rows[1], (90, "scum vile " * 30_000), (91, None)]], "doc_id long, text string, score double, toxic_score string")
+    got = toxicity.toxicity(more, known).collect()
+    assert len({r["score"] for r in got if r["doc_id"] == 1}) == 1 and next(r for r in got if r["doc_id"] == 90)["predicted"] == 1
+    kept = toxicity.drop_toxic(more, known)
+    assert kept.columns == more.columns and sorted(r["doc_id"] for r in kept.collect()) == [*range(0, 40, 2), 91]
 
 
 def test_chat_round_trip(spark):
