@@ -41,7 +41,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.apply_rules(documents(spark, sf_dir))
     return out.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("host_rate", 6).alias("host_rate")
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule_failed", F.round("host_rate", 6).alias("host_rate")
     )
 
 
@@ -119,7 +119,7 @@ WITH words AS (
   SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words
   FROM twice, (VALUES (0), (1), (2)) AS offsets(k) GROUP BY doc_id
 ), lines AS (
-  SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines, count(*) AS n_lines
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM words)
   WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
 ), counted AS (
@@ -127,22 +127,24 @@ WITH words AS (
          CAST(len(w.w) AS BIGINT) AS n_words,
          CAST(coalesce(list_sum(list_transform(w.w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
          CAST(length(regexp_replace(w.text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
-         CAST(coalesce(l.n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(l.n_dup_lines, 0) AS BIGINT) AS n_dup_lines, coalesce(l.n_lines, 0) AS n_lines,
          CAST(coalesce(c.n_repeat_words, 0) AS BIGINT) AS n_repeat_words
   FROM words w LEFT JOIN lines l USING (doc_id) LEFT JOIN covered c USING (doc_id)
 ), ruled AS (
-  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+         100 * n_symbols > 10 * word_chars OR 100 * n_dup_lines > 30 * n_lines OR word_chars < 2 * n_words OR word_chars > 14 * n_words AS shape_failed
+  FROM counted
 ), hosts AS (
-  SELECT source, count(*) AS n, count(*) FILTER (WHERE base_failed) AS f FROM ruled GROUP BY source
+  SELECT source, count(*) AS n, count(*) FILTER (WHERE base_failed OR shape_failed) AS f FROM ruled GROUP BY source
 ), moments AS (
   SELECT sum(f) / sum(n) AS m, sum(f * (f / n)) / sum(n) - (sum(f) / sum(n)) * (sum(f) / sum(n)) AS v FROM hosts
 ), prior AS (
   SELECT m, CASE WHEN v > 1e-12 THEN greatest(1.0, least(1e6, m * (1 - m) / v - 1)) ELSE 1e6 END AS weight FROM moments
 ), rates AS (
-  SELECT source, (f + m * weight) / (n + weight) AS host_rate FROM hosts, prior
+  SELECT source, (f + m * weight) / (n + weight) AS host_rate, least(0.5, greatest(0.3, m + 3 * sqrt(m * (1 - m) / (weight + 1)))) AS host_cut FROM hosts, prior
 )
 SELECT r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed,
-       NOT r.base_failed AND h.host_rate < 0.5 AS kept, round(h.host_rate, 6) AS host_rate
+       NOT r.base_failed AND h.host_rate < h.host_cut AS kept, r.base_failed OR r.shape_failed AS rule_failed, round(h.host_rate, 6) AS host_rate
 FROM ruled r JOIN rates h ON r.source IS NOT DISTINCT FROM h.source
 """
 
