@@ -84,9 +84,9 @@ def global_index(df: DataFrame, order: list[str], out: str = "idx") -> DataFrame
     ranged = materialize(ranged, "ranged")
     part = F.shiftright(F.col(place), 33)
     before, offsets = 0, []
-    for row in sorted(ranged.groupBy(part.alias("part")).count().collect()):
+    for row in sorted(ranged.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()):
         offsets.append((row["part"], before))
-        before += row["count"]
+        before += row["n"]
     (pid, base) = fresh(ranged, "part_", "base_")
     table = spark.createDataFrame(offsets or [(0, 0)], f"{pid} long, {base} long")
     return (

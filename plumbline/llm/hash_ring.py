@@ -7,8 +7,10 @@ With ``slack`` 0 the bounds add up to the rows, and counts are at most one apart
 slack moves fewer rows when shards are added. Ring, bounds and overflow need only the row
 counts of the arcs, shards x vnodes numbers; rows find their place by their global rank.
 
-Defined results: a null identifier hashes like any other value; null text has no bytes; repeated
-rows get slots of their own; an empty table gives no rows.
+Defined results: a null identifier hashes like any other value; rows are placed by their key alone, so empty and
+very long texts are rows like others; rows with one key are split where a bound cuts them, and go by the columns
+``order``, then by their place in the input; repeated rows get slots of their own; columns named shard or slot give way
+to the result's, others may have any name; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import global_index
+from plumbline.llm.common import fresh, global_index
 
 
 def ring(shards: int, vnodes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -44,25 +46,35 @@ def bounds(total: int, shards: int, slack: float) -> list[int]:
 def overflow(counts: np.ndarray, owners: np.ndarray, capacity: list[int]) -> list[tuple[int, int, int, int]]:
     """Segments (arc, first rank in the arc, rows, shard): who holds which ranks of each arc.
 
-    Arcs offer their rows to their own shard first, in ring order; what is left goes to the
-    next other shard clockwise, and so on.
+    Arcs offer their rows to their own shard first, in ring order; what is left then goes, arc by arc, to the next
+    shards clockwise that have room. A point whose shard is full leads on to the next one.
     """
     n, room, left, taken = len(owners), list(capacity), counts.tolist(), [0] * len(owners)
-    walk = []
+    onward, out = list(range(n)), []
+
+    def free(point):
+        start = point
+        while onward[point] != point or not room[owners[point]]:
+            if onward[point] == point:
+                onward[point] = (point + 1) % n
+            point = onward[point]
+        while start != point:
+            onward[start], start = point, onward[start]
+        return point
+
+    def take(arc, shard):
+        got = min(left[arc], room[shard])
+        if got:
+            out.append((arc, taken[arc], got, shard))
+            room[shard] -= got
+            left[arc] -= got
+            taken[arc] += got
+
+    for arc in range(n):
+        take(arc, int(owners[arc]))
     for arc in range(n):
-        seen = dict.fromkeys(int(owners[(arc + i) % n]) for i in range(n)) if left[arc] else {}
-        walk.append(list(seen))
-    out = []
-    for step in range(max(map(len, walk), default=0)):
-        for arc in range(n):
-            if left[arc] and step < len(walk[arc]):
-                shard = walk[arc][step]
-                got = min(left[arc], room[shard])
-                if got:
-                    out.append((arc, taken[arc], got, shard))
-                    room[shard] -= got
-                    left[arc] -= got
-                    taken[arc] += got
+        while left[arc]:
+            take(arc, int(owners[free(arc)]))
     return out
 
 
@@ -72,18 +84,21 @@ def assign(rows: DataFrame, key: str, shards: int, vnodes: int = 128, slack: flo
     ``order``: columns that order rows with one key; the result doesn't depend on the input's order.
     """
     places, owners = ring(shards, vnodes)
+    place, arc_name, idx = fresh(rows, "place", "arc", "idx")
+    columns = [c for c in rows.columns if c not in ("shard", "slot")]
+    rows = rows.select(columns)
 
     def arcs(batches):
         for b in batches:
-            at = np.searchsorted(places, b.column("place").to_numpy(zero_copy_only=False), side="left") % len(places)
-            yield b.append_column("arc", pa.array(at.astype(np.int32)))
+            at = np.searchsorted(places, b.column(place).to_numpy(zero_copy_only=False), side="left") % len(places)
+            yield b.append_column(arc_name, pa.array(at.astype(np.int32)))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    placed = rows.withColumn("place", F.xxhash64(key)).mapInArrow(arcs, f"{schema}, place long, arc int")
-    ranked = global_index(placed, ["arc", "place", key, *(order or [])])
+    placed = rows.withColumn(place, F.xxhash64(key)).mapInArrow(arcs, f"{schema}, {place} long, {arc_name} int")
+    ranked = global_index(placed, [arc_name, place, key, *(order or [])], idx)
     counts = np.zeros(len(places), dtype=np.int64)
-    for row in ranked.groupBy("arc").count().collect():
-        counts[row["arc"]] = row["count"]
+    for row in ranked.groupBy(F.col(arc_name).alias("arc")).agg(F.count(F.lit(1)).alias("n")).collect():
+        counts[row["arc"]] = row["n"]
     starts = np.concatenate([[0], np.cumsum(counts)])
     segments = overflow(counts, owners, bounds(int(counts.sum()), shards, slack))
     filled, begin, slots, shard_of = [0] * shards, [], [], []
@@ -97,9 +112,9 @@ def assign(rows: DataFrame, key: str, shards: int, vnodes: int = 128, slack: flo
 
     def slotted(batches):
         for b in batches:
-            idx = b.column("idx").to_numpy(zero_copy_only=False)
-            at = np.searchsorted(begin, idx, side="right") - 1
+            rank = b.column(idx).to_numpy(zero_copy_only=False)
+            at = np.searchsorted(begin, rank, side="right") - 1
             out = b.append_column("shard", pa.array(shard_of[at].astype(np.int32)))
-            yield out.append_column("slot", pa.array(slots[at] + (idx - begin[at])))
+            yield out.append_column("slot", pa.array(slots[at] + (rank - begin[at])))
 
-    return ranked.mapInArrow(slotted, f"{schema}, place long, arc int, idx long, shard int, slot long").select(*rows.columns, "shard", "slot")
+    return ranked.mapInArrow(slotted, f"{schema}, {place} long, {arc_name} int, {idx} long, shard int, slot long").select(*columns, "shard", "slot")
