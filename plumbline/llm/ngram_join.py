@@ -11,12 +11,15 @@ Sets whose signatures agree by LOOSE or more are candidates; a bucket passes on
 them, not its pairs. In a large bucket a set within CLOSE of the leader is done, as by the triangle
 inequality all its own partners are within LOOSE of that leader, and so is a bucket without sets
 beyond LOOSE. The components of the candidates hold every link. Each component's exact sets then
-meet in pairs of blocks of BLOCK sets, which count the links of each set and pass on forests again; classes
-are the components of those. Pairs are never emitted; links are counted exactly.
+meet in pairs of blocks, which count the links of each set and pass on forests again; classes
+are the components of those. A block has BLOCK sets and BLOCK_BYTES bytes at most; a component of more than one block is
+split into levels of size first, a factor of 1 / threshold apart, as linked sets are of one level or of two neighbouring
+ones. Pairs are never emitted; links are counted exactly.
 
 Defined results: texts without words link to nothing; texts of fewer words than SHINGLE have one
-n-gram; equal sets are one class whatever their identifiers; repeated rows are rows of their own; a
-null identifier comes after all others; an empty table gives no rows.
+n-gram; very long texts are sets like others; a similarity of exactly the threshold links; equal sets are one class
+whatever their identifiers; repeated rows are rows of their own; a null identifier comes after all others; ``keep_one``
+carries other columns under any names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -43,6 +46,7 @@ BRANCHES = 2
 SAMPLES = 64
 SMALL = 4096
 BLOCK = 4096
+BLOCK_BYTES = 16 << 20
 LOOSE = 0.5
 CLOSE = 0.88
 #: N-grams hashed at a time.
@@ -125,9 +129,9 @@ def sketch(docs: DataFrame) -> DataFrame:
 
 
 def representatives(sketches: DataFrame) -> DataFrame:
-    """A row per distinct non-empty set: node, set_key, rep_doc, sig, as a written table."""
+    """A row per distinct non-empty set: node, set_key, rep_doc, n, sig, as a written table."""
     order = F.struct(F.col("doc_id").isNull(), "doc_id")
-    reps = sketches.filter("n > 0").groupBy("set_key").agg(F.min(order)["doc_id"].alias("rep_doc"), F.min("sig").alias("sig"))
+    reps = sketches.filter("n > 0").groupBy("set_key").agg(F.min(order)["doc_id"].alias("rep_doc"), F.min("n").alias("n"), F.min("sig").alias("sig"))
     return materialize(reps.withColumn("node", F.monotonically_increasing_id()), "sets")
 
 
@@ -349,17 +353,37 @@ def count_links(sets: list[np.ndarray], other: int, threshold: float) -> tuple[n
     return degree, forest
 
 
+def blocked(sets: DataFrame, loose: DataFrame, threshold: float) -> DataFrame:
+    """(node, root, level, side, cross, x, y, set_key, rep_doc): the pairs of blocks that each set of a component goes to.
+
+    ``cross`` pairs are of a block of ``level`` (side 0) and one of the level above it (side 1); all others are within
+    a level.
+    """
+    sized = loose.join(sets.select("node", "set_key", "rep_doc", "n"), "node")
+    blocks = lambda: F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") * 8 / BLOCK_BYTES)).cast("int")
+    # A little more than the factor, so that rounding never puts a pair at the threshold two levels apart.
+    level = F.floor(F.log("n") / (math.log(1 / threshold) * (1 + 1e-9))).cast("int")
+    sized = sized.join(sized.groupBy("root").agg(blocks().alias("whole")), "root").withColumn("level", F.when(F.col("whole") > 1, level).otherwise(0))
+    per = sized.groupBy("root", "level").agg(blocks().alias("blocks")).groupBy("root").agg(F.map_from_entries(F.collect_list(F.struct("level", "blocks"))).alias("levels"))
+    placed = sized.join(per, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("levels")[F.col("level")]).cast("int"))
+    upto = lambda n: F.filter(F.sequence(F.lit(0), F.coalesce(n, F.lit(0))), lambda k: k < F.coalesce(n, F.lit(0)))
+    entry = lambda level, side, cross, x, y: F.struct(level.alias("at"), F.lit(side).alias("side") if isinstance(side, int) else side.alias("side"), F.lit(cross).alias("cross"), x.alias("x"), y.alias("y"))
+    own, block = F.col("level"), F.col("block")
+    within = F.transform(upto(F.col("levels")[own]), lambda k: entry(own, (block > k).cast("int"), False, F.least(k, block), F.greatest(k, block)))
+    above = F.transform(upto(F.try_element_at("levels", own + 1)), lambda k: entry(own, 0, True, block, k))
+    below = F.transform(upto(F.try_element_at("levels", own - 1)), lambda k: entry(own - 1, 1, True, k, block))
+    return placed.select("root", "node", "set_key", "rep_doc", F.concat(within, above, below).alias("pairs"))
+
+
 def exact_links(docs: DataFrame, sets: DataFrame, loose: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b, n): verified links a < b of each component's forests, and with b null the links n of a.
 
     ``loose``: (node, root) of the candidates' components. Every set goes to the pairs of blocks that
-    its block is in: one for components up to BLOCK sets.
+    its block is in: one for components of a block.
     """
-    sizes = loose.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    placed = loose.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    wanted = materialize(placed.join(sets.select("node", "set_key", "rep_doc"), "node"), "wanted")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, "block").alias("x"), F.greatest(k, "block").alias("y")))
-    rows = exact_sets(docs, wanted).select("root", "block", "node", "shingles", F.inline(pairs))
+    wanted = materialize(blocked(sets, loose, threshold), "wanted")
+    rows = exact_sets(docs, wanted).select("root", "node", "shingles", F.inline("pairs"))
+    key = ["root", "at", "cross", "x", "y"]
 
     def run(batches):
         held: list[tuple] = []
@@ -367,16 +391,16 @@ def exact_links(docs: DataFrame, sets: DataFrame, loose: DataFrame, threshold: f
         def compared():
             if len(held) < 2:
                 return
-            other = 0
-            if held[0][1] != held[0][2]:
-                other = sum(r[3] == r[1] for r in held)
+            other, nodes = 0, [r[6] for r in held]
+            if held[0][2] or held[0][3] != held[0][4]:
+                other = sum(r[5] == 0 for r in held)
                 if other in (0, len(held)):
                     return
-            degree, forest = count_links([np.frombuffer(r[5], dtype=np.uint64) for r in held], other, threshold)
+            degree, forest = count_links([np.frombuffer(r[7], dtype=np.uint64) for r in held], other, threshold)
             for i, j in forest:
-                yield min(held[i][4], held[j][4]), max(held[i][4], held[j][4]), 0
+                yield min(nodes[i], nodes[j]), max(nodes[i], nodes[j]), 0
             for i in np.flatnonzero(degree).tolist():
-                yield held[i][4], None, int(degree[i])
+                yield nodes[i], None, int(degree[i])
 
         def batch(found):
             a, b, n = zip(*found) if found else ((), (), ())
@@ -384,17 +408,17 @@ def exact_links(docs: DataFrame, sets: DataFrame, loose: DataFrame, threshold: f
 
         for b in batches:
             found: list[tuple] = []
-            for row in zip(*(b.column(c).to_pylist() for c in ("root", "x", "y", "block", "node", "shingles"))):
-                if held and held[0][:3] != row[:3]:
+            for row in zip(*(b.column(c).to_pylist() for c in (*key, "side", "node", "shingles"))):
+                if held and held[0][:5] != row[:5]:
                     found.extend(compared())
                     held = []
-                if not held or held[-1][4] != row[4]:
+                if not held or held[-1][6] != row[6]:
                     held.append(row)
             yield batch(found)
         yield batch(list(compared()))
 
-    ordered = rows.repartition("root", "x", "y").sortWithinPartitions("root", "x", "y", "block", "node")
-    return materialize(ordered.select("root", "x", "y", "block", "node", "shingles").mapInArrow(run, "a long, b long, n long"), "links")
+    ordered = rows.repartition(*key).sortWithinPartitions(*key, "side", "node")
+    return materialize(ordered.select(*key, "side", "node", "shingles").mapInArrow(run, "a long, b long, n long"), "links")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

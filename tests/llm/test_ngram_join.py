@@ -60,11 +60,16 @@ def family_rows():
     return rows
 
 
-@pytest.mark.parametrize("small,block", [(4096, 4096), (20, 16)])
-def test_classes(spark, monkeypatch, small, block):
+@pytest.mark.parametrize("small,block,size", [(4096, 4096, 16 << 20), (20, 16, 16 << 20), (4096, 4096, 9000)])
+def test_classes(spark, monkeypatch, small, block, size):
+    """In one block, in blocks of few sets, and in blocks of few bytes."""
     monkeypatch.setattr(ngram_join, "SMALL", small)
     monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", size)
     rows = family_rows()
+    # A family that runs through many sizes, each text a tenth longer than the one before it.
+    words = [f"z{k}" for k in range(400)]
+    rows += [(9000 + k, " ".join(words[: int(20 * 1.1**k)])) for k in range(30)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = ngram_join.classes(docs).collect()
     assert sorted((r["doc_id"], r["class_id"]) for r in got) == brute(rows)
@@ -75,6 +80,33 @@ def test_classes(spark, monkeypatch, small, block):
         assert r["n_links"] == sum(o != own and 5 * len(own & o) >= 4 * len(own | o) for o in distinct if own and o)
 
 
+def test_levels_of_blocks(spark, monkeypatch):
+    """Sets of a large component meet only sets of their own level of size and of the two beside it."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 10)
+    rows = [(i, 0, 4 + i, None, i) for i in range(300)]
+    sets = spark.createDataFrame([(i, n, bytes(4), i) for i, _, n, _, _ in rows], "node long, n int, set_key binary, rep_doc long")
+    loose = spark.createDataFrame([(i, 0) for i in range(300)], "node long, root long")
+    placed = ngram_join.blocked(sets, loose, 0.8).selectExpr("node", "inline(pairs)").collect()
+    groups = {}
+    for r in placed:
+        groups.setdefault(r[1:2] + r[3:], []).append((r["node"], r["side"]))
+    assert max(map(len, groups.values())) < 60 and len(placed) < 300 * 30 / 2
+    met = set()
+    for (_, cross, x, y), held in groups.items():
+        for i, s in held:
+            for j, t in held:
+                if i < j and (s != t or (not cross and x == y)):
+                    assert (i, j) not in met
+                    met.add((i, j))
+    assert all((i, j) in met for i in range(300) for j in range(i + 1, 300) if 5 * (4 + i) >= 4 * (4 + j))
+
+
+def test_null_identifiers(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(None, text), (5, text + " end"), (None, text)], "doc_id long, text string")
+    assert {(r["doc_id"], r["class_id"], r["n_links"]) for r in ngram_join.classes(docs).collect()} == {(None, 5, 1), (5, 5, 1)}
+
+
 def test_keep_one(spark):
     rows = family_rows()
     schema = "doc_id long, text string, path string, node int, hit int"
