@@ -1,28 +1,28 @@
 """Exact deduplication by a log-structured merge index of text digests.
 
 Built from DataFrame functions only. Writing goes through memtables: each input partition sorts
-its (digest, identifier) entries and flushes them as a run of level 0, a Parquet table with Bloom
-filters on the digest. Compaction merges all runs by digest; of each digest it keeps the
-identifier at one end of the order (``keep``) and the number of entries. Digests with two
-entries or more are hits; a bitmap filter over them picks their texts out of a second scan, and
+its (digest, identifier) entries and flushes them as a run of level 0. Compaction merges all runs by digest, each
+task its own part of them first; of each digest it keeps the identifier at one end of the order (``keep``) and the
+number of entries. Digests with two entries or more are hits. The filter of the compacted level, a bitmap over
+the hits, is probed with every text's digest in a second scan and picks out the texts to verify, and
 the bytes of all texts under a digest are compared. Where they differ, the texts themselves decide.
 
-Defined results: null text counts as empty; a null identifier sorts below all others; of repeated
-rows (equal identifier and text) one stays; an empty table gives an empty table.
+Defined results: null text counts as empty; a null identifier stays only where no other does; of repeated
+rows (equal identifier and text) one stays; very long texts are hashed and compared in whole; other columns are carried
+under any names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import math
-import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import fresh, lower_ascii, materialize, shared_dir
+from plumbline.llm.common import fresh, lower_ascii, materialize
 
-#: Bits of the bitmap filter over hit digests at most (8 MB). Beyond it the filter lets more rows through; results do not change.
-FILTER_BITS = 1 << 26
+#: Bits of the bitmap filter over hit digests at most (64 MB, for some 34 million hits); it is as small as the hits allow. Beyond it the filter lets more rows through; results do not change.
+FILTER_BITS = 1 << 29
 BUCKET_BITS = 32768
 
 
@@ -75,7 +75,7 @@ def _best(keep: str) -> Column:
 
 
 def flush_runs(docs: DataFrame, normalise=_normal, digest=digest_of) -> DataFrame:
-    """Level 0: (doc_id, row, n_bytes, digest) of every row, each partition's run sorted by digest.
+    """Level 0: (doc_id, row, n_bytes, digest) of every row, each partition's run sorted by digest; a written table.
 
     ``row`` numbers the rows, to tell repeated ones apart; ``n_bytes`` is the text's size.
     """
@@ -83,14 +83,7 @@ def flush_runs(docs: DataFrame, normalise=_normal, digest=digest_of) -> DataFram
     entries = docs.select(
         "doc_id", F.monotonically_increasing_id().alias("row"), F.octet_length(norm).cast("long").alias("n_bytes"), digest(norm).alias("digest")
     ).sortWithinPartitions("digest")
-    path = f"{shared_dir(docs.sparkSession)}/plumbline/level0-{uuid.uuid4().hex}"
-    (
-        entries.write.option("compression", "zstd")
-        .option("parquet.bloom.filter.enabled#digest", "true")
-        .option("parquet.bloom.filter.expected.ndv#digest", "100000")
-        .parquet(path)
-    )
-    return docs.sparkSession.read.schema(entries.schema).parquet(path)
+    return materialize(entries, "level0")
 
 
 def compact(runs: DataFrame, keep: str = "smallest") -> DataFrame:
@@ -148,19 +141,28 @@ class Index:
         """
         if not self.hit_count:
             return docs
-        if self.collisions(docs) is not None:
-            raise ValueError("two texts share one digest; exact_groups settles such a table")
-        digest, flag, key, kept_id = fresh(docs, "digest_", "hit_", "key_", "kept_id_")
-        named = docs.withColumn(digest, self.digest(self.normalise(F.col("text"))))
-        named = flagged(named, digest, *self.filter, flag)
+        digest, flag, key, kept_id, norm, found = fresh(docs, "digest_", "hit_", "key_", "kept_id_", "norm_", "found_")
+        named = docs.withColumn(norm, self.normalise(F.col("text")))
+        named = flagged(named.withColumn(digest, self.digest(F.col(norm))), digest, *self.filter, flag)
+        hits = named.filter(F.col(flag))
+        collided = self.collisions(docs)
+        clashed = None
+        if collided is not None:
+            # Texts under one digest that differ: there the text is the key.
+            other = collided.select(F.col("digest").alias(found))
+            clashed = hits.join(other, F.col(digest) == F.col(found), "left_semi")
+            hits = hits.join(other, F.col(digest) == F.col(found), "left_anti")
         entries = flagged(self.level, "digest", *self.filter, "hit").filter("hit")
         entries = entries.select(F.col("digest").alias(key), F.col("keep_id").alias(kept_id))
-        stays = (
-            named.filter(F.col(flag))
-            .join(entries, (F.col(digest) == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(kept_id)))
-            .dropDuplicates([key])
-        )
-        return named.filter(~F.col(flag)).select(docs.columns).unionByName(stays.select(docs.columns))
+        stays = hits.join(entries, (F.col(digest) == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(kept_id))).dropDuplicates([key])
+        out = named.filter(~F.col(flag)).select(docs.columns).unionByName(stays.select(docs.columns))
+        if clashed is not None:
+            best = F.max if self.keep == "largest" else F.min
+            order = F.struct(F.col("doc_id").isNotNull() if self.keep == "largest" else F.col("doc_id").isNull(), "doc_id")
+            own = clashed.groupBy(norm).agg(best(order)["doc_id"].alias(kept_id)).withColumnRenamed(norm, found)
+            one = clashed.join(own, (F.col(norm) == F.col(found)) & F.col("doc_id").eqNullSafe(F.col(kept_id))).dropDuplicates([found])
+            out = out.unionByName(one.select(docs.columns))
+        return out
 
 
 def exact_groups(docs: DataFrame, keep: str = "smallest", digest=digest_of) -> DataFrame:
@@ -187,6 +189,6 @@ def exact_groups(docs: DataFrame, keep: str = "smallest", digest=digest_of) -> D
     return rest.select("doc_id", "keep_id", "group_size", kept, F.lower(F.hex("digest")).alias("text_sha256")).unionByName(redone)
 
 
-def drop_copies(docs: DataFrame, keep: str = "smallest") -> DataFrame:
+def drop_copies(docs: DataFrame, keep: str = "smallest", digest=digest_of) -> DataFrame:
     """``docs`` without the copies of any text (equal after lower-casing A-Z), all columns kept."""
-    return Index.build(docs, keep).drop_copies(docs)
+    return Index.build(docs, keep, digest=digest).drop_copies(docs)
