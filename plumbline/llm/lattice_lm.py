@@ -8,13 +8,16 @@ and its end. Characters without a piece go through the vocabulary's byte pieces.
 
 The vocabulary at hand has merge ranks for scores, not probabilities. They give the first weights;
 ``ROUNDS`` of expectation maximisation over all distinct words of the training texts, weighted by
-their counts, turn them into piece probabilities.
+their counts, turn them into piece probabilities. The first weights stay in as PRIOR_USES uses, at any size of the
+corpus; without training texts they are all there is.
 
 Words of the corpus are counted with a shuffle; their values come back to the texts through a
-broadcast of the HEAD_WORDS most frequent ones and a join for all others.
+broadcast of the words most frequent in all texts, within HEAD_WORDS and HEAD_BYTES, and a join for all others.
 
 Defined results: null text is empty and has the end token alone; without training texts the counts
-are 0 and pieces keep their first weights; repeated rows are scored each; an empty table gives no rows.
+are 0; repeated rows are scored each; a null identifier is a training text; words may be very long, in time
+linear in their length; of words equally frequent the broadcast takes the first in order, which changes no score; only
+doc_id and text are read, so no other column clashes; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,11 +35,12 @@ from plumbline.llm.common import fold, materialize
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 WORD_START = "▁"
 HELD_OUT_FOLD = 1
-#: Words whose values are broadcast, none longer than HEAD_WORD_BYTES; all others are joined.
+#: Words whose values are broadcast at most, and the bytes of all of them; all other words are joined.
 HEAD_WORDS = 1 << 17
-HEAD_WORD_BYTES = 48
+HEAD_BYTES = 8 << 20
 ROUNDS = 2
-SMOOTHING = 0.01
+#: Uses that the first weights count for, beside the expected uses in the training texts.
+PRIOR_USES = 320.0
 #: Words of one length that the recursion takes at a time.
 LATTICE_CHARS = 1 << 17
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -137,8 +141,8 @@ def forward(points: np.ndarray, logs: np.ndarray, pieces: Pieces) -> tuple[np.nd
     return alpha, ids, scores, spelled
 
 
-def expected(points: np.ndarray, weights: np.ndarray, logs: np.ndarray, pieces: Pieces) -> np.ndarray:
-    """Expected uses of every piece over words of one length, each counted ``weights`` times."""
+def expected(points: np.ndarray, weights: np.ndarray, logs: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, float]:
+    """Expected uses of every piece over words of one length, each counted ``weights`` times, and the log probability of all."""
     n, size = points.shape
     alpha, ids, scores, spelled = forward(points, logs, pieces)
     beta = np.zeros((n, size + 1))
@@ -157,7 +161,7 @@ def expected(points: np.ndarray, weights: np.ndarray, logs: np.ndarray, pieces:
             share = share - by_bytes
         known = i >= 0
         out += np.bincount(i[known], share[known], pieces.size)
-    return out
+    return out, float(total[:, 0] @ weights)
 
 
 def by_length(words: list[str]):
@@ -174,30 +178,29 @@ def by_length(words: list[str]):
 
 
 def count_words(docs: DataFrame) -> tuple[DataFrame, int]:
-    """(word, n): training count of every word, 0 for words of other texts; and the training texts."""
+    """(word, n, seen): count of every word in training texts and in all; and the training texts."""
 
     def run(batches):
         for b in batches:
             counts: Counter = Counter()
-            others: set[bytes] = set()
+            others: Counter = Counter()
             for text, trained in zip(b.column("text").to_pylist(), b.column("trained").to_pylist()):
-                if trained:
-                    counts.update(words_of(text))
-                else:
-                    others.update(words_of(text))
-            others.difference_update(counts)
-            words = pa.array([*counts, *others], pa.binary()).cast(pa.string())
-            numbers = np.zeros(len(words), dtype=np.int64)
-            numbers[: len(counts)] = np.fromiter(counts.values(), dtype=np.int64, count=len(counts))
-            yield pa.RecordBatch.from_arrays([words, pa.array(numbers)], names=["word", "n"])
+                (counts if trained else others).update(words_of(text))
+            found = list(counts | others)
+            numbers = np.array([(counts[w], counts[w] + others[w]) for w in found], dtype=np.int64).reshape(-1, 2)
+            words = pa.array(found, pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([words, pa.array(numbers[:, 0].copy()), pa.array(numbers[:, 1].copy())], names=["word", "n", "seen"])
 
     marked = docs.select("text", (fold(F.col("doc_id")) != HELD_OUT_FOLD).alias("trained"))
-    counted = marked.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = marked.mapInArrow(run, "word string, n long, seen long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
     return materialize(counted, "words"), docs.filter(fold(F.col("doc_id")) != HELD_OUT_FOLD).count()
 
 
-def learn(words: DataFrame, texts: int, pieces: Pieces, rounds: int = ROUNDS) -> np.ndarray:
-    """Probabilities of the pieces; each round sums expected uses, one number per piece, over all words."""
+def learn(words: DataFrame, texts: int, pieces: Pieces, rounds: int = ROUNDS, likelihoods: list[float] | None = None) -> np.ndarray:
+    """Probabilities of the pieces; each round sums expected uses, one number per piece, over all words.
+
+    ``likelihoods`` gets the log10 probability of all training texts under the pieces that each round starts from.
+    """
     spark = words.sparkSession
     probabilities = pieces.first
     held = spark.sparkContext.broadcast(pieces)
@@ -205,27 +208,34 @@ def learn(words: DataFrame, texts: int, pieces: Pieces, rounds: int = ROUNDS) ->
         logs = spark.sparkContext.broadcast(np.log(probabilities))
 
         def run(batches, logs=logs):
-            pieces, total = held.value, None
+            pieces, total, whole = held.value, None, 0.0
             for b in batches:
                 numbers = b.column("n").to_numpy(zero_copy_only=False).astype(float)
                 total = np.zeros(pieces.size) if total is None else total
                 for which, points in by_length(b.column("word").to_pylist()):
-                    total += expected(points, numbers[which], logs.value, pieces)
+                    used, log = expected(points, numbers[which], logs.value, pieces)
+                    total += used
+                    whole += log
             if total is not None:
                 used = np.flatnonzero(total)
-                yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), pa.array(total[used])], names=["piece", "uses"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1).astype(np.int64)), pa.array(np.append(total[used], whole))], names=["piece", "uses"])
 
-        uses = np.full(pieces.size, SMOOTHING)
-        for row in words.filter("n > 0").mapInArrow(run, "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect():
-            uses[row["piece"]] += row["uses"]
+        uses = PRIOR_USES * pieces.first
         uses[pieces.end] += texts
-        if uses.sum() > SMOOTHING * pieces.size * 1.5:
-            probabilities = uses / uses.sum()
+        logs_end = texts * np.log(probabilities[pieces.end])
+        for row in words.filter("n > 0").mapInArrow(run, "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect():
+            if row["piece"] < 0:
+                logs_end += row["uses"]
+            else:
+                uses[row["piece"]] += row["uses"]
+        if likelihoods is not None:
+            likelihoods.append(float(logs_end / np.log(10)))
+        probabilities = uses / uses.sum()
     return probabilities
 
 
 def value_words(words: DataFrame, train_tokens: int, distinct: int, probabilities: np.ndarray, pieces: Pieces) -> DataFrame:
-    """(word, n, base, lattice): log10 values of every word, as a written table."""
+    """(word, n, seen, lattice, base): log10 values of every word, as a written table."""
     spark = words.sparkSession
     held, logs = spark.sparkContext.broadcast(pieces), spark.sparkContext.broadcast(np.log(probabilities))
 
@@ -238,7 +248,20 @@ def value_words(words: DataFrame, train_tokens: int, distinct: int, probabilitie
             yield b.append_column("lattice", pa.array(out / np.log(10)))
 
     base = F.log10((F.col("n") + 0.5) / F.lit(train_tokens + 0.5 * (distinct + 1)))
-    return materialize(words.mapInArrow(run, "word string, n long, lattice double").withColumn("base", base), "values")
+    return materialize(words.mapInArrow(run, "word string, n long, seen long, lattice double").withColumn("base", base), "values")
+
+
+def most_frequent(values: DataFrame) -> dict[bytes, tuple[float, float, bool]]:
+    """Values (base, lattice, whether it is in a training text) of the words most frequent in all texts, HEAD_WORDS words and HEAD_BYTES bytes at most."""
+    out, held = {}, 0
+    frequent = values.filter(F.octet_length("word") <= HEAD_BYTES // 64).orderBy(F.desc("seen"), "word").limit(HEAD_WORDS)
+    for row in frequent.select("word", "base", "lattice", "n").toLocalIterator():
+        word = row["word"].encode()
+        held += len(word)
+        if held > HEAD_BYTES:
+            break
+        out[word] = (row["base"], row["lattice"], row["n"] > 0)
+    return out
 
 
 def score_documents(docs: DataFrame, model_path: str) -> DataFrame:
@@ -251,8 +274,7 @@ def score_documents(docs: DataFrame, model_path: str) -> DataFrame:
     train_tokens, distinct = sums["tokens"] + texts, sums["distinct"] + (texts > 0)
     probabilities = learn(words, texts, pieces)
     values = value_words(words, train_tokens, distinct, probabilities, pieces)
-    frequent = values.filter((F.col("n") > 0) & (F.octet_length("word") <= HEAD_WORD_BYTES)).orderBy(F.desc("n"), "word").limit(HEAD_WORDS)
-    head = spark.sparkContext.broadcast({r["word"].encode(): (r["base"], r["lattice"]) for r in frequent.collect()})
+    head = spark.sparkContext.broadcast(most_frequent(values))
     end = (float(np.log10((texts + 0.5) / (train_tokens + 0.5 * (distinct + 1)))), float(np.log10(probabilities[pieces.end])))
 
     def run(batches):
@@ -267,7 +289,7 @@ def score_documents(docs: DataFrame, model_path: str) -> DataFrame:
                     if got is None:
                         rows.append((uid, None, w, n, None, None, None))
                     else:
-                        n_known += n
+                        n_known += n if got[2] else 0
                         base += n * got[0]
                         lattice += n * got[1]
                 # A key with a space is no word: this row meets nothing in the join.
