@@ -10,7 +10,8 @@ or of the usual others (``</s>``, ``[INST]``, ``<<SYS>>``) is left in them; in r
 ``<n``. Removing the one backslash after each gives the text back.
 
 Defined results: null text or role counts as empty; turns go by turn (null first), then role, then
-text; repeated rows are turns of their own; a null conversation is one conversation; an empty
+text; repeated rows are turns of their own; a null conversation is one conversation; a very long
+conversation has as many characters of context as all its prefixes together; other columns are not read; an empty
 table gives no rows.
 """
 
@@ -49,21 +50,25 @@ def expand(conversations: DataFrame) -> DataFrame:
     whole = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     head = lambda t: F.concat(F.lit(START), escape_role(t["role"]), F.lit("\n"))
     marked = F.transform("turns", lambda t: F.concat(head(t), escape(t["text"]), F.lit(END)))
-    targets = F.filter(F.sequence(F.lit(1), F.size("turns")), lambda i: F.element_at("turns", i)["role"] == TRAINED_ROLE)
-    tail = F.when(F.element_at("turns", -1)["role"] == TRAINED_ROLE, F.array().cast("array<int>")).otherwise(F.array(F.size("turns") + 1))
-    cut = whole.select("conv_id", "turns", marked.alias("marked"), F.explode(F.concat(targets, tail)).alias("at"))
-    turn = F.get("turns", F.col("at") - 1)
-    trained = F.col("at") <= F.size("turns")
-    before = F.array_join(F.slice("marked", F.lit(1), F.col("at") - 1), "")
+    # An example's row has its own turn and the marked turns before it, not the conversation twice.
+    size = F.size("turns")
+    numbered = F.transform("turns", lambda t, i: F.struct((i + 1).alias("at"), t["role"].alias("role"), t["text"].alias("text")))
+    targets = F.filter(numbered, lambda t: t["role"] == TRAINED_ROLE)
+    none = F.struct((size + 1).alias("at"), F.lit("").alias("role"), F.lit("").alias("text"))
+    tail = F.when(F.element_at("turns", -1)["role"] == TRAINED_ROLE, F.slice(F.array(none), 1, 0)).otherwise(F.array(none))
+    cut = whole.select("conv_id", size.alias("n_turns"), marked.alias("marked"), F.explode(F.concat(targets, tail)).alias("own"))
+    cut = cut.select("conv_id", "n_turns", F.slice("marked", F.lit(1), F.col("own.at") - 1).alias("marked"), "own", F.col("own.at").alias("at"))
+    turn, trained = F.col("own"), F.col("at") <= F.col("n_turns")
+    before = F.array_join("marked", "")
     return cut.select(
         "conv_id",
         F.col("at").alias("example"),
-        F.size("turns").alias("n_turns"),
+        "n_turns",
         F.when(trained, F.concat(before, head(turn))).otherwise(before).alias("context"),
         F.when(trained, escape(turn["text"])).otherwise("").alias("target"),
         trained.alias("trained"),
         F.when(trained, F.lit(END)).otherwise("").alias("closing"),
-        (F.col("at") >= F.size("turns")).alias("last"),
+        (F.col("at") >= F.col("n_turns")).alias("last"),
     )
 
 
