@@ -47,6 +47,11 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
 
 
+def id_type(ranks: dict[bytes, int]) -> type:
+    """The smallest type that holds every id of a vocabulary."""
+    return np.uint16 if max(ranks.values()) < 1 << 16 else np.uint32
+
+
 class MergeReplay:
     """Encodes lists of distinct words by replaying merges over all of them at once."""
 
@@ -229,7 +234,7 @@ def sent_words(node: int, words: list[bytes], ranges: int) -> pa.Table:
 
 
 def answers(table: pa.Table, ids: dict[bytes, bytes]) -> pa.Table:
-    """For each row SENT the ids of its words, in its order; ``data`` has 4 bytes for each id."""
+    """For each row SENT the ids of its words, in its order."""
     packed = [packed_words([ids[w] for w in unpacked_words(s, d)]) for s, d in zip(table.column("sizes").to_pylist(), table.column("data").to_pylist())]
     return pa.table([table.column("node"), table.column("bucket"), pa.array([x[0] for x in packed], pa.binary()), pa.array([x[1] for x in packed], pa.binary())], names=["node", "bucket", "sizes", "data"])
 
@@ -247,9 +252,9 @@ def replayed(sent: DataFrame, levels: list[int], ranks_path: str) -> DataFrame:
     if len(levels) == 1:
 
         def top(table: pa.Table) -> pa.Table:
-            words = distinct_words(table)
-            ids = replay_of(ranks_path).encode(words)
-            return answers(table, {w: np.array(i, dtype=np.int32).tobytes() for w, i in zip(words, ids)})
+            words, replay = distinct_words(table), replay_of(ranks_path)
+            kind = id_type(replay.ranks)
+            return answers(table, {w: np.array(i, dtype=kind).tobytes() for w, i in zip(words, replay.encode(words))})
 
         return sent.groupBy("bucket").applyInArrow(top, SENT)
 
@@ -281,7 +286,7 @@ def by_chunk(docs: DataFrame, ranks_path: str, pattern: str, finish: Callable[[l
     ``finish`` gets the ids of each distinct word of the chunk, and for each text the places of its words.
     """
     split, count = split_chunks(docs, pattern)
-    levels = levels_of(max(1, count), FAN)
+    levels, kind = levels_of(max(1, count), FAN), id_type(load_ranks(ranks_path))
 
     def send(table: pa.Table) -> pa.Table:
         rows = zip(table.column("chunk").to_pylist(), table.column("words").to_pylist())
@@ -299,7 +304,7 @@ def by_chunk(docs: DataFrame, ranks_path: str, pattern: str, finish: Callable[[l
         found: list = [None] * n
         got = (i for s, d in zip(by_range.column("sizes").to_pylist(), by_range.column("data").to_pylist()) for i in unpacked_words(s, d))
         for place, packed in zip(order.tolist(), got):
-            found[place] = np.frombuffer(packed, dtype=np.int32)
+            found[place] = np.frombuffer(packed, dtype=kind)
         places = np.frombuffer(places, dtype=np.uint16 if n <= 1 << 16 else np.uint32)
         texts = np.split(places, np.cumsum(np.frombuffer(sizes, dtype=np.int32))[:-1])
         return pa.table([pa.array(doc_ids, pa.int64()), *finish(found, texts)], schema=schema)
