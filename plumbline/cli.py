@@ -1,4 +1,4 @@
-"""Command line: policy, resolve, baseline, check, history, impact and what-if over a recorded graph."""
+"""Command line: policy, resolve, baseline, check, demo, history, impact and what-if over a recorded graph."""
 
 from __future__ import annotations
 
@@ -44,7 +44,10 @@ def main(argv: list[str] | None = None) -> int:
     command("policy-show", graph=False)
     command("resolve", model)
     command("baseline", model, (["--baseline"], {"required": True}))
-    command("check", model, (["--baseline"], {"required": True}), (["--write-back"], {}), (["--fail-on-warn"], {"action": "store_true"}), (["--markdown"], {"action": "store_true"}))
+    places = (["--baseline"], {"required": True, "action": "append", "help": "a place of baselines; the first that has a model's counts"})
+    switches = [([f"--{s}"], {"action": "store_true"}) for s in ("all", "require-baseline", "fail-on-warn", "markdown")]
+    command("check", model, places, (["--write-back"], {}), *switches)
+    command("demo", graph=False)
     command("history", model, (["--runs"], {"required": True}), (["--limit"], {"type": int, "default": 20}), graph=False)
     command("impact", (["files"], {"nargs": "+"}), (["--fail-on-impact"], {"action": "store_true"}), (["--max-hops"], {"type": int, "default": 6}))
     command("what-if", (["urn"], {}), (["column"], {}), (["--max-hops"], {"type": int, "default": 6}))
@@ -72,7 +75,12 @@ def _run(args, policy) -> int:
     from plumbline.sources import sinks
 
     spark = _session()
+    if getattr(args, "all", False) and args.model:
+        print("name models or ask for all, not both", file=sys.stderr)
+        return 2
     names = getattr(args, "model", None) or list(policy.models)
+    if args.command == "demo":
+        return _demo(spark)
     if args.command == "history":
         runs = verdict.recent(verdict.runs_of(spark.read.parquet(args.runs)).filter(F.col("model_urn").isin(names)), args.limit)
         for row in verdict.history_summary(runs).orderBy("model_urn").collect():
@@ -91,7 +99,7 @@ def _run(args, policy) -> int:
         found = impact.sql_impact(spark, impact.read_statements(args.files), tables, catalog.edges, owners, args.max_hops).orderBy("sql_file").collect()
         print(report.impact_comment(found))
         return int(args.fail_on_impact and any(r["breaking"] for r in found))
-    if not names:
+    if not names and not getattr(args, "all", False):
         print("no model is named", file=sys.stderr)
         return 2
     models = _models(spark, names)
@@ -106,10 +114,23 @@ def _run(args, policy) -> int:
         for row in found.orderBy("model_urn", "depth", "place").collect():
             print(f"{'  ' * row['depth']}{row['urn']}")
         return 0
-    result = gate.check(catalog, models, sinks.read_baseline(spark, args.baseline), policy, fail_on_warn=args.fail_on_warn)
+    if args.all:
+        models = catalog.assets.filter("entity_type = 'mlModel'").select(F.col("urn").alias("model_urn"))
+    baseline = sinks.read_first_baseline(spark, args.baseline)
+    result = gate.check(catalog, models, baseline, policy, fail_on_warn=args.fail_on_warn, require_baseline=args.require_baseline)
     return _report(args, policy, result)
 
 
+def _demo(spark) -> int:
+    """The built-in graph under each of its changes; exits with the worst code."""
+    from plumbline.plans import demo
+
+    rows = demo.verdict_table(spark).orderBy("mutation", "model_urn").collect()
+    for r in rows:
+        print(f"{r['mutation']:12} {r['status']:6} {r['blocking']} blocking, {r['warning']} warning  {r['model_urn']}")
+    return max(r["exit_code"] for r in rows)
+
+
 def impact_table(urn):
     """The name under which a dataset is found in SQL."""
     from plumbline.functions.exprs import report_name
@@ -140,7 +161,7 @@ def _report(args, policy, result) -> int:
             print(report.markdown(v, own, report.narrate(v, explained[v["model_urn"]])))
         else:
             print(report.console(v, own, coverage.get(v["model_urn"]), report.truncation_line(cut_short.get(v["model_urn"], []), policy.max_hops)))
-    for incident in result.incidents.orderBy("root_urn").collect():
+    for incident in verdict.ordered_incidents(result.incidents).collect():
         print("\n".join(report.incident_lines(incident)))
     return result.exit_code()
 

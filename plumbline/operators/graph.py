@@ -22,6 +22,9 @@ from plumbline.functions.kinds import TRAVERSABLE
 #: A hop of a path while it is walked: how the node was reached, from the model on.
 HOP = "struct<urn:string,entity_type:string,via:string,column:string>"
 
+#: Rounds after which what a walk has seen is written as one table.
+FOLD = 8
+
 
 def clean_edges(edges: DataFrame) -> DataFrame:
     """Edges without loops and without feature tables as upstream ends, labelled."""
@@ -106,25 +109,24 @@ def column_features(found: DataFrame, sources: DataFrame, columns: DataFrame, co
 
     Starts from all columns of datasets that source features (``sources``) and follows
     ``column_edges`` (down_urn, down_col, up_urn, up_col) inside the footprint without a hop limit. Each
-    round joins only the triples that were new in the one before.
+    round joins only the triples that were new in the one before; the edges and the footprint are written once before
+    the rounds, and the triples seen so far are rewritten as one table every FOLD rounds.
     """
     seeds = sources.join(columns.select("model_urn", "urn", "path").distinct(), ["model_urn", "urn"])
     new = cut(seeds.select("model_urn", "urn", "path", F.explode("feeds_features").alias("feature")), "seeds")
-    inside = found.select("model_urn", "urn")
-    ways = column_edges.select(F.col("down_urn").alias("urn"), F.col("down_col").alias("path"), "up_urn", "up_col")
+    inside = cut(found.select("model_urn", "urn"), "inside")
+    ways = cut(column_edges.select(F.col("down_urn").alias("urn"), F.col("down_col").alias("path"), "up_urn", "up_col"), "ways")
     seen, reached = new, []
     while True:
         up = new.join(ways, ["urn", "path"]).select("model_urn", F.col("up_urn").alias("urn"), F.col("up_col").alias("path"), "feature")
         up = cut(up.join(inside, ["model_urn", "urn"], "left_semi").distinct(), "reached")
-        if not up.limit(1).count():
-            break
-        reached.append(up)
         new = cut(up.join(seen, ["model_urn", "urn", "path", "feature"], "left_anti"), "new")
+        reached.append(up)
         if not new.limit(1).count():
             break
         seen = seen.unionByName(new)
-    if not reached:
-        return seeds.select("model_urn", "urn", "path", F.col("feeds_features").alias("features")).limit(0)
+        if len(reached) % FOLD == 0:
+            seen = cut(seen, "seen")
     whole = reduce(DataFrame.unionByName, reached)
     return whole.groupBy("model_urn", "urn", "path").agg(F.array_sort(F.collect_set("feature")).alias("features"))
 

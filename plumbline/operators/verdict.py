@@ -116,13 +116,18 @@ def explain(found: DataFrame, ruled: DataFrame) -> DataFrame:
     checked = F.col("assets_checked").cast("string") if "assets_checked" in found.columns else F.lit("0")
     more = lambda n, word: F.when(n > 1, F.concat(F.lit(" and "), (n - 1).cast("string"), F.lit(f" other {word}."))).otherwise(".")
     text = (
-        F.when(F.col("severity") == CLEAR, F.concat(F.lit("No material change across "), checked, F.lit(" upstream assets.")))
-        .when(F.col("severity") == BLOCK, F.concat(F.lit("Deploy blocked: "), "what", F.lit(" on "), "place_name", more(F.col("blocking"), "blocking change(s)")))
-        .otherwise(F.concat(F.lit("Proceed with caution: "), "what", F.lit(" on "), "place_name", more(F.col("warning"), "warning(s)")))
+        F.when(F.col("severity") == CLEAR, F.concat(F.lit("Nothing to report on "), checked, F.lit(" upstream assets.")))
+        .when(F.col("severity") == BLOCK, F.concat(F.lit("Blocked by "), "what", F.lit(" on "), "place_name", more(F.col("blocking"), "blocking change(s)")))
+        .otherwise(F.concat(F.lit("Warned of "), "what", F.lit(" on "), "place_name", more(F.col("warning"), "warning(s)")))
     )
     return out.select("model_urn", text.alias("explanation"))
 
 
+def ordered_incidents(found: DataFrame) -> DataFrame:
+    """Incidents in the order of a report: those of most models first, then by root."""
+    return found.orderBy(F.desc("model_count"), "root_urn")
+
+
 def incidents(ruled: DataFrame) -> DataFrame:
     """Roots that two models or more are warned or blocked by.
 

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import copy
 import json
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions.durable import shared_dir
+from plumbline.functions.durable import made
 from plumbline.operators.policy import Policy
 from plumbline.operators.snapshot import Snapshot
 from plumbline.plans import gate
@@ -114,7 +113,7 @@ def write_recording(spark: SparkSession, mutation: str, path: str) -> str:
 
 
 def _written(spark: SparkSession, mutation: str) -> str:
-    return write_recording(spark, mutation, f"{shared_dir(spark)}/plumbline/recording-{uuid.uuid4().hex}")
+    return write_recording(spark, mutation, made(spark, "recording"))
 
 
 def _models(spark: SparkSession) -> DataFrame:

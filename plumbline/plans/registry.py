@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import UTC, datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import exprs as X
 from plumbline.operators import diff, graph, impact, profile, verdict
 from plumbline.operators.policy import Exemption, Policy, Thresholds
+from plumbline.operators.snapshot import Snapshot
 from plumbline.plans import slices
 from plumbline.streaming import watch
 
@@ -231,7 +233,7 @@ q AS (SELECT *, {_parsed_sql('old_native_type', 'o')}, {_parsed_sql('new_native_
 
 @query(
     _PARTS + _CHANGED + """SELECT urn AS subject_urn, path AS subject_column, old_native_type, new_native_type, 'Column `' || path || '` on parts.' || regexp_extract(urn, 'parts\\.([^,]*)', 1)
-      || ' changed type ' || old_native_type || ' → ' || new_native_type || ', which is not a lossless widening, which feeds ' || regexp_extract(urn, '#([0-9]+)', 1) AS summary FROM changed"""
+      || ' changed type ' || old_native_type || ' → ' || new_native_type || '; not all old values fit, which feeds ' || regexp_extract(urn, '#([0-9]+)', 1) AS summary FROM changed"""
 )
 def type_changed(spark, sf_dir):
     e = F.col("evidence")
@@ -259,7 +261,7 @@ tagged AS (
 """
 
 
-@query(_GOVERNED + "SELECT urn AS subject_urn, CASE WHEN n % 2 = 1 THEN 'use the new one' END AS note, 'Dataset docs.' || name || ' is now marked deprecated' || CASE WHEN n % 2 = 1 THEN ' — use the new one' ELSE '' END AS summary FROM u WHERE n % 3 = 0 AND n % 5 <> 0")
+@query(_GOVERNED + "SELECT urn AS subject_urn, CASE WHEN n % 2 = 1 THEN 'use the new one' END AS note, 'Dataset docs.' || name || ' is deprecated now' || CASE WHEN n % 2 = 1 THEN ' — use the new one' ELSE '' END AS summary FROM u WHERE n % 3 = 0 AND n % 5 <> 0")
 def asset_deprecated(spark, sf_dir):
     return diff.newly_deprecated(*slices.document_snapshots(spark, sf_dir)).select("subject_urn", F.col("evidence")["note"].alias("note"), "summary")
 
@@ -295,9 +297,10 @@ _ALL = (
 
 
 def _findings(spark, sf_dir) -> DataFrame:
-    """All differs over the three slices: prices, parts and documents."""
+    """All differs over the three slices, prices, parts and documents, as one inventory."""
     slices_of = (slices.order_snapshots, slices.part_snapshots, slices.document_snapshots)
-    return diff.union([diff.diff_all(*s(spark, sf_dir)) for s in slices_of])
+    sides = zip(*(s(spark, sf_dir) for s in slices_of))
+    return diff.diff_all(*(Snapshot(*(reduce(DataFrame.unionByName, (getattr(x, t) for x in side)) for t in ("assets", "columns", "profiles", "col_features"))) for side in sides))
 
 
 @query(_ALL + "SELECT kind, subject_urn, subject_column FROM everything")
@@ -433,7 +436,7 @@ def attribution(spark, sf_dir):
     return ruled.select("model_urn", "kind", "subject_urn", "subject_column", "unattributed", "root_urn", "path_depth", path.alias("path"), F.array_join("path_owners", ",").alias("owners"))
 
 
-@query(_STATS + f"SELECT '{slices.MODEL}' AS model_urn, 'Proceed with caution: ' || (SELECT replace(lower(kind), '_', ' ') || ' on ' || coalesce(subject_column, subject_urn) FROM found ORDER BY kind, subject_urn, coalesce(subject_column, '') LIMIT 1) || ' and ' || CAST((SELECT count(*) - 1 FROM found) AS VARCHAR) || ' other warning(s).' AS explanation", name="verdict")
+@query(_STATS + f"SELECT '{slices.MODEL}' AS model_urn, 'Warned of ' || (SELECT replace(lower(kind), '_', ' ') || ' on ' || coalesce(subject_column, subject_urn) FROM found ORDER BY kind, subject_urn, coalesce(subject_column, '') LIMIT 1) || ' and ' || CAST((SELECT count(*) - 1 FROM found) AS VARCHAR) || ' other warning(s).' AS explanation", name="verdict")
 def price_verdict(spark, sf_dir):
     """The flagship: profile, diff, rule and verdict on the nations' order prices, in a sentence."""
     baseline, current = slices.order_snapshots(spark, sf_dir)
@@ -442,13 +445,24 @@ def price_verdict(spark, sf_dir):
     return verdict.explain(verdict.verdicts(models, ruled), ruled)
 
 
+@query(
+    _REGIONS + _ruled_sql() % "regional" + """, per AS (SELECT subject_urn AS root_urn, count(DISTINCT model_urn) AS model_count FROM ruled WHERE severity <> 'CLEAR' GROUP BY subject_urn HAVING count(DISTINCT model_urn) > 1)
+    SELECT CAST(row_number() OVER (ORDER BY model_count DESC, root_urn) AS BIGINT) AS place, root_urn, model_count FROM per"""
+)
+def incident_order(spark, sf_dir):
+    """Places of the incidents in a report."""
+    ruled, _, _ = _regional(spark, sf_dir)
+    rows = verdict.ordered_incidents(verdict.incidents(ruled)).select("root_urn", "model_count").collect()
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows, 1)], "place long, root_urn string, model_count long")
+
+
 # -- lineage ------------------------------------------------------------------
 
 _EDGES = """
 WITH RECURSIVE np AS (SELECT count(*) AS n FROM part), edges AS (
   SELECT 'M' || n_regionkey AS src, 'F' || n_nationkey AS dst FROM nation
   UNION ALL SELECT 'F' || s_nationkey, 'S' || s_suppkey FROM supplier
-  UNION ALL SELECT DISTINCT 'S' || l_suppkey, 'P' || l_partkey FROM lineitem WHERE l_partkey % 4 = 0
+  UNION ALL SELECT DISTINCT 'S' || l_suppkey, 'P' || l_partkey FROM lineitem
   UNION ALL SELECT 'P' || k, 'P' || ((k * 7 + 3) % n) FROM (SELECT DISTINCT l_partkey AS k FROM lineitem), np WHERE k <> (k * 7 + 3) % n
 ), named AS (SELECT 'M' AS c, 'urn:li:mlModel:(urn:li:dataPlatform:spark,region_' AS a, ',PROD)' AS b UNION ALL SELECT 'F', 'urn:li:mlFeature:(store,', ')'
   UNION ALL SELECT 'S', 'urn:li:dataset:(urn:li:dataPlatform:spark,supplier.', ',PROD)' UNION ALL SELECT 'P', 'urn:li:dataset:(urn:li:dataPlatform:spark,part.', ',PROD)')
@@ -460,29 +474,12 @@ def _walk_sql(cap: int) -> str:
       UNION SELECT w.m, e.dst, w.d + 1 FROM walk w JOIN edges e ON e.src = w.x WHERE w.d < {cap}), reach AS (SELECT m, x, min(d) AS d FROM walk GROUP BY m, x)"""
 
 
-#: Filters of the SQL of four queries; beside each is a query with the suffix _whole over all rows.
-_SUBSETS = (" WHERE l_partkey % 4 = 0", " WHERE l_partkey % 97 = 5", " WHERE event_id % 2 = 0")
-PARTS_STEP = 4
-
-
-def _whole(sql: str) -> str:
-    """The SQL of a query without the filters that take a subset of its rows."""
-    for x in _SUBSETS:
-        sql = sql.replace(x, "")
-    return sql
-
-
 _URN = "(SELECT a || substr({0}, 2) || b FROM named WHERE c = left({0}, 1))"
 
 
 @query(_EDGES + _walk_sql(5) + f"SELECT {_URN.format('m')} AS model_urn, {_URN.format('x')} AS urn, d AS depth FROM reach")
-def upstream_footprint(spark, sf_dir, every=PARTS_STEP):
-    return graph.footprint(slices.region_models(spark, sf_dir), slices.edges(spark, sf_dir, every), 5).select("model_urn", "urn", "depth")
-
-
-@query(_whole(ORACLES["upstream_footprint"]))
-def upstream_footprint_whole(spark, sf_dir):
-    return upstream_footprint(spark, sf_dir, every=1)
+def upstream_footprint(spark, sf_dir):
+    return graph.footprint(slices.region_models(spark, sf_dir), slices.edges(spark, sf_dir), 5).select("model_urn", "urn", "depth")
 
 
 @query(
@@ -516,49 +513,38 @@ def feature_sources(spark, sf_dir):
 
 @query(
     _EDGES + _walk_sql(5) + """, ce AS (
-      SELECT DISTINCT 'S' || l_suppkey AS dn, 'c' || (l_linenumber % 3) AS dc, 'P' || l_partkey AS un, 'p' || (l_linenumber % 2) AS uc FROM lineitem WHERE l_partkey % 4 = 0
-      UNION SELECT DISTINCT 'P' || l_partkey, 'p0', 'P' || ((l_partkey * 7 + 3) % n), 'p1' FROM lineitem, np WHERE l_partkey % 4 = 0
+      SELECT DISTINCT 'S' || l_suppkey AS dn, 'c' || (l_linenumber % 3) AS dc, 'P' || l_partkey AS un, 'p' || (l_linenumber % 2) AS uc FROM lineitem
+      UNION SELECT DISTINCT 'P' || l_partkey, 'p0', 'P' || ((l_partkey * 7 + 3) % n), 'p1' FROM lineitem, np
     ), seeds AS (SELECT 'M' || n_regionkey AS m, 'S' || s_suppkey AS x, 'c' || i AS c, 'F' || n_nationkey AS f FROM supplier JOIN nation ON s_nationkey = n_nationkey, (SELECT unnest([0, 1, 2]) AS i) t
     ), first AS (SELECT DISTINCT s.m, ce.un AS x, ce.uc AS c, s.f FROM seeds s JOIN ce ON ce.dn = s.x AND ce.dc = s.c WHERE EXISTS (SELECT 1 FROM reach r WHERE r.m = s.m AND r.x = ce.un)
     ), col AS (SELECT m, x, c, f FROM first UNION SELECT w.m, ce.un, ce.uc, w.f FROM col w JOIN ce ON ce.dn = w.x AND ce.dc = w.c JOIN reach r ON r.m = w.m AND r.x = ce.un)
     """ + f", full_names AS (SELECT DISTINCT {_URN.format('m')} AS model_urn, {_URN.format('x')} AS urn, c AS path, {_URN.format('f')} AS f FROM col)"
     " SELECT model_urn, urn, path, string_agg(f, ' ' ORDER BY f) AS features FROM full_names GROUP BY model_urn, urn, path"
 )
-def column_features(spark, sf_dir, every=PARTS_STEP):
-    edges = slices.edges(spark, sf_dir, every)
+def column_features(spark, sf_dir):
+    edges = slices.edges(spark, sf_dir)
     found = graph.footprint(slices.region_models(spark, sf_dir), edges, 5)
     sources = graph.feature_sources(found, edges, 5)
-    reached = graph.column_features(found, sources, slices.supplier_columns(found), slices.column_edges(spark, sf_dir, every))
+    reached = graph.column_features(found, sources, slices.supplier_columns(found), slices.column_edges(spark, sf_dir))
     return reached.select("model_urn", "urn", "path", F.array_join("features", " ").alias("features"))
 
 
-@query(_whole(ORACLES["column_features"]))
-def column_features_whole(spark, sf_dir):
-    return column_features(spark, sf_dir, every=1)
-
-
 _DOWN = (
     _EDGES
-    + """, seeds AS (SELECT DISTINCT 'P' || l_partkey AS s FROM lineitem WHERE l_partkey % 97 = 5), walk AS (SELECT s, s AS x, 0 AS d FROM seeds
+    + """, seeds AS (SELECT DISTINCT 'P' || l_partkey AS s FROM lineitem), walk AS (SELECT s, s AS x, 0 AS d FROM seeds
       UNION SELECT w.s, e.src, w.d + 1 FROM walk w JOIN edges e ON e.dst = w.x WHERE w.d < 6 AND left(w.x, 1) <> 'M')
 """
 )
 
 
-def _part_seeds(spark, sf_dir, whole=False) -> DataFrame:
-    lines = slices.table(spark, sf_dir, "lineitem")
-    lines = (lines if whole else lines.filter("l_partkey % 97 = 5")).select("l_partkey").distinct()
+def _part_seeds(spark, sf_dir) -> DataFrame:
+    lines = slices.table(spark, sf_dir, "lineitem").select("l_partkey").distinct()
     return lines.select(slices.dataset(F.concat(F.lit("part."), F.col("l_partkey").cast("string"))).alias("seed"))
 
 
 @query(_DOWN + f"SELECT {_URN.format('s')} AS seed, {_URN.format('x')} AS model_urn, min(d) AS depth FROM walk WHERE left(x, 1) = 'M' GROUP BY s, x")
 def downstream_models(spark, sf_dir):
-    return graph.downstream_models(_part_seeds(spark, sf_dir), slices.edges(spark, sf_dir, PARTS_STEP), 6).select("seed", "model_urn", "depth")
-
-
-@query(_whole(ORACLES["downstream_models"]))
-def downstream_models_whole(spark, sf_dir):
-    return graph.downstream_models(_part_seeds(spark, sf_dir, whole=True), slices.edges(spark, sf_dir), 6).select("seed", "model_urn", "depth")
+    return graph.downstream_models(_part_seeds(spark, sf_dir), slices.edges(spark, sf_dir), 6).select("seed", "model_urn", "depth")
 
 
 @query(_EDGES + f"""SELECT {_URN.format("'S1'")} AS seed, 'price' AS column_name, {_URN.format("'M' || n_regionkey")} AS model_urn, n_nationkey || ' → region_' || n_regionkey AS route FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey = 1""")
@@ -597,23 +583,17 @@ def history_summary(spark, sf_dir):
 
 
 @query(
-    """WITH runs AS (SELECT user_id % 20 AS u, CAST(ts AS DATE) AS day, list_distinct(list(event_type)) AS kinds FROM events WHERE event_id % 2 = 0 GROUP BY ALL),
+    """WITH runs AS (SELECT user_id % 20 AS u, CAST(ts AS DATE) AS day, list_distinct(list(event_type)) AS kinds FROM events GROUP BY ALL),
     t AS (SELECT u, count(*) AS total_runs FROM runs GROUP BY u), w AS (SELECT u, kind, count(*) AS warn_count FROM (SELECT u, unnest(kinds) AS kind FROM runs) GROUP BY ALL)
     SELECT 'm' || u AS model_urn, kind, warn_count, total_runs, round(warn_count / total_runs, 6) AS rate FROM w JOIN t USING (u) WHERE total_runs >= 4 AND warn_count / total_runs >= 0.5"""
 )
-def calibration(spark, sf_dir, whole=False):
+def calibration(spark, sf_dir):
     events = slices.table(spark, sf_dir, "events")
-    events = events if whole else events.filter("event_id % 2 = 0")
     name = F.concat(F.lit("m"), (F.col("user_id") % 20).cast("string")).alias("model_urn")
     runs = events.groupBy(name, F.to_date("ts").alias("day")).agg(F.collect_set("event_type").alias("warning_kinds"))
     return verdict.calibrate(runs).withColumn("rate", F.round("rate", 6))
 
 
-@query(_whole(ORACLES["calibration"]))
-def calibration_whole(spark, sf_dir):
-    return calibration(spark, sf_dir, whole=True)
-
-
 # -- expressions and impact ----------------------------------------------------
 
 
@@ -722,15 +702,28 @@ def demo_gate(spark, sf_dir):
     return demo.verdict_table(spark)
 
 
+@query(_STATS + "SELECT 0 AS profiles, count(DISTINCT urn) AS assets FROM kept WHERE side = 'new'")
+def baseline_emptied(spark, sf_dir):
+    """A profiled baseline replaced by one without profiles: none of the old ones is read back."""
+    from plumbline.functions.durable import made
+    from plumbline.sources import sinks
+
+    path = made(spark, "baseline")
+    old, new = slices.order_snapshots(spark, sf_dir)
+    sinks.write_baseline(old, path)
+    sinks.write_baseline(Snapshot.of(new.assets, new.columns.limit(0), new.profiles.limit(0), new.col_features.limit(0)), path)
+    read = sinks.read_baseline(spark, path)
+    profiles = read.profiles.agg(F.count(F.lit(1)).cast("int").alias("profiles"))
+    return profiles.crossJoin(read.assets.agg(F.count_distinct("urn").alias("assets")))
+
+
 @query(_STATS + f"SELECT urn, '{slices.MODEL}' AS model_urn, path, round(CAST(mean AS DOUBLE), 2) AS mean, n AS row_count FROM kept WHERE side = 'old'")
 def baseline_round_trip(spark, sf_dir):
     """An approved baseline written, written again for one model, and read back."""
-    import uuid
-
-    from plumbline.functions.durable import shared_dir
+    from plumbline.functions.durable import made
     from plumbline.sources import sinks
 
-    path = f"{shared_dir(spark)}/plumbline/baseline-{uuid.uuid4().hex}"
+    path = made(spark, "baseline")
     old, new = slices.order_snapshots(spark, sf_dir)
     sinks.write_baseline(new, path)
     sinks.write_baseline(old, path)

@@ -149,17 +149,8 @@ def document_snapshots(spark: SparkSession, sf_dir: str) -> tuple[Snapshot, Snap
 # -- lineage: regions, nations, suppliers and parts -----------------------------
 
 
-def some_lines(spark: SparkSession, sf_dir: str, every: int) -> DataFrame:
-    """Line items of every ``every``-th part; 1 for all."""
-    lines = table(spark, sf_dir, "lineitem")
-    return lines if every == 1 else lines.filter(F.col("l_partkey") % every == 0)
-
-
-def edges(spark: SparkSession, sf_dir: str, every: int = 1) -> DataFrame:
-    """Model of a region → feature of a nation → supplier → part → another part, with cycles among parts.
-
-    ``every``: suppliers lead to every so many parts only, as the SQL of some queries has it.
-    """
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model of a region → feature of a nation → supplier → part → another part, with cycles among parts."""
     nation, supplier = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
     lines = table(spark, sf_dir, "lineitem")
     parts = table(spark, sf_dir, "part").count()
@@ -167,7 +158,7 @@ def edges(spark: SparkSession, sf_dir: str, every: int = 1) -> DataFrame:
     part = lambda c: dataset(F.concat(F.lit("part."), c.cast("string")))
     of_region = nation.select(model(F.concat(F.lit("region_"), text("n_regionkey"))).alias("src"), feature(text("n_nationkey")).alias("dst"), F.lit("Consumes").alias("relationship"), F.col("n_nationkey").cast("long").alias("seq"))
     of_nation = supplier.select(feature(text("s_nationkey")).alias("src"), dataset(F.concat(F.lit("supplier."), text("s_suppkey"))).alias("dst"), F.lit(None).cast("string").alias("relationship"), F.col("s_suppkey").alias("seq"))
-    of_supplier = some_lines(spark, sf_dir, every).select(dataset(F.concat(F.lit("supplier."), text("l_suppkey"))).alias("src"), part(F.col("l_partkey")).alias("dst"), F.lit(None).cast("string").alias("relationship"), F.col("l_partkey").alias("seq")).distinct()
+    of_supplier = lines.select(dataset(F.concat(F.lit("supplier."), text("l_suppkey"))).alias("src"), part(F.col("l_partkey")).alias("dst"), F.lit(None).cast("string").alias("relationship"), F.col("l_partkey").alias("seq")).distinct()
     of_part = lines.select("l_partkey").distinct().select(part(F.col("l_partkey")).alias("src"), part((F.col("l_partkey") * 7 + 3) % parts).alias("dst"), F.lit("DownstreamOf").alias("relationship"), ((F.col("l_partkey") * 7 + 3) % parts).alias("seq"))
     return of_region.unionByName(of_nation).unionByName(of_supplier).unionByName(of_part)
 
@@ -181,9 +172,9 @@ def region_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "region").select(model(F.concat(F.lit("region_"), F.col("r_regionkey").cast("string"))).alias("model_urn"))
 
 
-def column_edges(spark: SparkSession, sf_dir: str, every: int = 1) -> DataFrame:
+def column_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supplier columns from part columns, part columns from other parts' columns."""
-    lines = some_lines(spark, sf_dir, every)
+    lines = table(spark, sf_dir, "lineitem")
     parts = table(spark, sf_dir, "part").count()
     text = lambda c: F.col(c).cast("string")
     part = lambda c: dataset(F.concat(F.lit("part."), c.cast("string")))

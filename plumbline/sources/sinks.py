@@ -1,18 +1,24 @@
 """Sinks: approved baselines, verdict history and the status of models.
 
-Tables are Parquet, partitioned by model; a model's baseline or status is replaced by overwriting its
-partition alone. Every write is tried, and failures are reported together.
+Tables are Parquet. A baseline is written whole, as one version of its four tables, and becomes valid with the
+last write, that of its models to the list of approvals: until then, and if a write fails, the models keep their
+old one; a table that has no rows for a model is empty in the new version. A model's status is replaced by overwriting
+its partition. Every write back is tried, and failures are reported together; to repeat one changes nothing.
 """
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions import exprs as X
+from plumbline.functions.durable import cut
 from plumbline.functions.kinds import BLOCK, CLEAR
 from plumbline.operators.snapshot import ASSETS, COL_FEATURES, COLUMNS, PROFILES, Snapshot
 
@@ -33,19 +39,32 @@ def _replace(df: DataFrame, path: str) -> None:
 
 def write_baseline(snapshot: Snapshot, path: str) -> None:
     """Makes the snapshot the approved baseline of its models; other models keep theirs."""
+    spark = snapshot.assets.sparkSession
+    version = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
     for name in _TABLES:
-        _replace(getattr(snapshot, name), f"{path}/{name}")
+        getattr(snapshot, name).write.parquet(f"{path}/{name}/version={version}")
+    written = spark.read.schema(_TABLES["assets"]).parquet(f"{path}/assets/version={version}")
+    written.select("model_urn").distinct().withColumn("version", F.lit(version)).coalesce(1).write.mode("append").parquet(f"{path}/approved")
 
 
 def read_baseline(spark: SparkSession, path: str) -> Snapshot:
-    """The approved baselines; tables that nobody wrote are empty."""
+    """The approved baselines, each model's latest version; none where nothing was ever approved.
+
+    Anything else that keeps a table from being read is an error: a baseline that cannot be read is not a missing one.
+    """
     from pyspark.errors import AnalysisException
 
+    try:
+        approved = spark.read.schema("model_urn string, version string").parquet(f"{path}/approved")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return Snapshot.of(*(spark.createDataFrame([], t) for t in _TABLES.values()))
+    latest = approved.groupBy("model_urn").agg(F.max("version").alias("version"))
+
     def table(name):
-        try:
-            return spark.read.schema(_TABLES[name]).parquet(f"{path}/{name}")
-        except AnalysisException:
-            return spark.createDataFrame([], _TABLES[name])
+        rows = spark.read.schema(T.StructType([*_TABLES[name], T.StructField("version", T.StringType())])).parquet(f"{path}/{name}")
+        return rows.join(latest, ["model_urn", "version"], "left_semi").select(_TABLES[name].names)
 
     return Snapshot.of(*map(table, _TABLES))
 
@@ -96,7 +115,11 @@ def root_dataset(ruled: DataFrame) -> DataFrame:
 
 
 def write_back(verdicts: DataFrame, ruled: DataFrame, path: str, now: datetime, pr_url: str | None = None) -> list[str]:
-    """Appends the runs, and replaces the status and tags of the models; returns what was written."""
+    """Writes the runs, and replaces the status, tags and gate properties of the models; returns what was written.
+
+    Runs are a folder per moment of the gate, so that a repeated write replaces its own; properties that other
+    writers have set stay.
+    """
     status = verdicts.select(
         "model_urn",
         "severity",
@@ -106,9 +129,12 @@ def write_back(verdicts: DataFrame, ruled: DataFrame, path: str, now: datetime,
         F.lit(now.isoformat()).alias("checked_at"),
         F.lit(pr_url).cast("string").alias("pr_url"),
     ).join(root_dataset(ruled), "model_urn", "left")
+    pairs = {"gate_severity": F.col("severity"), "gate_blocking": F.col("blocking").cast("string"), "gate_warning": F.col("warning").cast("string"), "gate_checked_at": F.lit(now.isoformat())}
+    changes = verdicts.select("model_urn", F.create_map(*(x for k, v in pairs.items() for x in (F.lit(k), v))).alias("properties"))
     steps: dict[str, Callable[[], None]] = {
-        "verdict_runs": lambda: runs_from(verdicts, now).write.mode("append").parquet(f"{path}/verdict_runs"),
+        "verdict_runs": lambda: runs_from(verdicts, now).write.mode("overwrite").parquet(f"{path}/verdict_runs/moment={int(now.timestamp() * 1000)}"),
         "model_status": lambda: _replace(status, f"{path}/model_status"),
+        "model_properties": lambda: _replace(cut(patched(properties(verdicts.sparkSession, path), changes), "properties"), f"{path}/model_properties"),
     }
     written, failures = [], {}
     for name, step in steps.items():
@@ -122,6 +148,19 @@ def write_back(verdicts: DataFrame, ruled: DataFrame, path: str, now: datetime,
     return written
 
 
+def properties(spark: SparkSession, path: str) -> DataFrame:
+    """The models' properties as last written: model_urn, properties."""
+    from pyspark.errors import AnalysisException
+
+    schema = "properties map<string,string>, model_urn string"
+    try:
+        return spark.read.schema(schema).parquet(f"{path}/model_properties")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def patched(old: DataFrame, changes: DataFrame) -> DataFrame:
     """Property maps (model_urn, properties) with changes laid over them; names that no change has stay."""
     new = changes.select("model_urn", F.col("properties").alias("changed"))

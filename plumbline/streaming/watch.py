@@ -38,7 +38,7 @@ def drift(profiles: DataFrame, baseline: DataFrame, limits: Thresholds | None =
     ``base_rows`` are rows per window. One row per finding: window_start, asset, kind, magnitude.
     """
     limits = limits or Thresholds()
-    joined = profiles.join(F.broadcast(baseline) if not baseline.isStreaming else baseline, "asset")
+    joined = profiles.join(baseline, "asset")
     volume = X.relative_change(F.col("base_rows"), F.col("row_count").cast("double")) * 100
     sigma = F.when(F.col("base_stdev") > 0, (F.col("mean") - F.col("base_mean")) / F.col("base_stdev"))
     jump = (X.null_rate(F.lit(None).cast("double"), F.col("null_count"), F.col("row_count")) - F.col("base_null_rate")) * 100
@@ -53,14 +53,18 @@ def drift(profiles: DataFrame, baseline: DataFrame, limits: Thresholds | None =
 
 
 def watch(events: DataFrame, baseline: DataFrame, at: str, key: str, value: str, path: str, checkpoint: str, policy: Policy | None = None, now: datetime | None = None, window: str = "1 day") -> StreamingQuery:
-    """Starts a watch that appends findings to Parquet as windows close, and stops when the input is used up."""
+    """Starts a watch that writes findings to Parquet as windows close, and stops when the input is used up.
+
+    Each batch has a folder of its own (column epoch), which a replay of the batch after a failure writes
+    again; ``now``, for exemptions, is the same for all batches.
+    """
     from plumbline.operators.verdict import rule
 
-    policy = policy or Policy()
+    policy, now = policy or Policy(), now or datetime.now().astimezone()
     profiles = windowed_profile(events, at, key, value, window)
 
-    def append(batch: DataFrame, epoch: int) -> None:
+    def write(batch: DataFrame, epoch: int) -> None:
         found = drift(batch, baseline, policy.thresholds).withColumn("subject_urn", F.col("asset")).withColumn("subject_column", F.lit(value))
-        rule(found, policy, now or datetime.now().astimezone()).withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(path)
+        rule(found, policy, now).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
-    return profiles.writeStream.outputMode("append").foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return profiles.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -37,7 +37,7 @@ def test_schema(spark):
     by = {r["kind"]: r for r in found.collect()}
     assert by["COLUMN_DROPPED"]["summary"] == "Column `a` was dropped from t, which feeds 2 live features"
     assert by["COLUMN_DROPPED"]["affected_feature_urn"] == F1
-    assert by["COLUMN_TYPE_CHANGED"]["summary"] == "Column `b` on t changed type bigint → int, which is not a lossless widening, which feeds 2 live features"
+    assert by["COLUMN_TYPE_CHANGED"]["summary"] == "Column `b` on t changed type bigint → int; not all old values fit, which feeds 2 live features"
     assert by["COLUMN_DROPPED"]["evidence"]["features"] == f"{F1}, {F2}"
 
 
@@ -65,7 +65,7 @@ def test_governance(spark):
     assert set(kinds(found)) == {("ASSET_DEPRECATED", None), ("NEW_SENSITIVE_TAG", None), ("NEW_SENSITIVE_TAG", "a"), ("OWNERSHIP_LOST", None)}
     assert found.count() == 4
     by = {(r["kind"], r["subject_column"]): r for r in found.collect()}
-    assert by["ASSET_DEPRECATED", None]["summary"] == "Dataset t is now marked deprecated — gone soon"
+    assert by["ASSET_DEPRECATED", None]["summary"] == "Dataset t is deprecated now — gone soon"
     assert by["OWNERSHIP_LOST", None]["evidence"]["previous_owners"] == "o, p"
     assert by["NEW_SENSITIVE_TAG", "a"]["evidence"]["tag_urn"] == "urn:li:tag:GDPR"
     assert by["NEW_SENSITIVE_TAG", None]["evidence"]["tag_urn"] == "urn:li:tag:Class.Restricted"
@@ -126,7 +126,7 @@ def test_summaries(spark):
     by = {r["kind"]: r["summary"] for r in stats(spark, old, new).collect()}
     assert by["NULL_RATE_JUMP"] == "Null rate on `x` rose 0.0% → 18.0% (+18.0pp) in t"
     assert by["MEAN_SHIFT"] == "Mean of `x` moved 125.5 → 342.1 (+4.8σ) in t"
-    assert by["RANGE_VIOLATION"] == "`x` left its baseline range in t: max 5000 → 18400"
+    assert by["RANGE_VIOLATION"] == "Values of `x` in t are outside the baseline: max 5000 → 18400"
     assert by["CARDINALITY_CHANGE"] == "Cardinality of `x` collapsed 1,000 → 10 (-99%) in t"
 
 

@@ -1,6 +1,8 @@
 """The whole gate over the recorded fixture, sources, sinks, impact, reports, the command line and the watch."""
 
 import json
+import shutil
+from datetime import timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 from plumbline import cli
 from plumbline.operators import diff, impact, verdict
 from plumbline.operators.policy import Policy
+from plumbline.operators.snapshot import Snapshot
 from plumbline.plans import demo, gate, report, slices
 from plumbline.sources import catalog, documents, recorded, sinks
 from plumbline.streaming import watch
@@ -72,15 +75,40 @@ def test_sinks(spark, results, tmp_path):
     assert again.assets.count() == g.snapshot.assets.count()
     assert diff.diff_all(again, g.snapshot).count() == 0
     out = str(tmp_path / "out")
-    assert sinks.write_back(g.verdicts, g.findings, out, slices.NOW) == ["verdict_runs", "model_status"]
+    assert sinks.write_back(g.verdicts, g.findings, out, slices.NOW) == ["verdict_runs", "model_status", "model_properties"]
     sinks.write_back(g.verdicts, g.findings, out, slices.NOW)
+    assert spark.read.parquet(f"{out}/verdict_runs").count() == 2
+    # A later gate adds its runs; properties of other writers stay.
+    own = sinks.properties(spark, out).withColumn("properties", F.create_map(F.lit("team"), F.lit("a"), F.lit("gate_severity"), F.lit("OLD")))
+    sinks._replace(spark.createDataFrame(own.collect(), own.schema), f"{out}/model_properties")
+    sinks.write_back(g.verdicts, g.findings, out, slices.NOW + timedelta(hours=1))
+    assert {(r["properties"]["team"], r["properties"]["gate_severity"]) for r in sinks.properties(spark, out).collect()} == {("a", "BLOCK")}
     runs = verdict.runs_of(spark.read.parquet(f"{out}/verdict_runs"))
     assert runs.count() == 4 and {r["severity"] for r in runs.collect()} == {"BLOCK"}
     status = spark.read.parquet(f"{out}/model_status").collect()
     assert len(status) == 2 and {r["dataset"] for r in status} == {demo.RAW} and status[0]["tags"] == ["urn:li:tag:gate_block"]
     with pytest.raises(sinks.WriteError) as e:
         sinks.write_back(g.verdicts, g.findings, "nosuchscheme://x", slices.NOW)
-    assert set(e.value.failures) == {"verdict_runs", "model_status"}
+    assert set(e.value.failures) == {"verdict_runs", "model_status", "model_properties"}
+
+
+def test_baselines_are_replaced_and_fail_closed(spark, results, tmp_path):
+    """A new version without profiles leaves no old ones; other models keep theirs; what can't be read is an error."""
+    g, base = results["none"], str(tmp_path / "base")
+    sinks.write_baseline(g.snapshot, base)
+    assert sinks.read_baseline(spark, base).profiles.count() == g.snapshot.profiles.count() > 0
+    one = g.snapshot.assets.agg({"model_urn": "min"}).first()[0]
+    bare = Snapshot.of(g.snapshot.assets.filter(F.col("model_urn") == one))
+    sinks.write_baseline(bare, base)
+    read = sinks.read_baseline(spark, base)
+    assert read.profiles.filter(F.col("model_urn") == one).count() == 0 and read.profiles.count() > 0
+    assert read.columns.filter(F.col("model_urn") == one).count() == 0 and read.assets.count() == g.snapshot.assets.count()
+    # A write that breaks off before the approval changes nothing.
+    g.snapshot.profiles.write.parquet(f"{base}/profiles/version=99999999999999999999-broken")
+    assert sinks.read_baseline(spark, base).profiles.count() == read.profiles.count()
+    shutil.rmtree(f"{base}/columns")
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        sinks.read_baseline(spark, base).columns.count()
 
 
 def test_sql_impact(spark, tmp_path):
@@ -121,6 +149,11 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["check", *common, "--state", "before", "--baseline", base]) == 0
     assert cli.main(["check", *common, "--baseline", base, "--write-back", str(tmp_path / "out")]) == 1
     assert cli.main(["check", *common, "--baseline", base, "--model", demo.FRAUD, "--markdown"]) == 1
+    # The first place that has a model's baseline counts; all models of a catalog; both at once, or no baseline, is an error.
+    assert cli.main(["check", *common, "--state", "before", "--baseline", str(tmp_path / "none"), "--baseline", base, "--all"]) == 0
+    assert cli.main(["check", *common, "--baseline", base, "--all", "--model", demo.FRAUD]) == 2
+    assert cli.main(["check", *common, "--baseline", str(tmp_path / "none"), "--require-baseline"]) == 2
+    assert cli.main(["demo", "--config", str(config)]) == 1
     assert cli.main(["history", "--config", str(config), "--runs", str(tmp_path / "out" / "verdict_runs")]) == 0
     assert cli.main(["what-if", *common, demo.RAW, "x"]) == 0
     sql = tmp_path / "change.sql"
@@ -151,6 +184,14 @@ def test_stream_equals_batch(spark, tmp_path):
     assert closed.count() > 0 and {r["severity"] for r in got.collect()} == {"WARN"}
     assert closed.exceptAll(batch.select(*key)).count() == 0
     assert batch.select(*key).exceptAll(closed).select("window_start").distinct().count() <= 1
+    # A batch that is replayed after a failure writes its own folder again.
+    commits = sorted((tmp_path / "ck" / "commits").glob("[0-9]*"), key=lambda f: int(f.name))
+    for f in [*commits[-1:], *(tmp_path / "ck" / "commits").glob(f".{commits[-1].name}.crc")]:
+        f.unlink()
+    before = sorted(map(str, got.select(*key, "epoch").collect()))
+    again = watch.watch(spark.readStream.schema(events.schema).parquet(source), base, "ts", "event_type", "value", str(tmp_path / "out"), str(tmp_path / "ck"), now=slices.NOW)
+    assert again.awaitTermination(120)
+    assert sorted(map(str, spark.read.parquet(str(tmp_path / "out")).select(*key, "epoch").collect())) == before
 
 
 def test_documents(spark, results):

@@ -65,9 +65,9 @@ def test_order_and_explanation(spark):
     assert {r["model_urn"]: r["exit_code"] for r in verdict.verdicts(models, ruled, True).collect()}["w"] == 1
     assert verdict.sweep_exit(found).first()[0] == 2
     text = {r["model_urn"]: r["explanation"] for r in verdict.explain(found, ruled).collect()}
-    assert text["m"] == "Deploy blocked: column dropped on k and 1 other blocking change(s)."
-    assert text["w"] == "Proceed with caution: mean shift on c."
-    assert text["quiet"] == "No material change across 5 upstream assets."
+    assert text["m"] == "Blocked by column dropped on k and 1 other blocking change(s)."
+    assert text["w"] == "Warned of mean shift on c."
+    assert text["quiet"] == "Nothing to report on 5 upstream assets."
 
 
 def test_incidents(spark):

@@ -51,10 +51,10 @@ def test_footprint_and_downstream(spark):
             down[y].add(x)
     models = [x for x in up if x[0] == "M"]
     want = {(m, x, d) for m in models for x, d in walk([m], up, 5).items()}
-    assert {(named(r[0]), named(r[1]), r[2]) for r in registry.QUERIES["upstream_footprint_whole"](spark, SF).collect()} == want
+    assert {(named(r[0]), named(r[1]), r[2]) for r in registry.QUERIES["upstream_footprint"](spark, SF).collect()} == want
     seeds = {("P", p) for (p,) in rows_of("SELECT l_partkey FROM {lineitem}")}
     want = {(s, x, d) for s in seeds for x, d in walk([s], down, 6, stop="M").items() if x[0] == "M"}
-    assert {(named(r[0]), named(r[1]), r[2]) for r in registry.QUERIES["downstream_models_whole"](spark, SF).collect()} == want
+    assert {(named(r[0]), named(r[1]), r[2]) for r in registry.QUERIES["downstream_models"](spark, SF).collect()} == want
 
 
 def test_calibration(spark):
@@ -67,5 +67,5 @@ def test_calibration(spark):
         for k in kinds:
             warned[m, k] += 1
     want = {(m, k, n, total[m]) for (m, k), n in warned.items() if total[m] >= 4 and n / total[m] >= 0.5}
-    got = registry.QUERIES["calibration_whole"](spark, SF).select("model_urn", "kind", "warn_count", "total_runs")
+    got = registry.QUERIES["calibration"](spark, SF).select("model_urn", "kind", "warn_count", "total_runs")
     assert {tuple(r) for r in got.collect()} == want
