@@ -9,7 +9,8 @@ in whole.
 
 A term gets weights if it is in MIN_DOCUMENTS sampled texts or more, and either goes with the label by itself
 (chi-squared of MIN_ASSOCIATION or more) or goes with it among the texts that hold some other term
-(PAIR_ASSOCIATION or more), as a group's name may among texts with an insult; then both terms of the pair do. Pairs are
+(PAIR_ASSOCIATION or more, and a difference of PAIR_EFFECT or more in the share of toxic ones), as a group's name may
+among texts with an insult; then both terms of the pair do. Pairs are
 looked at among the PAIR_TERMS most common terms of the sample, and the terms that go with the label by themselves. The
 sample has not the true share of toxic rows, so the intercept is moved to the share among all labels, and counts
 for the screens weight clean texts to that share. Settings were chosen by cross validation within the training
@@ -42,9 +43,11 @@ SAMPLE_PER_CLASS = (16_000, 8000)
 MIN_DOCUMENTS = 4
 #: Least chi-squared of a term with the label in the sample, and among the texts that hold one other term.
 MIN_ASSOCIATION = 16.0
-PAIR_ASSOCIATION = 48.0
+PAIR_ASSOCIATION = 96.0
 #: Toxic texts that a pair would have by chance, at least; fewer make chi-squared a matter of luck.
 PAIR_EXPECTED = 3.0
+#: Difference that one term of a pair makes to the share of toxic texts among those that hold the other, at least.
+PAIR_EFFECT = 0.5
 #: Most common terms of the sample that pairs are looked for among.
 PAIR_TERMS = 1024
 FACTORS = 4
@@ -122,6 +125,8 @@ def paired_terms(terms: list[np.ndarray], labels: np.ndarray, weight: float, ids
         with_a, toxic_a = seen[some, some][:, None], toxic[some, some][:, None]
         hit = association(toxic[some], seen[some], toxic_a, np.maximum(with_a, 1e-9)) >= PAIR_ASSOCIATION
         hit &= (seen[some] * toxic_a >= PAIR_EXPECTED * with_a) & ~alone[ids]
+        without = np.maximum(with_a - seen[some], 1e-9)
+        hit &= np.abs(toxic[some] / np.maximum(seen[some], 1e-9) - (toxic_a - toxic[some]) / without) >= PAIR_EFFECT
         out[some] |= hit.any(axis=1)
         out |= hit.any(axis=0)
     return ids[out]
