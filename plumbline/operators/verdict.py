@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import exprs as X
+from plumbline.functions.durable import cut
 from plumbline.functions.kinds import BLOCK, CERTAIN, CLEAR, KINDS, PROBABLE, WARN
 from plumbline.operators.policy import Exemption, Policy
 
@@ -128,6 +129,17 @@ def ordered_incidents(found: DataFrame) -> DataFrame:
     return found.orderBy(F.desc("model_count"), "root_urn")
 
 
+def placed_incidents(found: DataFrame) -> DataFrame:
+    """Adds ``place``, the incident's place in that order, from 1; sorted by ranges, with the partitions' sizes added up."""
+    ordered = ordered_incidents(found).withColumn("part", F.spark_partition_id())
+    numbered = cut(ordered.withColumn("row", F.monotonically_increasing_id() - F.shiftleft(F.col("part").cast("long"), 33)), "incidents")
+    sizes = numbered.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
+    # A row per partition of the sort.
+    before = F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("part", before.alias("start"))
+    return numbered.join(starts, "part").withColumn("place", F.col("start") + F.col("row") + 1).drop("part", "row", "start")
+
+
 def incidents(ruled: DataFrame) -> DataFrame:
     """Roots that two models or more are warned or blocked by.
 

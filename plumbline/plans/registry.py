@@ -308,6 +308,38 @@ def diff_all(spark, sf_dir):
     return _findings(spark, sf_dir).select("kind", "subject_urn", "subject_column")
 
 
+def _shown(x: str) -> str:
+    """Six significant digits, rounded half up."""
+    return f"printf('%g', CASE WHEN {x} = 0 THEN 0 ELSE round({x}, CAST(5 - floor(log10(abs({x}))) AS INT)) END)"
+
+
+_SUMMARIES = _ALL + f""", told AS (
+  SELECT 'NULL_RATE_JUMP' AS kind, urn, path, printf('Null rate on `%s` rose %.1f%% → %.1f%% (%+.1fpp) in ', path, onull / on_ * 100, nnull / nn * 100, v) AS head, '' AS tail FROM null_jumps
+  UNION ALL SELECT 'CARDINALITY_CHANGE', urn, path, 'Cardinality of `' || path || '` ' || CASE WHEN v < 0 THEN 'collapsed ' ELSE 'exploded ' END || format('{{:,}} → {{:,}}', ou, nu) || printf(' (%+.0f%%) in ', v), '' FROM cardinality
+  UNION ALL SELECT 'MEAN_SHIFT', urn, path, 'Mean of `' || path || '` moved ' || {_shown('om')} || ' → ' || {_shown('nm')} || ' (' || coalesce(printf('%+.1fσ', v), 'the baseline was constant') || ') in ', '' FROM shifts
+  UNION ALL SELECT 'RANGE_VIOLATION', urn, path, 'Values of `' || path || '` in ', ' are outside the baseline: ' || concat_ws(', ', CASE WHEN low IS NOT NULL THEN 'min ' || {_shown('olo')} || ' → ' || {_shown('nlo')} END,
+    CASE WHEN high IS NOT NULL THEN 'max ' || {_shown('ohi')} || ' → ' || {_shown('nhi')} END) FROM ranges
+  UNION ALL SELECT 'ROW_COUNT_CHANGE', urn, NULL, 'Row count of ', CASE WHEN v < 0 THEN ' dropped ' ELSE ' grew ' END || format('{{:,}} → {{:,}}', on_, nn) || printf(' (%+.0f%%)', v) FROM volumes
+  UNION ALL SELECT kind, subject_urn, subject_column, 'Column `' || subject_column || '` was ' || CASE kind WHEN 'COLUMN_ADDED' THEN 'added to ' ELSE 'dropped from ' END, '' FROM everything WHERE kind IN ('COLUMN_ADDED', 'COLUMN_DROPPED')
+  UNION ALL SELECT kind, subject_urn, subject_column, 'Column `' || subject_column || '` on ', ' may hold nulls now' FROM everything WHERE kind = 'COLUMN_NULLABILITY_RELAXED'
+  UNION ALL SELECT 'COLUMN_TYPE_CHANGED', urn, path, 'Column `' || path || '` on ', ' changed type ' || old_native_type || ' → ' || new_native_type || '; not all old values fit' FROM changed
+  UNION ALL SELECT 'ASSET_DEPRECATED', urn, NULL, 'Dataset ', ' is deprecated now' || CASE WHEN n % 2 = 1 THEN ' — use the new one' ELSE '' END FROM u WHERE n % 3 = 0 AND n % 5 <> 0
+  UNION ALL SELECT 'OWNERSHIP_LOST', urn, NULL, 'Dataset ', ' has no owner any more' FROM u WHERE c % 4 <> 0 AND c % 2 = 0
+  UNION ALL SELECT 'NEW_SENSITIVE_TAG', urn, path, 'Sensitive tag ' || regexp_replace(tag, '^urn:li:[A-Za-z]+:', '') || ' is new on ' || CASE WHEN path IS NULL THEN '' ELSE '`' || path || '` on ' END, ''
+    FROM sensitive WHERE own IN ('pii', 'restricted', 'gdpr') AND own IS DISTINCT FROM had
+), named AS (SELECT *, regexp_extract(urn, 'spark,(.*),PROD', 1) AS name,
+    CASE WHEN kind LIKE 'COLUMN%' THEN regexp_extract(urn, '#([0-9]+)', 1) END AS brand FROM told)
+SELECT kind, urn AS subject_urn, path AS subject_column, 'urn:li:mlFeature:(parts,' || brand || ')' AS affected_feature_urn,
+  head || name || tail || CASE WHEN kind <> 'COLUMN_ADDED' AND brand IS NOT NULL THEN ', which feeds ' || brand ELSE '' END AS summary FROM named
+"""
+
+
+@query(_SUMMARIES)
+def summaries(spark, sf_dir):
+    """What findings of all twelve kinds say, and the feature that stands for those they feed."""
+    return _findings(spark, sf_dir).select("kind", "subject_urn", "subject_column", "affected_feature_urn", "summary")
+
+
 # -- ruling -------------------------------------------------------------------
 
 _PAST, _FUTURE = datetime(2026, 1, 1, tzinfo=UTC), datetime(2027, 1, 1, tzinfo=UTC)
@@ -378,13 +410,13 @@ _REGIONS = (
 )
 
 
-def _regional(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _regional(spark, sf_dir, queries: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Ruled findings of the regions' models, attributed over direct edges; the models; the footprint."""
     baseline, current = slices.order_snapshots(spark, sf_dir, per_region=True)
     direct = current.assets.select(F.col("model_urn").alias("src"), F.col("urn").alias("dst"), F.lit("Consumes").alias("relationship"), F.crc32("urn").alias("seq"))
     models = slices.region_models(spark, sf_dir)
     found = graph.footprint(models, direct, 2)
-    attributed = graph.attribute(diff.diff_statistics(baseline, current), found, current.assets)
+    attributed = graph.attribute(diff.diff_statistics(baseline, current), found, current.assets, queries)
     quiet = spark.createDataFrame([(slices.MODEL.replace("orders_model", "quiet"),)], "model_urn string")
     return verdict.listed(verdict.rule(attributed, POLICY, slices.NOW)), models.unionByName(quiet), found
 
@@ -452,8 +484,39 @@ def price_verdict(spark, sf_dir):
 def incident_order(spark, sf_dir):
     """Places of the incidents in a report."""
     ruled, _, _ = _regional(spark, sf_dir)
-    rows = verdict.ordered_incidents(verdict.incidents(ruled)).select("root_urn", "model_count").collect()
-    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows, 1)], "place long, root_urn string, model_count long")
+    return verdict.placed_incidents(verdict.incidents(ruled)).select("place", "root_urn", "model_count")
+
+
+@query(
+    _REGIONS + """, ranked AS (SELECT *, row_number() OVER (PARTITION BY model_urn ORDER BY subject_urn,
+      CASE kind WHEN 'ROW_COUNT_CHANGE' THEN 0 WHEN 'NULL_RATE_JUMP' THEN 1 WHEN 'CARDINALITY_CHANGE' THEN 2 WHEN 'MEAN_SHIFT' THEN 3 ELSE 4 END,
+      CASE subject_column WHEN 'bucket' THEN 1 ELSE 0 END) AS nth FROM regional)
+    SELECT model_urn, nth, kind, subject_urn, subject_column FROM ranked WHERE nth <= 3"""
+)
+def first_findings(spark, sf_dir):
+    """Each model's first three findings, for a closer look."""
+    ruled, _, _ = _regional(spark, sf_dir)
+    return verdict.first_findings(ruled).select("model_urn", F.col("nth").cast("bigint").alias("nth"), "kind", "subject_urn", "subject_column")
+
+
+@query(
+    _REGIONS + _ruled_sql() % "regional" + """, ranked AS (SELECT *, row_number() OVER (PARTITION BY model_urn ORDER BY CASE severity WHEN 'BLOCK' THEN 0 WHEN 'WARN' THEN 1 ELSE 2 END,
+      CASE confidence WHEN 'CERTAIN' THEN 0 ELSE 1 END, kind, subject_urn, coalesce(subject_column, '')) AS place FROM ruled)
+    SELECT model_urn, subject_urn AS dataset FROM ranked WHERE place = 1"""
+)
+def root_dataset(spark, sf_dir):
+    """The dataset that each model's first finding goes back to, as a write back names it."""
+    from plumbline.sources import sinks
+
+    return sinks.root_dataset(_regional(spark, sf_dir)[0])
+
+
+@query(_REGIONS + "SELECT model_urn, kind, subject_urn, subject_column, CASE WHEN k % 2 = 0 THEN 'SELECT ' || k END AS query_sql FROM regional")
+def query_evidence(spark, sf_dir):
+    """The statement behind each finding's subject, where one is known."""
+    nation = slices.table(spark, sf_dir, "nation").filter("n_nationkey % 2 = 0")
+    queries = nation.select(slices.dataset(F.concat(F.lit("orders."), "n_name")).alias("urn"), F.concat(F.lit("SELECT "), F.col("n_nationkey").cast("string")).alias("query_sql"))
+    return _regional(spark, sf_dir, queries)[0].select("model_urn", "kind", "subject_urn", "subject_column", "query_sql")
 
 
 # -- lineage ------------------------------------------------------------------
@@ -637,6 +700,32 @@ def schema_impact(spark, sf_dir):
     return found.select("table_urn", *(F.array_join(F.array_sort(c), "|").alias(c) for c in ("dropped", "added")))
 
 
+@query(
+    """WITH p AS (SELECT p_brand, p_type || '_' || p_size AS path, p_partkey % 2 AS side, min(p_partkey) AS ord FROM part GROUP BY ALL),
+    b AS (SELECT DISTINCT p_brand FROM p WHERE side = 1), gone AS (SELECT * FROM p a WHERE NOT EXISTS (SELECT 1 FROM p o WHERE o.p_brand = a.p_brand AND o.path = a.path AND o.side <> a.side))
+    SELECT 'urn:li:dataset:(urn:li:dataPlatform:spark,parts.' || p_brand || ',PROD)' AS table_urn,
+      coalesce((SELECT string_agg(path, '|' ORDER BY ord) FROM gone g WHERE g.p_brand = b.p_brand AND side = 0), '') AS dropped,
+      coalesce((SELECT string_agg(path, '|' ORDER BY ord) FROM gone g WHERE g.p_brand = b.p_brand AND side = 1), '') AS added FROM b"""
+)
+def impact_order(spark, sf_dir):
+    """Columns that go, in the catalog's order, and come, in the proposal's."""
+    old, new = (s.columns.withColumnRenamed("urn", "table_urn") for s in slices.part_snapshots(spark, sf_dir))
+    return impact.schema_impact(new, old).select("table_urn", *(F.array_join(c, "|").alias(c) for c in ("dropped", "added")))
+
+
+@query(
+    """SELECT 'urn:li:dataset:(urn:li:dataPlatform:spark,supplier.' || s_suppkey || ',PROD)' AS seed, 'urn:li:mlModel:(urn:li:dataPlatform:spark,region_' || n_regionkey || ',PROD)' AS model_urn,
+      2 AS depth, n_nationkey || ' → region_' || n_regionkey AS route, CASE WHEN n_regionkey % 2 = 0 THEN 'urn:li:corpuser:r' || n_regionkey ELSE '' END AS owners FROM supplier JOIN nation ON s_nationkey = n_nationkey"""
+)
+def impacted_models(spark, sf_dir):
+    """Models that a change of each supplier's table would reach, with owners and route."""
+    seeds = slices.table(spark, sf_dir, "supplier").select(slices.dataset(F.concat(F.lit("supplier."), F.col("s_suppkey").cast("string"))).alias("seed"))
+    owned = slices.table(spark, sf_dir, "region").filter("r_regionkey % 2 = 0").withColumn("key", F.col("r_regionkey").cast("string"))
+    owners = owned.select(slices.model(F.concat(F.lit("region_"), "key")).alias("urn"), F.array(F.concat(F.lit("urn:li:corpuser:r"), "key")).alias("owners"))
+    found = impact.impacted_models(seeds, slices.tree_edges(spark, sf_dir), owners)
+    return found.select("seed", "model_urn", "depth", "route", F.array_join("owners", ",").alias("owners"))
+
+
 @query(
     """SELECT * FROM (VALUES ('changed.sql', 'amount', 'extra', 1, true, NULL), ('same.sql', '', '', 0, false, NULL), ('new.sql', '', 'a', 0, false, NULL)) t(sql_file, dropped, added, models, breaking, parse_error)"""
 )
@@ -730,3 +819,77 @@ def baseline_round_trip(spark, sf_dir):
     read = sinks.read_baseline(spark, path)
     rows = read.profiles.join(read.assets.select("model_urn", "urn", "row_count"), ["model_urn", "urn"])
     return rows.select("urn", "model_urn", "path", F.round(X.finite(F.col("mean")), 2).alias("mean"), "row_count")
+
+
+@query(
+    _STATS + """, models AS (SELECT r.r_regionkey AS r, n.k, n.urn, n.side, max(n.n) AS n FROM region r JOIN kept n ON r.r_regionkey IN (n.n_regionkey, (n.n_regionkey + 1) % 5) GROUP BY ALL)
+    SELECT 'urn:li:mlModel:(urn:li:dataPlatform:spark,region_' || r || ',PROD)' AS model_urn, urn, n AS row_count FROM models WHERE side = CASE WHEN r < 2 THEN 'new' ELSE 'old' END"""
+)
+def baseline_precedence(spark, sf_dir):
+    """Two places of baselines, the first of which has two of the five models."""
+    from plumbline.functions.durable import made
+    from plumbline.sources import sinks
+
+    first, second = made(spark, "baseline"), made(spark, "baseline")
+    old, new = slices.order_snapshots(spark, sf_dir, per_region=True)
+    two = F.col("model_urn").rlike("region_[01],")
+    sinks.write_baseline(Snapshot.of(*(getattr(new, t).filter(two) for t in ("assets", "columns", "profiles", "col_features"))), first)
+    sinks.write_baseline(old, second)
+    return sinks.read_first_baseline(spark, [first, second]).assets.select("model_urn", "urn", "row_count")
+
+
+@query(
+    _STATS + """SELECT 'urn:li:mlModel:(urn:li:dataPlatform:spark,region_' || r_regionkey || ',PROD)' AS model_urn, urn, path, uniq AS unique_count, round(mean, 2) AS mean
+    FROM region JOIN kept ON r_regionkey IN (n_regionkey, (n_regionkey + 1) % 5) WHERE side = 'old'"""
+)
+def baseline_embedded(spark, sf_dir):
+    """Baselines kept in a catalog's records, in a property or in a note among other words, and read back."""
+    from plumbline.sources import documents
+
+    kept = documents.to_documents(slices.order_snapshots(spark, sf_dir, per_region=True)[0])
+    noted = F.col("model_urn").rlike("region_[13],")
+    records = kept.select(
+        F.col("model_urn").alias("urn"), F.when(~noted, "urn:li:structuredProperty:gate_baseline").alias("property_urn"), F.when(~noted, F.col("document")).alias("value"),
+        F.when(noted, F.concat(F.lit("approved on Monday: "), "document", F.lit(" by the owner"))).alias("description"),
+    )
+    read = documents.from_documents(documents.embedded(records))
+    return read.profiles.select("model_urn", "urn", "path", "unique_count", F.round(X.finite(F.col("mean")), 2).alias("mean"))
+
+
+@query(
+    """SELECT c_name AS model_urn, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS segment, CASE WHEN c_custkey % 2 = 0 THEN 'changed' ELSE 'first' END AS note
+    FROM customer WHERE c_custkey % 3 <> 0 OR c_custkey % 2 = 0"""
+)
+def property_patch(spark, sf_dir):
+    """Properties of two writers: a patch leaves the names that it doesn't have."""
+    from plumbline.sources import sinks
+
+    customer = slices.table(spark, sf_dir, "customer").withColumnRenamed("c_name", "model_urn")
+    old = customer.filter("c_custkey % 3 <> 0").select("model_urn", F.create_map(F.lit("segment"), "c_mktsegment", F.lit("note"), F.lit("first")).alias("properties"))
+    changes = customer.filter("c_custkey % 2 = 0").select("model_urn", F.create_map(F.lit("note"), F.lit("changed")).alias("properties"))
+    value = lambda name: F.try_element_at("properties", F.lit(name)).alias(name)
+    return sinks.patched(old, changes).select("model_urn", value("segment"), value("note"))
+
+
+@query(_STATS + "SELECT urn, path, CASE path WHEN 'price' THEN 0 ELSE 1 END AS ord, n AS row_count, nulls AS null_count, uniq AS unique_count, 'urn:li:corpuser:u' || (k % 4) AS owners FROM kept WHERE side = 'new'")
+def recording_round_trip(spark, sf_dir):
+    """The nations' assets recorded as one document and loaded again."""
+    from plumbline.functions.durable import made
+    from plumbline.sources import recorded
+    from plumbline.sources.catalog import Catalog
+
+    _, now = slices.order_snapshots(spark, sf_dir)
+    none = lambda name, kind: F.lit(None).cast(kind).alias(name)
+    field = F.struct("path", "null_count", "null_proportion", "unique_count", none("unique_proportion", "double"), "min", "max", "mean", none("median", "string"), "stdev")
+    rows = now.assets.select("model_urn", "urn", "row_count")
+    profiles = now.profiles.join(rows, ["model_urn", "urn"]).groupBy("urn").agg(
+        F.lit(0).cast("long").alias("ts"), F.max("row_count").alias("row_count"), F.count(F.lit(1)).alias("column_count"), F.collect_list(field).alias("fields")
+    )
+    edges = now.assets.select(F.col("model_urn").alias("src"), F.col("urn").alias("dst"), F.lit("Consumes").alias("relationship"), F.lit(0).alias("seq"))
+    source = Catalog.of(now.assets, edges, now.columns, profiles)
+    path = made(spark, "recording")
+    recorded.record({"before": source, "after": source}, now.assets.select("urn"), path)
+    loaded = recorded.load(spark, path, "after")
+    stats = loaded.profiles.select("urn", "row_count", F.inline("fields")).select("urn", "path", "row_count", "null_count", "unique_count")
+    owned = loaded.assets.select("urn", F.array_join("owners", ",").alias("owners"))
+    return loaded.columns.select("urn", "path", "ord").join(stats, ["urn", "path"]).join(owned, "urn")

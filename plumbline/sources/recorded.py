@@ -6,10 +6,13 @@ is read with a fixed schema, and every map is exploded to a table.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import exprs as X
+from plumbline.operators import profile
 from plumbline.sources.catalog import Catalog, column_edges_of
 
 _FIELD = "field_path:string,data_type:string,native_type:string,nullable:boolean,tags:array<string>"
@@ -64,6 +67,67 @@ def load(spark: SparkSession, path: str, state: str) -> Catalog:
     return Catalog.of(assets, edges, columns, profiles, column_edges_of(fine))
 
 
+#: Assets of a recording at most: it is one document, so one task writes it.
+MOST_ASSETS = 10_000
+
+
+def record(states: dict[str, Catalog], urns: DataFrame, path: str) -> None:
+    """Writes the named assets (column urn) of each state's catalog as a recording that ``load`` reads.
+
+    Edges keep their order and column lineage the columns it names; of several profiles the newest is recorded. ValueError
+    beyond MOST_ASSETS assets.
+    """
+    named = urns.select("urn").distinct()
+    if named.limit(MOST_ASSETS + 1).count() > MOST_ASSETS:
+        raise ValueError(f"a recording has {MOST_ASSETS} assets at most")
+    whole = _beside([_state_of(catalog, named).withColumnRenamed("state", state) for state, catalog in states.items()])
+    whole.select(F.to_json(F.struct(*states)).alias("value")).coalesce(1).write.text(path)
+
+
+def _beside(rows: list[DataFrame]) -> DataFrame:
+    """Tables of one row and one column each, as one row."""
+    names = [df.columns[0] for df in rows]
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+    return every.agg(*(F.first(n, ignorenulls=True).alias(n) for n in names))
+
+
+def _state_of(catalog: Catalog, named: DataFrame) -> DataFrame:
+    """One row: the state as a struct of maps by identity."""
+    field = lambda urn, column: F.concat(F.lit("urn:li:schemaField:("), urn, F.lit(","), column, F.lit(")"))
+    listed = lambda column, name: F.transform(column, lambda x: F.struct(x.alias(name)))
+    fine = catalog.column_edges.groupBy(F.col("down_urn").alias("urn")).agg(
+        F.array_sort(
+            F.collect_list(
+                F.struct(F.array(field(F.col("up_urn"), F.col("up_col"))).alias("upstreams"), F.array(field(F.col("down_urn"), F.col("down_col"))).alias("downstreams"))
+            )
+        ).alias("fine")
+    )
+    aspects = F.struct(
+        F.struct(listed("owners", "owner").alias("owners")).alias("ownership"),
+        F.struct(listed("tags", "tag").alias("tags")).alias("globalTags"),
+        F.struct(F.col("deprecated"), F.col("deprecation_note").alias("note")).alias("deprecation"),
+        F.struct(F.col("fine").alias("fineGrainedLineages")).alias("upstreamLineage"),
+    )
+    entity = F.struct("entity_type", aspects.alias("aspects"))
+    entities = catalog.assets.join(named, "urn", "left_semi").join(fine, "urn", "left").select("urn", entity.alias("entity"))
+    end = F.struct("seq", F.col("src").alias("source_urn"), F.col("dst").alias("target_urn"), "relationship")
+    ends = lambda at, name: catalog.edges.groupBy(F.col(at).alias("urn")).agg(F.array_sort(F.collect_list(end)).alias(name))
+    ways = named.join(ends("src", "UPSTREAM"), "urn", "left").join(ends("dst", "DOWNSTREAM"), "urn", "left")
+    lineage = ways.select("urn", F.struct(*(F.transform(c, lambda e: e.dropFields("seq")).alias(c) for c in ("UPSTREAM", "DOWNSTREAM"))).alias("lineage"))
+    column = F.struct("ord", F.col("path").alias("field_path"), "data_type", "native_type", "nullable", "tags")
+    columns = catalog.columns.join(named, "urn", "left_semi").groupBy("urn").agg(F.array_sort(F.collect_list(column)).alias("schema"))
+    schemas = columns.select("urn", F.transform("schema", lambda c: c.dropFields("ord")).alias("schema"))
+    statistics = {"path": "fieldPath", "null_count": "nullCount", "null_proportion": "nullProportion", "unique_count": "uniqueCount", "unique_proportion": "uniqueProportion"}
+    statistics |= {s: s for s in ("min", "max", "mean", "median", "stdev")}
+    fields = F.transform("fields", lambda f: F.struct(*(f[a].alias(b) for a, b in statistics.items())))
+    newest = profile.latest(catalog.profiles.join(named, "urn", "left_semi"), ["urn"], "ts")
+    measured = F.struct(F.col("ts").alias("timestampMillis"), F.col("row_count").alias("rowCount"), F.col("column_count").alias("columnCount"), fields.alias("fieldProfiles"))
+    profiles = newest.select("urn", measured.alias("profile"))
+    mapped = {"entities": (entities, "entity"), "lineage": (lineage, "lineage"), "schemas": (schemas, "schema"), "profiles": (profiles, "profile")}
+    maps = [df.agg(F.map_from_entries(F.collect_list(F.struct("urn", c))).alias(name)) for name, (df, c) in mapped.items()]
+    return _beside(maps).select(F.struct(*mapped).alias("state"))
+
+
 def _edges(lineage: DataFrame) -> DataFrame:
     """Upstream edges of each anchor, to the end that is not the anchor."""
     flat = lineage.select(F.col("urn").alias("src"), F.posexplode("v.UPSTREAM").alias("seq", "e"))

@@ -24,6 +24,9 @@ from plumbline.operators.snapshot import ASSETS, COL_FEATURES, COLUMNS, PROFILES
 
 _TABLES = {"assets": ASSETS, "columns": COLUMNS, "profiles": PROFILES, "col_features": COL_FEATURES}
 
+#: Properties of a model that a write back sets.
+PROPERTIES = ("gate_severity", "gate_blocking", "gate_warning", "gate_checked_at")
+
 
 class WriteError(RuntimeError):
     """Some writes failed: ``written`` went through, ``failures`` has the reasons."""
@@ -129,7 +132,9 @@ def write_back(verdicts: DataFrame, ruled: DataFrame, path: str, now: datetime,
         F.lit(now.isoformat()).alias("checked_at"),
         F.lit(pr_url).cast("string").alias("pr_url"),
     ).join(root_dataset(ruled), "model_urn", "left")
-    pairs = {"gate_severity": F.col("severity"), "gate_blocking": F.col("blocking").cast("string"), "gate_warning": F.col("warning").cast("string"), "gate_checked_at": F.lit(now.isoformat())}
+    define_properties(verdicts.sparkSession, path)
+    values = [F.col("severity"), F.col("blocking").cast("string"), F.col("warning").cast("string"), F.lit(now.isoformat())]
+    pairs = dict(zip(PROPERTIES, values, strict=True))
     changes = verdicts.select("model_urn", F.create_map(*(x for k, v in pairs.items() for x in (F.lit(k), v))).alias("properties"))
     steps: dict[str, Callable[[], None]] = {
         "verdict_runs": lambda: runs_from(verdicts, now).write.mode("overwrite").parquet(f"{path}/verdict_runs/moment={int(now.timestamp() * 1000)}"),
@@ -148,6 +153,20 @@ def write_back(verdicts: DataFrame, ruled: DataFrame, path: str, now: datetime,
     return written
 
 
+def define_properties(spark: SparkSession, path: str) -> bool:
+    """Writes the definitions of the gate's properties unless they are there; whether they are now.
+
+    Best effort: a failure here keeps no write back from being tried, which then reports its own.
+    """
+    rows = [(name, name.replace("_", " ").capitalize(), "string", "mlModel", "SINGLE") for name in PROPERTIES]
+    defined = spark.createDataFrame(rows, "name string, display_name string, value_type string, entity_type string, cardinality string")
+    try:
+        defined.coalesce(1).write.mode("ignore").parquet(f"{path}/property_definitions")
+    except Exception:  # whatever the place answers
+        return False
+    return True
+
+
 def properties(spark: SparkSession, path: str) -> DataFrame:
     """The models' properties as last written: model_urn, properties."""
     from pyspark.errors import AnalysisException

@@ -227,3 +227,41 @@ def test_scale_graph(spark):
     assert found.count() == 1 + 40 + 40 + 40 + 1 + 2 + 3
     assert [r["urn"] for r in found.filter("truncated").collect()] == [demo._dataset("deep_02")]
     assert graph.footprint(models, demo.scale_edges(spark, 40), 20).filter("truncated").count() == 0
+
+
+def test_recording_of_a_catalog(spark, tmp_path, monkeypatch):
+    """A recorded catalog loads as it was, with its owners, tags, notes, edges, profiles and column lineage."""
+    path = demo.write_recording(spark, "governance", str(tmp_path / "first"))
+    states = {s: recorded.load(spark, path, s) for s in ("before", "after")}
+    urns = states["before"].assets.select("urn").unionByName(states["after"].assets.select("urn"))
+    recorded.record(states, urns, str(tmp_path / "second"))
+    tables = ("assets", "columns", "profiles", "edges", "column_edges")
+    shown = lambda df: sorted(map(repr, df.collect()))
+    for state, catalog_of in states.items():
+        again = recorded.load(spark, str(tmp_path / "second"), state)
+        for t in tables:
+            rows = getattr(catalog_of, t)
+            assert shown(getattr(again, t).select(rows.columns)) == shown(rows) != [], (state, t)
+    # Only the named assets, and no more than a document may hold.
+    recorded.record({"after": states["after"]}, urns.filter(F.col("urn") == demo.RAW), str(tmp_path / "third"))
+    one = recorded.load(spark, str(tmp_path / "third"), "after")
+    assert [r["urn"] for r in one.assets.collect()] == [demo.RAW] and {r["urn"] for r in one.columns.collect()} == {demo.RAW}
+    monkeypatch.setattr(recorded, "MOST_ASSETS", 1)
+    with pytest.raises(ValueError, match="at most"):
+        recorded.record(states, urns, str(tmp_path / "fourth"))
+
+
+def test_property_definitions(spark, tmp_path):
+    out = str(tmp_path / "out")
+    assert sinks.define_properties(spark, out) and sinks.define_properties(spark, out)
+    names = [r["name"] for r in spark.read.parquet(f"{out}/property_definitions").collect()]
+    assert sorted(names) == sorted(sinks.PROPERTIES)
+    assert not sinks.define_properties(spark, "nosuchscheme://x")
+
+
+def test_places_of_incidents(spark):
+    rows = [(f"r{i:03d}", i % 5) for i in range(200)]
+    got = verdict.placed_incidents(spark.createDataFrame(rows, "root_urn string, model_count long").repartition(7)).collect()
+    want = {r: p for p, (r, _) in enumerate(sorted(rows, key=lambda x: (-x[1], x[0])), 1)}
+    assert {r["root_urn"]: r["place"] for r in got} == want
+    assert verdict.placed_incidents(spark.createDataFrame([], "root_urn string, model_count long")).count() == 0
