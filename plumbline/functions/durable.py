@@ -43,17 +43,20 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes what was written to a path of ``made``, with its table; nothing may read it any more."""
+    if table := _MADE.pop(path, None):
+        spark.sql(f"DROP TABLE IF EXISTS `{table}`")
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def release(spark: SparkSession) -> int:
     """Removes all that this process has written by ``made`` and ``cut``; results that still read it are void.
 
     Gives the number of paths.
     """
-    conf, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
-    n = len(_MADE)
-    for path, table in list(_MADE.items()):
-        if table:
-            spark.sql(f"DROP TABLE IF EXISTS `{table}`")
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(conf).delete(place, True)
-        del _MADE[path]
-    return n
+    paths = list(_MADE)
+    for path in paths:
+        discard(spark, path)
+    return len(paths)
