@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.durable import cut as materialize
 from plumbline.functions.durable import made, shared_dir
 
-__all__ = ["bucketed", "fold", "fresh", "global_index", "levels_of", "lower_ascii", "made", "materialize", "shared_dir"]
+__all__ = ["bucketed", "carried", "fold", "fresh", "global_index", "levels_of", "lower_ascii", "made", "materialize", "shared_dir", "where"]
 
 
 #: Buckets of a written table at most; Spark takes 100,000.
@@ -63,6 +63,25 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def where(df: DataFrame, name: str) -> int:
+    """The place of the column ``name``: that of exactly this name, else one that differs in case only."""
+    names = df.columns
+    if name in names:
+        return names.index(name)
+    return [c.lower() for c in names].index(name.lower())
+
+
+def carried(df: DataFrame, *made: str) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """``df`` with its columns as c0, c1, ... by place, and (safe name, given name) of those that stay.
+
+    Columns that ``made`` replaces don't stay, whatever the case of their letters; names with dots, quotes or
+    blanks, and names that are there twice, travel under their safe names.
+    """
+    given, taken = df.columns, {m.lower() for m in made}
+    safe = [f"c{i}" for i in range(len(given))]
+    return df.toDF(*safe), [(s, g) for s, g in zip(safe, given) if g.lower() not in taken]
+
+
 def global_index(df: DataFrame, order: list[str], out: str = "idx") -> DataFrame:
     """Adds ``out``, the row's place (from 0, gapless) in the order of the columns ``order``.
 

@@ -7,10 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe_replay, chat_format, exact_dedup, hash_ring, lattice_lm, ngram_join, packing, quality_rules, suffix_dedup, toxicity
+from plumbline.llm import (
+    ball_kmeans,
+    bpe_replay,
+    chat_format,
+    exact_dedup,
+    fill_middle,
+    hash_ring,
+    lattice_lm,
+    ngram_join,
+    packing,
+    quality_rules,
+    suffix_dedup,
+    toxicity,
+    url_rules,
+)
 
 SHARDS = 24
 CAPACITY = 2048
+CLUSTERS, ROUNDS = 40, 5
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
 
 
 def vocabulary(name: str) -> str:
@@ -90,6 +112,25 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.expand(turns))
 
 
+def op11_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    order = F.sha2(F.concat(F.lit("2:"), F.col("vec_id").cast("string")), 256)
+    return ball_kmeans.described(*ball_kmeans.ball_kmeans(vectors, order, CLUSTERS, ROUNDS))
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_rules.filter_urls(pages, rules).drop("url")
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.restore(fill_middle.transform(documents(spark, sf_dir).select("doc_id", "text"))).drop("text")
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
@@ -101,6 +142,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_ball_kmeans": op11_ball_kmeans,
+    "op12_url_filters": op12_url_filters,
+    "op13_fill_middle": op13_fill_middle,
 }
 
 ORACLES: dict[str, str] = {}
@@ -177,3 +221,87 @@ SELECT conv_id, count(*) AS n_turns,
        CAST(sum(CASE WHEN role = 'assistant' OR i = n THEN so_far ELSE 0 END) AS BIGINT) AS formatted_chars
 FROM running GROUP BY conv_id
 """
+
+
+def _kmeans_sql(k: int, rounds: int) -> str:
+    """Every vector against every centroid, a round after the other."""
+    steps = [
+        """WITH points AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+)""",
+        f"""c0 AS (
+  SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v FROM (SELECT sha256('2:' || vec_id) AS h, v FROM points ORDER BY h, v LIMIT {k})
+)""",
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"""d{i} AS (
+  SELECT r, vec_id, p.v, c, list_sum(list_transform(range(1, 65), lambda i: (p.v[i] - k.v[i]) * (p.v[i] - k.v[i]))) AS d FROM points p, c{i} k
+), a{i} AS (
+  SELECT r, any_value(vec_id) AS vec_id, any_value(v) AS v, min(struct_pack(d := CAST(d AS BIGINT), c := c)) AS best FROM d{i} GROUP BY r
+)""")
+        if i < rounds:
+            steps.append(f"""m{i} AS (
+  SELECT c, i, CAST(floor(CAST(sum(x) AS DOUBLE) / count(*)) AS BIGINT) AS x, sum(x) AS s, count(*) AS n
+  FROM (SELECT best.c AS c, unnest(range(1, 65)) AS i, unnest(v) AS x FROM a{i}) GROUP BY c, i
+), u{i} AS (
+  SELECT c, list(CASE WHEN x * n > s THEN x - 1 WHEN (x + 1) * n <= s THEN x + 1 ELSE x END ORDER BY i) AS v FROM m{i} GROUP BY c
+), c{i + 1} AS (
+  SELECT k.c, coalesce(u.v, k.v) AS v FROM c{i} k LEFT JOIN u{i} u ON k.c = u.c
+)""")
+    n = rounds
+    return ",\n".join(steps) + f"""
+SELECT vec_id, CAST(best.c AS INTEGER) AS cluster, best.d AS distance,
+       CAST(sum(best.d) OVER (PARTITION BY best.c) AS BIGINT) AS cluster_inertia, CAST(sum(best.d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(list_transform(k.v, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256
+FROM a{n} JOIN c{n} k ON best.c = k.c
+"""
+
+
+ORACLES["op11_ball_kmeans"] = _kmeans_sql(CLUSTERS, ROUNDS)
+
+ORACLES["op12_url_filters"] = r"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), placed AS (
+  SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM cut
+), parts AS (
+  SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path
+  FROM placed
+), rules(rule_host, rule_path, verdict) AS (
+  VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+), fitting AS (
+  SELECT page_id, host, path, rule_host || rule_path AS rule, verdict,
+         row_number() OVER (PARTITION BY page_id ORDER BY length(rule_host || rule_path) DESC) AS place
+  FROM parts JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+)
+SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, 'allow') AS verdict
+FROM parts p LEFT JOIN fitting f ON p.page_id = f.page_id AND f.place = 1
+"""
+
+ORACLES["op13_fill_middle"] = r"""
+WITH lines AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units,
+         sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents
+), drawn AS (
+  SELECT doc_id, text, units, CAST(len(units) AS BIGINT) AS n, list_transform(range(4), lambda i: CAST('0x' || substr(h, 8 * i + 1, 8) AS BIGINT)) AS hs FROM lines
+), cut AS (
+  SELECT *, least(hs[1] % (n + 1), hs[2] % (n + 1)) AS a, greatest(hs[1] % (n + 1), hs[2] % (n + 1)) AS b,
+         text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR hs[3] % 100 >= 100 AS is_plain
+  FROM drawn
+), parts AS (
+  SELECT doc_id, text, n, CASE WHEN is_plain THEN 'plain' WHEN hs[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form,
+         array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle, array_to_string(units[b + 1:n], '') AS suffix
+  FROM cut
+)
+SELECT doc_id, n, form,
+       CAST(CASE WHEN form <> 'plain' THEN length(prefix) END AS BIGINT) AS prefix_chars,
+       CAST(CASE WHEN form <> 'plain' THEN length(middle) END AS BIGINT) AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts
+"""
