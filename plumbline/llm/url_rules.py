@@ -125,5 +125,6 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     names = [s for s, _ in kept]
     rows = safe.select(*names, F.coalesce(host_of(text), F.lit("")).alias("host"), F.coalesce(path_of(text), F.lit("")).alias("path"))
     found = materialize(judged(rows.select("host", "path").distinct(), indexed(rules), most_shapes), "judged")
-    out = rows.join(found, ["host", "path"], "left").withColumn("verdict", F.coalesce("verdict", F.lit(default)))
+    # Texts shrink many times over in a file, so a file's size is no bound for a broadcast.
+    out = rows.join(found.hint("merge"), ["host", "path"], "left").withColumn("verdict", F.coalesce("verdict", F.lit(default)))
     return out.select(*names, "host", "path", "rule", "verdict").toDF(*(g for _, g in kept), "host", "path", "rule", "verdict")
