@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import exprs as X
 from plumbline.functions.durable import cut
-from plumbline.functions.kinds import TRAVERSABLE
+from plumbline.operators import reach
 
 #: A hop of a path while it is walked: how the node was reached, from the model on.
 HOP = "struct<urn:string,entity_type:string,via:string,column:string>"
@@ -131,31 +131,13 @@ def column_features(found: DataFrame, sources: DataFrame, columns: DataFrame, co
     return whole.groupBy("model_urn", "urn", "path").agg(F.array_sort(F.collect_set("feature")).alias("features"))
 
 
-def downstream_models(seeds: DataFrame, edges: DataFrame, max_hops: int = 6) -> DataFrame:
-    """Models downstream of each seed (column seed): seed, model_urn, depth, path (array from the seed on).
+def downstream_models(seeds: DataFrame, edges: DataFrame, max_hops: int = 6, paths: bool = True) -> DataFrame:
+    """Models downstream of each seed (column seed): seed, model_urn, depth, and with ``paths`` path (array from the seed on).
 
     Models end a walk; other entity types than TRAVERSABLE are not walked through. ``edges`` are
-    those of ``footprint``, walked the other way.
+    those of ``footprint``, walked the other way, for all seeds together as bitmaps.
     """
-    back = cut(edges.select(F.col("dst").alias("from"), F.col("src").alias("to"), "seq"), "edges")
-    level = cut(
-        seeds.select("seed").distinct().select("seed", F.col("seed").alias("urn"), F.array("seed").alias("path"), F.array().cast("array<bigint>").alias("place")),
-        "level",
-    )
-    levels = [level.withColumn("depth", F.lit(0))]
-    for depth in range(1, max_hops + 1):
-        visited = reduce(DataFrame.unionByName, [x.select("seed", F.col("urn").alias("to")) for x in levels])
-        walked = level if depth == 1 else level.filter(X.entity_type(F.col("urn")).isin(*TRAVERSABLE))
-        found = walked.select("seed", F.col("urn").alias("from"), "path", "place").join(back, "from").join(visited, ["seed", "to"], "left_anti")
-        way = F.struct(F.concat("place", F.array(F.col("seq").cast("bigint"))).alias("place"), F.concat("path", F.array("to")).alias("path"))
-        first = found.groupBy("seed", "to").agg(F.min(way).alias("way"))
-        level = cut(first.select("seed", F.col("to").alias("urn"), F.col("way.path"), F.col("way.place")), "level")
-        if not level.limit(1).count():
-            break
-        levels.append(level.withColumn("depth", F.lit(depth)))
-    whole = reduce(DataFrame.unionByName, levels)
-    models = whole.filter((X.entity_type(F.col("urn")) == "mlModel") & (F.col("depth") > 0))
-    return models.select("seed", F.col("urn").alias("model_urn"), "depth", "path")
+    return reach.reached(seeds, edges, "mlModel", max_hops, paths).withColumnRenamed("urn", "model_urn")
 
 
 def route(path) -> object:

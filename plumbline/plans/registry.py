@@ -607,7 +607,7 @@ def _part_seeds(spark, sf_dir) -> DataFrame:
 
 @query(_DOWN + f"SELECT {_URN.format('s')} AS seed, {_URN.format('x')} AS model_urn, min(d) AS depth FROM walk WHERE left(x, 1) = 'M' GROUP BY s, x")
 def downstream_models(spark, sf_dir):
-    return graph.downstream_models(_part_seeds(spark, sf_dir), slices.edges(spark, sf_dir), 6).select("seed", "model_urn", "depth")
+    return graph.downstream_models(_part_seeds(spark, sf_dir), slices.edges(spark, sf_dir), 6, paths=False).select("seed", "model_urn", "depth")
 
 
 @query(_EDGES + f"""SELECT {_URN.format("'S1'")} AS seed, 'price' AS column_name, {_URN.format("'M' || n_regionkey")} AS model_urn, n_nationkey || ' → region_' || n_regionkey AS route FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey = 1""")
