@@ -17,13 +17,13 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import exprs as X
 from plumbline.functions.durable import cut
-from plumbline.operators import reach
+from plumbline.operators import closure, reach
 
 #: A hop of a path while it is walked: how the node was reached, from the model on.
 HOP = "struct<urn:string,entity_type:string,via:string,column:string>"
 
-#: Rounds after which what a walk has seen is written as one table.
-FOLD = 8
+#: Rounds of a column walk before it is left to ``closure``; most lineage is no deeper.
+PLAIN = 4
 
 
 def clean_edges(edges: DataFrame) -> DataFrame:
@@ -108,16 +108,16 @@ def column_features(found: DataFrame, sources: DataFrame, columns: DataFrame, co
     """(model_urn, urn, path, features): features that each upstream column reaches by column lineage.
 
     Starts from all columns of datasets that source features (``sources``) and follows
-    ``column_edges`` (down_urn, down_col, up_urn, up_col) inside the footprint without a hop limit. Each
-    round joins only the triples that were new in the one before; the edges and the footprint are written once before
-    the rounds, and the triples seen so far are rewritten as one table every FOLD rounds.
+    ``column_edges`` (down_urn, down_col, up_urn, up_col) inside the footprint without a hop limit. The first PLAIN
+    rounds join the triples that were new in the one before; what goes on after them, long chains and cycles, is
+    left to ``closure``, whose rounds grow with the logarithm of the longest chain.
     """
     seeds = sources.join(columns.select("model_urn", "urn", "path").distinct(), ["model_urn", "urn"])
     new = cut(seeds.select("model_urn", "urn", "path", F.explode("feeds_features").alias("feature")), "seeds")
     inside = cut(found.select("model_urn", "urn"), "inside")
     ways = cut(column_edges.select(F.col("down_urn").alias("urn"), F.col("down_col").alias("path"), "up_urn", "up_col"), "ways")
     seen, reached = new, []
-    while True:
+    for _ in range(PLAIN):
         up = new.join(ways, ["urn", "path"]).select("model_urn", F.col("up_urn").alias("urn"), F.col("up_col").alias("path"), "feature")
         up = cut(up.join(inside, ["model_urn", "urn"], "left_semi").distinct(), "reached")
         new = cut(up.join(seen, ["model_urn", "urn", "path", "feature"], "left_anti"), "new")
@@ -125,12 +125,25 @@ def column_features(found: DataFrame, sources: DataFrame, columns: DataFrame, co
         if not new.limit(1).count():
             break
         seen = seen.unionByName(new)
-        if len(reached) % FOLD == 0:
-            seen = cut(seen, "seen")
+    else:
+        reached.append(_further(new, ways, inside))
     whole = reduce(DataFrame.unionByName, reached)
     return whole.groupBy("model_urn", "urn", "path").agg(F.array_sort(F.collect_set("feature")).alias("features"))
 
 
+def _further(new: DataFrame, ways: DataFrame, inside: DataFrame) -> DataFrame:
+    """All that the triples ``new`` (model_urn, urn, path, feature) reach along ``ways`` inside the footprints."""
+    both = ways.join(inside, "urn").join(inside.withColumnRenamed("urn", "up_urn"), ["model_urn", "up_urn"])
+    both = cut(both.select("model_urn", "urn", "path", "up_urn", "up_col").distinct(), "inner")
+    ends = both.select("model_urn", "urn", "path").unionByName(both.select("model_urn", F.col("up_urn").alias("urn"), F.col("up_col").alias("path")))
+    nodes = cut(ends.distinct().withColumn("node", F.monotonically_increasing_id()), "nodes")
+    upper = nodes.select("model_urn", F.col("urn").alias("up_urn"), F.col("path").alias("up_col"), F.col("node").alias("b"))
+    edges = both.join(nodes.withColumnRenamed("node", "a"), ["model_urn", "urn", "path"]).join(upper, ["model_urn", "up_urn", "up_col"])
+    starts = new.join(nodes, ["model_urn", "urn", "path"]).select("node", F.col("feature").alias("item"))
+    held, _ = closure.closure(starts, edges.select("a", "b"))
+    return held.join(nodes, "node").select("model_urn", "urn", "path", F.col("item").alias("feature"))
+
+
 def downstream_models(seeds: DataFrame, edges: DataFrame, max_hops: int = 6, paths: bool = True) -> DataFrame:
     """Models downstream of each seed (column seed): seed, model_urn, depth, and with ``paths`` path (array from the seed on).
 
