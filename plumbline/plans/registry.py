@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import exprs as X
-from plumbline.operators import diff, graph, impact, profile, verdict
+from plumbline.functions.durable import cut
+from plumbline.operators import diff, graph, impact, profile, sketches, verdict
 from plumbline.operators.policy import Exemption, Policy, Thresholds
 from plumbline.operators.snapshot import Snapshot
 from plumbline.plans import slices
@@ -56,6 +57,36 @@ def profile_table(spark, sf_dir):
     return both.select("asset", "path", "row_count", "null_count", "unique_count", *shown)
 
 
+def _merged_sql(table: str, column: str) -> str:
+    return f"""SELECT '{table}' AS asset, '{column}' AS path, count(*) AS row_count, count(*) FILTER (WHERE {column} IS NULL) AS null_count,
+      count(DISTINCT {column}) AS unique_count, round(CAST(min({column}) AS DOUBLE), 2) AS min, round(CAST(max({column}) AS DOUBLE), 2) AS max,
+      round(avg({column}), 3) AS mean, round(stddev_samp({column}), 3) AS stdev, true AS unique_within, true AS quartiles_within FROM {table}"""
+
+
+@query(" UNION ALL ".join(_merged_sql(t, c) for t, cs in _PROFILED.items() for c in cs))
+def profile_merged(spark, sf_dir):
+    """States of every month, merged; the sketches are held against exact counts and ranks of the whole tables."""
+    out = []
+    for t, day in (("orders", "o_orderdate"), ("lineitem", "l_shipdate")):
+        rows = slices.table(spark, sf_dir, t).withColumn("asset", F.lit(t))
+        monthly = sketches.sketch(rows.withColumn("month", F.date_trunc("month", day)), ["asset", "month"], _PROFILED[t])
+        merged = cut(sketches.finish(sketches.merge(monthly, ["asset"]), ["asset"]), "merged")
+        exact = profile.profile(rows, ["asset"], _PROFILED[t]).select("asset", "path", F.col("unique_count").alias("exact"))
+        marks = merged.select("asset", "path", F.explode("quantiles").alias("share", "mark"))
+        values = rows.select("asset", F.explode(F.create_map(*(x for c in _PROFILED[t] for x in (F.lit(c), F.col(c).cast("double"))))).alias("path", "value"))
+        ranks = values.join(F.broadcast(marks), ["asset", "path"]).groupBy("asset", "path", "share").agg(
+            F.avg((F.col("value") < F.col("mark")).cast("int")).alias("below"), F.avg((F.col("value") <= F.col("mark")).cast("int")).alias("upto")
+        )
+        near = ranks.groupBy("asset", "path").agg(
+            F.every((F.col("below") <= F.col("share") + sketches.RANK_ERROR) & (F.col("upto") >= F.col("share") - sketches.RANK_ERROR)).alias("quartiles_within")
+        )
+        close = F.abs(F.col("unique_count") - F.col("exact")) <= sketches.DISTINCT_ERROR * F.col("exact")
+        shown = [F.round(X.finite(F.col(s)), d).alias(s) for s, d in (("min", 2), ("max", 2), ("mean", 3), ("stdev", 3))]
+        both = merged.join(exact, ["asset", "path"]).join(near, ["asset", "path"])
+        out.append(both.select("asset", "path", "row_count", "null_count", F.col("exact").alias("unique_count"), *shown, close.alias("unique_within"), "quartiles_within"))
+    return out[0].unionByName(out[1])
+
+
 @query(
     """SELECT user_id, ts, event_id, event_type, round(value, 4) AS value FROM (
       SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1"""
