@@ -10,11 +10,15 @@ from pyspark.sql import functions as F
 from plumbline.functions import exprs as X
 from plumbline.functions.durable import cut
 from plumbline.functions.kinds import BLOCK, CERTAIN, CLEAR, KINDS, PROBABLE, WARN
+from plumbline.operators import globs
 from plumbline.operators.policy import Exemption, Policy
 
 #: Runs that a review needs, and the share of them in which a chronic kind warned.
 LEAST_RUNS, CHRONIC_RATE = 4, 0.5
 
+#: Exemptions up to which they are tried one after the other; more are looked up in an index.
+FEW = 16
+
 
 def _covers(x: Exemption) -> Column:
     met = F.lit(True)
@@ -31,20 +35,22 @@ def rule(findings: DataFrame, policy: Policy, now: datetime) -> DataFrame:
     """Adds confidence, rule_id, severity, severity_rank, exempted_by and exemption_expires.
 
     Probable findings warn where a rule would block, unless the policy lets them. Then the first
-    active exemption that matches, in file order, sets the severity, up or down.
+    active exemption that matches, in file order, sets the severity, up or down. More than FEW exemptions
+    are an index that findings are joined with, so the plan doesn't grow with them.
     """
     ruled = {k: WARN if c == PROBABLE and policy.severity_of(k) == BLOCK and not policy.allow_probable_block else policy.severity_of(k) for k, (c, _) in KINDS.items()}
     severity = X.literal_map(ruled, F.col("kind"))
     active = [x for x in policy.exemptions if x.active(now)]
-    first = F.coalesce(*(F.when(_covers(x), F.lit(i)) for i, x in enumerate(active)), F.lit(None).cast("int"))
-    of = lambda values: X.literal_map(dict(enumerate(values)), F.col("exemption"))
     out = findings.withColumn("confidence", X.literal_map({k: c for k, (c, _) in KINDS.items()}, F.col("kind")))
-    out = out.withColumn("rule_id", X.rule_id(F.col("kind"))).withColumn("exemption", first)
-    downgraded = of([x.downgrade_to for x in active]) if active else F.lit(None).cast("string")
-    out = out.withColumn("severity", F.coalesce(downgraded, severity)).withColumn("severity_rank", X.severity_rank(F.col("severity")))
-    out = out.withColumn("exempted_by", of([x.reason for x in active]) if active else F.lit(None).cast("string"))
-    expires = of([x.expires.isoformat() if x.expires else "" for x in active]) if active else F.lit(None).cast("string")
-    return out.withColumn("exemption_expires", F.nullif(expires, F.lit(""))).drop("exemption")
+    out = out.withColumn("rule_id", X.rule_id(F.col("kind")))
+    if len(active) > FEW:
+        out = globs.first_match(out, active)
+    else:
+        told = lambda i, x: F.struct(F.lit(i).alias("ord"), F.lit(x.downgrade_to).alias("downgrade_to"), F.lit(x.reason).alias("reason"), F.lit(x.expires.isoformat() if x.expires else None).cast("string").alias("expires"))
+        none = F.lit(None).cast("struct<ord:int,downgrade_to:string,reason:string,expires:string>")
+        out = out.withColumn("exemption", F.coalesce(*(F.when(_covers(x), told(i, x)) for i, x in enumerate(active)), none))
+    out = out.withColumn("severity", F.coalesce("exemption.downgrade_to", severity)).withColumn("severity_rank", X.severity_rank(F.col("severity")))
+    return out.withColumn("exempted_by", F.col("exemption.reason")).withColumn("exemption_expires", F.col("exemption.expires")).drop("exemption")
 
 
 def listing_order() -> list[Column]:

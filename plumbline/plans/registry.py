@@ -419,6 +419,32 @@ def exemptions(spark, sf_dir):
     return ruled.groupBy("exempted_by", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Three thousand accepted risks, of brands by name, of name endings and of numbered columns.
+MANY = tuple(
+    Exemption(f"risk {i}", _FUTURE, "WARN" if i % 3 else "CLEAR", kind="COLUMN_ADDED", urn_pattern=f"urn:li:dataset:(urn:li:dataPlatform:spark,parts.Brand#{i}*")
+    if i % 2
+    else Exemption(f"risk {i}", _FUTURE, "WARN" if i % 3 else "CLEAR", urn_pattern=f"*Brand#[1-3]{i // 2 % 1000},PROD)" if i % 4 else None, column=f"c_{i}" if i % 4 == 0 else None)
+    for i in range(3000)
+)
+
+
+@query(
+    _ALL
+    + """, risks AS (
+  SELECT i, CASE WHEN i % 2 = 1 THEN 'COLUMN_ADDED' END AS k, CASE WHEN i % 3 = 0 THEN 'CLEAR' ELSE 'WARN' END AS severity,
+    CASE WHEN i % 2 = 1 THEN 'urn:li:dataset:(urn:li:dataPlatform:spark,parts.Brand#' || i || '*' WHEN i % 4 <> 0 THEN '*Brand#[1-3]' || (i // 2 % 1000) || ',PROD)' END AS pattern,
+    CASE WHEN i % 4 = 0 THEN 'c_' || i END AS col FROM (SELECT unnest(range(3000)) AS i)
+), met AS (
+  SELECT kind, subject_urn, subject_column, min(i) AS i FROM everything JOIN risks
+    ON (k IS NULL OR k = kind) AND (pattern IS NULL OR subject_urn GLOB pattern) AND (col IS NULL OR col = subject_column) GROUP BY ALL
+)
+SELECT kind, subject_urn, subject_column, 'risk ' || i AS exempted_by, CASE WHEN i % 3 = 0 THEN 'CLEAR' ELSE 'WARN' END AS severity FROM met"""
+)
+def exemptions_indexed(spark, sf_dir):
+    ruled = verdict.rule(_findings(spark, sf_dir), Policy(exemptions=MANY), slices.NOW).filter("exempted_by is not null")
+    return ruled.select("kind", "subject_urn", "subject_column", "exempted_by", "severity")
+
+
 @query(
     _ALL + _ruled_sql() % "everything" + """SELECT kind, subject_urn, subject_column, severity, row_number() OVER (ORDER BY CASE severity WHEN 'BLOCK' THEN 0 WHEN 'WARN' THEN 1 ELSE 2 END,
       CASE confidence WHEN 'CERTAIN' THEN 0 ELSE 1 END, kind, subject_urn, coalesce(subject_column, '')) AS place FROM ruled"""
