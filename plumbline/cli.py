@@ -49,7 +49,9 @@ def main(argv: list[str] | None = None) -> int:
     command("check", model, places, (["--write-back"], {}), *switches)
     command("demo", graph=False)
     command("history", model, (["--runs"], {"required": True}), (["--limit"], {"type": int, "default": 20}), graph=False)
-    command("impact", (["files"], {"nargs": "+"}), (["--fail-on-impact"], {"action": "store_true"}), (["--max-hops"], {"type": int, "default": 6}))
+    only = [([f"--{s}"], {"help": f"only tables of this {s}"}) for s in ("platform", "env")]
+    narrow = (["--columns"], {"action": "store_true", "help": "only models that the lost columns feed, by column lineage"})
+    command("impact", (["files"], {"nargs": "+"}), (["--fail-on-impact"], {"action": "store_true"}), (["--max-hops"], {"type": int, "default": 6}), *only, narrow)
     command("what-if", (["urn"], {}), (["column"], {}), (["--max-hops"], {"type": int, "default": 6}))
     args = parser.parse_args(argv)
     try:
@@ -95,8 +97,9 @@ def _run(args, policy) -> int:
             for row in impact.what_if(spark, args.urn, args.column, catalog.edges, owners, args.max_hops).orderBy("model_urn").collect():
                 print(f"{report.short(row['model_urn'])} via {row['route']}")
             return 0
-        tables = catalog.columns.select(impact_table(F.col("urn")).alias("table"), F.col("urn").alias("table_urn"), "ord", "path")
-        found = impact.sql_impact(spark, impact.read_statements(args.files), tables, catalog.edges, owners, args.max_hops).orderBy("sql_file").collect()
+        tables = impact.tables_of(catalog.columns, args.platform, args.env)
+        column_edges = catalog.column_edges if args.columns else None
+        found = impact.sql_impact(spark, impact.read_statements(args.files), tables, catalog.edges, owners, args.max_hops, column_edges).orderBy("sql_file").collect()
         print(report.impact_comment(found))
         return int(args.fail_on_impact and any(r["breaking"] for r in found))
     if not names and not getattr(args, "all", False):

@@ -23,6 +23,9 @@ from plumbline.functions.durable import cut
 #: Shortcuts over one node at most.
 WIDE = 64
 
+#: Rounds before there are any, as most graphs are shallow.
+PLAIN = 2
+
 
 def _renamed(df: DataFrame, column: str, names: DataFrame) -> DataFrame:
     """``df`` with the nodes of ``column`` under the names (node, leader) that ``names`` has for some."""
@@ -66,22 +69,24 @@ def closure(starts: DataFrame, edges: DataFrame) -> tuple[DataFrame, int]:
     ways = cut(edges.select("a", "b").distinct(), "edges")
     held = cut(starts.join(ways, F.col("node") == F.col("a")).select(F.col("b").alias("node"), "item").distinct(), "held")
     send = lambda items, along: items.join(along, F.col("node") == F.col("a")).select(F.col("b").alias("node"), "item")
-    long, fresh, members, rounds = ways, held, None, 0
+    long, fresh, members, rounds = None, held, None, 0
     while True:
         rounds += 1
-        names = cut(mutual(ways), "leaders")
-        if names.limit(1).count():
+        names = cut(mutual(ways), "leaders") if long is not None else None
+        if names is not None and names.limit(1).count():
             rename = lambda df: cut(_renamed(_renamed(df, "a", names), "b", names).distinct(), "renamed")
             ways, long, held = rename(ways), rename(long), cut(_renamed(held, "node", names).distinct(), "held")
             members = cut(_stand_in(members, names), "members")
             sent = send(held, ways)
         else:
-            sent = send(fresh, ways) if rounds == 1 else send(fresh, ways).unionByName(send(held, long))
+            sent = send(fresh, ways) if long is None else send(fresh, ways).unionByName(send(held, long))
         fresh = cut(sent.distinct().join(held, ["node", "item"], "left_anti"), "new")
         if not fresh.limit(1).count():
             break
         held = cut(held.unionByName(fresh), "held")
-        long = cut(shortcuts(long), "shortcuts")
+        if rounds < PLAIN:
+            continue
+        long = cut(shortcuts(ways if long is None else long), "shortcuts")
         ways = cut(ways.unionByName(long).distinct(), "ways")
     if members is None:
         return held, rounds

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import exprs as X
 from plumbline.functions.durable import cut
-from plumbline.operators import diff, graph, impact, profile, sketches, verdict
+from plumbline.operators import diff, graph, impact, lineage, profile, sketches, verdict
 from plumbline.operators.policy import Exemption, Policy, Thresholds
 from plumbline.operators.snapshot import Snapshot
 from plumbline.plans import slices
@@ -804,6 +804,50 @@ def sql_impact(spark, sf_dir):
     return found.select("sql_file", *(F.array_join(c, "|").alias(c) for c in ("dropped", "added")), F.greatest(count, F.lit(0)).alias("models"), "breaking", "parse_error")
 
 
+_REGION_MODEL = "'urn:li:mlModel:(urn:li:dataPlatform:spark,region_' || region || ',PROD)'"
+_FED = """
+WITH n AS (SELECT count(*) AS n FROM part), users AS (
+  SELECT l_partkey AS part, 'p' || (l_linenumber % 2) AS col, n_regionkey AS region FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
+), chain AS (SELECT DISTINCT l_partkey AS down, (l_partkey * 7 + 3) % n AS up FROM lineitem, n), fed AS (
+  SELECT DISTINCT part, col, region FROM users UNION SELECT up, 'p1', region FROM chain JOIN users ON part = down AND col = 'p0'
+)
+"""
+
+
+@query(_FED + f"""SELECT 'urn:li:dataset:(urn:li:dataPlatform:spark,part.' || part || ',PROD)' AS table_urn, col AS path, {_REGION_MODEL} AS model_urn FROM fed""")
+def column_impact(spark, sf_dir):
+    """The models that each column of each part's table feeds, by column lineage."""
+    ways = cut(slices.column_edges(spark, sf_dir), "column_edges")
+    columns = ways.select(F.col("up_urn").alias("table_urn"), F.col("up_col").alias("path"))
+    return lineage.column_impact(columns, slices.edges(spark, sf_dir), ways)
+
+
+@query(
+    _FED
+    + f"""SELECT 'part_' || k || '.sql' AS sql_file, 'p1' AS dropped, 'lineitem.l_orderkey|lineitem.l_quantity|part.p_partkey|part.p_size' AS inputs,
+      coalesce(string_agg({_REGION_MODEL}, '|' ORDER BY region), '') AS models, count(region) > 0 AS breaking
+    FROM (SELECT unnest(range(1, 9)) AS k) s LEFT JOIN fed ON part = k AND col = 'p1' GROUP BY k"""
+)
+def sql_column_impact(spark, sf_dir):
+    """Statements over part and lineitem that lose a column, and the models that just this column feeds."""
+    for name in ("part", "lineitem"):
+        slices.table(spark, sf_dir, name).createOrReplaceTempView(name)
+    statements = {
+        f"part_{k}.sql": f"""CREATE OR REPLACE TABLE part.{k} USING parquet AS WITH big AS (SELECT p_partkey AS id, p_size AS size FROM part)
+          SELECT max(q) OVER (PARTITION BY size) AS p0 FROM (SELECT max(l_quantity) AS q, size FROM lineitem JOIN big ON l_partkey = id
+          WHERE l_orderkey > 0 GROUP BY size, id) UNION ALL SELECT l_orderkey + (SELECT min(p_partkey) FROM part) FROM lineitem""".replace(f"part.{k} ", f"`part`.`{k}` ")
+        for k in range(1, 9)
+    }
+    ways = cut(slices.column_edges(spark, sf_dir), "column_edges")
+    ends = ways.select(F.col("up_urn").alias("urn"), F.col("up_col").alias("path")).distinct()
+    catalog = ends.select(X.report_name(F.col("urn")).alias("table"), F.col("urn").alias("table_urn"), F.when(F.col("path") == "p0", 0).otherwise(1).alias("ord"), "path")
+    both = catalog.select("table", "table_urn").distinct().withColumn("path", F.explode(F.array(F.lit("p0"), F.lit("p1")))).withColumn("ord", F.substring("path", 2, 1).cast("int"))
+    owners = slices.region_models(spark, sf_dir).select(F.col("model_urn").alias("urn"), F.array().cast("array<string>").alias("owners"))
+    found = impact.sql_impact(spark, statements, both.select("table", "table_urn", "ord", "path"), slices.edges(spark, sf_dir), owners, column_edges=ways)
+    models = F.transform(F.coalesce("impacted", F.array().cast("array<struct<model_urn:string,owners:array<string>,route:string>>")), lambda m: m["model_urn"])
+    return found.select("sql_file", F.array_join("dropped", "|").alias("dropped"), F.array_join("inputs", "|").alias("inputs"), F.array_join(models, "|").alias("models"), "breaking")
+
+
 # -- streaming (an extension) -----------------------------------------------------
 
 _WATCH = """
