@@ -972,6 +972,53 @@ def property_patch(spark, sf_dir):
     return sinks.patched(old, changes).select("model_urn", value("segment"), value("note"))
 
 
+@query(
+    """SELECT c_name AS model_urn, CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END AS segment,
+      CASE WHEN c_custkey % 6 = 0 THEN 'third' WHEN c_custkey % 2 = 0 THEN 'second' WHEN c_custkey % 5 <> 0 THEN 'first' END AS note
+    FROM customer WHERE c_custkey % 5 <> 0 OR c_custkey % 2 = 0"""
+)
+def property_log(spark, sf_dir):
+    """Properties from a log of four patches, two of them by writers at the same time, folded once between."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from plumbline.functions.durable import made
+    from plumbline.sources import sinks
+
+    path = made(spark, "properties")
+    customer = slices.table(spark, sf_dir, "customer").withColumnRenamed("c_name", "model_urn")
+    patch = lambda rows, **values: sinks.patch_properties(rows.select("model_urn", F.create_map(*(x for k, v in values.items() for x in (F.lit(k), v))).alias("properties")), path)
+    patch(customer.filter("c_custkey % 5 <> 0"), note=F.lit("first"), draft=F.lit("x"))
+    patch(customer.filter("c_custkey % 2 = 0"), note=F.lit("second"))
+    sinks.compact_properties(spark, path)
+    with ThreadPoolExecutor(2) as pool:
+        segment = pool.submit(patch, customer.filter("c_custkey % 5 <> 0"), segment=F.col("c_mktsegment"), draft=F.lit(None).cast("string"))
+        note = pool.submit(patch, customer.filter("c_custkey % 6 = 0"), note=F.lit("third"))
+        for done in (segment, note):
+            done.result()
+    value = lambda name: F.try_element_at("properties", F.lit(name)).alias(name)
+    return sinks.properties(spark, path).filter(~F.map_contains_key("properties", "draft")).select("model_urn", value("segment"), value("note"))
+
+
+@query(
+    _STATS + """, models AS (SELECT r.r_regionkey AS r, n.urn, n.side, max(n.n) AS n FROM region r JOIN kept n ON r.r_regionkey IN (n.n_regionkey, (n.n_regionkey + 1) % 5) GROUP BY ALL)
+    SELECT 'urn:li:mlModel:(urn:li:dataPlatform:spark,region_' || r || ',PROD)' AS model_urn, urn, n AS row_count, 2 AS live, 1 AS folded FROM models WHERE side = CASE WHEN r < 2 THEN 'new' ELSE 'old' END"""
+)
+def baseline_live(spark, sf_dir):
+    """Three versions of which two still count for some model; the folders that a read opens before and after folding them."""
+    from plumbline.functions.durable import made
+    from plumbline.sources import sinks
+
+    path = made(spark, "baseline")
+    old, new = slices.order_snapshots(spark, sf_dir, per_region=True)
+    two = F.col("model_urn").rlike("region_[01],")
+    for version in (new, old, Snapshot.of(*(getattr(new, t).filter(two) for t in ("assets", "columns", "profiles", "col_features")))):
+        sinks.write_baseline(version, path)
+    opened = lambda: len({f.split("version=")[1].split("/")[0] for f in sinks.read_baseline(spark, path).assets.inputFiles() if "/assets/" in f})
+    live = opened()
+    sinks.compact_baseline(spark, path)
+    return sinks.read_baseline(spark, path).assets.select("model_urn", "urn", "row_count", F.lit(live).alias("live"), F.lit(opened()).alias("folded"))
+
+
 @query(_STATS + "SELECT urn, path, CASE path WHEN 'price' THEN 0 ELSE 1 END AS ord, n AS row_count, nulls AS null_count, uniq AS unique_count, 'urn:li:corpuser:u' || (k % 4) AS owners FROM kept WHERE side = 'new'")
 def recording_round_trip(spark, sf_dir):
     """The nations' assets recorded as one document and loaded again."""

@@ -1,14 +1,14 @@
 """Sinks: approved baselines, verdict history and the status of models.
 
-Tables are Parquet. A baseline is written whole, as one version of its four tables, and becomes valid with the
-last write, that of its models to the list of approvals: until then, and if a write fails, the models keep their
-old one; a table that has no rows for a model is empty in the new version. A model's status is replaced by overwriting
+Tables are Parquet. A baseline is written whole, as one version of its four tables, and becomes valid with its
+entry in a log: until then, and if a write fails, the models keep their
+old one; a table that has no rows for a model is empty in the new version. Properties are a log of patches that a read folds
+together. A model's status is replaced by overwriting
 its partition. Every write back is tried, and failures are reported together; to repeat one changes nothing.
 """
 
 from __future__ import annotations
 
-import time
 import uuid
 from collections.abc import Callable
 from datetime import datetime
@@ -21,6 +21,7 @@ from plumbline.functions import exprs as X
 from plumbline.functions.durable import cut
 from plumbline.functions.kinds import BLOCK, CLEAR
 from plumbline.operators.snapshot import ASSETS, COL_FEATURES, COLUMNS, PROFILES, Snapshot
+from plumbline.sources import manifest
 
 _TABLES = {"assets": ASSETS, "columns": COLUMNS, "profiles": PROFILES, "col_features": COL_FEATURES}
 
@@ -41,37 +42,94 @@ def _replace(df: DataFrame, path: str) -> None:
 
 
 def write_baseline(snapshot: Snapshot, path: str) -> None:
-    """Makes the snapshot the approved baseline of its models; other models keep theirs."""
+    """Makes the snapshot the approved baseline of its models; other models keep theirs.
+
+    The version counts from its entry in the log. If another writer committed one meanwhile for any of the same models, this one is
+    withdrawn and ConflictError raised; writers of different models don't disturb each other.
+    """
+    spark, version = snapshot.assets.sparkSession, uuid.uuid4().hex
+    seen = manifest.last(spark, path)
+    _write_version(snapshot, path, version)
+    while True:
+        try:
+            manifest.append(spark, path, version, seen)
+            return
+        except manifest.ConflictError:
+            since = [e for e in manifest.entries(spark, path) if e.sequence > seen]
+            # Numbers that a checkpoint has made away with can't be told apart any more.
+            known = since and since[0].sequence == seen + 1 and not any(e.checkpoint for e in since)
+            if not known or _models(spark, path, [version]).join(_models(spark, path, [e.version for e in since]), "model_urn", "left_semi").limit(1).count():
+                _remove_version(spark, path, version)
+                raise
+            seen = since[-1].sequence
+
+
+def _write_version(snapshot: Snapshot, path: str, version: str) -> None:
     spark = snapshot.assets.sparkSession
-    version = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
     for name in _TABLES:
-        getattr(snapshot, name).write.parquet(f"{path}/{name}/version={version}")
-    written = spark.read.schema(_TABLES["assets"]).parquet(f"{path}/assets/version={version}")
-    written.select("model_urn").distinct().withColumn("version", F.lit(version)).coalesce(1).write.mode("append").parquet(f"{path}/approved")
+        getattr(snapshot, name).write.parquet(manifest.folder(f"{path}/{name}", version))
+    written = spark.read.schema(_TABLES["assets"]).parquet(manifest.folder(f"{path}/assets", version))
+    written.select("model_urn").distinct().write.parquet(manifest.folder(f"{path}/models", version))
+
+
+def _remove_version(spark: SparkSession, path: str, version: str) -> None:
+    for name in (*_TABLES, "models"):
+        manifest.remove(spark, manifest.folder(f"{path}/{name}", version))
+
+
+def _models(spark: SparkSession, path: str, versions: list[str]) -> DataFrame:
+    return manifest.read(spark, f"{path}/models", "model_urn string, version string", versions).select("model_urn", "version")
+
+
+def live_versions(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
+    """(model_urn, version) of each model's newest version, and those that any model has."""
+    entries = manifest.entries(spark, path)
+    if not entries:
+        return spark.createDataFrame([], "model_urn string, version string"), []
+    order = spark.createDataFrame([(e.version, e.sequence) for e in entries], "version string, sequence long")
+    models = _models(spark, path, [e.version for e in entries]).join(F.broadcast(order), "version")
+    newest = cut(models.groupBy("model_urn").agg(F.max_by("version", "sequence").alias("version")), "live")
+    return newest, [r["version"] for r in newest.select("version").distinct().collect()]
 
 
 def read_baseline(spark: SparkSession, path: str) -> Snapshot:
     """The approved baselines, each model's latest version; none where nothing was ever approved.
 
-    Anything else that keeps a table from being read is an error: a baseline that cannot be read is not a missing one.
+    Only folders of versions that some model still has are opened. Anything that keeps one from being read is an error: a
+    baseline that cannot be read is not a missing one.
     """
-    from pyspark.errors import AnalysisException
-
-    try:
-        approved = spark.read.schema("model_urn string, version string").parquet(f"{path}/approved")
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
+    newest, versions = live_versions(spark, path)
+    if not versions:
         return Snapshot.of(*(spark.createDataFrame([], t) for t in _TABLES.values()))
-    latest = approved.groupBy("model_urn").agg(F.max("version").alias("version"))
 
     def table(name):
-        rows = spark.read.schema(T.StructType([*_TABLES[name], T.StructField("version", T.StringType())])).parquet(f"{path}/{name}")
-        return rows.join(latest, ["model_urn", "version"], "left_semi").select(_TABLES[name].names)
+        schema = T.StructType([*_TABLES[name], T.StructField("version", T.StringType())])
+        rows = manifest.read(spark, f"{path}/{name}", schema, versions)
+        return rows.join(newest, ["model_urn", "version"], "left_semi").select(_TABLES[name].names)
 
     return Snapshot.of(*map(table, _TABLES))
 
 
+def compact_baseline(spark: SparkSession, path: str) -> list[str]:
+    """Writes what counts as one version that stands for all before it, and removes those; their names.
+
+    ConflictError, and nothing changed, if a version is committed meanwhile. Whoever was reading the old versions has to start again.
+    """
+    seen, entries, version = manifest.last(spark, path), manifest.entries(spark, path), uuid.uuid4().hex
+    if not entries or entries[-1].sequence != seen:
+        return []
+    _write_version(read_baseline(spark, path), path, version)
+    try:
+        at = manifest.append(spark, path, version, seen, checkpoint=True)
+    except manifest.ConflictError:
+        _remove_version(spark, path, version)
+        raise
+    manifest.forget(spark, path, at)
+    for e in entries:
+        _remove_version(spark, path, e.version)
+    return [e.version for e in entries]
+
+
 def read_first_baseline(spark: SparkSession, paths: list[str]) -> Snapshot:
     """Each model's baseline from the first of several places that has one."""
     found = None
@@ -139,7 +197,7 @@ def write_back(verdicts: DataFrame, ruled: DataFrame, path: str, now: datetime,
     steps: dict[str, Callable[[], None]] = {
         "verdict_runs": lambda: runs_from(verdicts, now).write.mode("overwrite").parquet(f"{path}/verdict_runs/moment={int(now.timestamp() * 1000)}"),
         "model_status": lambda: _replace(status, f"{path}/model_status"),
-        "model_properties": lambda: _replace(cut(patched(properties(verdicts.sparkSession, path), changes), "properties"), f"{path}/model_properties"),
+        "model_properties": lambda: patch_properties(changes, path),
     }
     written, failures = [], {}
     for name, step in steps.items():
@@ -167,17 +225,51 @@ def define_properties(spark: SparkSession, path: str) -> bool:
     return True
 
 
-def properties(spark: SparkSession, path: str) -> DataFrame:
-    """The models' properties as last written: model_urn, properties."""
-    from pyspark.errors import AnalysisException
+def patch_properties(changes: DataFrame, path: str) -> None:
+    """Appends changes (model_urn, properties) to the patch log of the models' properties; a null value unsets its name.
 
-    schema = "properties map<string,string>, model_urn string"
+    Only the changes are written. Writers at the same time all keep their patches, in the order of the log.
+    """
+    spark, version = changes.sparkSession, uuid.uuid4().hex
+    log = f"{path}/model_properties"
+    changes.select("model_urn", "properties").write.parquet(manifest.folder(log, version))
+    while True:
+        try:
+            manifest.append(spark, log, version, manifest.last(spark, log))
+            return
+        except manifest.ConflictError:
+            continue
+
+
+def properties(spark: SparkSession, path: str) -> DataFrame:
+    """The models' properties as patched so far: model_urn, properties; models without any have no row."""
+    log = f"{path}/model_properties"
+    entries = manifest.entries(spark, log)
+    if not entries:
+        return spark.createDataFrame([], "model_urn string, properties map<string,string>")
+    order = spark.createDataFrame([(e.version, e.sequence) for e in entries], "version string, sequence long")
+    patches = manifest.read(spark, log, "model_urn string, properties map<string,string>, version string", [e.version for e in entries])
+    flat = patches.join(F.broadcast(order), "version").select("model_urn", "sequence", F.explode("properties").alias("name", "value"))
+    # Of a name that one patch sets twice for a model, the largest value counts.
+    newest = flat.groupBy("model_urn", "name").agg(F.max(F.struct("sequence", "value")).alias("newest")).filter("newest.value is not null")
+    return newest.groupBy("model_urn").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "newest.value")))).alias("properties"))
+
+
+def compact_properties(spark: SparkSession, path: str) -> None:
+    """Folds the patch log into one version; ConflictError, and nothing changed, if a patch is committed meanwhile."""
+    log, version = f"{path}/model_properties", uuid.uuid4().hex
+    seen, entries = manifest.last(spark, log), manifest.entries(spark, log)
+    if not entries or entries[-1].sequence != seen:
+        return
+    properties(spark, path).write.parquet(manifest.folder(log, version))
     try:
-        return spark.read.schema(schema).parquet(f"{path}/model_properties")
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
+        at = manifest.append(spark, log, version, seen, checkpoint=True)
+    except manifest.ConflictError:
+        manifest.remove(spark, manifest.folder(log, version))
+        raise
+    manifest.forget(spark, log, at)
+    for e in entries:
+        manifest.remove(spark, manifest.folder(log, e.version))
 
 
 def patched(old: DataFrame, changes: DataFrame) -> DataFrame:

@@ -80,7 +80,8 @@ def test_sinks(spark, results, tmp_path):
     assert spark.read.parquet(f"{out}/verdict_runs").count() == 2
     # A later gate adds its runs; properties of other writers stay.
     own = sinks.properties(spark, out).withColumn("properties", F.create_map(F.lit("team"), F.lit("a"), F.lit("gate_severity"), F.lit("OLD")))
-    sinks._replace(spark.createDataFrame(own.collect(), own.schema), f"{out}/model_properties")
+    sinks.patch_properties(own, out)
+    assert {r["properties"]["gate_severity"] for r in sinks.properties(spark, out).collect()} == {"OLD"}
     sinks.write_back(g.verdicts, g.findings, out, slices.NOW + timedelta(hours=1))
     assert {(r["properties"]["team"], r["properties"]["gate_severity"]) for r in sinks.properties(spark, out).collect()} == {("a", "BLOCK")}
     runs = verdict.runs_of(spark.read.parquet(f"{out}/verdict_runs"))
