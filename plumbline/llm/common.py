@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.durable import cut as materialize
 from plumbline.functions.durable import made, shared_dir
 
-__all__ = ["bucketed", "carried", "fold", "fresh", "global_index", "levels_of", "lower_ascii", "made", "materialize", "shared_dir", "where"]
+__all__ = ["bucketed", "carried", "fold", "fresh", "global_index", "levels_of", "lower_ascii", "made", "materialize", "plainly", "shared_dir", "where"]
 
 
 #: Buckets of a written table at most; Spark takes 100,000.
@@ -82,6 +82,12 @@ def carried(df: DataFrame, *made: str) -> tuple[DataFrame, list[tuple[str, str]]
     return df.toDF(*safe), [(s, g) for s, g in zip(safe, given) if g.lower() not in taken]
 
 
+def plainly(df: DataFrame, *used: str) -> DataFrame:
+    """``df`` with the columns ``used`` under just these names, and all others by place; ``toDF`` with the old names turns it back."""
+    at = {where(df, u): u for u in used}
+    return df.toDF(*(at.get(i, f"c{i}_") for i in range(len(df.columns))))
+
+
 def global_index(df: DataFrame, order: list[str], out: str = "idx") -> DataFrame:
     """Adds ``out``, the row's place (from 0, gapless) in the order of the columns ``order``.
 

@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import fresh, lower_ascii, materialize
+from plumbline.llm.common import fresh, lower_ascii, materialize, plainly
 
 #: Bits of the bitmap filter over hit digests at most (64 MB, for some 34 million hits); it is as small as the hits allow. Beyond it the filter lets more rows through; results do not change.
 FILTER_BITS = 1 << 29
@@ -191,4 +191,5 @@ def exact_groups(docs: DataFrame, keep: str = "smallest", digest=digest_of) -> D
 
 def drop_copies(docs: DataFrame, keep: str = "smallest", digest=digest_of) -> DataFrame:
     """``docs`` without the copies of any text (equal after lower-casing A-Z), all columns kept."""
-    return Index.build(docs, keep, digest=digest).drop_copies(docs)
+    plain = plainly(docs, "doc_id", "text")
+    return Index.build(plain, keep, digest=digest).drop_copies(plain).toDF(*docs.columns)

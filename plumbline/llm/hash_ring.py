@@ -9,7 +9,7 @@ counts of the arcs, shards x vnodes numbers; rows find their place by their glob
 
 Defined results: a null identifier hashes like any other value; rows are placed by their key alone, so empty and
 very long texts are rows like others; rows with one key are split where a bound cuts them, and go by the columns
-``order``, then by their place in the input; repeated rows get slots of their own; columns named shard or slot give way
+``order``, then by their place in the input; repeated rows get slots of their own; columns named shard or slot, in letters of any case, give way
 to the result's, others may have any name; an empty table gives no rows.
 """
 
@@ -21,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from plumbline.llm.common import fresh, global_index
+from plumbline.llm.common import carried, global_index, where
 
 
 def ring(shards: int, vnodes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,18 +85,21 @@ def assign(rows: DataFrame, key: str, shards: int, vnodes: int = 128, slack: flo
     ``order``: columns that order rows with one key; the result doesn't depend on the input's order.
     """
     places, owners = ring(shards, vnodes)
-    place, arc_name, idx = fresh(rows, "place", "arc", "idx")
-    columns = [c for c in rows.columns if c not in ("shard", "slot")]
-    rows = rows.select(columns)
+    place, arc_name, idx = "place", "arc", "idx"
+    safe, kept = carried(rows, "shard", "slot")
+    key, *order = (f"c{where(rows, c)}" for c in (key, *(order or [])))
+    columns = [s for s, _ in kept]
+    rows = safe.select(*dict.fromkeys([*columns, key, *order]))
 
     def arcs(batches):
         for b in batches:
             at = np.searchsorted(places, b.column(place).to_numpy(zero_copy_only=False), side="left") % len(places)
             yield b.append_column(arc_name, pa.array(at.astype(np.int32)))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    placed = rows.withColumn(place, F.xxhash64(key)).mapInArrow(arcs, f"{schema}, {place} long, {arc_name} int")
-    ranked = global_index(placed, [arc_name, place, key, *(order or [])], idx)
+    more = lambda schema, **kinds: T.StructType([*schema, *(T.StructField(n, k) for n, k in kinds.items())])
+    hashed = rows.withColumn(place, F.xxhash64(key))
+    placed = hashed.mapInArrow(arcs, more(hashed.schema, arc=T.IntegerType()))
+    ranked = global_index(placed, [arc_name, place, key, *order], idx)
     counts = np.zeros(len(places), dtype=np.int64)
     for row in ranked.groupBy(F.col(arc_name).alias("arc")).agg(F.count(F.lit(1)).alias("n")).collect():
         counts[row["arc"]] = row["n"]
@@ -117,4 +121,5 @@ def assign(rows: DataFrame, key: str, shards: int, vnodes: int = 128, slack: flo
             out = b.append_column("shard", pa.array(shard_of[at].astype(np.int32)))
             yield out.append_column("slot", pa.array(slots[at] + (rank - begin[at])))
 
-    return ranked.mapInArrow(slotted, f"{schema}, {place} long, {arc_name} int, {idx} long, shard int, slot long").select(*columns, "shard", "slot")
+    out = ranked.mapInArrow(slotted, more(ranked.schema, shard=T.IntegerType(), slot=T.LongType()))
+    return out.select(*columns, "shard", "slot").toDF(*(g for _, g in kept), "shard", "slot")

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import fresh, materialize
+from plumbline.llm.common import fresh, materialize, plainly
 from plumbline.llm.exact_dedup import flagged, hit_filter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -450,6 +450,10 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with one row of each class, that of the smallest identifier; all columns kept."""
+    return _kept(plainly(docs, "doc_id", "text"), threshold).toDF(*docs.columns)
+
+
+def _kept(docs: DataFrame, threshold: float) -> DataFrame:
     named = materialize(classes(docs, threshold).filter("not lone"), "classes")
     sizes = named.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size")).filter("class_size > 1")
     sizes = sizes.select(F.col("class_id").alias("sized_class"))

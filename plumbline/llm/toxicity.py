@@ -10,15 +10,16 @@ in whole.
 A term gets weights if it is in MIN_DOCUMENTS sampled texts or more, and either goes with the label by itself
 (chi-squared of MIN_ASSOCIATION or more) or goes with it among the texts that hold some other term
 (PAIR_ASSOCIATION or more, and a difference of PAIR_EFFECT or more in the share of toxic ones), as a group's name may
-among texts with an insult; then both terms of the pair do. Pairs are
-looked at among the PAIR_TERMS most common terms of the sample, and the terms that go with the label by themselves. The
+among texts with an insult; then both terms of the pair do. All pairs
+of terms are looked at, through an inverted index of the sample: for each term the terms of its texts are counted. Only terms too
+rare for a chi-squared of PAIR_ASSOCIATION among their texts, which is their number at most, are not tried as the other term. The
 sample has not the true share of toxic rows, so the intercept is moved to the share among all labels, and counts
 for the screens weight clean texts to that share. Settings were chosen by cross validation within the training
 folds (see the README); the held-out fold was scored after that.
 
 Defined results: null and empty texts get the score of the intercept alone; very long texts are scored by all
 their distinct terms; repeated rows get equal scores; a score of exactly 0.5 counts as toxic; a document labelled
-twice counts as toxic if one label says so; without labels of both kinds the score is the share of toxic labels
+twice counts as toxic if one label says so; of several rows with one identifier that of the smallest text hash is learnt from; without labels of both kinds the score is the share of toxic labels
 (0 without labels); only doc_id and text are read, and other columns are carried by ``drop_toxic`` under
 any names; an empty table gives no rows.
 """
@@ -32,8 +33,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from plumbline.llm.common import fold, fresh
+from plumbline.llm.common import carried, fold, where
 
 TERM = re.compile(r"[^\W\d_]+")
 DIM = 1 << 20
@@ -48,8 +50,6 @@ PAIR_ASSOCIATION = 96.0
 PAIR_EXPECTED = 3.0
 #: Difference that one term of a pair makes to the share of toxic texts among those that hold the other, at least.
 PAIR_EFFECT = 0.5
-#: Most common terms of the sample that pairs are looked for among.
-PAIR_TERMS = 1024
 FACTORS = 4
 #: Share of a text's terms that each step hides, so that a term learns to count without its usual company.
 HIDDEN = 0.2
@@ -103,32 +103,36 @@ def association(toxic: np.ndarray, seen: np.ndarray, all_toxic: np.ndarray | flo
     return np.where(spread > 1e-9, (toxic - expected) ** 2 / np.maximum(spread, 1e-9), 0.0)
 
 
-def paired_terms(terms: list[np.ndarray], labels: np.ndarray, weight: float, ids: np.ndarray, alone: np.ndarray) -> np.ndarray:
-    """Of the features ``ids``, pairs one of which, not ``alone``, goes with the label among the texts that hold the other."""
-    place = np.full(DIM, -1, dtype=np.int32)
-    place[ids] = np.arange(len(ids), dtype=np.int32)
-    both = {}
-    for label in (0, 1):
-        both[label] = np.zeros((len(ids), len(ids)), dtype=np.float32)
-        which = np.flatnonzero(labels == label)
-        for at in range(0, len(which), 2048):
-            some = which[at : at + 2048]
-            shown = np.zeros((len(some), len(ids)), dtype=np.float32)
-            for row, d in enumerate(some.tolist()):
-                found = place[terms[d]]
-                shown[row, found[found >= 0]] = 1
-            both[label] += shown.T @ shown
-    toxic, seen = both[1], both[1] + np.float32(weight) * both[0]
+def paired_terms(terms: list[np.ndarray], labels: np.ndarray, weight: float, enough: np.ndarray, alone: np.ndarray) -> np.ndarray:
+    """Of the features in ``enough`` (a mask), pairs one of which, not ``alone``, goes with the label among the texts that hold the other."""
+    ids = np.flatnonzero(enough)
+    place = np.cumsum(enough) - 1
+    # Toxic texts first, so that an entry of the index is two runs of texts.
+    order = np.argsort(-labels, kind="stable")
+    texts = [place[terms[d][enough[terms[d]]]].astype(np.int32) for d in order]
+    n_toxic = int(labels.sum())
+    holder = np.concatenate(texts) if texts else np.zeros(0, dtype=np.int32)
+    text = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    by_term = np.argsort(holder, kind="stable")
+    ends = np.concatenate([[0], np.cumsum(np.bincount(holder, minlength=len(ids)))])
+    counted = lambda some: np.bincount(np.concatenate([texts[d] for d in some]), minlength=len(ids)).astype(float) if len(some) else np.zeros(len(ids))
     out = np.zeros(len(ids), dtype=bool)
-    for at in range(0, len(ids), 256):
-        some = np.arange(at, min(at + 256, len(ids)))
-        with_a, toxic_a = seen[some, some][:, None], toxic[some, some][:, None]
-        hit = association(toxic[some], seen[some], toxic_a, np.maximum(with_a, 1e-9)) >= PAIR_ASSOCIATION
-        hit &= (seen[some] * toxic_a >= PAIR_EXPECTED * with_a) & ~alone[ids]
-        without = np.maximum(with_a - seen[some], 1e-9)
-        hit &= np.abs(toxic[some] / np.maximum(seen[some], 1e-9) - (toxic_a - toxic[some]) / without) >= PAIR_EFFECT
-        out[some] |= hit.any(axis=1)
-        out |= hit.any(axis=0)
+    other = ~alone[ids]
+    for a in range(len(ids)):
+        own = text[by_term[ends[a] : ends[a + 1]]]
+        cut = np.searchsorted(own, n_toxic)
+        toxic_a, with_a = float(cut), cut + weight * (len(own) - cut)
+        if with_a < PAIR_ASSOCIATION or not cut:
+            continue
+        toxic = counted(own[:cut])
+        seen = toxic + weight * counted(own[cut:])
+        near = np.flatnonzero(other & (seen * toxic_a >= PAIR_EXPECTED * with_a))
+        t, s = toxic[near], seen[near]
+        hit = association(t, s, toxic_a, with_a) >= PAIR_ASSOCIATION
+        hit &= np.abs(t / np.maximum(s, 1e-9) - (toxic_a - t) / np.maximum(with_a - s, 1e-9)) >= PAIR_EFFECT
+        if hit.any():
+            out[a] = True
+            out[near[hit]] = True
     return ids[out]
 
 
@@ -156,9 +160,7 @@ def fit(labels: np.ndarray, terms: list[np.ndarray], prior: float, seed: int = 7
     strength = association(toxic, toxic + weight * (seen - toxic), n_toxic, n_toxic + weight * (n - n_toxic))
     enough = seen >= MIN_DOCUMENTS
     keep = enough & (strength >= MIN_ASSOCIATION)
-    common = np.argsort(-np.where(enough, seen, 0), kind="stable")[:PAIR_TERMS]
-    looked = np.union1d(common[enough[common]], np.flatnonzero(keep)[np.argsort(-strength[keep], kind="stable")[:PAIR_TERMS]])
-    keep[paired_terms(terms, labels, weight, looked, keep)] = True
+    keep[paired_terms(terms, labels, weight, enough, keep)] = True
     ids = np.flatnonzero(keep)
     renumber = np.cumsum(keep) - 1
     kept = [renumber[t[keep[t]]] for t in terms]
@@ -228,10 +230,12 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine:
         cache: dict = {}
         for b in batches:
             terms = [terms_of(x.as_py(), cache).tobytes() for x in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(terms, pa.binary())], names=["doc_id", "toxic", "terms"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), b.column("mark"), pa.array(terms, pa.binary())], names=["doc_id", "toxic", "mark", "terms"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text")
-    rows = rows.mapInArrow(hashed, "doc_id long, toxic int, terms binary")
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", F.xxhash64("text").alias("mark"), "text")
+    rows = rows.mapInArrow(hashed, "doc_id long, toxic int, mark long, terms binary")
+    # One row an identifier, so that the sample's bound is one of rows.
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("mark", "terms", "toxic")).alias("one")).select("doc_id", "one.terms", "one.toxic")
 
     def fitted(table: pa.Table) -> pa.Table:
         rows = sorted(zip(*(table.column(c).to_pylist() for c in ("doc_id", "terms", "toxic"))))
@@ -249,10 +253,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine:
     return Machine(found[0]["bias"], ids, np.frombuffer(found[0]["weights"], dtype=np.float32).reshape(len(ids), 1 + FACTORS).astype(float))
 
 
-def score(docs: DataFrame, model: Machine, out: str = "score", text: str = "text", with_text: bool = False) -> DataFrame:
-    """``docs`` with the column ``out``, and without the text unless ``with_text``; it goes through the workers once."""
+def _scored(docs: DataFrame, model: Machine, keep: list[str], text: str) -> DataFrame:
+    """The columns ``keep`` and the score, as score_; the text goes through the workers once."""
     held = docs.sparkSession.sparkContext.broadcast((model.bias, model.ids.astype(np.int32), model.weights.astype(np.float32)))
-    keep = [c for c in docs.columns if with_text or c != text]
 
     def run(batches):
         bias, ids, weights = held.value
@@ -260,10 +263,16 @@ def score(docs: DataFrame, model: Machine, out: str = "score", text: str = "text
         for b in batches:
             logits = np.array([machine.logit(terms_of(x.as_py(), cache)) for x in b.column(text)], dtype=float)
             scores = 1 / (1 + np.exp(-np.clip(logits, -60, 60)))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(scores)], names=[*keep, out])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(scores)], names=[*keep, "score_"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep)
-    return docs.mapInArrow(run, f"{schema}, `{out}` double")
+    schema = T.StructType([*docs.select(*keep).schema, T.StructField("score_", T.DoubleType())])
+    return docs.mapInArrow(run, schema)
+
+
+def score(docs: DataFrame, model: Machine, out: str = "score", text: str = "text") -> DataFrame:
+    """``docs`` with the column ``out`` and without the text."""
+    safe, kept = carried(docs, out, text)
+    return _scored(safe, model, [s for s, _ in kept], f"c{where(docs, text)}").toDF(*(g for _, g in kept), out)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -274,5 +283,6 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``docs`` without the rows whose score reaches ``threshold``; all columns kept."""
-    (mark,) = fresh(docs, "toxic_score")
-    return score(docs, train(docs, labels), mark, with_text=True).filter(F.col(mark) < threshold).select(*(F.col(f"`{c}`") for c in docs.columns))
+    safe, kept = carried(docs)
+    names = [s for s, _ in kept]
+    return _scored(safe, train(docs, labels), names, f"c{where(docs, 'text')}").filter(F.col("score_") < threshold).select(*names).toDF(*docs.columns)

@@ -426,6 +426,73 @@ def test_toxicity_group_mention():
     assert model.ids.tolist() == [1, 2] and z[2] > 0 > max(z[:2])
 
 
+def test_toxicity_pair_among_many_more_common_terms():
+    """The pair counts, though three thousand other terms are in more texts than either of its terms, which are in 6 % of them."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    labels, terms = [], []
+    for i in range(12_000):
+        a, b = rng.random() < 0.06, rng.random() < 0.06
+        toxic = a != b if rng.random() < 0.97 else not (a != b)
+        if i % 3 == 0:
+            a = b = rng.random() < 0.3
+            toxic = rng.random() < 0.02
+        filler = 10 + np.flatnonzero(rng.random(3000) < 0.08)
+        terms.append(np.sort(np.array([*([1] * a), *([2] * b), *filler], dtype=np.int32)))
+        labels.append(float(toxic))
+    labels = np.array(labels)
+    enough, alone = np.zeros(toxicity.DIM, dtype=bool), np.zeros(toxicity.DIM, dtype=bool)
+    enough[np.unique(np.concatenate(terms))] = True
+    assert toxicity.paired_terms(terms, labels, 1.0, enough, alone).tolist() == [1, 2]
+
+
+def test_toxicity_logit_is_the_sum_over_all_pairs():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    ids = np.sort(rng.choice(toxicity.DIM, 30, replace=False))
+    weights = rng.normal(0, 1, (30, 1 + toxicity.FACTORS))
+    model = toxicity.Machine(0.3, ids, weights)
+    for n in (0, 1, 2, 12):
+        some = rng.choice(30, n, replace=False)
+        terms = np.sort(np.concatenate([ids[some], [x for x in range(5) if x not in ids]])).astype(np.int32)
+        want = 0.3 + sum(weights[i, 0] for i in some) + sum(weights[i, 1:] @ weights[j, 1:] for i in some for j in some if i < j)
+        assert model.logit(terms) == pytest.approx(want)
+
+
+def test_toxicity_one_row_an_identifier(spark):
+    """An identifier that has many rows is learnt from once, whatever their order."""
+    rng = random.Random(5)
+    rows = [(i, f"w{i % 7} " + ("bad" if i % 2 else "good") + f" x{rng.randrange(9)}") for i in range(80)]
+    known = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
+    schema = "doc_id long, text string"
+    many = [*rows, *((3, f"other {k} bad") for k in range(500))]
+    first = toxicity.train(spark.createDataFrame(many, schema).repartition(5), known)
+    again = toxicity.train(spark.createDataFrame(many[::-1], schema), known)
+    assert first.bias == again.bias and (first.weights == again.weights).all()
+    assert len(first.ids) < 40
+
+
+def test_columns_of_any_name(spark):
+    """Names with dots and backticks, twice there, or as the results' in other letters, through all operators that carry columns."""
+    from plumbline.llm import ngram_join
+
+    rng = random.Random(7)
+    body = sentence(rng, 40)
+    rows = [(i, sentence(rng, 30)) for i in range(12)] + [(20, body), (21, body), (22, body + " more"), (None, None), (23, "")]
+    names = ["doc_id", "text", "a.b", "tick`s", "Shard", "SLOT", "twice", "twice", "score_", "Digest"]
+    docs = spark.createDataFrame([(i, t, *range(8)) for i, t in rows], ["doc_id", "text", *(f"c{k}" for k in range(8))]).toDF(*names)
+    known = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, toxic int")
+    own = lambda df, at=2: {tuple(r)[at : at + 8] for r in df.collect()}
+    for out, left in ((toxicity.drop_toxic(docs, known, 2.0), 17), (exact_dedup.drop_copies(docs), 15), (ngram_join.keep_one(docs), 15)):
+        assert out.columns == names and out.count() == left and own(out) == {tuple(range(8))}
+    ringed = hash_ring.assign(docs.drop("twice"), "doc_id", 3, order=["text"])
+    assert ringed.columns == ["doc_id", "text", "a.b", "tick`s", "score_", "Digest", "shard", "slot"] and ringed.count() == 17
+    scored = toxicity.score(docs, toxicity.train(docs, known))
+    assert scored.columns == [n for n in names if n != "text"] + ["score"]
+
+
 def test_toxicity_share_of_the_sample():
     """A sample by class has the scores and the terms of one with the true share of toxic texts."""
     import numpy as np
