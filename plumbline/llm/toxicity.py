@@ -104,36 +104,52 @@ def association(toxic: np.ndarray, seen: np.ndarray, all_toxic: np.ndarray | flo
 
 
 def paired_terms(terms: list[np.ndarray], labels: np.ndarray, weight: float, enough: np.ndarray, alone: np.ndarray) -> np.ndarray:
-    """Of the features in ``enough`` (a mask), pairs one of which, not ``alone``, goes with the label among the texts that hold the other."""
-    ids = np.flatnonzero(enough)
-    place = np.cumsum(enough) - 1
+    """Of the features in ``enough`` (a mask), pairs one of which, not ``alone``, goes with the label among the texts that hold the other.
+
+    For a term with n texts, a share p of them toxic, another can only reach the screens if it is in so many of those
+    texts that they would hold PAIR_EXPECTED toxic ones, and s / (1 - s / n) times the odds of p (or their inverse) is
+    PAIR_ASSOCIATION: terms are numbered by their texts, so those that are in fewer at all are left out as the tail.
+    """
+    n_toxic = int(labels.sum())
     # Toxic texts first, so that an entry of the index is two runs of texts.
     order = np.argsort(-labels, kind="stable")
-    texts = [place[terms[d][enough[terms[d]]]].astype(np.int32) for d in order]
-    n_toxic = int(labels.sum())
-    holder = np.concatenate(texts) if texts else np.zeros(0, dtype=np.int32)
+    weights = np.where(labels > 0, 1.0, weight)
+    ids = np.flatnonzero(enough)
+    totals = np.zeros(len(enough))
+    for t, w in zip(terms, weights):
+        totals[t] += w
+    ids = ids[np.argsort(-totals[ids], kind="stable")]
+    totals = totals[ids]
+    place = np.full(len(enough), -1)
+    place[ids] = np.arange(len(ids))
+    texts = [place[terms[d][enough[terms[d]]]] for d in order]
+    holder = np.concatenate(texts) if texts else np.zeros(0, dtype=np.int64)
     text = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
     by_term = np.argsort(holder, kind="stable")
     ends = np.concatenate([[0], np.cumsum(np.bincount(holder, minlength=len(ids)))])
-    counted = lambda some: np.bincount(np.concatenate([texts[d] for d in some]), minlength=len(ids)).astype(float) if len(some) else np.zeros(len(ids))
+    added = lambda some, m: np.bincount(np.concatenate([texts[d] for d in some]), minlength=m)[:m].astype(float) if len(some) else np.zeros(m)
     out = np.zeros(len(ids), dtype=bool)
     other = ~alone[ids]
     for a in range(len(ids)):
         own = text[by_term[ends[a] : ends[a + 1]]]
         cut = np.searchsorted(own, n_toxic)
         toxic_a, with_a = float(cut), cut + weight * (len(own) - cut)
-        if with_a < PAIR_ASSOCIATION or not cut:
+        p = toxic_a / with_a
+        if with_a < PAIR_ASSOCIATION or not 0 < p < 1:
             continue
-        toxic = counted(own[:cut])
-        seen = toxic + weight * counted(own[cut:])
-        near = np.flatnonzero(other & (seen * toxic_a >= PAIR_EXPECTED * with_a))
+        least = PAIR_ASSOCIATION * min(p / (1 - p), (1 - p) / p)
+        least = max(PAIR_EXPECTED / p, least / (1 + least / with_a)) * (1 - 1e-9)
+        m = int(np.searchsorted(-totals, -least, side="right"))
+        toxic = added(own[:cut], m)
+        seen = toxic + weight * added(own[cut:], m)
+        near = np.flatnonzero(other[:m] & (seen >= least))
         t, s = toxic[near], seen[near]
-        hit = association(t, s, toxic_a, with_a) >= PAIR_ASSOCIATION
-        hit &= np.abs(t / np.maximum(s, 1e-9) - (toxic_a - t) / np.maximum(with_a - s, 1e-9)) >= PAIR_EFFECT
+        hit = (association(t, s, toxic_a, with_a) >= PAIR_ASSOCIATION) & (s * toxic_a >= PAIR_EXPECTED * with_a)
+        hit &= np.abs(t / s - (toxic_a - t) / np.maximum(with_a - s, 1e-9)) >= PAIR_EFFECT
         if hit.any():
             out[a] = True
             out[near[hit]] = True
-    return ids[out]
+    return np.sort(ids[out])
 
 
 def fit(labels: np.ndarray, terms: list[np.ndarray], prior: float, seed: int = 7) -> Machine:
