@@ -447,6 +447,34 @@ def test_toxicity_pair_among_many_more_common_terms():
     assert toxicity.paired_terms(terms, labels, 1.0, enough, alone).tolist() == [1, 2]
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_toxicity_pairs_as_by_a_table_of_all(seed):
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    n, v, weight = int(rng.integers(300, 1500)), 60, (1.0, 0.3, 4.0)[seed % 3]
+    there = rng.random((n, v)) < rng.random(v) * 0.6
+    labels = ((there[:, 1] & there[:, 2]) | (there[:, 3] & ~there[:, 4])) ^ (rng.random(n) < 0.1) if seed % 2 else there[:, 5] ^ there[:, 6]
+    labels = labels.astype(float)
+    ids = np.arange(v) * 7 + 3
+    terms = [ids[row].astype(np.int32) for row in there]
+    enough, alone = np.zeros(toxicity.DIM, dtype=bool), np.zeros(toxicity.DIM, dtype=bool)
+    enough[ids] = True
+    alone[ids[rng.integers(0, v, 5)]] = True
+    x = there.astype(float)
+    toxic = x[labels > 0].T @ x[labels > 0]
+    seen = toxic + weight * (x[labels <= 0].T @ x[labels <= 0])
+    want = set()
+    for a in range(v):
+        hit = toxicity.association(toxic[a], seen[a], toxic[a, a], max(seen[a, a], 1e-9)) >= toxicity.PAIR_ASSOCIATION
+        hit &= (seen[a] * toxic[a, a] >= toxicity.PAIR_EXPECTED * seen[a, a]) & ~alone[ids]
+        without = (toxic[a, a] - toxic[a]) / np.maximum(seen[a, a] - seen[a], 1e-9)
+        hit &= np.abs(toxic[a] / np.maximum(seen[a], 1e-9) - without) >= toxicity.PAIR_EFFECT
+        if hit.any():
+            want |= {int(ids[a]), *ids[hit].tolist()}
+    assert toxicity.paired_terms(terms, labels, weight, enough, alone).tolist() == sorted(want)
+
+
 def test_toxicity_logit_is_the_sum_over_all_pairs():
     import numpy as np
 
