@@ -45,7 +45,7 @@ def main(argv: list[str] | None = None) -> int:
     command("resolve", model)
     command("baseline", model, (["--baseline"], {"required": True}))
     places = (["--baseline"], {"required": True, "action": "append", "help": "a place of baselines; the first that has a model's counts"})
-    switches = [([f"--{s}"], {"action": "store_true"}) for s in ("all", "require-baseline", "fail-on-warn", "markdown")]
+    switches = [([f"--{s}"], {"action": "store_true"}) for s in ("all", "require-baseline", "fail-on-warn", "markdown", "counters")]
     command("check", model, places, (["--write-back"], {}), *switches)
     command("demo", graph=False)
     command("history", model, (["--runs"], {"required": True}), (["--limit"], {"type": int, "default": 20}), graph=False)
@@ -164,6 +164,8 @@ def _report(args, policy, result) -> int:
             print(report.markdown(v, own, report.narrate(v, explained[v["model_urn"]])))
         else:
             print(report.console(v, own, coverage.get(v["model_urn"]), report.truncation_line(cut_short.get(v["model_urn"], []), policy.max_hops)))
+    if args.counters:
+        print("walk: " + ", ".join(f"{name} {n}" for name, n in result.walked.items()), file=sys.stderr)
     for incident in verdict.ordered_incidents(result.incidents).collect():
         print("\n".join(report.incident_lines(incident)))
     return result.exit_code()

@@ -10,9 +10,10 @@ at the hop limit or when a level is empty.
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from plumbline.functions import exprs as X
@@ -26,6 +27,25 @@ HOP = "struct<urn:string,entity_type:string,via:string,column:string>"
 PLAIN = 4
 
 
+@dataclass
+class Counters:
+    """What a walk fetched and had met before, counted as its levels are written, without a job of its own."""
+
+    levels: list[tuple[Observation, Observation]] = field(default_factory=list)
+
+    def level(self, reached: DataFrame, visited: DataFrame) -> DataFrame:
+        """Of the ends of edges that a level reaches those not visited before, both counted."""
+        both = Observation(), Observation()
+        self.levels.append(both)
+        one = F.count(F.lit(1)).alias("n")
+        return reached.observe(both[0], one).join(visited, ["model_urn", "dst"], "left_anti").observe(both[1], one)
+
+    def totals(self) -> dict[str, int]:
+        """fetched, met_before and levels of the walk, once it is over."""
+        fetched, fresh = (sum(pair[i].get["n"] for pair in self.levels) for i in (0, 1))
+        return {"levels": len(self.levels), "fetched": fetched, "met_before": fetched - fresh}
+
+
 def clean_edges(edges: DataFrame) -> DataFrame:
     """Edges without loops and without feature tables as upstream ends, labelled."""
     named = edges.filter("src <> dst").withColumn("dst_type", X.entity_type(F.col("dst")))
@@ -33,9 +53,11 @@ def clean_edges(edges: DataFrame) -> DataFrame:
     return named.filter("dst_type <> 'mlFeatureTable'").select("src", "dst", "dst_type", label.alias("via"), "seq")
 
 
-def footprint(models: DataFrame, edges: DataFrame, max_hops: int = 5) -> DataFrame:
+def footprint(models: DataFrame, edges: DataFrame, max_hops: int = 5, counters: Counters | None = None) -> DataFrame:
     """Every upstream asset of every model: model_urn, urn, entity_type, depth, chain, truncated.
 
+    ``counters`` counts the ends of edges fetched, and how many of them an earlier level had met.
+
     ``models`` has the column model_urn. ``chain`` runs from the model to the asset (an array of
     HOP whose via is the label of the edge into it). ``truncated`` marks nodes at the hop limit that
     have upstream nodes beyond it which no path reached.
@@ -56,7 +78,8 @@ def footprint(models: DataFrame, edges: DataFrame, max_hops: int = 5) -> DataFra
     for depth in range(1, max_hops + 1):
         reached = level.select("model_urn", F.col("urn").alias("src"), "chain", "place").join(ways, "src")
         visited = reduce(DataFrame.unionByName, [x.select("model_urn", F.col("urn").alias("dst")) for x in levels])
-        found = reached.join(visited, ["model_urn", "dst"], "left_anti").select(
+        fresh = reached.join(visited, ["model_urn", "dst"], "left_anti") if counters is None else counters.level(reached, visited)
+        found = fresh.select(
             "model_urn",
             "dst",
             F.struct(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame
@@ -25,15 +25,17 @@ class Gate:
     verdicts: DataFrame
     coverage: DataFrame
     incidents: DataFrame
+    #: Levels of the walk, ends of edges that it fetched, and how many of them it had met before.
+    walked: dict[str, int] = field(default_factory=dict)
 
     def exit_code(self) -> int:
         """2 if any model is an error, else 1 if any blocks, else 0."""
         return verdict.sweep_exit(self.verdicts).first()["exit_code"]
 
 
-def resolve(catalog: Catalog, models: DataFrame, max_hops: int = 5) -> tuple[DataFrame, Snapshot]:
+def resolve(catalog: Catalog, models: DataFrame, max_hops: int = 5, counters: graph.Counters | None = None) -> tuple[DataFrame, Snapshot]:
     """The models' footprints and the snapshot of all assets on them."""
-    found = cut(catalog.footprint(models, max_hops), "footprint")
+    found = cut(catalog.footprint(models, max_hops, counters), "footprint")
     return found, catalog.snapshot(found, max_hops).durable()
 
 
@@ -46,7 +48,8 @@ def check(catalog: Catalog, models: DataFrame, baseline: Snapshot, policy: Polic
     """
     policy, now = policy or Policy(), now or datetime.now(UTC)
     models = models.select("model_urn").distinct()
-    found, current = resolve(catalog, models, policy.max_hops)
+    counters = graph.Counters()
+    found, current = resolve(catalog, models, policy.max_hops, counters)
     known = baseline.assets.select("model_urn").distinct()
     differences = diff.diff_all(baseline, current, policy.thresholds, policy.sensitive_tags)
     bare = diff.missing_baselines(models, baseline, current)
@@ -63,4 +66,4 @@ def check(catalog: Catalog, models: DataFrame, baseline: Snapshot, policy: Polic
     ruled = verdict.verdicts(inventory.withColumn("truncated_stop", stop), listed, fail_on_warn)
     common = diff.column_pairs(baseline, current).select("model_urn", "urn", "path")
     covered = profile.coverage(common, baseline.profiles, current.profiles, diff.shared_assets(baseline, current))
-    return Gate(found, current, listed, ruled, covered, verdict.incidents(listed))
+    return Gate(found, current, listed, ruled, covered, verdict.incidents(listed), counters.totals())

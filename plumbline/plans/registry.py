@@ -649,6 +649,17 @@ def column_features(spark, sf_dir):
     return reached.select("model_urn", "urn", "path", F.array_join("features", " ").alias("features"))
 
 
+@query(
+    _EDGES + _walk_sql(5) + """, met AS (SELECT r.d + 1 = t.d AS fresh FROM reach r JOIN edges e ON e.src = r.x JOIN reach t ON t.m = r.m AND t.x = e.dst WHERE r.d < 5)
+    SELECT 5 AS levels, count(*) AS fetched, count(*) FILTER (WHERE NOT fresh) AS met_before FROM met"""
+)
+def walk_counters(spark, sf_dir):
+    """What the upstream walk of all models fetched, and had met before."""
+    counters = graph.Counters()
+    graph.footprint(slices.region_models(spark, sf_dir), slices.edges(spark, sf_dir), 5, counters)
+    return spark.createDataFrame([counters.totals()], "levels int, fetched long, met_before long")
+
+
 _DOWN = (
     _EDGES
     + """, seeds AS (SELECT DISTINCT 'P' || l_partkey AS s FROM lineitem), walk AS (SELECT s, s AS x, 0 AS d FROM seeds

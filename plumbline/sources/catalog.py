@@ -48,8 +48,8 @@ class Catalog:
             column_edges if column_edges is not None else empty(COLUMN_EDGES),
         )
 
-    def footprint(self, models: DataFrame, max_hops: int = 5) -> DataFrame:
-        return graph.footprint(models, self.edges, max_hops)
+    def footprint(self, models: DataFrame, max_hops: int = 5, counters: graph.Counters | None = None) -> DataFrame:
+        return graph.footprint(models, self.edges, max_hops, counters)
 
     def snapshot(self, found: DataFrame, max_hops: int = 5) -> Snapshot:
         """The snapshot of a footprint. Profiles count for datasets alone; of several the newest."""

@@ -53,6 +53,20 @@ def test_footprint_is_breadth_first(spark):
             assert {r["urn"] for r in found if r["model_urn"] == m and r["truncated"]} == cut
 
 
+def test_counters_of_a_walk(spark):
+    """Ends of edges fetched and met before, level by level, also where the walk ends by itself or has nothing to walk."""
+    m, f, d, e = name("mlModel", "m"), name("mlFeature", "f"), name("dataset", "d"), name("dataset", "e")
+    edges = spark.createDataFrame([(m, f, None, 0), (f, d, None, 0), (d, f, None, 0), (d, e, None, 1), (f, e, None, 1), (d, d, None, 2)], EDGE)
+    models = spark.createDataFrame([(m,)], "model_urn string")
+    for cap, want in ((1, (1, 1, 0)), (2, (2, 3, 0)), (9, (3, 5, 2))):
+        counters = graph.Counters()
+        assert graph.footprint(models, edges, cap, counters).count() == min(cap + 1, 4) + (cap > 1) - (cap > 2)
+        assert tuple(counters.totals().values()) == want
+    counters = graph.Counters()
+    graph.footprint(models.limit(0), edges, 3, counters)
+    assert tuple(counters.totals().values()) == (1, 0, 0)
+
+
 def test_hops_run_from_the_root(spark):
     m, f, d = name("mlModel", "m"), name("mlFeature", "f"), name("dataset", "d")
     edges = spark.createDataFrame([(m, f, None, 0), (f, d, None, 0), (d, d, None, 1)], EDGE)
