@@ -73,3 +73,19 @@ def test_pieces_fill_sequences(steps):
 def test_run_gives_the_last_stage_s_rows(spark, steps):
     key = ["doc_id", "piece", "start", "length", "ids_crc32"]
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).select(*key).collect())) == sorted(map(tuple, steps[5].select(*key).collect()))
+
+
+def test_edges_through_the_chain(spark, tmp_path):
+    """Nulls, repeated rows, clashing and odd names, and an empty table go through all stages."""
+    body = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, body, "s"), (1, body, "s"), (2, body.upper(), None), (3, body + " more", "s"), (4, None, "s"), (5, "", None), (None, "alone " * 3, "s"), (6, "short", "s")]
+    names = ["doc_id", "text", "a.b", "Digest", "tick`s"]
+    full = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, s string, d int, t int").toDF(*names)
+    for k, docs in enumerate((full, full.limit(0))):
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, SF)
+            assert i == 4 or out.columns == names
+            out.write.parquet(f"{tmp_path}/{k}-{i}")
+            docs = spark.read.parquet(f"{tmp_path}/{k}-{i}")
+        kept = {r["doc_id"] for r in docs.collect()}
+        assert kept == set() if k else {None, 6} <= kept and len(kept & {1, 2, 3}) == 1
