@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame; it is written as Parquet and read again
 as the next one's docs. All stages but the last keep the columns of documents.
+
+Defined results: a null text counts as empty, in every stage; of several rows with one text one stays, the one with the largest
+identifier, a null one only where there is no other; rows without five words have no near copies and stay; columns of any name travel
+along unchanged; an empty table gives no rows.
 """
 
 from __future__ import annotations
