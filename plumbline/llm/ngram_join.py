@@ -2,10 +2,12 @@
 
 Texts become sets of hashed SHINGLE-word n-grams; equal sets are one class from the start. Of each set
 a signature of SAMPLES sampled tokens is kept (minima under as many hashes). A run of the join splits
-all sets recursively: a node of the recursion chooses BRANCHES positions, and each set goes on with
-its own tokens at them, so similar sets share paths. Buckets up to SMALL sets are compared by
-brute force; larger ones give off what is near their leader and split on. Runs repeat until a pair
-at the threshold meets with probability TARGET_RECALL.
+all sets recursively: a node of the recursion samples positions that its path hasn't had, and each set goes on
+with its own tokens at them, so similar sets share paths. Of a pair at the threshold, whose signatures agree MARGIN
+deviations less than expected, one sampled position agrees on average; a family of sets that agree in half their positions
+or fewer so takes ever fewer paths the deeper it goes. Buckets up to SMALL sets are compared by brute force; larger ones give off what is near their leader and split on. Runs repeat until a pair
+at the threshold meets with probability TARGET_RECALL: the deeper the buckets that sets were in, the more runs they take part in,
+RUNS_AT_ONCE at a time.
 
 Sets whose signatures agree by LOOSE or more are candidates; a bucket passes on only a forest of
 them, not its pairs. In a large bucket a set within CLOSE of the leader is done, as by the triangle
@@ -24,6 +26,7 @@ carries other columns under any names; an empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import re
@@ -42,8 +45,10 @@ UPPER = {c: c + 32 for c in range(65, 91)}
 SHINGLE = 5
 THRESHOLD = 0.8
 TARGET_RECALL = 0.999
-BRANCHES = 2
 SAMPLES = 64
+#: Standard deviations of the agreement of a pair at the threshold: wider means more paths and fewer runs.
+MARGIN = 1.5
+RUNS_AT_ONCE = 4
 SMALL = 4096
 BLOCK = 4096
 BLOCK_BYTES = 16 << 20
@@ -54,16 +59,38 @@ STEP = 1 << 13
 CACHE_WORDS = 100_000
 
 
-def runs_needed(threshold: float, branches: int, target: float) -> int:
-    """Runs after which a pair at the threshold shares a path with probability ``target``.
+def branching(threshold: float, level):
+    """Positions that a node at a level samples on average."""
+    agreeing = threshold * SAMPLES - MARGIN * math.sqrt(SAMPLES * threshold * (1 - threshold))
+    return (SAMPLES - level) / np.maximum(agreeing - level, 1)
 
-    In one run that probability is the fixed point of q = 1 - (1 - threshold q) ** branches, at
-    any depth.
-    """
+
+def survival(agreeing: int, threshold: float, depth: int) -> float:
+    """Probability that two sets whose signatures agree in so many positions share a path of ``depth`` levels in one run."""
     q = 1.0
-    for _ in range(200):
-        q = 1 - (1 - threshold * q) ** branches
-    return max(1, math.ceil(math.log(1 - target) / math.log(1 - q)))
+    for level in reversed(range(depth)):
+        met = q * max(agreeing - level, 0) / (SAMPLES - level)
+        whole, more = divmod(float(branching(threshold, level)), 1)
+        q = 1 - (1 - met) ** whole * (1 - more * met)
+    return q
+
+
+@functools.cache
+def runs_needed(threshold: float, target: float, depth: int) -> int:
+    """Runs after which a pair at the threshold has shared a path of ``depth`` levels with probability ``target``.
+
+    The positions in which such a pair agrees are binomial.
+    """
+    chance = [math.comb(SAMPLES, k) * threshold**k * (1 - threshold) ** (SAMPLES - k) for k in range(SAMPLES + 1)]
+    misses = [1 - survival(k, threshold, depth) for k in range(SAMPLES + 1)]
+    runs = 1
+    while sum(c * m**runs for c, m in zip(chance, misses)) > 1 - target:
+        runs += 1
+    return runs
+
+
+#: Levels after which all sets of a bucket agree in LOOSE of their positions, so that none goes on.
+DEEPEST = math.ceil(LOOSE * SAMPLES)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -135,34 +162,45 @@ def representatives(sketches: DataFrame) -> DataFrame:
     return materialize(reps.withColumn("node", F.monotonically_increasing_id()), "sets")
 
 
-def _positions(keys: np.ndarray, branch: int) -> np.ndarray:
-    """The position that each node of the recursion chooses for a branch."""
-    return (_mixed(keys + np.uint64(branch * 0x9E37 + 1)) % np.uint64(SAMPLES)).astype(np.int64)
+def _positions(keys: np.ndarray, used: np.ndarray, branch: int) -> np.ndarray:
+    """The position that each node of the recursion samples for a branch, none of those in its bitmap ``used``."""
+    at, left, draw = np.zeros(len(keys), dtype=np.uint64), np.arange(len(keys)), 0
+    while len(left):
+        at[left] = _mixed(keys[left] + np.uint64(draw * 0xD1B5 + branch * 0x9E37 + 1)) % np.uint64(SAMPLES)
+        left, draw = left[(used[left] >> at[left]) & np.uint64(1) == 1], draw + 1
+    return at
 
 
-def _paths(keys: np.ndarray, sigs: np.ndarray, branch: int) -> np.ndarray:
-    """Paths one level deeper: the key, the branch and the own token there."""
-    token = sigs[np.arange(len(keys)), _positions(keys, branch)].astype(np.uint64)
-    return _mixed(keys ^ _mixed(token + np.uint64((branch + 1) << 20)))
+def deeper(keys: np.ndarray, used: np.ndarray, sigs: np.ndarray, threshold: float):
+    """Paths one level deeper, as (rows, keys, used) per branch: the key, the branch and the own token there."""
+    coin = (_mixed(keys + np.uint64(0x5851F42D)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+    branches = np.floor(branching(threshold, np.bitwise_count(used).astype(np.float64)) + coin).astype(np.int64)
+    tried = used.copy()
+    for branch in range(int(branches.max(initial=0))):
+        rows = np.flatnonzero(branches > branch)
+        at = _positions(keys[rows], tried[rows], branch)
+        mark = np.uint64(1) << at
+        tried[rows] |= mark
+        token = sigs[rows, at.astype(np.int64)].astype(np.uint64)
+        yield rows, _mixed(keys[rows] ^ _mixed(token + np.uint64((branch + 1) << 20))), used[rows] | mark
 
 
 def _signatures(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(-1, SAMPLES)
 
 
-def descend(frontier: DataFrame) -> DataFrame:
-    """(path, node) one level below a frontier (path, node, sig)."""
+def descend(frontier: DataFrame, threshold: float) -> DataFrame:
+    """(path, used, node) one level below a frontier (path, used, node, sig); ``used`` is a bitmap of the path's positions."""
 
     def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            keys, sigs = b.column("path").to_numpy(zero_copy_only=False).view(np.uint64), _signatures(b.column("sig"))
-            for branch in range(BRANCHES):
-                deeper = _paths(keys, sigs, branch).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(deeper), b.column("node")], names=["path", "node"])
+            keys, used = (b.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("path", "used"))
+            for rows, paths, marks in deeper(keys, used, _signatures(b.column("sig")), threshold):
+                yield pa.RecordBatch.from_arrays([pa.array(paths.view(np.int64)), pa.array(marks.view(np.int64)), b.column("node").take(pa.array(rows))], names=["path", "used", "node"])
 
-    return frontier.select("path", "node", "sig").mapInArrow(run, "path long, node long")
+    return frontier.select("path", "used", "node", "sig").mapInArrow(run, "path long, used long, node long")
 
 
 def shared_paths(paths: DataFrame) -> DataFrame:
@@ -231,40 +269,63 @@ def pair_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def compare_leaders(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Large buckets' members against their leaders: path, node, sig, leader, near; a written table."""
+    """Large buckets' members against their leaders: path, used, node, sig, leader, near; a written table."""
+
+    held = ("path", "used", "node", "sig", "leader")
 
     def run(batches):
         for b in batches:
             if b.num_rows:
                 near = agreement(_signatures(b.column("sig")), _signatures(b.column("leader_sig")))
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("path", "node", "sig", "leader")), pa.array(near)], names=["path", "node", "sig", "leader", "near"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in held), pa.array(near)], names=[*held, "near"])
 
     leaders = sets.select(F.col("node").alias("leader"), F.col("sig").alias("leader_sig"))
     led = members.filter(F.col("node") != F.col("leader")).join(sets.select("node", "sig"), "node").join(leaders, "leader")
-    return materialize(led.select("path", "node", "sig", "leader", "leader_sig").mapInArrow(run, "path long, node long, sig binary, leader long, near double"), "led")
+    return materialize(led.select(*held, "leader_sig").mapInArrow(run, "path long, used long, node long, sig binary, leader long, near double"), "led")
 
 
-def candidates(sets: DataFrame, threshold: float = THRESHOLD, target: float = TARGET_RECALL) -> DataFrame:
-    """Candidate links (a, b), a below b, of all runs of the recursion; a written table."""
-    runs = runs_needed(threshold, BRANCHES, target)
-    roots = F.array(*(F.lit(r * 7919 + 17).cast("long") for r in range(runs)))
-    frontier = sets.select("node", "sig", F.explode(roots).alias("path"))
-    found = None
+def walk(frontier: DataFrame, sets: DataFrame, threshold: float) -> tuple[DataFrame, list[DataFrame]]:
+    """Candidate links (a, b) of a frontier's runs, and the sets (node, depth) that went on below each level."""
+    found, went = None, []
     while True:
-        buckets = shared_paths(descend(frontier))
+        buckets = shared_paths(descend(frontier, threshold))
         small = buckets.filter(F.col("size") <= SMALL).join(sets.select("node", "sig"), "node")
         links = compare_small(small)
         large = buckets.filter(F.col("size") > SMALL)
-        if large.limit(1).count():
+        more = large.limit(1).count() > 0
+        if more:
             led = compare_leaders(large, sets)
             near = led.filter(F.col("near") >= LOOSE)
             links = links.unionByName(near.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")))
             mixed = led.filter(F.col("near") < LOOSE).select("path").distinct()
             frontier = led.filter(F.col("near") < CLOSE).join(mixed, "path", "left_semi")
-        else:
-            frontier = None
+            went.append(frontier.select("node", F.lit(len(went) + 2).alias("depth")))
         found = links if found is None else found.unionByName(links)
-        if frontier is None:
+        if not more:
+            return found, went
+
+
+def candidates(sets: DataFrame, threshold: float = THRESHOLD, target: float = TARGET_RECALL) -> DataFrame:
+    """Candidate links (a, b), a below b, of all runs of the recursion; a written table.
+
+    A pair that meets in no run so far shared a large bucket or no path at all. So after the runs for one level only sets of
+    large buckets go on, each as often as its depth asks for: no pair shares deeper buckets than either of its sets was in.
+    """
+    needed = F.array(*(F.lit(runs_needed(threshold, target, depth)) for depth in range(1, DEEPEST + 1)))
+    entering, first, found = sets.select("node", "sig", F.lit(1).alias("depth")), 0, None
+    while True:
+        runs = F.least(F.element_at(needed, F.least("depth", F.lit(DEEPEST))), F.lit(first + RUNS_AT_ONCE))
+        roots = F.transform(F.sequence(F.lit(first), runs - 1), lambda r: r.cast("long") * 7919 + 17)
+        frontier = entering.select("node", "sig", F.lit(0).cast("long").alias("used"), F.explode(roots).alias("path"))
+        links, went = walk(frontier, sets, threshold)
+        links = materialize(links.distinct(), "candidates")
+        found, first = links if found is None else found.unionByName(links), first + RUNS_AT_ONCE
+        deep = functools.reduce(DataFrame.unionByName, went, entering.filter("depth > 1").select("node", "depth"))
+        deep = deep.groupBy("node").agg(F.max("depth").alias("depth")).filter(F.element_at(needed, F.least("depth", F.lit(DEEPEST))) > first)
+        if not went and first == RUNS_AT_ONCE:
+            return found
+        entering = materialize(deep.join(sets.select("node", "sig"), "node").select("node", "sig", "depth"), "entering")
+        if not entering.limit(1).count():
             return materialize(found.distinct(), "candidates")
 
 

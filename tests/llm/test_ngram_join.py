@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from plumbline.llm import ngram_join
@@ -136,5 +137,40 @@ def test_components(spark):
 
 
 def test_runs_needed():
-    assert ngram_join.runs_needed(0.8, 2, 0.999) == 3
-    assert ngram_join.runs_needed(0.8, 2, 0.9) == 1
+    assert [ngram_join.runs_needed(0.8, 0.999, depth) for depth in (1, 2, 4, 8)] == [4, 6, 8, 15]
+    assert ngram_join.runs_needed(0.8, 0.9, 1) < 4
+
+
+def family(agreement, n, rng):
+    """Signatures that agree pairwise in such a share of positions, through a template that each agrees with by its root."""
+    sigs = rng.integers(0, 1 << 16, (n, ngram_join.SAMPLES)).astype(np.uint16)
+    return np.where(rng.random(sigs.shape) < agreement**0.5, rng.integers(0, 1 << 16, ngram_join.SAMPLES).astype(np.uint16), sigs)
+
+
+@pytest.mark.parametrize("agreement", [0.3, 0.42, 0.46, 0.49])
+def test_frontier_stays_small(agreement):
+    """Paths of a family that shares many tokens: ten times the sets at most on any level, and falling in the end."""
+    n, sigs = 20_000, family(agreement, 20_000, np.random.default_rng(3))
+    keys = np.repeat(np.arange(ngram_join.RUNS_AT_ONCE, dtype=np.uint64), n)
+    node, used, rows = np.tile(np.arange(n), ngram_join.RUNS_AT_ONCE), np.zeros(len(keys), dtype=np.uint64), []
+    while len(keys):
+        out = list(ngram_join.deeper(keys, used, sigs[node], 0.8))
+        node = np.concatenate([node[r] for r, _, _ in out])
+        keys, used = (np.concatenate([o[k] for o in out]) for k in (1, 2))
+        assert set(np.bitwise_count(used).tolist()) == {len(rows) + 1}
+        rows.append(len(keys))
+        _, back, size = np.unique(keys, return_inverse=True, return_counts=True)
+        large = size[back] > 64
+        node, keys, used = node[large], keys[large], used[large]
+    assert max(rows) < 10 * n and len(rows) < ngram_join.DEEPEST and rows[-1] < rows[0] / 4
+
+
+def test_recall_in_a_deep_family(spark, monkeypatch):
+    """Pairs at the threshold within a family whose buckets stay large for several levels."""
+    monkeypatch.setattr(ngram_join, "SMALL", 256)
+    rng = np.random.default_rng(8)
+    sigs = family(0.45, 3000, rng)
+    twins = np.where(rng.random((400, ngram_join.SAMPLES)) < 0.8, sigs[:400], rng.integers(0, 1 << 16, (400, ngram_join.SAMPLES)).astype(np.uint16))
+    sets = spark.createDataFrame([(k, s.tobytes()) for k, s in enumerate(np.concatenate([sigs, twins]))], "node long, sig binary")
+    root = {r["node"]: r["root"] for r in ngram_join.components(ngram_join.candidates(sets)).collect()}
+    assert sum(root.get(k, -1) == root.get(3000 + k, -2) for k in range(400)) >= 396
