@@ -1052,3 +1052,35 @@ def recording_round_trip(spark, sf_dir):
     stats = loaded.profiles.select("urn", "row_count", F.inline("fields")).select("urn", "path", "row_count", "null_count", "unique_count")
     owned = loaded.assets.select("urn", F.array_join("owners", ",").alias("owners"))
     return loaded.columns.select("urn", "path", "ord").join(stats, ["urn", "path"]).join(owned, "urn")
+
+
+@query("""WITH supplied AS (SELECT l_partkey AS k, count(*) AS row_count, count(DISTINCT l_suppkey) AS n_edges FROM lineitem GROUP BY 1)
+  SELECT 'urn:li:dataset:(urn:li:dataPlatform:spark,part.' || p_partkey || ',PROD)' AS urn, 'urn:li:corpuser:u' || (p_size % 4) AS owners,
+    coalesce(n_edges, 0) AS n_edges, row_count, CASE WHEN p_partkey % 50 = 0 THEN 1 ELSE 0 END AS n_changed FROM part LEFT JOIN supplied ON k = p_partkey""")
+def recording_in_parts(spark, sf_dir):
+    """All parts as assets, recorded in parts in two states and loaded again: edges, profiles and the owners that changed."""
+    from plumbline.functions.durable import made
+    from plumbline.sources import recorded
+    from plumbline.sources.catalog import FIELD, Catalog
+
+    part, line = slices.table(spark, sf_dir, "part"), slices.table(spark, sf_dir, "lineitem")
+    name = lambda key: slices.dataset(F.concat(F.lit("part."), F.col(key).cast("string")))
+    owner = lambda key: F.array(F.concat(F.lit("urn:li:corpuser:u"), key.cast("string")))
+    size = F.col("p_size") % 4
+    assets = part.select(
+        name("p_partkey").alias("urn"), F.lit("dataset").alias("entity_type"), owner(size).alias("owners"), F.array().cast("array<string>").alias("tags"),
+        F.lit(False).alias("deprecated"), F.lit(None).cast("string").alias("deprecation_note"), F.col("p_partkey").alias("key"), size.alias("size"),
+    )
+    was = assets.withColumn("owners", F.when(F.col("key") % 50 == 0, owner(F.col("size") + 1)).otherwise(F.col("owners")))
+    edges = line.select(name("l_partkey").alias("src"), slices.dataset(F.concat(F.lit("supplier."), F.col("l_suppkey").cast("string"))).alias("dst")).distinct()
+    edges = edges.select("src", "dst", F.lit("DownstreamOf").alias("relationship"), F.lit(0).alias("seq"))
+    fields = F.array().cast(f"array<struct<{FIELD.replace(' ', ':').replace(',:', ',')}>>").alias("fields")
+    profiles = line.groupBy(name("l_partkey").alias("urn")).agg(F.lit(0).cast("long").alias("ts"), F.count(F.lit(1)).alias("row_count"), F.lit(0).cast("long").alias("column_count"))
+    states = {s: Catalog.of(a, edges, None, profiles.withColumn("fields", fields)) for s, a in (("before", was), ("after", assets))}
+    path = made(spark, "recording-parts")
+    recorded.record_parts(states, path)
+    before, after = (recorded.load_parts(spark, path, s) for s in ("before", "after"))
+    n_edges = after.edges.groupBy(F.col("src").alias("urn")).agg(F.count(F.lit(1)).alias("n_edges"))
+    changed = before.assets.select("urn", F.col("owners").alias("had")).join(after.assets, "urn")
+    rows = changed.join(n_edges, "urn", "left").join(after.profiles.select("urn", "row_count"), "urn", "left")
+    return rows.select("urn", F.array_join("owners", ",").alias("owners"), F.coalesce("n_edges", F.lit(0)).alias("n_edges"), "row_count", (F.col("had") != F.col("owners")).cast("int").alias("n_changed"))

@@ -2,6 +2,10 @@
 
 {before: {entities, lineage, schemas, profiles}, after: {...}}, each a map by identity. The document
 is read with a fixed schema, and every map is exploded to a table.
+
+Catalogs of any size are recorded in parts: a line per asset and state, {urn, entities, lineage, schemas, profiles} with that
+asset's values, in folders of=<parts>/state=<state>/part=<hash of the identity modulo parts>. Tasks write and read parts side by
+side, and a load of named assets opens their parts alone.
 """
 
 from __future__ import annotations
@@ -27,11 +31,13 @@ _ASPECTS = (
     "deprecation:struct<deprecated:boolean,note:string>,"
     "upstreamLineage:struct<fineGrainedLineages:array<struct<upstreams:array<string>,downstreams:array<string>>>>"
 )
-_STATE = (
-    f"entities:map<string,struct<entity_type:string,aspects:struct<{_ASPECTS}>>>,"
-    f"lineage:map<string,struct<UPSTREAM:array<struct<{_EDGE}>>,DOWNSTREAM:array<struct<{_EDGE}>>>>,"
-    f"schemas:map<string,array<struct<{_FIELD}>>>,profiles:map<string,struct<{_PROFILE}>>"
-)
+_VALUES = {
+    "entities": f"struct<entity_type:string,aspects:struct<{_ASPECTS}>>",
+    "lineage": f"struct<UPSTREAM:array<struct<{_EDGE}>>,DOWNSTREAM:array<struct<{_EDGE}>>>",
+    "schemas": f"array<struct<{_FIELD}>>",
+    "profiles": f"struct<{_PROFILE}>",
+}
+_STATE = ",".join(f"{name}:map<string,{value}>" for name, value in _VALUES.items())
 
 
 def load(spark: SparkSession, path: str, state: str) -> Catalog:
@@ -39,8 +45,38 @@ def load(spark: SparkSession, path: str, state: str) -> Catalog:
     whole = spark.read.option("multiLine", True).schema(f"`{state}` struct<{_STATE}>").json(path).select(F.col(f"`{state}`").alias("s"))
     if not whole.filter("s is not null").limit(1).count():
         raise ValueError(f"the recording has no state {state!r}")
-    part = lambda name: whole.select(F.explode(F.col(f"s.{name}")).alias("urn", "v"))
-    entities = part("entities")
+    return _catalog({name: whole.select(F.explode(F.col(f"s.{name}")).alias("urn", "v")) for name in _VALUES})
+
+
+#: Assets that ``load_parts`` takes by name at most; for more, load all and semi join the tables.
+MOST_NAMED = 1_000
+
+
+def load_parts(spark: SparkSession, path: str, state: str, urns: list[str] | None = None) -> Catalog:
+    """The catalog in one state of a recording in parts, of all assets or of those named.
+
+    Only the state's folders are opened, and of them the parts that a named asset can be in. A name that was not recorded gives
+    no rows, an empty list empty tables. ValueError if no asset was recorded in this state, or with more than MOST_NAMED names.
+    """
+    values = ", ".join(f"{name} {value}" for name, value in _VALUES.items())
+    rows = spark.read.schema(f"urn string, {values}, of int, state string, part int").json(path).filter(F.col("state") == state)
+    if not rows.limit(1).count():
+        raise ValueError(f"the recording has no state {state!r}")
+    if urns is not None:
+        if len(urns) > MOST_NAMED:
+            raise ValueError(f"{MOST_NAMED} assets can be named at most")
+        within = reduce(lambda a, b: a | b, (F.col("part") == _part_of(F.lit(u), F.col("of")) for u in urns), F.lit(False))
+        rows = rows.filter(within).filter(F.col("urn").isin(list(urns)))
+    return _catalog({name: rows.filter(F.col(name).isNotNull()).select("urn", F.col(name).alias("v")) for name in _VALUES})
+
+
+def _part_of(urn: F.Column, parts: F.Column) -> F.Column:
+    return F.pmod(F.xxhash64(urn), parts).cast("int")
+
+
+def _catalog(tables: dict[str, DataFrame]) -> Catalog:
+    """The catalog of recorded values: a table (urn, v) each of entities, lineage, schemas and profiles."""
+    entities = tables["entities"]
     assets = entities.select(
         "urn",
         F.coalesce(F.nullif(F.col("v.entity_type"), F.lit("")), X.entity_type(F.col("urn"))).alias("entity_type"),
@@ -49,7 +85,7 @@ def load(spark: SparkSession, path: str, state: str) -> Catalog:
         F.coalesce("v.aspects.deprecation.deprecated", F.lit(False)).alias("deprecated"),
         F.col("v.aspects.deprecation.note").alias("deprecation_note"),
     )
-    columns = part("schemas").select("urn", F.posexplode("v").alias("ord", "c")).select("urn", "ord", F.col("c.field_path").alias("path"), "c.data_type", "c.native_type", "c.nullable", "c.tags")
+    columns = tables["schemas"].select("urn", F.posexplode("v").alias("ord", "c")).select("urn", "ord", F.col("c.field_path").alias("path"), "c.data_type", "c.native_type", "c.nullable", "c.tags")
     stats = F.transform(
         "v.fieldProfiles",
         lambda p: F.struct(
@@ -61,8 +97,8 @@ def load(spark: SparkSession, path: str, state: str) -> Catalog:
             *(p[s].alias(s) for s in ("min", "max", "mean", "median", "stdev")),
         ),
     )
-    profiles = part("profiles").select("urn", F.col("v.timestampMillis").alias("ts"), F.col("v.rowCount").alias("row_count"), F.col("v.columnCount").alias("column_count"), stats.alias("fields"))
-    edges = _edges(part("lineage"))
+    profiles = tables["profiles"].select("urn", F.col("v.timestampMillis").alias("ts"), F.col("v.rowCount").alias("row_count"), F.col("v.columnCount").alias("column_count"), stats.alias("fields"))
+    edges = _edges(tables["lineage"])
     fine = entities.select("urn", F.col("v.aspects.upstreamLineage.fineGrainedLineages").alias("fine"))
     return Catalog.of(assets, edges, columns, profiles, column_edges_of(fine))
 
@@ -84,6 +120,22 @@ def record(states: dict[str, Catalog], urns: DataFrame, path: str) -> None:
     whole.select(F.to_json(F.struct(*states)).alias("value")).coalesce(1).write.text(path)
 
 
+def record_parts(states: dict[str, Catalog], path: str, urns: DataFrame | None = None, parts: int = 64) -> None:
+    """Writes each state's assets, or the named ones (column urn), as a recording in parts that ``load_parts`` reads.
+
+    Values are as ``record`` writes them. There is no limit of assets; one asset is one line. Ask for so many parts that one fits a task.
+    An error if something is at ``path``.
+    """
+    rows = [_lines_of(catalog, (catalog.assets if urns is None else urns).select("urn").distinct()).withColumn("state", F.lit(s)) for s, catalog in states.items()]
+    lines = reduce(DataFrame.unionByName, rows).withColumn("of", F.lit(parts)).withColumn("part", _part_of(F.col("urn"), F.lit(parts)))
+    lines.repartition("state", "part").write.partitionBy("of", "state", "part").json(path)
+
+
+def _lines_of(catalog: Catalog, named: DataFrame) -> DataFrame:
+    """A row per named asset: urn and its values, null where it has none."""
+    return reduce(lambda all, name: all.join(name[1].withColumnRenamed(name[1].columns[1], name[0]), "urn", "left"), _values_of(catalog, named).items(), named)
+
+
 def _beside(rows: list[DataFrame]) -> DataFrame:
     """Tables of one row and one column each, as one row."""
     names = [df.columns[0] for df in rows]
@@ -93,12 +145,19 @@ def _beside(rows: list[DataFrame]) -> DataFrame:
 
 def _state_of(catalog: Catalog, named: DataFrame) -> DataFrame:
     """One row: the state as a struct of maps by identity."""
+    mapped = _values_of(catalog, named)
+    return _beside([df.agg(F.map_from_entries(F.collect_list(F.struct(*df.columns))).alias(name)) for name, df in mapped.items()]).select(F.struct(*mapped).alias("state"))
+
+
+def _values_of(catalog: Catalog, named: DataFrame) -> dict[str, DataFrame]:
+    """The named assets' values as tables of two columns, urn and the value; only their own rows are grouped."""
+    own = lambda df, urn: df.withColumnRenamed(urn, "urn").join(named, "urn", "left_semi")
     field = lambda urn, column: F.concat(F.lit("urn:li:schemaField:("), urn, F.lit(","), column, F.lit(")"))
     listed = lambda column, name: F.transform(column, lambda x: F.struct(x.alias(name)))
-    fine = catalog.column_edges.groupBy(F.col("down_urn").alias("urn")).agg(
+    fine = own(catalog.column_edges, "down_urn").groupBy("urn").agg(
         F.array_sort(
             F.collect_list(
-                F.struct(F.array(field(F.col("up_urn"), F.col("up_col"))).alias("upstreams"), F.array(field(F.col("down_urn"), F.col("down_col"))).alias("downstreams"))
+                F.struct(F.array(field(F.col("up_urn"), F.col("up_col"))).alias("upstreams"), F.array(field(F.col("urn"), F.col("down_col"))).alias("downstreams"))
             )
         ).alias("fine")
     )
@@ -110,8 +169,8 @@ def _state_of(catalog: Catalog, named: DataFrame) -> DataFrame:
     )
     entity = F.struct("entity_type", aspects.alias("aspects"))
     entities = catalog.assets.join(named, "urn", "left_semi").join(fine, "urn", "left").select("urn", entity.alias("entity"))
-    end = F.struct("seq", F.col("src").alias("source_urn"), F.col("dst").alias("target_urn"), "relationship")
-    ends = lambda at, name: catalog.edges.groupBy(F.col(at).alias("urn")).agg(F.array_sort(F.collect_list(end)).alias(name))
+    edges = catalog.edges.select("src", "dst", F.struct("seq", F.col("src").alias("source_urn"), F.col("dst").alias("target_urn"), "relationship").alias("end"))
+    ends = lambda at, name: own(edges, at).groupBy("urn").agg(F.array_sort(F.collect_list("end")).alias(name))
     ways = named.join(ends("src", "UPSTREAM"), "urn", "left").join(ends("dst", "DOWNSTREAM"), "urn", "left")
     lineage = ways.select("urn", F.struct(*(F.transform(c, lambda e: e.dropFields("seq")).alias(c) for c in ("UPSTREAM", "DOWNSTREAM"))).alias("lineage"))
     column = F.struct("ord", F.col("path").alias("field_path"), "data_type", "native_type", "nullable", "tags")
@@ -123,9 +182,7 @@ def _state_of(catalog: Catalog, named: DataFrame) -> DataFrame:
     newest = profile.latest(catalog.profiles.join(named, "urn", "left_semi"), ["urn"], "ts")
     measured = F.struct(F.col("ts").alias("timestampMillis"), F.col("row_count").alias("rowCount"), F.col("column_count").alias("columnCount"), fields.alias("fieldProfiles"))
     profiles = newest.select("urn", measured.alias("profile"))
-    mapped = {"entities": (entities, "entity"), "lineage": (lineage, "lineage"), "schemas": (schemas, "schema"), "profiles": (profiles, "profile")}
-    maps = [df.agg(F.map_from_entries(F.collect_list(F.struct("urn", c))).alias(name)) for name, (df, c) in mapped.items()]
-    return _beside(maps).select(F.struct(*mapped).alias("state"))
+    return {"entities": entities, "lineage": lineage, "schemas": schemas, "profiles": profiles}
 
 
 def _edges(lineage: DataFrame) -> DataFrame:
