@@ -15,7 +15,7 @@ from plumbline.operators import diff, graph, impact, lineage, profile, sketches,
 from plumbline.operators.policy import Exemption, Policy, Thresholds
 from plumbline.operators.snapshot import Snapshot
 from plumbline.plans import slices
-from plumbline.streaming import watch
+from plumbline.streaming import latest, watch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -883,6 +883,25 @@ def stream_drift(spark, sf_dir):
     return found.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "asset", "kind", F.round("magnitude", 2).alias("magnitude"))
 
 
+@query("""
+WITH w AS (SELECT event_type AS asset, CAST(ts AS DATE) AS d, count(*) AS n, min(value) AS lo, max(value) AS hi, avg(value) AS m, stddev_samp(value) AS sd FROM events GROUP BY ALL),
+p AS (SELECT *, lag(n) OVER o AS bn, lag(lo) OVER o AS blo, lag(hi) OVER o AS bhi, lag(m) OVER o AS bm, lag(sd) OVER o AS bsd FROM w WINDOW o AS (PARTITION BY asset ORDER BY d)),
+f AS (
+  SELECT asset, d, CASE WHEN abs((n - bn) / bn * 100) > 20 THEN 1 ELSE 0 END AS volume, CASE WHEN greatest(blo - lo, hi - bhi) > 0 THEN 1 ELSE 0 END AS beyond,
+    CASE WHEN bsd > 0 AND abs((m - bm) / bsd) > 0.25 THEN 1 ELSE 0 END AS shift FROM p)
+SELECT asset AS model_urn, strftime(d, '%Y-%m-%d') AS day, CASE WHEN volume + beyond + shift > 0 THEN 'WARN' ELSE 'CLEAR' END AS severity,
+  concat_ws(',', CASE WHEN shift = 1 THEN 'MEAN_SHIFT' END, CASE WHEN beyond = 1 THEN 'RANGE_VIOLATION' END, CASE WHEN volume = 1 THEN 'ROW_COUNT_CHANGE' END) AS warning_kinds,
+  CAST(volume + beyond + shift AS BIGINT) AS warning
+FROM f
+""")
+def watch_runs(spark, sf_dir):
+    """A run for each day and event type, against the day before: the watch with state over the events as a batch; tests run the stream itself."""
+    profiles = watch.windowed_profile(slices.table(spark, sf_dir, "events"), "ts", "event_type", "value")
+    policy = Policy(thresholds=Thresholds(row_count_change_pct=20.0, mean_shift_sigma=0.25))
+    runs = verdict.runs_of(latest.runs_of_windows(latest.ruled_runs(latest.successive(profiles), "value", policy, slices.NOW)[1]))
+    return runs.select("model_urn", F.date_format("checked_at", "yyyy-MM-dd").alias("day"), "severity", F.array_join("warning_kinds", ",").alias("warning_kinds"), "warning")
+
+
 # -- the whole gate -----------------------------------------------------------------
 
 _F, _C = "urn:li:mlModel:(urn:li:dataPlatform:sagemaker,fraud_detector_v3,PROD)", "urn:li:mlModel:(urn:li:dataPlatform:sagemaker,churn_predictor_v1,PROD)"

@@ -13,7 +13,7 @@ import uuid
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -143,9 +143,9 @@ def read_first_baseline(spark: SparkSession, paths: list[str]) -> Snapshot:
     return found
 
 
-def runs_from(verdicts: DataFrame, now: datetime, scope: str = "gate") -> DataFrame:
-    """Verdicts as history events (model_urn, assertion, run_id, millis, result, native)."""
-    millis = int(now.timestamp() * 1000)
+def runs_from(verdicts: DataFrame, now: datetime, scope: str = "gate", at: Column | None = None) -> DataFrame:
+    """Verdicts as history events (model_urn, assertion, run_id, millis, result, native), of the moment ``now`` or each of its own, ``at`` (milliseconds)."""
+    millis = F.lit(int(now.timestamp() * 1000)) if at is None else at
     native = F.create_map(
         *(
             x
@@ -162,8 +162,8 @@ def runs_from(verdicts: DataFrame, now: datetime, scope: str = "gate") -> DataFr
     return verdicts.filter("status <> 'ERROR'").select(
         "model_urn",
         X.assertion_id(F.col("model_urn"), scope).alias("assertion"),
-        F.concat(F.lit(f"run-{millis}-"), F.substring(F.md5("model_urn"), 1, 8)).alias("run_id"),
-        F.lit(millis).cast("long").alias("millis"),
+        F.concat(F.lit("run-"), millis.cast("string"), F.lit("-"), F.substring(F.md5("model_urn"), 1, 8)).alias("run_id"),
+        millis.cast("long").alias("millis"),
         F.when(F.col("severity") == BLOCK, "FAILURE").otherwise("SUCCESS").alias("result"),
         native.alias("native"),
     )

@@ -17,7 +17,7 @@ from plumbline.operators.policy import Policy, Thresholds
 
 
 def windowed_profile(events: DataFrame, at: str, key: str, value: str, window: str = "1 day", late: str = "1 hour") -> DataFrame:
-    """A row per window and key: row_count, null_count, min, max, mean. Works on batch and stream alike."""
+    """A row per window and key: row_count, null_count, low, high, mean, stdev. Works on batch and stream alike."""
     timed = events.withColumn("at_", F.col(at).cast("timestamp"))
     if events.isStreaming:
         timed = timed.withWatermark("at_", late)
@@ -28,8 +28,9 @@ def windowed_profile(events: DataFrame, at: str, key: str, value: str, window: s
         F.min(value).alias("low"),
         F.max(value).alias("high"),
         F.avg(value).alias("mean"),
+        F.stddev_samp(value).alias("stdev"),
     )
-    return stats.select(F.col("w.start").alias("window_start"), "asset", "row_count", "null_count", "low", "high", "mean")
+    return stats.select(F.col("w.start").alias("window_start"), "asset", "row_count", "null_count", "low", "high", "mean", "stdev")
 
 
 def drift(profiles: DataFrame, baseline: DataFrame, limits: Thresholds | None = None) -> DataFrame:
@@ -37,8 +38,12 @@ def drift(profiles: DataFrame, baseline: DataFrame, limits: Thresholds | None =
 
     ``base_rows`` are rows per window. One row per finding: window_start, asset, kind, magnitude.
     """
+    return drifted(profiles.join(baseline, "asset"), limits)
+
+
+def drifted(joined: DataFrame, limits: Thresholds | None = None) -> DataFrame:
+    """The findings of ``drift`` over profiles that stand beside their baseline's columns."""
     limits = limits or Thresholds()
-    joined = profiles.join(baseline, "asset")
     volume = X.relative_change(F.col("base_rows"), F.col("row_count").cast("double")) * 100
     sigma = F.when(F.col("base_stdev") > 0, (F.col("mean") - F.col("base_mean")) / F.col("base_stdev"))
     jump = (X.null_rate(F.lit(None).cast("double"), F.col("null_count"), F.col("row_count")) - F.col("base_null_rate")) * 100
