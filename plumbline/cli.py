@@ -44,9 +44,10 @@ def main(argv: list[str] | None = None) -> int:
     command("policy-show", graph=False)
     command("resolve", model)
     command("baseline", model, (["--baseline"], {"required": True}))
-    places = (["--baseline"], {"required": True, "action": "append", "help": "a place of baselines; the first that has a model's counts"})
+    places = (["--baseline"], {"default": [], "action": "append", "help": "a place of baselines; the first that has a model's counts"})
+    records = (["--records"], {"help": "JSON lines of the catalog's properties and notes, for models whose baseline is in none of the places"})
     switches = [([f"--{s}"], {"action": "store_true"}) for s in ("all", "require-baseline", "fail-on-warn", "markdown", "counters")]
-    command("check", model, places, (["--write-back"], {}), *switches)
+    command("check", model, places, records, (["--write-back"], {}), *switches)
     command("demo", graph=False)
     command("history", model, (["--runs"], {"required": True}), (["--limit"], {"type": int, "default": 20}), graph=False)
     only = [([f"--{s}"], {"help": f"only tables of this {s}"}) for s in ("platform", "env")]
@@ -74,7 +75,7 @@ def _run(args, policy) -> int:
 
     from plumbline.operators import impact, verdict
     from plumbline.plans import gate, report
-    from plumbline.sources import sinks
+    from plumbline.sources import documents, sinks
 
     spark = _session()
     if getattr(args, "all", False) and args.model:
@@ -119,7 +120,13 @@ def _run(args, policy) -> int:
         return 0
     if args.all:
         models = catalog.assets.filter("entity_type = 'mlModel'").select(F.col("urn").alias("model_urn"))
-    baseline = sinks.read_first_baseline(spark, args.baseline)
+    kept = [sinks.read_baseline(spark, place) for place in args.baseline]
+    if args.records:
+        kept.append(documents.from_records(spark.read.schema(documents.RECORDS).json(args.records)))
+    if not kept:
+        print("no place of baselines is named", file=sys.stderr)
+        return 2
+    baseline = sinks.first_of(kept)
     result = gate.check(catalog, models, baseline, policy, fail_on_warn=args.fail_on_warn, require_baseline=args.require_baseline)
     return _report(args, policy, result)
 

@@ -898,7 +898,8 @@ def watch_runs(spark, sf_dir):
     """A run for each day and event type, against the day before: the watch with state over the events as a batch; tests run the stream itself."""
     profiles = watch.windowed_profile(slices.table(spark, sf_dir, "events"), "ts", "event_type", "value")
     policy = Policy(thresholds=Thresholds(row_count_change_pct=20.0, mean_shift_sigma=0.25))
-    runs = verdict.runs_of(latest.runs_of_windows(latest.ruled_runs(latest.successive(profiles), "value", policy, slices.NOW)[1]))
+    paired = cut(latest.successive(profiles), "paired")
+    runs = verdict.runs_of(latest.runs_of_windows(latest.ruled_runs(paired, "value", policy, slices.NOW)[1]))
     return runs.select("model_urn", F.date_format("checked_at", "yyyy-MM-dd").alias("day"), "severity", F.array_join("warning_kinds", ",").alias("warning_kinds"), "warning")
 
 

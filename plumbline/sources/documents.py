@@ -43,3 +43,11 @@ def embedded(records: DataFrame) -> DataFrame:
     ranked = records.select("urn", value.alias("value"), note.alias("note")).groupBy("urn").agg(F.max("value").alias("value"), F.max("note").alias("note"))
     document = F.coalesce("value", "note")
     return ranked.filter(document.isNotNull()).select(F.col("urn").alias("model_urn"), document.alias("document"))
+
+
+RECORDS = "urn string, property_urn string, value string, description string"
+
+
+def from_records(records: DataFrame) -> Snapshot:
+    """The baselines embedded in a catalog's records; a document counts only in the record of its own model."""
+    return from_documents(embedded(records).filter(F.get_json_object("document", "$.model_urn") == F.col("model_urn")))

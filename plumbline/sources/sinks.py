@@ -130,19 +130,20 @@ def compact_baseline(spark: SparkSession, path: str) -> list[str]:
     return [e.version for e in entries]
 
 
-def read_first_baseline(spark: SparkSession, paths: list[str]) -> Snapshot:
-    """Each model's baseline from the first of several places that has one."""
-    found = None
-    for path in paths:
-        more = read_baseline(spark, path)
-        if found is None:
-            found = more
-            continue
+def first_of(places: list[Snapshot]) -> Snapshot:
+    """Each model's part from the first of the snapshots that has assets of it."""
+    found, *others = places
+    for more in others:
         known = found.assets.select("model_urn").distinct()
         found = Snapshot.of(*(getattr(found, n).unionByName(getattr(more, n).join(known, "model_urn", "left_anti")) for n in _TABLES))
     return found
 
 
+def read_first_baseline(spark: SparkSession, paths: list[str]) -> Snapshot:
+    """Each model's baseline from the first of several places that has one."""
+    return first_of([read_baseline(spark, path) for path in paths])
+
+
 def runs_from(verdicts: DataFrame, now: datetime, scope: str = "gate", at: Column | None = None) -> DataFrame:
     """Verdicts as history events (model_urn, assertion, run_id, millis, result, native), of the moment ``now`` or each of its own, ``at`` (milliseconds)."""
     millis = F.lit(int(now.timestamp() * 1000)) if at is None else at

@@ -77,7 +77,8 @@ def successive(profiles: DataFrame) -> DataFrame:
 def ruled_runs(paired: DataFrame, column: str, policy: Policy, now: datetime) -> tuple[DataFrame, DataFrame]:
     """Ruled findings of ``successive``, and a verdict for each window of an asset, with or without findings.
 
-    The key of a verdict, ``model_urn``, is the struct of asset and window_start.
+    The key of a verdict, ``model_urn``, is the struct of asset and window_start. ``paired`` is read for both: write it out
+    first (``cut``) where it comes from events.
     """
     key = F.struct("asset", "window_start").alias("model_urn")
     found = drifted(paired, policy.thresholds).withColumn("subject_urn", F.col("asset")).withColumn("subject_column", F.lit(column))

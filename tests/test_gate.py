@@ -154,6 +154,14 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["check", *common, "--state", "before", "--baseline", str(tmp_path / "none"), "--baseline", base, "--all"]) == 0
     assert cli.main(["check", *common, "--baseline", base, "--all", "--model", demo.FRAUD]) == 2
     assert cli.main(["check", *common, "--baseline", str(tmp_path / "none"), "--require-baseline"]) == 2
+    # Baselines in the catalog's own records count where no place has one, each only in the record of its own model.
+    notes, strange = str(tmp_path / "notes"), str(tmp_path / "strange")
+    kept = documents.to_documents(sinks.read_baseline(spark, base)).select(F.col("model_urn").alias("urn"), F.lit("urn:x:gate_baseline").alias("property_urn"), F.col("document").alias("value"))
+    kept.write.json(notes)
+    kept.withColumn("urn", F.lit("urn:x:other")).write.json(strange)
+    assert cli.main(["check", *common, "--baseline", str(tmp_path / "none"), "--records", notes]) == 1
+    assert cli.main(["check", *common, "--records", strange, "--require-baseline"]) == 2
+    assert cli.main(["check", *common]) == 2
     assert cli.main(["demo", "--config", str(config)]) == 1
     assert cli.main(["history", "--config", str(config), "--runs", str(tmp_path / "out" / "verdict_runs")]) == 0
     assert cli.main(["what-if", *common, demo.RAW, "x"]) == 0
