@@ -13,24 +13,36 @@ STATS = ("null_count", "null_proportion", "unique_count", "unique_proportion", "
 COMPARABLE = ("null_proportion", "unique_count", "mean", "min", "max")
 
 
+def same(low: Column, high: Column) -> Column:
+    """Whether values between these two are all one finite number."""
+    return (low == high) & (F.abs(low.cast("double")) < float("inf"))
+
+
 def profile(df: DataFrame, keys: list[str], columns: list[str], approximate: bool = False) -> DataFrame:
     """A row per key and column: row_count, the statistics, and path.
 
     One aggregation over the table for all columns together, then an unpivot of its one row per
-    key. ``approximate`` counts distinct values by a sketch, whose partial states stay small.
+    key. ``approximate`` counts distinct values by a sketch, whose partial states stay small. Where all values are the same
+    number, that number is their mean and 0 their deviation, without what adding up partial states rounds.
     """
     distinct = F.approx_count_distinct if approximate else F.count_distinct
-    numeric = {f.name for f in df.schema if f.dataType.typeName() in {"byte", "short", "integer", "long", "float", "double", "decimal"}}
+    kinds = {f.name: f.dataType.typeName() for f in df.schema}
+    numeric = {name for name, kind in kinds.items() if kind in {"byte", "short", "integer", "long", "float", "double", "decimal"}}
     aggregates: list[Column] = [F.count(F.lit(1)).alias("row_count")]
     for i, c in enumerate(columns):
         col = F.col(c)
+        if c in numeric:
+            constant, mean = same(F.min(col), F.max(col)), F.avg(col)
+            # The average of decimals is exact.
+            mean = mean if kinds[c] == "decimal" else F.when(constant, F.min(col).cast("double")).otherwise(mean)
+            stdev = F.when(constant & (F.count(col) > 1), 0.0).otherwise(F.stddev_samp(col))
         aggregates += [
             F.count_if(col.isNull()).alias(f"null_count_{i}"),
             distinct(col).alias(f"unique_count_{i}"),
             F.min(col).cast("string").alias(f"min_{i}"),
             F.max(col).cast("string").alias(f"max_{i}"),
-            (F.avg(col).cast("string") if c in numeric else F.lit(None).cast("string")).alias(f"mean_{i}"),
-            (F.stddev_samp(col).cast("string") if c in numeric else F.lit(None).cast("string")).alias(f"stdev_{i}"),
+            (mean.cast("string") if c in numeric else F.lit(None).cast("string")).alias(f"mean_{i}"),
+            (stdev.cast("string") if c in numeric else F.lit(None).cast("string")).alias(f"stdev_{i}"),
         ]
     wide = df.groupBy(*keys).agg(*aggregates)
     rows = F.col("row_count")

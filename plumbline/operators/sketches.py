@@ -17,6 +17,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.operators.profile import same
+
 NUMBERS = {"byte", "short", "integer", "long", "float", "double", "decimal"}
 
 #: Logarithm of the registers of a distinct count, and the largest relative error to reckon with: three standard ones.
@@ -96,6 +98,9 @@ def finish(states: DataFrame, keys: list[str], quantiles: tuple[float, ...] = (0
     filled = F.col("row_count") - F.col("null_count")
     unique = F.least(F.hll_sketch_estimate("distinct"), filled)
     number = F.col("measured") > 0
+    # Rounding of merged states is no deviation: where all values are one number, that is the mean.
+    constant = number & same(F.col("low.value"), F.col("high.value"))
+    stdev = F.when(constant, 0.0).otherwise(F.sqrt(F.col("m2") / (F.col("measured") - 1)))
     at = F.create_map(*(x for q in quantiles for x in (F.lit(q), F.kll_sketch_get_quantile_double("spread", F.lit(q)))))
     return states.select(
         *keys,
@@ -107,8 +112,8 @@ def finish(states: DataFrame, keys: list[str], quantiles: tuple[float, ...] = (0
         F.try_divide(unique, filled).alias("unique_proportion"),
         F.col("low.text").alias("min"),
         F.col("high.text").alias("max"),
-        F.col("mean").cast("string").alias("mean"),
-        F.when(F.col("measured") > 1, F.sqrt(F.col("m2") / (F.col("measured") - 1))).cast("string").alias("stdev"),
+        F.when(constant, F.col("low.value")).otherwise(F.col("mean")).cast("string").alias("mean"),
+        F.when(F.col("measured") > 1, stdev).cast("string").alias("stdev"),
         F.when(number, at).alias("quantiles"),
     )
 

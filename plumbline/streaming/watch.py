@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from plumbline.functions import exprs as X
 from plumbline.operators.policy import Policy, Thresholds
+from plumbline.operators.profile import same
 
 
 def windowed_profile(events: DataFrame, at: str, key: str, value: str, window: str = "1 day", late: str = "1 hour") -> DataFrame:
@@ -22,13 +23,14 @@ def windowed_profile(events: DataFrame, at: str, key: str, value: str, window: s
     if events.isStreaming:
         timed = timed.withWatermark("at_", late)
     grouped = timed.groupBy(F.window("at_", window).alias("w"), F.col(key).alias("asset"))
+    constant = same(F.min(value), F.max(value))
     stats = grouped.agg(
         F.count(F.lit(1)).alias("row_count"),
         F.count_if(F.col(value).isNull()).alias("null_count"),
         F.min(value).alias("low"),
         F.max(value).alias("high"),
-        F.avg(value).alias("mean"),
-        F.stddev_samp(value).alias("stdev"),
+        F.when(constant, F.min(value)).otherwise(F.avg(value)).alias("mean"),
+        F.when(constant & (F.count(value) > 1), 0.0).otherwise(F.stddev_samp(value)).alias("stdev"),
     )
     return stats.select(F.col("w.start").alias("window_start"), "asset", "row_count", "null_count", "low", "high", "mean", "stdev")
 

@@ -145,3 +145,22 @@ def test_profile(spark):
     assert got["b", "v"]["mean"] is None and got["b", "s"]["unique_count"] == 0 and got["a", "s"]["mean"] is None
     assert profile.profile(df.limit(0), ["k"], ["v"]).count() == 0
     assert {r["unique_count"] for r in profile.profile(df, ["k"], ["s"], approximate=True).collect()} == {2, 0}
+
+
+def test_one_value_has_no_deviation(spark):
+    """Partial states of one value, added up, round; the value is the mean all the same, and nothing deviates from it."""
+    from pyspark.sql import functions as F
+
+    from plumbline.operators import sketches
+    from plumbline.streaming import watch
+
+    df = spark.range(0, 1470, 1, 7).select(F.lit(1000.1).alias("v"), (F.col("id") % 5).alias("part"), F.lit("2024-01-01").cast("timestamp").alias("at"))
+    assert df.agg(F.stddev_samp("v")).first()[0] > 0 and df.agg(F.avg("v")).first()[0] != 1000.1
+    got = profile.profile(df, [], ["v"]).first()
+    merged = sketches.finish(sketches.merge(sketches.sketch(df, ["part"], ["v"]), []), []).first()
+    assert [(r["mean"], r["stdev"]) for r in (got, merged)] == [("1000.1", "0.0")] * 2
+    window = watch.windowed_profile(df, "at", "part", "v").first()
+    assert (window["mean"], window["stdev"]) == (1000.1, 0.0)
+    one, undefined = (profile.profile(spark.createDataFrame([(x,)] * n, "v double"), [], ["v"]).first() for x, n in ((2.0, 1), (float("nan"), 2)))
+    assert (one["mean"], one["stdev"]) == ("2.0", None)
+    assert (undefined["mean"], undefined["stdev"]) == ("NaN", "NaN")
