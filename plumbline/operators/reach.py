@@ -11,10 +11,15 @@ Only nodes of the wanted type are opened again, to a row per seed and node with
 bit came. Their paths are found backwards: from a node at level k to those at level k - 1 that have
 the seed's bit and lead to it, keeping of several ways the one whose edges come first. Rows are then only on shortest ways to the
 nodes that were found.
+
+A bitmap of Spark takes its full width while it is added up, so where at most FEW nodes of the wanted type, or seeds,
+are given, walks go by words: a long has the bits of WORD of them, and the level keeps which are new. From few wanted
+nodes they go upwards, so that a million seeds need a row each, not one for each node that each of them reaches.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -29,13 +34,19 @@ from plumbline.functions.kinds import TRAVERSABLE
 #: Seeds of a block: the bits of Spark's bitmap functions.
 SEEDS = 1 << 15
 
+#: Starts of a word: the bits of a long.
+WORD = 64
+
+#: Starts of a walk by words, at most, where it can go by bitmaps.
+FEW = 1 << 10
 
-def numbered(seeds: DataFrame) -> DataFrame:
+
+def numbered(seeds: DataFrame, size: int | None = None) -> DataFrame:
     """(seed, block, bit): the distinct seeds with gapless numbers, seeds of one partition side by side.
 
-    The driver gets the row counts of the partitions.
+    A block has ``size`` of them, SEEDS if none is given. The driver gets the row counts of the partitions.
     """
-    spark = seeds.sparkSession
+    spark, size = seeds.sparkSession, size or SEEDS
     rows = cut(seeds.select("seed").filter("seed is not null").distinct().withColumn("at", F.monotonically_increasing_id()), "seeds")
     part = F.shiftright("at", 33)
     before, starts = 0, []
@@ -45,7 +56,7 @@ def numbered(seeds: DataFrame) -> DataFrame:
     base = spark.createDataFrame(starts or [(0, 0)], "part long, base long")
     placed = rows.withColumn("part", part).join(F.broadcast(base), "part")
     number = F.col("base") + F.col("at").bitwiseAND((1 << 33) - 1)
-    return placed.select("seed", F.floor(number / SEEDS).cast("int").alias("block"), (number % SEEDS).cast("int").alias("bit"))
+    return placed.select("seed", F.floor(number / size).cast("int").alias("block"), (number % size).cast("int").alias("bit"))
 
 
 def has_bit(bits: Column, bit: Column) -> Column:
@@ -109,39 +120,102 @@ def opened(levels: list[DataFrame], wanted: str) -> DataFrame:
     return grouped.mapInArrow(run, "block int, bit int, urn string, depth int")
 
 
+def walk(starts: DataFrame, ways: DataFrame, max_hops: int, through: tuple[str, ...] | None = None, count: Callable[[DataFrame], DataFrame] | None = None) -> list[DataFrame]:
+    """Level by level from 0, the starts, (to, block, bits, fresh): which starts have met a node so far, and which first at this level.
+
+    ``starts``: as of ``numbered`` with WORD; ``ways``: (from, to). Nodes are walked through if their type is one of ``through``, the starts
+    always. ``count`` gets the ends of the edges of each level (to, block, bits, had) to observe them; had has the starts that met the end before.
+    """
+    none = F.lit(0).cast("bigint")
+    bits = F.expr("shiftleft(1L, bit)")
+    state = cut(starts.select(F.col("seed").alias("to"), "block", bits.alias("bits"), bits.alias("fresh")), "level")
+    levels = [state]
+    for depth in range(max_hops):
+        front = state.filter("fresh <> 0")
+        if depth and through is not None:
+            front = front.filter(X.entity_type(F.col("to")).isin(*through))
+        sent = front.select(F.col("to").alias("from"), "block", F.col("fresh").alias("bits")).join(ways, "from").select("to", "block", "bits")
+        met = state.select("to", "block", F.col("bits").alias("had"))
+        if count is None:
+            sent = sent.withColumn("had", none)
+        else:
+            sent = count(sent.join(met, ["to", "block"], "left").withColumn("had", F.coalesce("had", none)))
+        both = sent.unionByName(met.withColumn("bits", none)).groupBy("to", "block").agg(F.bit_or("bits").alias("bits"), F.bit_or("had").alias("had"))
+        had, now = F.col("had"), F.col("bits")
+        state = cut(both.select("to", "block", now.bitwiseOR(had).alias("bits"), now.bitwiseAND(F.bitwise_not(had)).alias("fresh")), "level")
+        if not state.filter("fresh <> 0").limit(1).count():
+            break
+        levels.append(state)
+    return levels
+
+
+def spelled(levels: list[DataFrame], starts: DataFrame, first: int = 0) -> DataFrame:
+    """(block, bit, start, urn, depth): the levels of ``walk`` from ``first`` on, a row for each start that came to a node."""
+    rows = reduce(DataFrame.unionByName, (x.filter("fresh <> 0").select(F.col("to").alias("urn"), "block", "fresh", F.lit(i + first).alias("depth")) for i, x in enumerate(levels[first:])))
+    bit = F.explode(F.expr("filter(sequence(0, 63), i -> (shiftright(fresh, i) & 1L) = 1L)"))
+    return rows.select("urn", "block", "depth", bit.alias("bit")).join(starts.withColumnRenamed("seed", "start"), ["block", "bit"])
+
+
 def reached(seeds: DataFrame, edges: DataFrame, wanted: str = "mlModel", max_hops: int = 6, paths: bool = True) -> DataFrame:
     """Nodes of the wanted type downstream of each seed: seed, urn, depth, and with ``paths`` path (from the seed on).
 
-    ``edges``: (src, dst, seq), src depends on dst; walks go from dst to src. A seed doesn't reach itself.
+    ``edges``: (src, dst, seq), src depends on dst; walks go from dst to src. A seed doesn't reach itself. Walks go upwards
+    from the wanted nodes where these are fewer.
     """
     ways = cut(edges.select(F.col("dst").alias("from"), F.col("src").alias("to"), X.entity_type(F.col("src")).alias("to_type"), F.col("seq").cast("bigint").alias("seq")), "edges")
-    known = cut(numbered(seeds), "numbered")
-    levels = levels_of(known, ways.select("from", "to", "to_type"), max_hops)
-    if not levels:
-        empty = known.limit(0).select("seed", F.col("seed").alias("urn"), F.lit(0).alias("depth"))
+    named = cut(seeds.select("seed").filter("seed is not null").distinct(), "named")
+    ends = cut(ways.filter(F.col("to_type") == wanted).select(F.col("to").alias("seed")).distinct(), "ends")
+    n_seeds, n_ends = named.count(), ends.count()
+    if not n_seeds or not n_ends or max_hops < 1:
+        empty = named.limit(0).select("seed", F.col("seed").alias("urn"), F.lit(0).alias("depth"))
         return empty.withColumn("path", F.array("seed")) if paths else empty
-    found = opened(levels, wanted).join(known, ["block", "bit"]).filter(F.col("urn") != F.col("seed"))
+    up, by_words = n_ends < n_seeds, min(n_seeds, n_ends) <= FEW
+    if by_words:
+        starts = cut(numbered(ends if up else named, WORD), "numbered")
+        along = ways.select(F.col("to").alias("from"), F.col("from").alias("to")) if up else ways.select("from", "to")
+        levels = walk(starts, along, max_hops, TRAVERSABLE)
+        if len(levels) == 1:
+            levels.append(levels[0].limit(0))
+        held = [x.filter(X.entity_type(F.col("to")).isin(*TRAVERSABLE)).select(F.col("to").alias("node"), "block", F.col("fresh").alias("bits")) for x in levels[1:]]
+        if up:
+            of_seeds = [x.join(named.select(F.col("seed").alias("to")), "to", "left_semi") for x in levels]
+            found = spelled(of_seeds, starts, 1).select("block", "bit", F.col("urn").alias("seed"), F.col("start").alias("urn"), "depth")
+        else:
+            of_type = [x.filter(X.entity_type(F.col("to")) == wanted) for x in levels]
+            found = spelled(of_type, starts, 1).withColumnRenamed("start", "seed")
+    else:
+        up, starts = False, cut(numbered(named), "numbered")
+        levels = levels_of(starts, ways.select("from", "to", "to_type"), max_hops)
+        held = [x.filter(F.col("to_type").isin(*TRAVERSABLE)).select(F.col("to").alias("node"), "block", "bits") for x in levels]
+        found = opened(levels, wanted).join(starts, ["block", "bit"])
+    found = found.filter(F.col("urn") != F.col("seed")).select("block", "bit", "seed", "urn", "depth")
     if not paths:
         return found.select("seed", "urn", "depth")
-    return _with_paths(cut(found, "found"), levels, ways)
+    return _with_paths(cut(found, "found"), held, ways, up, (lambda bits, bit: F.expr("shiftright(bits, bit) & 1L") == 1) if by_words else has_bit)
+
 
+def _with_paths(found: DataFrame, held: list[DataFrame], ways: DataFrame, up: bool, has: Callable[[Column, Column], Column]) -> DataFrame:
+    """``found`` (block, bit, urn, depth, seed) with the first of the shortest paths from the seed.
 
-def _with_paths(found: DataFrame, levels: list[DataFrame], ways: DataFrame) -> DataFrame:
-    """``found`` (block, bit, urn, depth, seed) with the first of the shortest paths from the seed."""
+    ``held``: by level (node, block, bits) of the nodes that a path can go through. Paths are found from the node back to the seed,
+    or, if the walk went ``up`` from the nodes, from the seed on.
+    """
     keys = ["block", "bit", "seed", "urn", "depth"]
-    back = ways.select("from", F.col("to").alias("node"), "seq")
+    here, there = ("from", "to") if up else ("to", "from")
+    step = ways.select(F.col(here).alias("node"), F.col(there).alias("next"), "seq")
     none = F.array().cast("array<bigint>")
-    start = lambda k: found.filter(F.col("depth") == k).select(*keys, F.col("urn").alias("node"), F.struct(none.alias("place"), F.array("urn").alias("path")).alias("way"))
+    begin, end = ("seed", "urn") if up else ("urn", "seed")
+    start = lambda k: found.filter(F.col("depth") == k).select(*keys, F.col(begin).alias("node"), F.struct(none.alias("place"), F.array(begin).alias("path")).alias("way"))
+    joined = lambda new, old: F.concat(old, F.array(new)) if up else F.concat(F.array(new), old)
     at = None
-    for k in range(len(levels), 0, -1):
+    for k in range(len(held), 0, -1):
         at = start(k) if at is None else at.unionByName(start(k))
-        before = at.join(back, "node").select(
-            *keys, F.col("from").alias("node"), F.struct(F.concat(F.array("seq"), "way.place").alias("place"), F.concat(F.array("from"), "way.path").alias("path")).alias("way")
+        before = at.join(step, "node").select(
+            *keys, F.col("next").alias("node"), F.struct(joined("seq", F.col("way.place")).alias("place"), joined("next", F.col("way.path")).alias("path")).alias("way")
         )
         if k == 1:
-            before = before.filter(F.col("node") == F.col("seed"))
+            before = before.filter(F.col("node") == F.col(end))
         else:
-            held = levels[k - 2].filter(F.col("to_type").isin(*TRAVERSABLE)).select(F.col("to").alias("node"), "block", "bits")
-            before = before.join(held, ["node", "block"]).filter(has_bit(F.col("bits"), F.col("bit")))
+            before = before.join(held[k - 2], ["node", "block"]).filter(has(F.col("bits"), F.col("bit")))
         at = cut(before.groupBy(*keys, "node").agg(F.min("way").alias("way")), "ways")
     return at.select("seed", "urn", "depth", F.col("way.path").alias("path"))

@@ -82,3 +82,21 @@ def test_nothing_to_walk(spark):
         assert graph.downstream_models(some, edges, 0, paths).count() == 0
         assert graph.downstream_models(some, edges.limit(0), 6, paths).count() == 0
     assert graph.downstream_models(some, edges).first()["path"] == [name("dataset", 1), name("mlModel", 1)]
+
+
+def test_few_models_are_walked_from(spark, monkeypatch):
+    """Many seeds and one model: levels have a row a node at most, not one for each seed that comes by."""
+    rows, m = [], name("mlModel", "m")
+    tables = [name("dataset", i) for i in range(40)]
+    edges = [(b, a, "R", 0) for a, b in zip(tables, tables[1:])] + [(m, tables[-1], "R", 0)]
+    counted = lambda df, label: (rows.append(df.count()), cut(df, label))[1]
+    cut = reach.cut
+    monkeypatch.setattr(reach, "cut", lambda df, label: counted(df, label) if label == "level" else cut(df, label))
+    found = graph.downstream_models(spark.createDataFrame([(t,) for t in tables], "seed string"), spark.createDataFrame(edges, EDGE), 6)
+    assert sorted((r["seed"], r["depth"], r["path"]) for r in found.collect()) == sorted((t, 40 - i, [*tables[i:], m]) for i, t in enumerate(tables) if i > 33)
+    assert max(rows) <= 7
+
+
+def test_bitmaps_where_both_ends_are_many(spark, monkeypatch):
+    monkeypatch.setattr(reach, "FEW", 0)
+    test_same_as_alone(spark, monkeypatch, 16, 4)
