@@ -40,6 +40,13 @@ class Counters:
         one = F.count(F.lit(1)).alias("n")
         return reached.observe(both[0], one).join(visited, ["model_urn", "dst"], "left_anti").observe(both[1], one)
 
+    def ends(self, sent: DataFrame) -> DataFrame:
+        """The same for ends of edges of ``reach.walk``: each counts for every start that it came from."""
+        both = Observation(), Observation()
+        self.levels.append(both)
+        number = lambda bits: F.coalesce(F.sum(F.bit_count(bits)), F.lit(0)).alias("n")
+        return sent.observe(both[0], number(F.col("bits"))).observe(both[1], number(F.col("bits").bitwiseAND(F.bitwise_not(F.col("had")))))
+
     def totals(self) -> dict[str, int]:
         """fetched, met_before and levels of the walk, once it is over."""
         fetched, fresh = (sum(pair[i].get["n"] for pair in self.levels) for i in (0, 1))
@@ -53,16 +60,21 @@ def clean_edges(edges: DataFrame) -> DataFrame:
     return named.filter("dst_type <> 'mlFeatureTable'").select("src", "dst", "dst_type", label.alias("via"), "seq")
 
 
-def footprint(models: DataFrame, edges: DataFrame, max_hops: int = 5, counters: Counters | None = None) -> DataFrame:
-    """Every upstream asset of every model: model_urn, urn, entity_type, depth, chain, truncated.
+def footprint(models: DataFrame, edges: DataFrame, max_hops: int = 5, counters: Counters | None = None, paths: bool = True) -> DataFrame:
+    """Every upstream asset of every model: model_urn, urn, entity_type, depth, and with ``paths`` place, chain, truncated.
 
     ``counters`` counts the ends of edges fetched, and how many of them an earlier level had met.
 
     ``models`` has the column model_urn. ``chain`` runs from the model to the asset (an array of
     HOP whose via is the label of the edge into it). ``truncated`` marks nodes at the hop limit that
-    have upstream nodes beyond it which no path reached.
+    have upstream nodes beyond it which no path reached. Without ``paths`` a level has a row for each node and 64 models,
+    as of ``reach.walk``, whatever the number of ways to it.
     """
     ways = cut(clean_edges(edges), "edges")
+    if not paths:
+        known = cut(reach.numbered(models.select(F.col("model_urn").alias("seed")), reach.WORD), "models")
+        levels = reach.walk(known, ways.select(F.col("src").alias("from"), F.col("dst").alias("to")), max_hops, count=counters and counters.ends)
+        return reach.spelled(levels, known).select(F.col("start").alias("model_urn"), "urn", X.entity_type(F.col("urn")).alias("entity_type"), "depth")
     hop = lambda urn, kind, via: F.struct(urn.alias("urn"), kind.alias("entity_type"), via.alias("via"), F.lit(None).cast("string").alias("column"))
     root_type = X.entity_type(F.col("model_urn"))
     level = models.select(F.col("model_urn")).distinct().select(
@@ -136,22 +148,34 @@ def column_features(found: DataFrame, sources: DataFrame, columns: DataFrame, co
     left to ``closure``, whose rounds grow with the logarithm of the longest chain.
     """
     seeds = sources.join(columns.select("model_urn", "urn", "path").distinct(), ["model_urn", "urn"])
-    new = cut(seeds.select("model_urn", "urn", "path", F.explode("feeds_features").alias("feature")), "seeds")
+    seeds = seeds.select("model_urn", "urn", "path", F.explode("feeds_features").alias("seed"))
+    known = cut(reach.numbered(sources.select(F.explode("feeds_features").alias("seed")), reach.WORD), "features")
     inside = cut(found.select("model_urn", "urn"), "inside")
     ways = cut(column_edges.select(F.col("down_urn").alias("urn"), F.col("down_col").alias("path"), "up_urn", "up_col"), "ways")
-    seen, reached = new, []
+    key, none = ["model_urn", "urn", "path", "block"], F.lit(0).cast("bigint")
+    first = seeds.join(known, "seed").groupBy(*key).agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("met"))
+    # A row for each column and 64 features, by bits: those met so far, those that came over an edge, and those met first in the last round.
+    state = cut(first.select(*key, "met", none.alias("got"), F.col("met").alias("fresh")), "seeds")
+    further = None
     for _ in range(PLAIN):
-        up = new.join(ways, ["urn", "path"]).select("model_urn", F.col("up_urn").alias("urn"), F.col("up_col").alias("path"), "feature")
-        up = cut(up.join(inside, ["model_urn", "urn"], "left_semi").distinct(), "reached")
-        new = cut(up.join(seen, ["model_urn", "urn", "path", "feature"], "left_anti"), "new")
-        reached.append(up)
-        if not new.limit(1).count():
+        up = state.filter("fresh <> 0").join(ways, ["urn", "path"]).select("model_urn", F.col("up_urn").alias("urn"), F.col("up_col").alias("path"), "block", F.col("fresh").alias("sent"))
+        up = up.groupBy(*key).agg(F.bit_or("sent").alias("sent")).join(inside, ["model_urn", "urn"], "left_semi")
+        both = up.select(*key, none.alias("met"), none.alias("got"), "sent").unionByName(state.select(*key, "met", "got", none.alias("sent")))
+        both = both.groupBy(*key).agg(*(F.bit_or(c).alias(c) for c in ("met", "got", "sent")))
+        met, got, sent = (F.col(c) for c in ("met", "got", "sent"))
+        state = cut(both.select(*key, met.bitwiseOR(sent).alias("met"), got.bitwiseOR(sent).alias("got"), sent.bitwiseAND(F.bitwise_not(met)).alias("fresh")), "reached")
+        if not state.filter("fresh <> 0").limit(1).count():
             break
-        seen = seen.unionByName(new)
     else:
-        reached.append(_further(new, ways, inside))
-    whole = reduce(DataFrame.unionByName, reached)
-    return whole.groupBy("model_urn", "urn", "path").agg(F.array_sort(F.collect_set("feature")).alias("features"))
+        bit = F.explode(F.expr("filter(sequence(0, 63), i -> (shiftright(fresh, i) & 1L) = 1L)")).alias("bit")
+        new = state.filter("fresh <> 0").select(*key, bit).join(known, ["block", "bit"])
+        further = _further(new.select("model_urn", "urn", "path", F.col("seed").alias("feature")), ways, inside)
+    names = known.groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("bit", "seed"))), lambda x: x["seed"]).alias("names"))
+    named = state.filter("got <> 0").join(names, "block")
+    whole = named.select("model_urn", "urn", "path", F.expr("transform(filter(sequence(0, 63), i -> (shiftright(got, i) & 1L) = 1L), i -> names[i])").alias("features"))
+    if further is not None:
+        whole = whole.unionByName(further.select("model_urn", "urn", "path", F.array("feature").alias("features")))
+    return whole.groupBy("model_urn", "urn", "path").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("features")))).alias("features"))
 
 
 def _further(new: DataFrame, ways: DataFrame, inside: DataFrame) -> DataFrame:

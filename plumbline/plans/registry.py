@@ -599,7 +599,7 @@ _URN = "(SELECT a || substr({0}, 2) || b FROM named WHERE c = left({0}, 1))"
 
 @query(_EDGES + _walk_sql(5) + f"SELECT {_URN.format('m')} AS model_urn, {_URN.format('x')} AS urn, d AS depth FROM reach")
 def upstream_footprint(spark, sf_dir):
-    return graph.footprint(slices.region_models(spark, sf_dir), slices.edges(spark, sf_dir), 5).select("model_urn", "urn", "depth")
+    return graph.footprint(slices.region_models(spark, sf_dir), slices.edges(spark, sf_dir), 5, paths=False).select("model_urn", "urn", "depth")
 
 
 @query(
@@ -627,7 +627,7 @@ def footprint_paths(spark, sf_dir):
 )
 def feature_sources(spark, sf_dir):
     edges = slices.edges(spark, sf_dir)
-    found = graph.footprint(slices.region_models(spark, sf_dir), edges, 5)
+    found = graph.footprint(slices.region_models(spark, sf_dir), edges, 5, paths=False)
     return graph.feature_sources(found, edges, 5).select("model_urn", "urn", F.array_join("feeds_features", ",").alias("features"))
 
 
@@ -643,7 +643,7 @@ def feature_sources(spark, sf_dir):
 )
 def column_features(spark, sf_dir):
     edges = slices.edges(spark, sf_dir)
-    found = graph.footprint(slices.region_models(spark, sf_dir), edges, 5)
+    found = graph.footprint(slices.region_models(spark, sf_dir), edges, 5, paths=False)
     sources = graph.feature_sources(found, edges, 5)
     reached = graph.column_features(found, sources, slices.supplier_columns(found), slices.column_edges(spark, sf_dir))
     return reached.select("model_urn", "urn", "path", F.array_join("features", " ").alias("features"))
@@ -656,7 +656,7 @@ def column_features(spark, sf_dir):
 def walk_counters(spark, sf_dir):
     """What the upstream walk of all models fetched, and had met before."""
     counters = graph.Counters()
-    graph.footprint(slices.region_models(spark, sf_dir), slices.edges(spark, sf_dir), 5, counters)
+    graph.footprint(slices.region_models(spark, sf_dir), slices.edges(spark, sf_dir), 5, counters, paths=False)
     return spark.createDataFrame([counters.totals()], "levels int, fetched long, met_before long")
 
 

@@ -109,3 +109,19 @@ def test_attribution(spark):
     assert got[d]["affected_feature_urn"] == f and got[d]["hops"][0]["column"] == "c" and got[d]["path_owners"] == ["o"] and got[d]["path_depth"] == 2
     assert got[d]["query_sql"] == "SELECT 1"
     assert got["elsewhere"]["unattributed"] and got["elsewhere"]["root_urn"] is None and got["elsewhere"]["query_sql"] is None
+
+
+def test_footprint_without_paths(spark):
+    """The same assets and depths as with paths, and the same counters, from levels with a row for each node and 64 models."""
+    nodes, edges = random_edges(random.Random(5))
+    models = [name("mlModel", f"m{i}") for i in range(3)]
+    more = [name("mlModel", f"n{i}") for i in range(70)]
+    df = spark.createDataFrame([(m,) for m in [*models, *more, models[0]]], "model_urn string")
+    table = spark.createDataFrame([*edges, *((m, nodes[i % 20 + 3], "R", 0) for i, m in enumerate(more))], EDGE)
+    for cap in (0, 2, 6):
+        plain, counted = graph.Counters(), graph.Counters()
+        want = {(r["model_urn"], r["urn"], r["entity_type"], r["depth"]) for r in graph.footprint(df, table, cap, plain).collect()}
+        got = [tuple(r) for r in graph.footprint(df, table, cap, counted, paths=False).collect()]
+        assert len(got) == len(want) and set(got) == want
+        assert counted.totals() == plain.totals()
+    assert {len(c) for c in [graph.footprint(df, table, 2, paths=False).columns]} == {4}
