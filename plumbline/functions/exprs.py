@@ -6,6 +6,7 @@ All are built-in functions, so they stay inside generated code; none is a Python
 from __future__ import annotations
 
 import fnmatch
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -50,6 +51,11 @@ def field_column(urn: Column) -> Column:
     return F.nullif(F.regexp_extract(urn, r"^urn:li:schemaField:\((.+),([^,]+)\)$", 2), F.lit(""))
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _is_upper(text: Column) -> Column:
     return (text == F.upper(text)) & (text != F.lower(text))
 
@@ -58,16 +64,18 @@ def report_name(urn: Column) -> Column:
     """Name for reports: the last key segment, before an all-uppercase one at the end."""
     open_at = F.instr(urn, "(")
     body = F.substring(urn, open_at + 1, F.length(urn))
-    inner = F.when(F.instr(body, ")") > 0, F.regexp_extract(body, r"(?s)^(.*)\)[^)]*$", 1)).otherwise(body)
+    inner = F.when(F.instr(body, ")") > 0, F.substring(body, F.lit(1), F.length(body) - F.length(F.substring_index(body, ")", -1)) - 1)).otherwise(body)
     parts = F.filter(F.split(inner, ","), lambda p: ~p.startswith("urn:li:dataPlatform:"))
-    count, last = F.size(parts), F.element_at(parts, -1)
-    tuple_name = F.when(count == 0, urn).when((count > 1) & _is_upper(last), F.try_element_at(parts, count - 1)).otherwise(last)
+    last = lambda ps: F.try_element_at(ps, F.lit(-1))
+    before = lambda ps: F.try_element_at(ps, F.size(ps) - 1)
+    tuple_name = _once(parts, lambda ps: F.when(F.size(ps) == 0, urn).when((F.size(ps) > 1) & _is_upper(last(ps)), before(ps)).otherwise(last(ps)))
+    field = urn.startswith("urn:li:schemaField:(")
     dataset, column = field_dataset(urn), field_column(urn)
     nested = F.when(_is_upper(column), dataset).otherwise(column)
     return (
         F.when(~urn.startswith("urn:li:"), urn)
         .when(open_at == 0, F.substring_index(urn, ":", -1))
-        .when(dataset.isNotNull() & dataset.contains("("), nested)
+        .when(field & dataset.isNotNull() & dataset.contains("("), nested)
         .otherwise(tuple_name)
     )
 

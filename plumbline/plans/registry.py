@@ -754,7 +754,8 @@ def urn_parse(spark, sf_dir):
         F.concat(F.lit("urn:li:schemaField:(urn:li:dataset:(urn:li:dataPlatform:spark,t"), "k", F.lit(",PROD),c"), F.col("p_size").cast("string"), F.lit(")")),
         F.concat("p_brand", "k"),
     )
-    urns = part.select(F.explode(forms).alias("urn"))
+    # Names take long beside the few bytes of a row that they are read from, so the rows are dealt out first.
+    urns = part.repartition(4 * spark.sparkContext.defaultParallelism).select(F.explode(forms).alias("urn"))
     u = F.col("urn")
     return urns.select("urn", X.entity_type(u).alias("kind"), X.report_name(u).alias("name"), X.field_dataset(u).alias("dataset"), X.field_column(u).alias("column_name"))
 
@@ -850,7 +851,8 @@ def sql_column_impact(spark, sf_dir):
         for k in range(1, 9)
     }
     ways = cut(slices.column_edges(spark, sf_dir), "column_edges")
-    ends = ways.select(F.col("up_urn").alias("urn"), F.col("up_col").alias("path")).distinct()
+    # Written, as a distinct() over names would be merged with this one and name every edge's table.
+    ends = cut(ways.select(F.col("up_urn").alias("urn"), F.col("up_col").alias("path")).distinct(), "ends")
     catalog = ends.select(X.report_name(F.col("urn")).alias("table"), F.col("urn").alias("table_urn"), F.when(F.col("path") == "p0", 0).otherwise(1).alias("ord"), "path")
     both = catalog.select("table", "table_urn").distinct().withColumn("path", F.explode(F.array(F.lit("p0"), F.lit("p1")))).withColumn("ord", F.substring("path", 2, 1).cast("int"))
     owners = slices.region_models(spark, sf_dir).select(F.col("model_urn").alias("urn"), F.array().cast("array<string>").alias("owners"))

@@ -88,3 +88,13 @@ def test_assertion_id(spark):
     model = "urn:li:mlModel:(x,y,PROD)"
     want = "urn:li:assertion:" + hashlib.md5(f'{{"model_urn":"{model}","scope":"gate"}}'.encode()).hexdigest()
     assert spark.range(1).select(X.assertion_id(F.lit(model), "gate")).first()[0] == want
+
+
+def test_names_are_computed_once(spark):
+    """The parts of a name are split once a row, whatever the number of places that use them."""
+    df = spark.createDataFrame([("urn:li:dataset:(urn:li:dataPlatform:x,a.b,PROD)",), ("urn:li:x:()",), ("urn:li:x:(a,B)",), ("urn:li:x:(a,B",), ("urn:li:x:(PROD)\n",), (None,)], "u string").repartition(1)
+    named = df.select("u", X.report_name(F.col("u")).alias("name"))
+    assert {r["u"]: r["name"] for r in named.collect()} == {
+        "urn:li:dataset:(urn:li:dataPlatform:x,a.b,PROD)": "a.b", "urn:li:x:()": "", "urn:li:x:(a,B)": "a", "urn:li:x:(a,B": "a", "urn:li:x:(PROD)\n": "PROD", None: None,
+    }
+    assert named._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
