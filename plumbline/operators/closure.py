@@ -24,7 +24,7 @@ from plumbline.functions.durable import cut
 WIDE = 64
 
 #: Rounds before there are any, as most graphs are shallow.
-PLAIN = 2
+PLAIN = 3
 
 
 def _renamed(df: DataFrame, column: str, names: DataFrame) -> DataFrame:

@@ -24,6 +24,9 @@ from plumbline.operators import closure, reach
 #: All columns of a table, as a node of the column walk.
 WHOLE = "*"
 
+#: Columns for each model up to which a walk goes down from the columns; else it goes up from the models.
+FORWARD = 8
+
 _SUBQUERIES = ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery")
 
 
@@ -115,29 +118,38 @@ def column_impact(seeds: DataFrame, edges: DataFrame, column_edges: DataFrame, m
     ``max_hops`` counts from the last dataset on.
     """
     dataset = lambda c: X.entity_type(F.col(c)) == "dataset"
+    node = lambda urn, path: F.struct(urn.alias("urn"), path.alias("path"))
     seeds = cut(seeds.select("table_urn", "path").distinct(), "columns")
-    ways = edges.select("src", "dst").distinct().filter("src <> dst")
-    between = ways.filter(dataset("src") & dataset("dst"))
-    named = cut(column_edges.select(F.col("up_urn").alias("urn"), F.col("up_col").alias("path"), F.col("down_urn").alias("to"), F.col("down_col").alias("to_path")).distinct(), "named")
-    pairs = named.select(F.col("to").alias("src"), F.col("urn").alias("dst")).distinct()
+    ways = edges.select("src", "dst").filter("src <> dst")
+    named = cut(column_edges.select(F.col("up_urn").alias("urn"), F.col("up_col").alias("path"), F.col("down_urn").alias("to"), F.col("down_col").alias("to_path")), "named")
+    pairs = named.select(F.col("to").alias("src"), F.col("urn").alias("dst"))
+    blind = ways.filter(dataset("src") & dataset("dst")).join(pairs, ["src", "dst"], "left_anti")
+    blind = cut(blind.select(F.col("dst").alias("urn"), F.col("src").alias("to")).distinct(), "blind")
+    # Tables that can count as fed as a whole: by a table without column lineage, or as a column of that name.
+    marked = seeds.filter(F.col("path") == WHOLE).select(F.col("table_urn").alias("urn")).unionByName(named.filter(F.col("to_path") == WHOLE).select(F.col("to").alias("urn")))
+    marked = cut(marked.unionByName(blind.select(F.col("to").alias("urn"))).distinct(), "marked")
     # A whole table feeds what any of its columns feeds.
-    whole = named.select("urn", F.lit(WHOLE).alias("path"), "to", "to_path").distinct()
-    blind = between.join(pairs, ["src", "dst"], "left_anti").select(F.col("dst").alias("urn"), F.col("src").alias("to"))
-    columns = named.select(F.col("to").alias("urn"), F.col("to_path").alias("path")).unionByName(seeds.select(F.col("table_urn").alias("urn"), "path")).distinct()
-    every = columns.unionByName(columns.select("urn").distinct().withColumn("path", F.lit(WHOLE))).unionByName(blind.select(F.col("to").alias("urn"), F.lit(WHOLE).alias("path"))).distinct()
-    blind = every.join(blind, "urn").select("urn", "path", "to", F.lit(WHOLE).alias("to_path"))
-    steps = cut(named.unionByName(whole).unionByName(blind).distinct(), "steps")
-    ends = steps.select("urn", "path").unionByName(steps.select(F.col("to").alias("urn"), F.col("to_path").alias("path")))
-    nodes = ends.unionByName(seeds.select(F.col("table_urn").alias("urn"), "path")).distinct()
-    nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    upper = nodes.select(F.col("urn").alias("to"), F.col("path").alias("to_path"), F.col("node").alias("b"))
-    linked = steps.join(nodes.withColumnRenamed("node", "a"), ["urn", "path"]).join(upper, ["to", "to_path"]).select("a", "b")
-    starts = nodes.join(seeds.withColumnRenamed("table_urn", "urn"), ["urn", "path"], "left_semi").select("node", F.col("node").alias("item"))
-    fed, _ = closure.closure(starts, linked)
-    tables = fed.unionByName(starts).join(nodes.select("node", "urn"), "node").select("item", "urn").distinct()
-    outside = ways.filter(~dataset("src"))
-    users = cut(tables.join(outside, F.col("urn") == F.col("dst")).select("item", F.col("src").alias("user")).distinct(), "users")
-    beyond = reach.reached(users.select(F.col("user").alias("seed")), edges, "mlModel", max_hops, paths=False)
-    models = users.join(beyond, F.col("user") == F.col("seed")).select("item", F.col("urn").alias("model_urn"))
-    models = models.unionByName(users.filter(X.entity_type(F.col("user")) == "mlModel").select("item", F.col("user").alias("model_urn"))).distinct()
-    return models.join(nodes.withColumnRenamed("node", "item"), "item").select(F.col("urn").alias("table_urn"), "path", "model_urn")
+    whole = named.join(marked, "urn", "left_semi").select("urn", F.lit(WHOLE).alias("path"), "to", "to_path")
+    columns = named.select(F.col("to").alias("urn"), F.col("to_path").alias("path")).unionByName(seeds.select(F.col("table_urn").alias("urn"), "path"))
+    columns = columns.unionByName(marked.withColumn("path", F.lit(WHOLE))).join(blind.select("urn"), "urn", "left_semi").distinct()
+    unnamed = columns.join(blind, "urn").select("urn", "path", "to", F.lit(WHOLE).alias("to_path"))
+    steps = named.unionByName(whole).unionByName(unnamed)
+    linked = cut(steps.select(node(F.col("urn"), F.col("path")).alias("a"), node(F.col("to"), F.col("to_path")).alias("b")).filter("a.urn is not null and b.urn is not null"), "steps")
+    # The models that each table's users belong to, and which users there are.
+    outside = cut(ways.filter(~dataset("src")).distinct(), "outside")
+    beyond = reach.reached(outside.select(F.col("src").alias("seed")), edges, "mlModel", max_hops, paths=False).select(F.col("seed").alias("src"), F.col("urn").alias("model_urn"))
+    own = outside.filter(X.entity_type(F.col("src")) == "mlModel").select("src", F.col("src").alias("model_urn"))
+    served = cut(outside.join(beyond.unionByName(own), "src").select(F.col("dst").alias("urn"), "model_urn").distinct(), "served")
+    begin = seeds.select(node(F.col("table_urn"), F.col("path")).alias("node"))
+    if seeds.count() <= served.select("model_urn").distinct().count() * FORWARD:
+        starts = begin.select("node", F.col("node").alias("item"))
+        fed, _ = closure.closure(starts, linked)
+        tables = fed.unionByName(starts).select("item", F.col("node.urn").alias("urn")).distinct()
+        models = tables.join(served, "urn").select("item", "model_urn").distinct()
+    else:
+        # From the models up: an item for each model that a column feeds, not for each column that feeds it.
+        ends = linked.select(F.col("b").alias("node")).unionByName(begin).distinct()
+        starts = cut(ends.join(served, F.col("node.urn") == F.col("urn")).select("node", F.col("model_urn").alias("item")), "starts")
+        fed, _ = closure.closure(starts, linked.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        models = fed.unionByName(starts).distinct().join(begin, "node", "left_semi").select(F.col("node").alias("item"), F.col("item").alias("model_urn"))
+    return models.select(F.col("item.urn").alias("table_urn"), F.col("item.path").alias("path"), "model_urn")
