@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from plumbline.operators.profile import same
 
-NUMBERS = {"byte", "short", "integer", "long", "float", "double", "decimal"}
+WHOLE = {"byte", "short", "integer", "long"}
+NUMBERS = WHOLE | {"float", "double", "decimal"}
 
 #: Logarithm of the registers of a distinct count, and the largest relative error to reckon with: three standard ones.
 LG_K, DISTINCT_ERROR = 12, 3 * 1.04 / 64
@@ -27,6 +28,9 @@ LG_K, DISTINCT_ERROR = 12, 3 * 1.04 / 64
 #: Size of a distribution sketch, and the largest error of a rank to reckon with, as a share of the values.
 KLL_K, RANK_ERROR = 200, 0.0266
 
+#: Shares of the quantiles that a profile has unless others are asked for.
+QUARTILES = (0.25, 0.5, 0.75)
+
 #: Columns of a state besides its keys.
 STATE = ("path", "row_count", "null_count", "measured", "mean", "m2", "low", "high", "distinct", "spread")
 
@@ -34,27 +38,34 @@ STATE = ("path", "row_count", "null_count", "measured", "mean", "m2", "low", "hi
 def sketch(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """States of the columns by key: ``keys`` and STATE, from one aggregation over the rows."""
     kinds = {f.name: f.dataType.typeName() for f in df.schema}
-    extreme = lambda c: F.struct((F.col(c).cast("double") if kinds[c] in NUMBERS else F.lit(None).cast("double")).alias("value"), F.col(c).cast("string").alias("text"))
+    # Each value is turned into text once, for its extremes and its sketch alike.
+    values = df.select(*keys, *(x for i, c in enumerate(columns) for x in (F.col(c).alias(f"value_{i}"), F.col(c).cast("string").alias(f"text_{i}"))))
     aggregates: list[Column] = [F.count(F.lit(1)).alias("row_count")]
     for i, c in enumerate(columns):
-        there, col = F.col(c).isNotNull(), F.col(c)
+        col, text = F.col(f"value_{i}"), F.col(f"text_{i}")
+        extreme = F.when(col.isNotNull(), F.struct((col.cast("double") if kinds[c] in NUMBERS else F.lit(None).cast("double")).alias("value"), text.alias("text")))
+        if kinds[c] in WHOLE:
+            low, high = (F.when(m.isNotNull(), F.struct(m.cast("double").alias("value"), m.cast("string").alias("text"))) for m in (F.min(col), F.max(col)))
+        else:
+            low, high = F.min(extreme), F.max(extreme)
         aggregates += [
-            F.count_if(~there).alias(f"null_count_{i}"),
-            F.min(F.when(there, extreme(c))).alias(f"low_{i}"),
-            F.max(F.when(there, extreme(c))).alias(f"high_{i}"),
+            F.count_if(col.isNull()).alias(f"null_count_{i}"),
+            low.alias(f"low_{i}"),
+            high.alias(f"high_{i}"),
             # The sketch leaves empty texts out, so each value gets a letter before it.
-            F.hll_sketch_agg(F.concat(F.lit("v"), col.cast("string")), LG_K).alias(f"distinct_{i}"),
+            F.hll_sketch_agg(F.concat(F.lit("v"), text), LG_K).alias(f"distinct_{i}"),
         ]
         if kinds[c] in NUMBERS:
             number = col.cast("double")
-            number = F.when(~F.isnan(number) & (F.abs(number) < float("inf")), number)
+            if kinds[c] not in WHOLE:
+                number = F.when(~F.isnan(number) & (F.abs(number) < float("inf")), number)
             aggregates += [
                 F.count(number).alias(f"measured_{i}"),
                 F.avg(number).alias(f"mean_{i}"),
                 (F.var_pop(number) * F.count(number)).alias(f"m2_{i}"),
                 F.kll_sketch_agg_double(number, KLL_K).alias(f"spread_{i}"),
             ]
-    wide = df.groupBy(*keys).agg(*aggregates)
+    wide = values.groupBy(*keys).agg(*aggregates)
     none = {"measured": F.lit(0).cast("bigint"), "mean": F.lit(None).cast("double"), "m2": F.lit(None).cast("double"), "spread": F.lit(None).cast("binary")}
     entry = lambda i, c, name: F.col(f"{name}_{i}") if kinds[c] in NUMBERS or name not in none else none[name]
     entries = F.array(*(F.struct(F.lit(c).alias("path"), *(entry(i, c, name).alias(name) for name in STATE if name not in ("path", "row_count"))) for i, c in enumerate(columns)))
@@ -64,7 +75,8 @@ def sketch(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
 def merge(states: DataFrame, keys: list[str]) -> DataFrame:
     """One state for each of the (coarser) ``keys`` and column, from states of parts.
 
-    The deviation from the common mean needs that mean first, so states, not rows, are read twice.
+    The deviation from the common mean needs that mean first, so states are read twice: cut those that are not written yet, or
+    their rows are.
     """
     by = [*keys, "path"]
     own = F.col("measured") * F.col("mean")
@@ -90,7 +102,7 @@ def merge(states: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def finish(states: DataFrame, keys: list[str], quantiles: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
+def finish(states: DataFrame, keys: list[str], quantiles: tuple[float, ...] = QUARTILES) -> DataFrame:
     """Profiles in the shape of ``profile.profile``, with ``quantiles`` (a map from share to value) of numbers.
 
     unique_count is the sketch's estimate, never above the number of values that are not null.

@@ -63,23 +63,36 @@ def _merged_sql(table: str, column: str) -> str:
       round(avg({column}), 3) AS mean, round(stddev_samp({column}), 3) AS stdev, true AS unique_within, true AS quartiles_within FROM {table}"""
 
 
+def _marks(columns):
+    """Each column's quartiles as columns of their own, from a map by column and share."""
+    return [F.col("marks")[c][share].alias(f"{c}_q{i}") for c in columns for i, share in enumerate(sketches.QUARTILES)]
+
+
+def _quartiles_within(column):
+    """Whether the ranks of a column's quartiles among its values are as near as the sketch promises; true without values."""
+    value, near = F.col(column).cast("double"), F.lit(True)
+    for i, share in enumerate(sketches.QUARTILES):
+        below, upto = (F.avg(x.cast("int")) for x in (value < F.col(f"{column}_q{i}"), value <= F.col(f"{column}_q{i}")))
+        near = near & (below <= share + sketches.RANK_ERROR) & (upto >= share - sketches.RANK_ERROR)
+    return F.coalesce(near, F.lit(True))
+
+
 @query(" UNION ALL ".join(_merged_sql(t, c) for t, cs in _PROFILED.items() for c in cs))
 def profile_merged(spark, sf_dir):
     """States of every month, merged; the sketches are held against exact counts and ranks of the whole tables."""
     out = []
     for t, day in (("orders", "o_orderdate"), ("lineitem", "l_shipdate")):
-        rows = slices.table(spark, sf_dir, t).withColumn("asset", F.lit(t))
-        monthly = sketches.sketch(rows.withColumn("month", F.date_trunc("month", day)), ["asset", "month"], _PROFILED[t])
+        rows, columns = slices.table(spark, sf_dir, t).withColumn("asset", F.lit(t)), _PROFILED[t]
+        # A merge reads the states twice; they are written, so that the rows are not.
+        monthly = cut(sketches.sketch(rows.withColumn("month", F.date_trunc("month", day)), ["asset", "month"], columns), "states")
         merged = cut(sketches.finish(sketches.merge(monthly, ["asset"]), ["asset"]), "merged")
-        exact = profile.profile(rows, ["asset"], _PROFILED[t]).select("asset", "path", F.col("unique_count").alias("exact"))
-        marks = merged.select("asset", "path", F.explode("quantiles").alias("share", "mark"))
-        values = rows.select("asset", F.explode(F.create_map(*(x for c in _PROFILED[t] for x in (F.lit(c), F.col(c).cast("double"))))).alias("path", "value"))
-        ranks = values.join(F.broadcast(marks), ["asset", "path"]).groupBy("asset", "path", "share").agg(
-            F.avg((F.col("value") < F.col("mark")).cast("int")).alias("below"), F.avg((F.col("value") <= F.col("mark")).cast("int")).alias("upto")
-        )
-        near = ranks.groupBy("asset", "path").agg(
-            F.every((F.col("below") <= F.col("share") + sketches.RANK_ERROR) & (F.col("upto") >= F.col("share") - sketches.RANK_ERROR)).alias("quartiles_within")
-        )
+        # A count a column: together they would multiply the rows by the columns.
+        exact = reduce(DataFrame.unionByName, (rows.groupBy("asset").agg(F.count_distinct(c).alias("exact")).select("asset", F.lit(c).alias("path"), "exact") for c in columns))
+        # The quartiles of all columns are one row an asset, so each row is met once, not once a column and quartile.
+        marks = merged.groupBy("asset").agg(F.map_from_entries(F.collect_list(F.struct("path", "quantiles"))).alias("marks"))
+        within = [_quartiles_within(c).alias(c) for c in columns]
+        near = rows.join(F.broadcast(marks.select("asset", *_marks(columns))), "asset").groupBy("asset").agg(*within)
+        near = near.select("asset", F.inline(F.array(*(F.struct(F.lit(c).alias("path"), F.col(c).alias("quartiles_within")) for c in columns))))
         close = F.abs(F.col("unique_count") - F.col("exact")) <= sketches.DISTINCT_ERROR * F.col("exact")
         shown = [F.round(X.finite(F.col(s)), d).alias(s) for s, d in (("min", 2), ("max", 2), ("mean", 3), ("stdev", 3))]
         both = merged.join(exact, ["asset", "path"]).join(near, ["asset", "path"])

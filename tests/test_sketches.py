@@ -4,6 +4,7 @@ import random
 import statistics
 
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.operators import profile, sketches
 
@@ -63,3 +64,30 @@ def test_nothing(spark):
     df = spark.createDataFrame([], "day string, v double")
     states = sketches.sketch(df, ["day"], ["v"])
     assert states.count() == 0 and sketches.finish(sketches.merge(states, []), []).count() == 0
+
+
+def test_whole_numbers_below_zero(spark):
+    """Extremes that doubles cannot tell apart are told apart as numbers, not as texts."""
+    df = spark.createDataFrame([(-(2**60) - 1,), (-(2**60),)], "n long")
+    got = sketches.finish(sketches.merge(sketches.sketch(df, [], ["n"]), []), []).first()
+    assert (got["min"], got["max"]) == (str(-(2**60) - 1), str(-(2**60)))
+
+
+def test_rows_of_the_query_are_not_multiplied(spark, tmp_path):
+    """A column of nulls has its row, and no step makes a row for each column of a row."""
+    import duckdb
+
+    from plumbline.plans import registry
+
+    for t in ("orders", "lineitem"):
+        table = spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet")
+        lost = {"orders": "o_totalprice", "lineitem": "l_linenumber"}[t]
+        table.withColumn(lost, F.lit(None).cast(table.schema[lost].dataType)).coalesce(1).write.parquet(f"{tmp_path}/{t}.parquet")
+    df = registry.profile_merged(spark, str(tmp_path))
+    con = duckdb.connect()
+    for t in ("orders", "lineitem"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    wanted = con.sql(registry.ORACLES["profile_merged"])
+    assert sorted(map(repr, (tuple(r[c] for c in wanted.columns) for r in df.collect()))) == sorted(map(repr, wanted.fetchall()))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan and "explode" not in plan
