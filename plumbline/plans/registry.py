@@ -1107,10 +1107,12 @@ def recording_in_parts(spark, sf_dir):
         F.lit(False).alias("deprecated"), F.lit(None).cast("string").alias("deprecation_note"), F.col("p_partkey").alias("key"), size.alias("size"),
     )
     was = assets.withColumn("owners", F.when(F.col("key") % 50 == 0, owner(F.col("size") + 1)).otherwise(F.col("owners")))
-    edges = line.select(name("l_partkey").alias("src"), slices.dataset(F.concat(F.lit("supplier."), F.col("l_suppkey").cast("string"))).alias("dst")).distinct()
-    edges = edges.select("src", "dst", F.lit("DownstreamOf").alias("relationship"), F.lit(0).alias("seq"))
+    # Both states have these edges and profiles, and each is read several times.
+    pairs = cut(line.select("l_partkey", "l_suppkey").distinct(), "edges")
+    edges = pairs.select(name("l_partkey").alias("src"), slices.dataset(F.concat(F.lit("supplier."), F.col("l_suppkey").cast("string"))).alias("dst"), F.lit("DownstreamOf").alias("relationship"), F.lit(0).alias("seq"))
     fields = F.array().cast(f"array<struct<{FIELD.replace(' ', ':').replace(',:', ',')}>>").alias("fields")
-    profiles = line.groupBy(name("l_partkey").alias("urn")).agg(F.lit(0).cast("long").alias("ts"), F.count(F.lit(1)).alias("row_count"), F.lit(0).cast("long").alias("column_count"))
+    counted = cut(line.groupBy("l_partkey").agg(F.count(F.lit(1)).alias("row_count")), "counts")
+    profiles = counted.select(name("l_partkey").alias("urn"), F.lit(0).cast("long").alias("ts"), "row_count", F.lit(0).cast("long").alias("column_count"))
     states = {s: Catalog.of(a, edges, None, profiles.withColumn("fields", fields)) for s, a in (("before", was), ("after", assets))}
     path = made(spark, "recording-parts")
     recorded.record_parts(states, path)

@@ -120,15 +120,26 @@ def record(states: dict[str, Catalog], urns: DataFrame, path: str) -> None:
     whole.select(F.to_json(F.struct(*states)).alias("value")).coalesce(1).write.text(path)
 
 
-def record_parts(states: dict[str, Catalog], path: str, urns: DataFrame | None = None, parts: int = 64) -> None:
+#: Rows of a catalog's tables that a part has on average at most, so that one fits a task, and the number of parts at least.
+PART_ROWS, LEAST_PARTS = 200_000, 64
+
+
+def record_parts(states: dict[str, Catalog], path: str, urns: DataFrame | None = None, parts: int | None = None) -> None:
     """Writes each state's assets, or the named ones (column urn), as a recording in parts that ``load_parts`` reads.
 
-    Values are as ``record`` writes them. There is no limit of assets; one asset is one line. Ask for so many parts that one fits a task.
-    An error if something is at ``path``.
+    Values are as ``record`` writes them. There is no limit of assets; one asset is one line. The number of parts follows the
+    rows of the largest state's tables, which are counted for it, unless ``parts`` is given. A task joins and writes a part at a
+    time. An error if something is at ``path``.
     """
-    rows = [_lines_of(catalog, (catalog.assets if urns is None else urns).select("urn").distinct()).withColumn("state", F.lit(s)) for s, catalog in states.items()]
-    lines = reduce(DataFrame.unionByName, rows).withColumn("of", F.lit(parts)).withColumn("part", _part_of(F.col("urn"), F.lit(parts)))
-    lines.repartition("state", "part").write.partitionBy("of", "state", "part").json(path)
+    tasks = parts or max(1, -(-max(sum(t.count() for t in vars(c).values()) for c in states.values()) // PART_ROWS))
+    parts = parts or max(LEAST_PARTS, tasks)
+    lines = []
+    for i, (state, catalog) in enumerate(states.items()):
+        named = (catalog.assets if urns is None else urns).select("urn").distinct().repartition(tasks, "urn")
+        lines.append(_lines_of(catalog, named).withColumn("state", F.lit(state)).withColumn("nth", F.lit(i)))
+    rows = reduce(DataFrame.unionByName, lines).withColumn("of", F.lit(parts)).withColumn("part", _part_of(F.col("urn"), F.lit(parts)))
+    dealt = rows.repartitionById(parts * len(states), F.col("nth") * parts + F.col("part")).drop("nth")
+    dealt.write.partitionBy("of", "state", "part").json(path)
 
 
 def _lines_of(catalog: Catalog, named: DataFrame) -> DataFrame:
@@ -169,10 +180,12 @@ def _values_of(catalog: Catalog, named: DataFrame) -> dict[str, DataFrame]:
     )
     entity = F.struct("entity_type", aspects.alias("aspects"))
     entities = catalog.assets.join(named, "urn", "left_semi").join(fine, "urn", "left").select("urn", entity.alias("entity"))
-    edges = catalog.edges.select("src", "dst", F.struct("seq", F.col("src").alias("source_urn"), F.col("dst").alias("target_urn"), "relationship").alias("end"))
-    ends = lambda at, name: own(edges, at).groupBy("urn").agg(F.array_sort(F.collect_list("end")).alias(name))
-    ways = named.join(ends("src", "UPSTREAM"), "urn", "left").join(ends("dst", "DOWNSTREAM"), "urn", "left")
-    lineage = ways.select("urn", F.struct(*(F.transform(c, lambda e: e.dropFields("seq")).alias(c) for c in ("UPSTREAM", "DOWNSTREAM"))).alias("lineage"))
+    # Grouped edges have their other end alone; the asset's own is added behind.
+    ends = lambda at, other, name: own(catalog.edges.select(at, F.struct("seq", F.col(other).alias("other"), "relationship").alias("end")), at).groupBy("urn").agg(F.array_sort(F.collect_list("end")).alias(name))
+    ways = named.join(ends("src", "dst", "UPSTREAM"), "urn", "left").join(ends("dst", "src", "DOWNSTREAM"), "urn", "left")
+    edge = lambda source, target, e: F.struct(source.alias("source_urn"), target.alias("target_urn"), e["relationship"].alias("relationship"))
+    up, down = F.transform("UPSTREAM", lambda e: edge(F.col("urn"), e["other"], e)), F.transform("DOWNSTREAM", lambda e: edge(e["other"], F.col("urn"), e))
+    lineage = ways.select("urn", F.struct(up.alias("UPSTREAM"), down.alias("DOWNSTREAM")).alias("lineage"))
     column = F.struct("ord", F.col("path").alias("field_path"), "data_type", "native_type", "nullable", "tags")
     columns = catalog.columns.join(named, "urn", "left_semi").groupBy("urn").agg(F.array_sort(F.collect_list(column)).alias("schema"))
     schemas = columns.select("urn", F.transform("schema", lambda c: c.dropFields("ord")).alias("schema"))

@@ -83,3 +83,30 @@ def test_no_limit_of_assets(spark, tmp_path, monkeypatch):
     again = recorded.load_parts(spark, path, "now")
     assert shown(again.assets) == shown(assets) and again.edges.count() == 499 and again.profiles.count() == again.columns.count() == 0
     assert scanned(recorded.load_parts(spark, path, "now", [hub]).assets)[1] == 1
+
+
+def test_parts_follow_the_rows(spark, tmp_path, monkeypatch):
+    """The number of parts grows with the rows, so none grows with the catalog; a task writes one folder; edges keep both ends, nulls and order."""
+    monkeypatch.setattr(recorded, "PART_ROWS", 100)
+    monkeypatch.setattr(recorded, "LEAST_PARTS", 2)
+    name = lambda i: F.format_string("urn:li:dataset:%d", i)
+    assets = spark.range(100).select(
+        name("id").alias("urn"), F.lit("dataset").alias("entity_type"), F.array(F.lit("o")).alias("owners"), F.array().cast("array<string>").alias("tags"),
+        F.lit(False).alias("deprecated"), F.lit(None).cast("string").alias("deprecation_note"),
+    )
+    edges = spark.range(900).select(
+        name(F.col("id") % 90).alias("src"), name((F.col("id") * 7 + 1) % 110).alias("dst"),
+        F.when(F.col("id") % 3 > 0, F.lit("Consumes")).alias("relationship"), (-F.col("id")).cast("int").alias("seq"),
+    )
+    path = str(tmp_path / "parts")
+    recorded.record_parts({"a": Catalog.of(assets, edges), "b": Catalog.of(assets, edges)}, path)
+    assert os.listdir(path + "/of=10") and [f for f in os.listdir(path) if f.startswith("of=")] == ["of=10"]
+    lines = spark.read.json(path)
+    folders = lines.withColumn("file", F.input_file_name()).groupBy("state", "part").agg(F.count_distinct("file").alias("files"), F.count(F.lit(1)).alias("n")).collect()
+    assert {r["files"] for r in folders} == {1} and max(r["n"] for r in folders) < 30 and sum(r["n"] for r in folders) == 200
+    sides = lines.filter("state = 'a'").select("urn", F.posexplode("lineage.UPSTREAM").alias("at", "e")).select("at", "e.source_urn", "e.target_urn", "e.relationship", "urn").collect()
+    wanted = [r for r in edges.orderBy("seq").collect()]
+    for urn in ("urn:li:dataset:0", "urn:li:dataset:89"):
+        assert [(r[1], r[2], r[3]) for r in sorted(sides, key=lambda r: r["at"]) if r["urn"] == urn] == [(e["src"], e["dst"], e["relationship"]) for e in wanted if e["src"] == urn] != []
+    down = lines.filter("state = 'a'").select("urn", F.posexplode("lineage.DOWNSTREAM").alias("at", "e")).orderBy("at").select("urn", "e.*").collect()
+    assert [(r["source_urn"], r["target_urn"], r["relationship"]) for r in down if r["urn"] == "urn:li:dataset:99"] == [(e["src"], e["dst"], e["relationship"]) for e in wanted if e["dst"] == "urn:li:dataset:99"] != []
