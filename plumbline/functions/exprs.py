@@ -37,7 +37,7 @@ def literal_map(values: dict, key: Column) -> Column:
 
 def entity_type(urn: Column) -> Column:
     """The third token of an identity, "unknown" for other strings."""
-    token = F.get(F.split(urn, ":"), F.lit(2))
+    token = F.substring_index(F.substring_index(urn, ":", 3), ":", -1)
     return F.when(urn.startswith("urn:li:"), F.coalesce(F.nullif(token, F.lit("")), F.lit("unknown"))).otherwise("unknown")
 
 

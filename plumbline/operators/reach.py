@@ -14,7 +14,8 @@ nodes that were found.
 
 A bitmap of Spark takes its full width while it is added up, so where at most FEW nodes of the wanted type, or seeds,
 are given, walks go by words: a long has the bits of WORD of them, and the level keeps which are new. From few wanted
-nodes they go upwards, so that a million seeds need a row each, not one for each node that each of them reaches.
+nodes they go upwards, so that a million seeds need a row each, not one for each node that each of them reaches. Up to FORWARD seeds
+for each wanted node go down, as what lies above all wanted nodes can be the whole graph.
 """
 
 from __future__ import annotations
@@ -40,6 +41,9 @@ WORD = 64
 #: Starts of a walk by words, at most, where it can go by bitmaps.
 FEW = 1 << 10
 
+#: Seeds for each wanted node up to which a walk by words goes down from the seeds.
+FORWARD = 8
+
 
 def numbered(seeds: DataFrame, size: int | None = None) -> DataFrame:
     """(seed, block, bit): the distinct seeds with gapless numbers, seeds of one partition side by side.
@@ -160,7 +164,7 @@ def reached(seeds: DataFrame, edges: DataFrame, wanted: str = "mlModel", max_hop
     """Nodes of the wanted type downstream of each seed: seed, urn, depth, and with ``paths`` path (from the seed on).
 
     ``edges``: (src, dst, seq), src depends on dst; walks go from dst to src. A seed doesn't reach itself. Walks go upwards
-    from the wanted nodes where these are fewer.
+    from the wanted nodes where these are fewer and the seeds many.
     """
     ways = cut(edges.select(F.col("dst").alias("from"), F.col("src").alias("to"), X.entity_type(F.col("src")).alias("to_type"), F.col("seq").cast("bigint").alias("seq")), "edges")
     named = cut(seeds.select("seed").filter("seed is not null").distinct(), "named")
@@ -169,7 +173,7 @@ def reached(seeds: DataFrame, edges: DataFrame, wanted: str = "mlModel", max_hop
     if not n_seeds or not n_ends or max_hops < 1:
         empty = named.limit(0).select("seed", F.col("seed").alias("urn"), F.lit(0).alias("depth"))
         return empty.withColumn("path", F.array("seed")) if paths else empty
-    up, by_words = n_ends < n_seeds, min(n_seeds, n_ends) <= FEW
+    up, by_words = n_ends < n_seeds and n_seeds > min(FORWARD * n_ends, FEW), min(n_seeds, n_ends) <= FEW
     if by_words:
         starts = cut(numbered(ends if up else named, WORD), "numbered")
         along = ways.select(F.col("to").alias("from"), F.col("from").alias("to")) if up else ways.select("from", "to")
@@ -183,6 +187,9 @@ def reached(seeds: DataFrame, edges: DataFrame, wanted: str = "mlModel", max_hop
         else:
             of_type = [x.filter(X.entity_type(F.col("to")) == wanted) for x in levels]
             found = spelled(of_type, starts, 1).withColumnRenamed("start", "seed")
+            if paths:  # They are read for each level, and only those of met nodes can be on a path.
+                met = reduce(DataFrame.unionByName, (x.select(F.col("to").alias("from")) for x in levels)).distinct()
+                ways = cut(ways.join(met, "from", "left_semi"), "met")
     else:
         up, starts = False, cut(numbered(named), "numbered")
         levels = levels_of(starts, ways.select("from", "to", "to_type"), max_hops)

@@ -100,3 +100,20 @@ def test_few_models_are_walked_from(spark, monkeypatch):
 def test_bitmaps_where_both_ends_are_many(spark, monkeypatch):
     monkeypatch.setattr(reach, "FEW", 0)
     test_same_as_alone(spark, monkeypatch, 16, 4)
+
+
+def test_few_seeds_are_walked_down(spark, monkeypatch):
+    """A few seeds of a large graph meet what is below them, not all that the models come from; their paths read only edges of what they met."""
+    urn = lambda kind, i: f"urn:li:{kind}:{i}"
+    model, tables, sources = urn("mlModel", 0), [urn("dataset", i) for i in range(60)], [urn("dataset", 100 + i) for i in range(60)]
+    edges = [(model, t, "R", i) for i, t in enumerate(tables)] + [(t, s, "R", 0) for t, s in zip(tables, sources, strict=True)] + [(tables[3], sources[4], "R", 1)]
+    sizes, written = {}, reach.cut
+
+    def counted(df, label):
+        sizes[label] = max(sizes.get(label, 0), df.count())
+        return written(df, label)
+
+    monkeypatch.setattr(reach, "cut", counted)
+    found = graph.downstream_models(spark.createDataFrame([(sources[4],), (sources[9],)], "seed string"), spark.createDataFrame(edges, EDGE), 6)
+    assert {(r["seed"], r["depth"], tuple(r["path"])) for r in found.collect()} == {(sources[4], 2, (sources[4], tables[4], model)), (sources[9], 2, (sources[9], tables[9], model))}
+    assert sizes["level"] <= 6 and sizes["met"] == 6 and sizes["edges"] == len(edges)
