@@ -64,9 +64,9 @@ def _stand_in(members: DataFrame | None, names: DataFrame) -> DataFrame:
 def closure(starts: DataFrame, edges: DataFrame) -> tuple[DataFrame, int]:
     """(node, item) that items reach over one edge or more, and the number of rounds.
 
-    ``starts``: (node, item); ``edges``: (a, b). Of equal rows one counts.
+    ``starts``: (node, item); ``edges``: (a, b), written, as each of the first rounds reads them. Of equal rows one counts.
     """
-    ways = cut(edges.select("a", "b").distinct(), "edges")
+    ways = edges.select("a", "b")
     held = cut(starts.join(ways, F.col("node") == F.col("a")).select(F.col("b").alias("node"), "item").distinct(), "held")
     send = lambda items, along: items.join(along, F.col("node") == F.col("a")).select(F.col("b").alias("node"), "item")
     long, fresh, members, rounds = None, held, None, 0
@@ -86,6 +86,8 @@ def closure(starts: DataFrame, edges: DataFrame) -> tuple[DataFrame, int]:
         held = cut(held.unionByName(fresh), "held")
         if rounds < PLAIN:
             continue
+        if long is None:
+            ways = cut(ways.distinct(), "edges")
         long = cut(shortcuts(ways if long is None else long), "shortcuts")
         ways = cut(ways.unionByName(long).distinct(), "ways")
     if members is None:

@@ -187,7 +187,7 @@ def _further(new: DataFrame, ways: DataFrame, inside: DataFrame) -> DataFrame:
     upper = nodes.select("model_urn", F.col("urn").alias("up_urn"), F.col("path").alias("up_col"), F.col("node").alias("b"))
     edges = both.join(nodes.withColumnRenamed("node", "a"), ["model_urn", "urn", "path"]).join(upper, ["model_urn", "up_urn", "up_col"])
     starts = new.join(nodes, ["model_urn", "urn", "path"]).select("node", F.col("feature").alias("item"))
-    held, _ = closure.closure(starts, edges.select("a", "b"))
+    held, _ = closure.closure(starts, cut(edges.select("a", "b").distinct(), "edges"))
     return held.join(nodes, "node").select("model_urn", "urn", "path", F.col("item").alias("feature"))
 
 

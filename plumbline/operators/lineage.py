@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import exprs as X
@@ -24,9 +24,6 @@ from plumbline.operators import closure, reach
 #: All columns of a table, as a node of the column walk.
 WHOLE = "*"
 
-#: Columns for each model up to which a walk goes down from the columns; else it goes up from the models.
-FORWARD = 8
-
 _SUBQUERIES = ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery")
 
 
@@ -117,39 +114,122 @@ def column_impact(seeds: DataFrame, edges: DataFrame, column_edges: DataFrame, m
     ``edges``: (src, dst, seq), src builds on dst; ``column_edges``: (down_urn, down_col, up_urn, up_col).
     ``max_hops`` counts from the last dataset on.
     """
-    dataset = lambda c: X.entity_type(F.col(c)) == "dataset"
-    node = lambda urn, path: F.struct(urn.alias("urn"), path.alias("path"))
-    seeds = cut(seeds.select("table_urn", "path").distinct(), "columns")
-    ways = edges.select("src", "dst").filter("src <> dst")
+    seeds = cut(seeds.select(F.col("table_urn").alias("urn"), "path").distinct(), "columns")
     named = cut(column_edges.select(F.col("up_urn").alias("urn"), F.col("up_col").alias("path"), F.col("down_urn").alias("to"), F.col("down_col").alias("to_path")), "named")
-    pairs = named.select(F.col("to").alias("src"), F.col("urn").alias("dst"))
-    blind = ways.filter(dataset("src") & dataset("dst")).join(pairs, ["src", "dst"], "left_anti")
-    blind = cut(blind.select(F.col("dst").alias("urn"), F.col("src").alias("to")).distinct(), "blind")
+    n_seeds = seeds.count()
+    models = _near(seeds, edges, named, max_hops) if n_seeds <= reach.FEW else None
+    if models is None:
+        # Users without column lineage, and all edges of which an end is no dataset.
+        ways = edges.select("src", "dst").filter("src <> dst")
+        pairs = named.select(F.col("to").alias("src"), F.col("urn").alias("dst")).filter(_dataset("src") & _dataset("dst"))
+        # Names begin alike, so pairs are sorted by a hash before them.
+        hashed = lambda df: df.withColumn("h", F.xxhash64("src", "dst"))
+        loose = cut(hashed(ways).join(hashed(pairs), ["h", "src", "dst"], "left_anti").select("src", "dst").distinct(), "loose")
+        blind = loose.filter(_dataset("src") & _dataset("dst")).select(F.col("dst").alias("urn"), F.col("src").alias("to"))
+        served = _served(loose, loose, edges, max_hops)
+        steps = _steps(seeds, named, blind)
+        n_models = served.select("model_urn").distinct().count()
+        models = _fed(seeds, steps, served) if n_seeds <= n_models * reach.FORWARD else _feeding(seeds, steps, served)
+    return models.select(F.col("urn").alias("table_urn"), "path", "model_urn")
+
+
+def _dataset(c: str) -> Column:
+    """``exprs.entity_type`` of a name is dataset."""
+    return F.col(c).startswith("urn:li:dataset:") | (F.col(c) == "urn:li:dataset")
+
+
+def _node(urn: str, path: str) -> Column:
+    return F.struct(F.col(urn).alias("urn"), F.col(path).alias("path"))
+
+
+def _linked(steps: DataFrame) -> DataFrame:
+    return steps.filter("urn is not null and to is not null").select(_node("urn", "path").alias("a"), _node("to", "to_path").alias("b"))
+
+
+def _steps(seeds: DataFrame, named: DataFrame, blind: DataFrame) -> DataFrame:
+    """(urn, path, to, to_path): column lineage, and tables that count as fed as a whole."""
+    whole = seeds.filter(F.col("path") == WHOLE).select("urn").unionByName(named.filter(F.col("to_path") == WHOLE).select(F.col("to").alias("urn")))
     # Tables that can count as fed as a whole: by a table without column lineage, or as a column of that name.
-    marked = seeds.filter(F.col("path") == WHOLE).select(F.col("table_urn").alias("urn")).unionByName(named.filter(F.col("to_path") == WHOLE).select(F.col("to").alias("urn")))
-    marked = cut(marked.unionByName(blind.select(F.col("to").alias("urn"))).distinct(), "marked")
+    marked = cut(whole.unionByName(blind.select(F.col("to").alias("urn"))).distinct(), "marked")
+    if not marked.limit(1).count():
+        return named
     # A whole table feeds what any of its columns feeds.
-    whole = named.join(marked, "urn", "left_semi").select("urn", F.lit(WHOLE).alias("path"), "to", "to_path")
-    columns = named.select(F.col("to").alias("urn"), F.col("to_path").alias("path")).unionByName(seeds.select(F.col("table_urn").alias("urn"), "path"))
+    of_whole = named.join(marked, "urn", "left_semi").select("urn", F.lit(WHOLE).alias("path"), "to", "to_path")
+    columns = named.select(F.col("to").alias("urn"), F.col("to_path").alias("path")).unionByName(seeds)
     columns = columns.unionByName(marked.withColumn("path", F.lit(WHOLE))).join(blind.select("urn"), "urn", "left_semi").distinct()
     unnamed = columns.join(blind, "urn").select("urn", "path", "to", F.lit(WHOLE).alias("to_path"))
-    steps = named.unionByName(whole).unionByName(unnamed)
-    linked = cut(steps.select(node(F.col("urn"), F.col("path")).alias("a"), node(F.col("to"), F.col("to_path")).alias("b")).filter("a.urn is not null and b.urn is not null"), "steps")
-    # The models that each table's users belong to, and which users there are.
-    outside = cut(ways.filter(~dataset("src")).distinct(), "outside")
-    beyond = reach.reached(outside.select(F.col("src").alias("seed")), edges, "mlModel", max_hops, paths=False).select(F.col("seed").alias("src"), F.col("urn").alias("model_urn"))
+    return cut(named.unionByName(of_whole).unionByName(unnamed), "steps")
+
+
+def _served(users: DataFrame, around: DataFrame, edges: DataFrame, max_hops: int) -> DataFrame:
+    """(urn, model_urn): the models that each table's users which are no datasets belong to.
+
+    ``users``: (src, dst), of which those count; ``around``: at least all edges to what is no dataset. Where no dataset builds on such, a
+    walk from them has no need of others.
+    """
+    outside = cut(users.filter(~_dataset("src")).distinct(), "outside")
+    around = around.filter(~_dataset("dst"))
+    back = around.filter(_dataset("src")).limit(1).count()
+    along = edges if back else around.withColumn("seq", F.lit(0))
+    beyond = reach.reached(outside.select(F.col("src").alias("seed")), along, "mlModel", max_hops, paths=False).select(F.col("seed").alias("src"), F.col("urn").alias("model_urn"))
     own = outside.filter(X.entity_type(F.col("src")) == "mlModel").select("src", F.col("src").alias("model_urn"))
-    served = cut(outside.join(beyond.unionByName(own), "src").select(F.col("dst").alias("urn"), "model_urn").distinct(), "served")
-    begin = seeds.select(node(F.col("table_urn"), F.col("path")).alias("node"))
-    if seeds.count() <= served.select("model_urn").distinct().count() * FORWARD:
-        starts = begin.select("node", F.col("node").alias("item"))
-        fed, _ = closure.closure(starts, linked)
-        tables = fed.unionByName(starts).select("item", F.col("node.urn").alias("urn")).distinct()
-        models = tables.join(served, "urn").select("item", "model_urn").distinct()
-    else:
-        # From the models up: an item for each model that a column feeds, not for each column that feeds it.
-        ends = linked.select(F.col("b").alias("node")).unionByName(begin).distinct()
-        starts = cut(ends.join(served, F.col("node.urn") == F.col("urn")).select("node", F.col("model_urn").alias("item")), "starts")
-        fed, _ = closure.closure(starts, linked.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        models = fed.unionByName(starts).distinct().join(begin, "node", "left_semi").select(F.col("node").alias("item"), F.col("item").alias("model_urn"))
-    return models.select(F.col("item.urn").alias("table_urn"), F.col("item.path").alias("path"), "model_urn")
+    return cut(outside.join(beyond.unionByName(own), "src").select(F.col("dst").alias("urn"), "model_urn").distinct(), "served")
+
+
+def _near(seeds: DataFrame, edges: DataFrame, named: DataFrame, max_hops: int) -> DataFrame | None:
+    """(urn, path, model_urn) of few columns by column lineage alone, or None where that isn't all.
+
+    It is all if no column that they reach is a whole table, and no table of these has a user without column lineage.
+    """
+    starts = seeds.select(_node("urn", "path").alias("node"), _node("urn", "path").alias("item"))
+    fed, _ = closure.closure(starts, _linked(named))
+    fed = cut(fed.unionByName(starts).distinct(), "fed")
+    if fed.filter(F.col("node.path") == WHOLE).limit(1).count():
+        return None
+    tables = cut(fed.select(F.col("node.urn").alias("dst")).distinct(), "tables")
+    ways = edges.select("src", "dst").filter("src <> dst")
+    users = cut(ways.join(tables, "dst", "left_semi"), "users")
+    pairs = named.select(F.col("to").alias("src"), F.col("urn").alias("dst")).join(tables, "dst", "left_semi")
+    if users.filter(_dataset("src") & _dataset("dst")).join(pairs, ["src", "dst"], "left_anti").limit(1).count():
+        return None
+    served = _served(users, cut(ways.filter(~_dataset("dst")), "around"), edges, max_hops)
+    return _models_of(fed, served)
+
+
+def _models_of(fed: DataFrame, served: DataFrame) -> DataFrame:
+    tables = fed.select("item", F.col("node.urn").alias("urn")).distinct()
+    return tables.join(served, "urn").select("item", "model_urn").distinct().select("item.*", "model_urn")
+
+
+def _fed(seeds: DataFrame, steps: DataFrame, served: DataFrame) -> DataFrame:
+    """(urn, path, model_urn) by a walk down from the columns."""
+    starts = seeds.select(_node("urn", "path").alias("node"), _node("urn", "path").alias("item"))
+    return _models_of(closure.closure(starts, _linked(steps))[0].unionByName(starts), served)
+
+
+def _feeding(seeds: DataFrame, steps: DataFrame, served: DataFrame) -> DataFrame:
+    """(urn, path, model_urn) by a walk up from the models, with words of them.
+
+    All steps to a table that models have a use of are taken at once. Only steps to a column that others come from too
+    go on from there, and where most lead to the last tables before the models these are few.
+    """
+    known = cut(reach.numbered(served.select(F.col("model_urn").alias("seed")), reach.WORD), "models")
+    bits = served.join(known, F.col("model_urn") == F.col("seed")).groupBy("urn", "block").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    bits = cut(bits.select("urn", "block", "bits"), "served_bits")
+    steps = steps.filter("urn is not null and to is not null")
+    # Rows meet before they are added up: columns are dealt over all files, so a task by itself would hold nearly each of them.
+    sent = steps.join(bits.withColumnRenamed("urn", "to"), "to", "left").select("urn", "path", "block", "bits").repartition("urn", "path")
+    first = cut(sent.groupBy("urn", "path", "block").agg(F.bit_or("bits").alias("bits")), "first")
+    into = first.select(_node("urn", "path").alias("b")).distinct().hint("shuffle_hash")
+    inner = cut(_linked(steps).join(into, "b", "left_semi").select(F.col("b").alias("a"), F.col("a").alias("b")), "inner")
+    open_bits = F.explode(F.expr("filter(sequence(0, 63), i -> (shiftright(bits, i) & 1L) = 1L)")).alias("bit")
+    first = first.filter("bits is not null")
+    starts = first.select(_node("urn", "path").alias("node"), "block", "bits").join(inner.select(F.col("a").alias("node")), "node", "left_semi")
+    starts = cut(starts.select("node", "block", open_bits).select("node", (F.col("block") * reach.WORD + F.col("bit")).alias("item")), "starts")
+    further, _ = closure.closure(starts, inner)
+    block, bit = F.floor(F.col("item") / reach.WORD).cast("int"), (F.col("item") % reach.WORD).cast("int")
+    further = further.select("node.*", block.alias("block"), bit.alias("bit")).select("urn", "path", "block", F.expr("shiftleft(1L, bit)").alias("bits"))
+    at_once = seeds.join(bits, "urn").select("urn", "path", "block", "bits")
+    every = first.unionByName(further).unionByName(at_once).groupBy("urn", "path", "block").agg(F.bit_or("bits").alias("bits"))
+    asked = every.withColumn("node", _node("urn", "path")).join(seeds.select(_node("urn", "path").alias("node")), "node", "left_semi")
+    return asked.select("urn", "path", "block", open_bits).join(known, ["block", "bit"]).select("urn", "path", F.col("seed").alias("model_urn"))

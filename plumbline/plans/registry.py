@@ -842,9 +842,7 @@ WITH n AS (SELECT count(*) AS n FROM part), users AS (
 @query(_FED + f"""SELECT 'urn:li:dataset:(urn:li:dataPlatform:spark,part.' || part || ',PROD)' AS table_urn, col AS path, {_REGION_MODEL} AS model_urn FROM fed""")
 def column_impact(spark, sf_dir):
     """The models that each column of each part's table feeds, by column lineage."""
-    ways = cut(slices.column_edges(spark, sf_dir), "column_edges")
-    columns = ways.select(F.col("up_urn").alias("table_urn"), F.col("up_col").alias("path"))
-    return lineage.column_impact(columns, slices.edges(spark, sf_dir), ways)
+    return lineage.column_impact(slices.fed_columns(spark, sf_dir), slices.edges(spark, sf_dir), slices.column_edges(spark, sf_dir))
 
 
 @query(
@@ -863,11 +861,10 @@ def sql_column_impact(spark, sf_dir):
           WHERE l_orderkey > 0 GROUP BY size, id) UNION ALL SELECT l_orderkey + (SELECT min(p_partkey) FROM part) FROM lineitem""".replace(f"part.{k} ", f"`part`.`{k}` ")
         for k in range(1, 9)
     }
-    ways = cut(slices.column_edges(spark, sf_dir), "column_edges")
-    # Written, as a distinct() over names would be merged with this one and name every edge's table.
-    ends = cut(ways.select(F.col("up_urn").alias("urn"), F.col("up_col").alias("path")).distinct(), "ends")
-    catalog = ends.select(X.report_name(F.col("urn")).alias("table"), F.col("urn").alias("table_urn"), F.when(F.col("path") == "p0", 0).otherwise(1).alias("ord"), "path")
-    both = catalog.select("table", "table_urn").distinct().withColumn("path", F.explode(F.array(F.lit("p0"), F.lit("p1")))).withColumn("ord", F.substring("path", 2, 1).cast("int"))
+    ways = slices.column_edges(spark, sf_dir)
+    # Written before they are named, as a distinct() over names would be merged with the one below them and name a table for each of its columns.
+    tables = cut(slices.fed_columns(spark, sf_dir).select("table_urn").distinct(), "tables").select(X.report_name(F.col("table_urn")).alias("table"), "table_urn")
+    both = tables.withColumn("path", F.explode(F.array(F.lit("p0"), F.lit("p1")))).withColumn("ord", F.substring("path", 2, 1).cast("int"))
     owners = slices.region_models(spark, sf_dir).select(F.col("model_urn").alias("urn"), F.array().cast("array<string>").alias("owners"))
     found = impact.sql_impact(spark, statements, both.select("table", "table_urn", "ord", "path"), slices.edges(spark, sf_dir), owners, column_edges=ways)
     models = F.transform(F.coalesce("impacted", F.array().cast("array<struct<model_urn:string,owners:array<string>,route:string>>")), lambda m: m["model_urn"])

@@ -158,7 +158,9 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = lambda c: dataset(F.concat(F.lit("part."), c.cast("string")))
     of_region = nation.select(model(F.concat(F.lit("region_"), text("n_regionkey"))).alias("src"), feature(text("n_nationkey")).alias("dst"), F.lit("Consumes").alias("relationship"), F.col("n_nationkey").cast("long").alias("seq"))
     of_nation = supplier.select(feature(text("s_nationkey")).alias("src"), dataset(F.concat(F.lit("supplier."), text("s_suppkey"))).alias("dst"), F.lit(None).cast("string").alias("relationship"), F.col("s_suppkey").alias("seq"))
-    of_supplier = lines.select(dataset(F.concat(F.lit("supplier."), text("l_suppkey"))).alias("src"), part(F.col("l_partkey")).alias("dst"), F.lit(None).cast("string").alias("relationship"), F.col("l_partkey").alias("seq")).distinct()
+    # Keys are made distinct, not the names made of them; hardly any come twice, so no task gathers its own first.
+    pairs = lines.select("l_suppkey", "l_partkey").repartition("l_suppkey", "l_partkey").distinct()
+    of_supplier = pairs.select(dataset(F.concat(F.lit("supplier."), text("l_suppkey"))).alias("src"), part(F.col("l_partkey")).alias("dst"), F.lit(None).cast("string").alias("relationship"), F.col("l_partkey").alias("seq"))
     of_part = lines.select("l_partkey").distinct().select(part(F.col("l_partkey")).alias("src"), part((F.col("l_partkey") * 7 + 3) % parts).alias("dst"), F.lit("DownstreamOf").alias("relationship"), ((F.col("l_partkey") * 7 + 3) % parts).alias("seq"))
     return of_region.unionByName(of_nation).unionByName(of_supplier).unionByName(of_part)
 
@@ -173,14 +175,28 @@ def region_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def column_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Supplier columns from part columns, part columns from other parts' columns."""
+    """Supplier columns from part columns, part columns from other parts' columns; one that several line items have can come as often."""
     lines = table(spark, sf_dir, "lineitem")
     parts = table(spark, sf_dir, "part").count()
-    text = lambda c: F.col(c).cast("string")
-    part = lambda c: dataset(F.concat(F.lit("part."), c.cast("string")))
-    down = lines.select(dataset(F.concat(F.lit("supplier."), text("l_suppkey"))).alias("down_urn"), F.concat(F.lit("c"), (F.col("l_linenumber") % 3).cast("string")).alias("down_col"), part(F.col("l_partkey")).alias("up_urn"), F.concat(F.lit("p"), (F.col("l_linenumber") % 2).cast("string")).alias("up_col"))
-    chain = lines.select("l_partkey").distinct().select(part(F.col("l_partkey")).alias("down_urn"), F.lit("p0").alias("down_col"), part((F.col("l_partkey") * 7 + 3) % parts).alias("up_urn"), F.lit("p1").alias("up_col"))
-    return down.unionByName(chain).distinct()
+    column = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    supplier = dataset(F.concat(F.lit("supplier."), F.col("l_suppkey").cast("string")))
+    keys = lines.select("l_suppkey", (F.col("l_linenumber") % 3).alias("c"), "l_partkey", (F.col("l_linenumber") % 2).alias("p"))
+    down = keys.select(supplier.alias("down_urn"), column("c", "c").alias("down_col"), _part("l_partkey").alias("up_urn"), column("p", "p").alias("up_col"))
+    chain = lines.select("l_partkey").distinct().select(_part("l_partkey").alias("down_urn"), F.lit("p0").alias("down_col"), _part((F.col("l_partkey") * 7 + 3) % parts).alias("up_urn"), F.lit("p1").alias("up_col"))
+    return down.unionByName(chain)
+
+
+def fed_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(table_urn, path): the columns that others come from by ``column_edges``."""
+    lines = table(spark, sf_dir, "lineitem")
+    parts = table(spark, sf_dir, "part").count()
+    used = lines.select(F.col("l_partkey").alias("k"), (F.col("l_linenumber") % 2).alias("p")).repartition("k").distinct()
+    chain = lines.select("l_partkey").distinct().select(((F.col("l_partkey") * 7 + 3) % parts).alias("k"), F.lit(1).alias("p"))
+    return used.unionByName(chain).distinct().select(_part("k").alias("table_urn"), F.concat(F.lit("p"), F.col("p").cast("string")).alias("path"))
+
+
+def _part(key) -> F.Column:
+    return dataset(F.concat(F.lit("part."), (F.col(key) if isinstance(key, str) else key).cast("string")))
 
 
 def supplier_columns(found: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from plumbline.operators import impact, lineage
+from plumbline.operators import impact, lineage, reach
 
 EDGE = "src string, dst string, relationship string, seq int"
 COLUMN_EDGE = "down_urn string, down_col string, up_urn string, up_col string"
@@ -118,3 +118,45 @@ def test_only_models_of_the_lost_column(spark, views):
     assert models(narrow["1.sql"]) == [n] and models(narrow["2.sql"]) == [m]
     assert narrow["1.sql"]["dropped"] == ["price"] and narrow["1.sql"]["inputs"] == ["lin_item.id"] and narrow["1.sql"]["breaking"]
     assert "nope" in narrow["3.sql"]["parse_error"] and not narrow["3.sql"]["breaking"]
+
+
+@pytest.mark.parametrize(("few", "forward"), [(1 << 10, 8), (0, 8), (0, 10**6), (0, 0)])
+def test_column_impact_each_way(spark, monkeypatch, few, forward):
+    """Few columns alone, many by a walk from either side: with repeated edges, a dataset built on a feature, whole tables and columns without a user."""
+    monkeypatch.setattr(reach, "FEW", few)
+    monkeypatch.setattr(reach, "FORWARD", forward)
+    rng = random.Random(8)
+    tables, features, models = [urn("dataset", i) for i in range(8)], [urn("mlFeature", i) for i in range(4)], [urn("mlModel", i) for i in range(3)]
+    plain = [(a, b, "R", 0) for i, a in enumerate(tables) for b in tables[i + 1 :] if rng.random() < 0.4]
+    plain += [(f, tables[i], "R", 0) for i, f in enumerate(features)] + [(m, features[i], "R", 0) for i, m in enumerate(models)] + [(models[2], tables[0], "R", 0)]
+    column_edges = [(s, f"c{rng.randrange(3)}", d, f"c{rng.randrange(3)}") for s, d, *_ in plain if ":dataset:" in s for _ in range(2)]
+    back = [*plain, (tables[7], features[3], "R", 0), (models[0], tables[7], "R", 0), (tables[6], tables[7], "R", 0)]
+    seeds = [(t, c) for t in tables for c in ("c0", "c1", "c2")] + [("urn:li:dataset:nowhere", "c0")]
+    for edges in (plain, back):
+        rows = lineage.column_impact(spark.createDataFrame(seeds, "table_urn string, path string"), spark.createDataFrame([*edges, edges[0]], EDGE), spark.createDataFrame(column_edges * 2, COLUMN_EDGE), 10).collect()
+        got = {s: {r["model_urn"] for r in rows if (r["table_urn"], r["path"]) == s} for s in seeds}
+        assert len(rows) == sum(map(len, got.values())) and got == brute(seeds, edges, column_edges)
+
+
+def test_steps_that_lead_nowhere_are_joined_once(spark, monkeypatch):
+    """Models' many direct columns are met in one join; rounds go over the steps to columns that others come from, and few columns over those alone."""
+    tables, sources = [urn("dataset", f"t{i}") for i in range(300)], [urn("dataset", f"s{i}") for i in range(5)]
+    f, m = urn("mlFeature", "f"), urn("mlModel", "m")
+    edges = [(m, f, "R", 0)] + [(f, t, "R", i) for i, t in enumerate(tables)] + [(t, sources[i % 4], "R", 0) for i, t in enumerate(tables)] + [(sources[3], sources[4], "R", 0)]
+    column_edges = [(t, "c", sources[i % 4], "p") for i, t in enumerate(tables)] + [(sources[3], "p", sources[4], "q")]
+    sizes, written = {}, lineage.cut
+
+    def counted(df, label):
+        sizes[label] = max(sizes.get(label, 0), df.count())
+        return written(df, label)
+
+    for module in (lineage, lineage.closure, reach):
+        monkeypatch.setattr(module, "cut", counted)
+    monkeypatch.setattr(reach, "FEW", 3)
+    frame = lambda seeds: lineage.column_impact(spark.createDataFrame(seeds, "table_urn string, path string"), spark.createDataFrame(edges, EDGE), spark.createDataFrame(column_edges, COLUMN_EDGE))
+    seeds = [(s, c) for s in sources for c in ("p", "q")]
+    assert {tuple(r) for r in frame(seeds).collect()} == {(s, "p", m) for s in sources[:4]} | {(sources[4], "q", m)}
+    assert sizes["inner"] == 1 and sizes["edges"] == 1 and sizes["loose"] == 301 and max(n for k, n in sizes.items() if k in ("first", "held", "new", "level")) < 10
+    sizes.clear()
+    assert {tuple(r) for r in frame(seeds[8:]).collect()} == {(sources[4], "q", m)}
+    assert "loose" not in sizes and sizes["edges"] == 1 and max(n for k, n in sizes.items() if k != "named") < 200
