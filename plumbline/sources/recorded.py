@@ -139,7 +139,8 @@ def record_parts(states: dict[str, Catalog], path: str, urns: DataFrame | None =
         lines.append(_lines_of(catalog, named).withColumn("state", F.lit(state)).withColumn("nth", F.lit(i)))
     rows = reduce(DataFrame.unionByName, lines).withColumn("of", F.lit(parts)).withColumn("part", _part_of(F.col("urn"), F.lit(parts)))
     dealt = rows.repartitionById(parts * len(states), F.col("nth") * parts + F.col("part")).drop("nth")
-    dealt.write.partitionBy("of", "state", "part").json(path)
+    # Identities begin alike and come again and again, so compressed lines take a small part of the disk.
+    dealt.write.partitionBy("of", "state", "part").option("compression", "gzip").json(path)
 
 
 def _lines_of(catalog: Catalog, named: DataFrame) -> DataFrame:

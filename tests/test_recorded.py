@@ -110,3 +110,22 @@ def test_parts_follow_the_rows(spark, tmp_path, monkeypatch):
         assert [(r[1], r[2], r[3]) for r in sorted(sides, key=lambda r: r["at"]) if r["urn"] == urn] == [(e["src"], e["dst"], e["relationship"]) for e in wanted if e["src"] == urn] != []
     down = lines.filter("state = 'a'").select("urn", F.posexplode("lineage.DOWNSTREAM").alias("at", "e")).orderBy("at").select("urn", "e.*").collect()
     assert [(r["source_urn"], r["target_urn"], r["relationship"]) for r in down if r["urn"] == "urn:li:dataset:99"] == [(e["src"], e["dst"], e["relationship"]) for e in wanted if e["dst"] == "urn:li:dataset:99"] != []
+
+
+def test_small_on_disk(spark, tmp_path):
+    """A recording takes a small part of its text on disk, and one of plain text is read as before."""
+    urn = lambda kind, i: F.format_string(f"urn:li:dataset:(urn:li:dataPlatform:spark,{kind}.%d,PROD)", i)
+    assets = spark.range(200).select(
+        urn("part", "id").alias("urn"), F.lit("dataset").alias("entity_type"), F.array(F.lit("o")).alias("owners"), F.array().cast("array<string>").alias("tags"),
+        F.lit(False).alias("deprecated"), F.lit(None).cast("string").alias("deprecation_note"),
+    )
+    edges = spark.range(6000).select(urn("part", F.col("id") % 200).alias("src"), urn("supplier", F.col("id")).alias("dst"), F.lit("DownstreamOf").alias("relationship"), F.col("id").cast("int").alias("seq"))
+    path, plain = str(tmp_path / "parts"), str(tmp_path / "plain")
+    recorded.record_parts({"now": Catalog.of(assets, edges)}, path)
+    text = spark.read.text(path)
+    files = [os.path.join(d, f) for d, _, names in os.walk(path) for f in names if f.startswith("part-")]
+    assert sum(map(os.path.getsize, files)) * 5 < text.agg(F.sum(F.length("value"))).first()[0]
+    text.write.partitionBy("of", "state", "part").text(plain)
+    for t in TABLES:
+        again, packed = (shown(getattr(recorded.load_parts(spark, p, "now"), t)) for p in (plain, path))
+        assert again == packed and (len(packed) == {"assets": 200, "edges": 6000}.get(t, 0))
