@@ -211,7 +211,8 @@ def _feeding(seeds: DataFrame, steps: DataFrame, served: DataFrame) -> DataFrame
     """(urn, path, model_urn) by a walk up from the models, with words of them.
 
     All steps to a table that models have a use of are taken at once. Only steps to a column that others come from too
-    go on from there, and where most lead to the last tables before the models these are few.
+    go on from there, and where most lead to the last tables before the models these are few. Names take a hundredth of their
+    size on disk, by which Spark would broadcast millions of them, so joins by column have hints.
     """
     known = cut(reach.numbered(served.select(F.col("model_urn").alias("seed")), reach.WORD), "models")
     bits = served.join(known, F.col("model_urn") == F.col("seed")).groupBy("urn", "block").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
@@ -224,12 +225,12 @@ def _feeding(seeds: DataFrame, steps: DataFrame, served: DataFrame) -> DataFrame
     inner = cut(_linked(steps).join(into, "b", "left_semi").select(F.col("b").alias("a"), F.col("a").alias("b")), "inner")
     open_bits = F.explode(F.expr("filter(sequence(0, 63), i -> (shiftright(bits, i) & 1L) = 1L)")).alias("bit")
     first = first.filter("bits is not null")
-    starts = first.select(_node("urn", "path").alias("node"), "block", "bits").join(inner.select(F.col("a").alias("node")), "node", "left_semi")
+    starts = first.select(_node("urn", "path").alias("node"), "block", "bits").join(inner.select(F.col("a").alias("node")).hint("shuffle_hash"), "node", "left_semi")
     starts = cut(starts.select("node", "block", open_bits).select("node", (F.col("block") * reach.WORD + F.col("bit")).alias("item")), "starts")
-    further, _ = closure.closure(starts, inner)
+    further, _ = closure.closure(starts.hint("merge"), inner)
     block, bit = F.floor(F.col("item") / reach.WORD).cast("int"), (F.col("item") % reach.WORD).cast("int")
     further = further.select("node.*", block.alias("block"), bit.alias("bit")).select("urn", "path", "block", F.expr("shiftleft(1L, bit)").alias("bits"))
     at_once = seeds.join(bits, "urn").select("urn", "path", "block", "bits")
     every = first.unionByName(further).unionByName(at_once).groupBy("urn", "path", "block").agg(F.bit_or("bits").alias("bits"))
-    asked = every.withColumn("node", _node("urn", "path")).join(seeds.select(_node("urn", "path").alias("node")), "node", "left_semi")
+    asked = every.withColumn("node", _node("urn", "path")).join(seeds.select(_node("urn", "path").alias("node")).hint("shuffle_hash"), "node", "left_semi")
     return asked.select("urn", "path", "block", open_bits).join(known, ["block", "bit"]).select("urn", "path", F.col("seed").alias("model_urn"))
